@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.sharding import shard
+from quire.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +18,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_sharding": op6_sharding,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLES = {
     "op8_exact_dedup": r"""
