@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.sharding import shard
+from quire.llm.simhash import simhash_dedup
 from quire.llm.suffix_dedup import suffix_dedup
 
 
@@ -27,9 +28,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
+    "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
