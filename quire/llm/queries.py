@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.lattice import lattice_dedup
 from quire.llm.packing import pack
+from quire.llm.quality import fit_quality, quality
 from quire.llm.sharding import shard
 from quire.llm.simhash import simhash_dedup
 from quire.llm.suffix_dedup import suffix_dedup
@@ -38,6 +39,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), words=3, distance=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
