@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.language import fit_language, language
 from quire.llm.lattice import lattice_dedup
 from quire.llm.packing import pack
+from quire.llm.pieces import decode_pieces, encode_pieces
 from quire.llm.quality import fit_quality, quality
 from quire.llm.sharding import shard
 from quire.llm.simhash import simhash_dedup
@@ -18,10 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, fit_language(docs))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"), "parity")
+
+
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -44,18 +64,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=2048, end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_lattice": op4_lattice,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
