@@ -14,6 +14,7 @@ from quire.llm.quality import fit_quality, quality
 from quire.llm.sharding import shard
 from quire.llm.simhash import simhash_dedup
 from quire.llm.suffix_dedup import suffix_dedup
+from quire.llm.unit_dedup import unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unit_dedup(table(spark, sf_dir, "documents"), kind="sentence", least_words=10)
+    return found.select("doc_id", "n_units", "n_repeated", F.size("spans").alias("n_spans"), "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language(docs, fit_language(docs))
@@ -70,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_lattice": op4_lattice,
