@@ -289,9 +289,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`id` (null ids last), `rep` (0 unless an id repeats) and `text` as bytes."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`id` (null ids last), `rep` (0 unless an id repeats), `doc_id`, `text` as bytes, and the columns `carry`."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), *carry)
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
         order = Window.partitionBy("id").orderBy(F.sha2("text", 256))
         return written(rows.withColumn("rep", F.row_number().over(order) - 1), "suffix-texts")

@@ -104,11 +104,12 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: str, least_words: int) -> Iter
                 kept.append(text[at:a])
                 at = z
             rows.append((doc, len(own), len(numbers), [{"start": a, "end": z} for a, z in spans], "".join([*kept, text[at:]])))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
+        columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
+        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
 
 
-def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_units, n_repeated, spans (start, end in code points of the original), kept (the text left).
+def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_units, n_repeated, spans (start, end in code points of the original), kept (the text left), and the columns `carry`.
 
     Units (`kind`: line, paragraph, or sentence, which cuts lines as well) are compared in lower case with
     their words a space apart; a unit without words is never repeated. Of equal units the earliest stays, by
@@ -120,7 +121,8 @@ def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, i
     Repeats within a batch are settled there, so a unit that fills a third of the corpus is shuffled once for
     each batch; the others are settled by one sort on the digest.
     """
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col, carry)
     found = repeated_units(texts, kind).groupBy(F.col("doc").alias("id"), F.shiftright("unit", 32).cast("int").alias("rep")).agg(F.collect_list("unit").alias("found"))
-    joined = texts.join(found, ["id", "rep"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(lambda it: _cut(it, kind, least_words), "doc_id long, n_units long, n_repeated long, spans array<struct<start:long,end:long>>, kept string")
+    joined = texts.join(found, ["id", "rep"], "left").select("doc_id", "text", "found", *carry)
+    carried = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(lambda it: _cut(it, kind, least_words), f"doc_id long, n_units long, n_repeated long, spans array<struct<start:long,end:long>>, kept string{carried}")
