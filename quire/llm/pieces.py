@@ -19,7 +19,9 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Distinct words a Python worker keeps between batches, and bytes of text put together at once.
-MOST_WORDS, CHUNK = 400_000, 8 << 20
+MOST_WORDS, CHUNK = 250_000, 4 << 20
+#: Words given to the libraries at once: what they return for each is much larger than its ids.
+AT_ONCE = 10_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,7 +112,28 @@ def built(model: PieceModel):
     return tokenizer
 
 
-class PieceCodec:
+class PieceTable:
+    """Texts of ids, from the model file alone."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            self.data = file.read()
+        m = self.model = PieceModel.parse(self.data)
+        shown = []
+        for p, _, k in m.pieces:
+            shown.append(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else m.unknown_surface.encode() if k == UNKNOWN else p.replace(MARK, " ").encode())
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.sizes = np.array([len(x) for x in shown], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: marks as spaces, byte pieces joined, control pieces left out, the added prefix dropped."""
+        data = self.shown[_ranges(self.begins[ids], self.sizes[ids])].tobytes()
+        text = data.decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+
+class PieceCodec(PieceTable):
     """Ids of texts and texts of ids; each distinct word is encoded once where the model allows it.
 
     If no piece has a word mark behind another character, no merge or path crosses from a word to the mark of
@@ -120,9 +143,7 @@ class PieceCodec:
     def __init__(self, path: str, threads: int = 2, verify: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        with open(path, "rb") as file:
-            data = file.read()
-        self.model = PieceModel.parse(data)
+        super().__init__(path)
         self.tokenizer = built(self.model)
         m = self.model
         self.by_word = m.dummy_prefix and m.escape and not m.charsmap and not any(k == USER or (k == NORMAL and MARK in p.lstrip(MARK)) for p, _, k in m.pieces)
@@ -130,13 +151,7 @@ class PieceCodec:
         if verify:
             import sentencepiece
 
-            self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        shown = []
-        for p, _, k in m.pieces:
-            shown.append(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else m.unknown_surface.encode() if k == UNKNOWN else p.replace(MARK, " ").encode())
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.sizes = np.array([len(x) for x in shown], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
+            self.reference = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         self._forget()
 
     def _forget(self) -> None:
@@ -152,7 +167,9 @@ class PieceCodec:
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MOST_WORDS:
             self._forget()
-        if new := [w for w in words if w not in self.known]:
+        unknown = [w for w in words if w not in self.known]
+        for at in range(0, len(unknown), AT_ONCE):
+            new = unknown[at : at + AT_ONCE]
             ids, agreed = self._both(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.known.update(zip(new, range(len(self.agreed), len(self.agreed) + len(new)), strict=True))
@@ -188,14 +205,9 @@ class PieceCodec:
                     out[k] = own
         return out, same
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: marks as spaces, byte pieces joined, control pieces left out, the added prefix dropped."""
-        data = self.shown[_ranges(self.begins[ids], self.sizes[ids])].tobytes()
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
-
 
 _codecs: dict[tuple, PieceCodec] = {}
+_tables: dict[str, PieceTable] = {}
 
 
 def codec(path: str, threads: int, verify: bool) -> PieceCodec:
@@ -208,27 +220,30 @@ def codec(path: str, threads: int, verify: bool) -> PieceCodec:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
     pieces = codec(path, threads, verify)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            ids, same = pieces.encode(part.column(1).cast(pa.string()))
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            ids, same = pieces.encode(part.column(part.num_columns - 1).cast(pa.string()))
             agreed = pa.array(same) if verify else pa.nulls(len(ids), pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), agreed], names=["doc_id", "text", "ids", "n_ids", "parity"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), agreed], names=[*part.schema.names[:-1], "ids", "n_ids", "parity"])
 
 
-def encode_pieces(docs: DataFrame, path: str, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text, ids (little-endian unsigned 32-bit), n_ids, parity.
+def encode_pieces(docs: DataFrame, path: str, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, `carry`, ids (little-endian unsigned 32-bit), n_ids, parity.
 
     Ids are those of the SentencePiece model at `path`, by the tokenizers library; distinct words, or whole
     texts where words can't be told apart, go to it in batches on `threads` threads. `parity` says whether
     the sentencepiece library gives the same ids for all of them (null unless `verify`). A null or empty
     text has no ids. Rows that repeat an id are encoded once each. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _encoded(it, path, threads, verify), "doc_id long, text string, ids binary, n_ids long, parity boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lambda it: _encoded(it, path, threads, verify), f"{schema}, ids binary, n_ids long, parity boolean")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = codec(path, 2, False)
+    if path not in _tables:
+        _tables[path] = PieceTable(path)
+    pieces = _tables[path]
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)

@@ -43,9 +43,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"), "parity")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
+    found = decode_pieces(encode_pieces(docs, path, carry=("text_sha256",)), path)
+    again = F.sha2(F.col("decoded").cast("binary"), 256)
+    return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), again.alias("decoded_sha256"), (again == F.col("text_sha256")).alias("round_trip"), "parity")
 
 
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
