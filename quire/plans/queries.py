@@ -2,6 +2,316 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "w02_prose_quote_groups"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import identifiers as ids
+from quire.operators import blocks, diagnostics, inline, lists, metadata, notes, numbering, roles
+from quire.plans import adapters as a
+from quire.plans.oracles import ORACLES
+
+FLAGSHIP = "a02_editorial_summary"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
+
+def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[make.__name__] = make
+    return make
+
+
+def roled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.with_roles(a.paragraphs(spark, sf_dir))
+
+
+@query
+def f01_paragraph_role(spark, sf_dir):
+    return roled(spark, sf_dir).select("pkg_id", "index", "role", "level", "rendition")
+
+
+@query
+def e07_style_diagnosis(spark, sf_dir):
+    return roles.style_diagnosis(roled(spark, sf_dir))
+
+
+@query
+def f07_controlled_style(spark, sf_dir):
+    rows = a.paragraphs(spark, sf_dir)
+    name = F.when(F.col("index") % 3 == 0, "TEI_bibl_reference").otherwise(F.lit("Other"))
+    status = roles.controlled_status(F.col("style_id"), name, F.col("index") % 2 == 0, F.lit("paragraph"))
+    return rows.groupBy("pkg_id", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def w02_prose_quote_groups(spark, sf_dir):
+    return blocks.runs(roled(spark, sf_dir), "prose_quote")
+
+
+@query
+def w08_floating_text_groups(spark, sf_dir):
+    return blocks.runs(roled(spark, sf_dir), "floating_text")
+
+
+@query
+def w02_turn_groups(spark, sf_dir):
+    return blocks.runs(a.turns(spark, sf_dir), "assistant")
+
+
+@query
+def w05_epigraph_runs(spark, sf_dir):
+    return blocks.epigraph_runs(roled(spark, sf_dir))
+
+
+@query
+def w06_signature_runs(spark, sf_dir):
+    return blocks.signature_runs(roled(spark, sf_dir))
+
+
+@query
+def w10_heading_jumps(spark, sf_dir):
+    return blocks.heading_jumps(roled(spark, sf_dir))
+
+
+@query
+def w11_sourced_quotes(spark, sf_dir):
+    return blocks.sourced_quotes(roled(spark, sf_dir))
+
+
+@query
+def w14_bibliography_cut(spark, sf_dir):
+    return blocks.bibliography_cut(roled(spark, sf_dir))
+
+
+@query
+def w19_contributions(spark, sf_dir):
+    return blocks.contributions(roled(spark, sf_dir))
+
+
+@query
+def w20_preamble(spark, sf_dir):
+    return blocks.preamble(roled(spark, sf_dir))
+
+
+@query
+def t06_heading_paths(spark, sf_dir):
+    return blocks.heading_paths(roled(spark, sf_dir))
+
+
+@query
+def a02_editorial_summary(spark, sf_dir):
+    return blocks.summary(roled(spark, sf_dir))
+
+
+@query
+def w04_stanzas(spark, sf_dir):
+    docs = a.table(spark, sf_dir, "conversations")
+    lines = docs.select(F.col("conv_id").alias("pkg_id"), F.col("turn").alias("index"), F.posexplode(F.split(F.regexp_replace("text", r"\. ", "\n\n"), "\n")).alias("line", "text"))
+    return blocks.stanzas(lines)
+
+
+@query
+def j06_missing_note_targets(spark, sf_dir):
+    return notes.missing_targets(a.note_references(spark, sf_dir), a.notes(spark, sf_dir))
+
+
+@query
+def j07_unreferenced_notes(spark, sf_dir):
+    return notes.unreferenced(a.note_references(spark, sf_dir), a.notes(spark, sf_dir))
+
+
+@query
+def j09_reachable_notes(spark, sf_dir):
+    lines = a.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("pkg_id"), F.col("o_orderkey").alias("note_id"))
+    inner = lines.where("note_id % 400 < 300").withColumn("target", F.col("note_id") + 100)
+    return notes.reachable(lines.where("note_id % 5 = 0 and note_id % 400 < 100"), inner)
+
+
+@query
+def j10_affiliations_of_people(spark, sf_dir):
+    return notes.affiliations_of(a.people(spark, sf_dir), a.affiliations(spark, sf_dir)).select("pkg_id", "person", F.col("position").cast("int").alias("position"), "affiliation_id", "name")
+
+
+@query
+def j11_unknown_affiliations(spark, sf_dir):
+    return notes.unknown_affiliations(a.people(spark, sf_dir), a.affiliations(spark, sf_dir)).select("pkg_id", "person", "position", "affiliation_id")
+
+
+@query
+def j12_unused_affiliations(spark, sf_dir):
+    return notes.unused_affiliations(a.people(spark, sf_dir), a.affiliations(spark, sf_dir)).select("pkg_id", "affiliation_id", "name")
+
+
+@query
+def j13_unmatched_signatures(spark, sf_dir):
+    names = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("ADA  "), "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.upper("c_name")).otherwise(F.concat("c_name", F.lit("x")))
+    signatures = a.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("pkg_id"), F.col("c_custkey").alias("at"), names.alias("name"))
+    return metadata.unmatched_signatures(signatures, a.people(spark, sf_dir)).select("pkg_id", "at", "name")
+
+
+@query
+def j04_relation_lookup(spark, sf_dir):
+    lines = a.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("l_partkey").alias("p"))
+    relations = lines.select((F.col("l_orderkey") % 50).alias("pkg_id"), F.lit("document").alias("part"), (F.col("l_suppkey") % 20).alias("relation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.col("p").alias("target")).groupBy("pkg_id", "part", "relation_id", "sequence").agg(F.min("target").alias("target"))
+    uses = a.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("pkg_id"), F.lit("document").alias("part"), (F.col("o_custkey") % 25).alias("relation_id"), F.col("o_orderkey").alias("used_by"))
+    return notes.resolved_relations(uses, relations).select("pkg_id", "relation_id", "used_by", "target", "duplicate")
+
+
+@query
+def j02_numbering(spark, sf_dir):
+    rows = a.list_paragraphs(spark, sf_dir).where("raw_id is not null")
+    return numbering.resolved_numbering(rows, *a.numbering_tables(spark, rows))
+
+
+@query
+def l10_refused_numbering(spark, sf_dir):
+    return numbering.refused_numbering(j02_numbering(spark, sf_dir))
+
+
+@query
+def j03_style_chains(spark, sf_dir):
+    parts = a.table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("pkg_id"), F.floor(F.col("p_partkey") / 20).alias("k"))
+    up = F.when(F.col("k") % 9 == 0, F.lit(None)).when(F.col("k") % 13 == 1, F.col("k") + 1).otherwise(F.col("k") - 1)
+    styles = parts.select("pkg_id", F.concat(F.lit("s"), "k").alias("style_id"), F.concat(F.lit("s"), up.cast("long")).alias("based_on"), F.when(F.col("k") % 5 == 0, F.concat(F.lit("n"), "k")).alias("raw_id"))
+    return numbering.inherited_numbering(styles).select("pkg_id", "style_id", "outcome", "raw_id")
+
+
+@query
+def l01_list_items(spark, sf_dir):
+    rows = a.list_paragraphs(spark, sf_dir)
+    found = numbering.resolved_numbering(rows, *a.numbering_tables(spark, rows)).where("status = 'resolved' and kind in ('ordered', 'bulleted')")
+    numbered = found.join(rows.select("pkg_id", "index", ids.strict_number(F.col("raw_id"))["canonical"].alias("num_id")), ["pkg_id", "index"])
+    return lists.list_items(numbered.select("pkg_id", "index", "num_id", "level", "kind", "number_format", "start"))
+
+
+@query
+def a05_distinct_diagnostics(spark, sf_dir):
+    found = a.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("pkg_id"), F.col("event_id").alias("sequence"), F.when(F.col("event_id") % 2 == 0, "inspection").otherwise("editorial").alias("origin"), F.when(F.col("event_type") == "error", "multiple_docx_titles").otherwise(F.col("event_type")).alias("code"), F.lit("warning").alias("severity"), (F.col("user_id") % 3).alias("index"))
+    return diagnostics.distinct_diagnostics(found).select("pkg_id", "sequence", "origin", "code", "index")
+
+
+@query
+def f18_converted(spark, sf_dir):
+    events = a.table(spark, sf_dir, "events")
+    issues = events.select((F.col("user_id") % 2000).alias("pkg_id"), F.when(F.col("event_id") % 40 == 0, "unsupported_drawing").otherwise("comments_not_inspected").alias("code"))
+    return diagnostics.converted(events.select((F.col("user_id") % 2000).alias("pkg_id")).distinct(), diagnostics.blocking(issues))
+
+
+@query
+def m09_identifiers(spark, sf_dir):
+    return metadata.checked_identifiers(a.identifier_rows(spark, sf_dir)).select("pkg_id", "position", "type", "code")
+
+
+@query
+def a08_repeated_identifiers(spark, sf_dir):
+    return metadata.repeated_identifiers(a.identifier_rows(spark, sf_dir))
+
+
+@query
+def m10_orcid(spark, sf_dir):
+    return a.identifier_rows(spark, sf_dir).where("type = 'local'").select("position", ids.orcid(F.col("value")).alias("orcid"))
+
+
+@query
+def m11_doi(spark, sf_dir):
+    return a.identifier_rows(spark, sf_dir).where("type = 'doi'").select("position", ids.doi(F.col("value")).alias("doi"))
+
+
+@query
+def m12_isbn(spark, sf_dir):
+    return a.identifier_rows(spark, sf_dir).where("type like 'isbn%'").select("position", ids.isbn(F.col("value")).alias("isbn"))
+
+
+@query
+def m13_issn(spark, sf_dir):
+    return a.identifier_rows(spark, sf_dir).where("type like '%issn'").select("position", ids.issn(F.col("value")).alias("issn"))
+
+
+@query
+def a07_repeated_ids(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("pkg_id"), F.concat(F.lit(" "), "c_mktsegment").alias("id"))
+    return metadata.repeated_ids(rows, "id")
+
+
+@query
+def a09_similar_keywords(spark, sf_dir):
+    word = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.regexp_replace("p_name", " ", "  "))
+    rows = a.table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("pkg_id"), F.col("p_partkey").alias("position"), word.alias("keyword"))
+    return metadata.similar_keywords(rows)
+
+
+@query
+def m14_licenses(spark, sf_dir):
+    key = F.col("s_suppkey")
+    names = F.get(F.array(*(F.lit(x[0]) for x in metadata.LICENSES), F.lit("MIT"), F.lit(None)), (key % 9).cast("int"))
+    rows = a.table(spark, sf_dir, "supplier").select(key.alias("pkg_id"), names.alias("spdx_id"), F.when(key % 4 == 0, "CC BY 4.0").alias("name"), F.when(key % 5 == 0, "https://x.org").alias("url"))
+    return metadata.resolved_licenses(rows)
+
+
+@query
+def m01_typed_json(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 5 == 0, F.col("props")).when(F.col("event_id") % 5 == 1, '{"k":"x"}').when(F.col("event_id") % 5 == 2, "{}").when(F.col("event_id") % 5 == 3, '{"k":true}').otherwise("{broken")
+    return metadata.typed_fields(a.table(spark, sf_dir, "events").select("event_id", raw.alias("json")), "json", {"k": "BIGINT"})
+
+
+@query
+def m23_partial_dates(spark, sf_dir):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    text = F.when(F.col("event_id") % 5 == 0, F.substring(day, 1, 4)).when(F.col("event_id") % 5 == 1, F.substring(day, 1, 7)).when(F.col("event_id") % 5 == 2, day).when(F.col("event_id") % 5 == 3, F.concat(F.substring(day, 1, 5), F.lit("02-"), F.lpad((F.col("event_id") % 31 + 1).cast("string"), 2, "0"))).otherwise(F.concat(day, F.lit("T")))
+    return a.table(spark, sf_dir, "events").select("event_id", text.alias("value"), ids.partial_date(text).alias("valid"))
+
+
+@query
+def m22_language_tags(spark, sf_dir):
+    tag = F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.lit("-FR"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" "), "lang")).when(F.col("doc_id") % 4 == 2, F.concat("lang", F.lit("_x"))).otherwise(F.col("lang"))
+    return a.table(spark, sf_dir, "documents").select("doc_id", ids.language_tag(tag).alias("valid"), ids.primary_language(tag).alias("primary"))
+
+
+@query
+def m30_web_addresses(spark, sf_dir):
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?:", "ftp:")).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "//.*", "//")).otherwise(F.concat(F.lit(" "), "url"))
+    return a.table(spark, sf_dir, "pages").select("page_id", ids.web_address(url).alias("valid"))
+
+
+@query
+def p04_strict_numbers(spark, sf_dir):
+    number = ids.strict_number(F.col("raw_id"))
+    return a.list_paragraphs(spark, sf_dir).select("pkg_id", "index", number["present"].alias("present"), number["valid"].alias("valid"), number["canonical"].alias("canonical"))
+
+
+@query
+def p09_switches(spark, sf_dir):
+    value = F.when(F.col("l_partkey") % 5 == 0, "FALSE").when(F.col("l_partkey") % 5 == 1, "0").when(F.col("l_partkey") % 5 == 2, "yes")
+    rows = a.table(spark, sf_dir, "lineitem").select(F.col("l_partkey") % 7 == 0, ids.on_off(F.col("l_partkey") % 7 != 0, value).alias("on"))
+    return rows.groupBy("on").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p19_affiliation_text(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "nation").join(a.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select("n_nationkey", F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, " ").otherwise("Unit").alias("unit"), F.when(F.col("n_nationkey") % 3 == 0, " Town ").alias("city"), F.col("r_name").alias("country"))
+    return rows.select("n_nationkey", metadata.affiliation_text("name", "unit", "city", "country").alias("text"))
+
+
+@query
+def s26_distinct_content(spark, sf_dir):
+    """Content-addressed storage: every distinct content once, with its size and how many documents use it."""
+    docs = a.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.count(F.lit(1)).alias("uses"))
+
+
+@query
+def p01_plain_text(spark, sf_dir):
+    words = a.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pkg_id"), F.col("turn").alias("index"), F.posexplode(F.split("text", " ")).alias("item", "text"))
+    kinds = F.get(F.array(*(F.lit(k) for k in ("text", "tab", "text", "break", "text", "footnote_reference", "drawing"))), F.col("item") % 7)
+    items = words.withColumns({"kind": kinds, "break_type": F.when(F.col("item") % 2 == 0, "line").otherwise("page"), "reference_id": F.col("item").cast("string")})
+    return inline.plain_text(items)
+
+
+@query
+def w17_spans(spark, sf_dir):
+    words = a.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pkg_id"), F.col("turn").alias("index"), F.posexplode(F.split("text", " ")).alias("item", "text"))
+    bold = F.floor(F.col("item") / 3) % 2 == 0
+    items = words.withColumns({"kind": F.when(F.col("item") % 10 == 9, "tab").otherwise("text"), "marks": F.when(bold, "bold").otherwise(""), "link": F.when(F.col("item") % 12 > 9, "x"), "language": F.lit("fr")})
+    return inline.spans(items).select("pkg_id", "index", "kind", "marks", "link", "text")
