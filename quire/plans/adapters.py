@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +83,27 @@ def numbering_tables(spark: SparkSession, packages: DataFrame) -> tuple[DataFram
     levels = spark.createDataFrame([(10, 0, "decimal", 1, None), (10, 1, "lowerLetter", None, None), (10, 2, "chicago", 1, None), (20, 0, "bullet", None, None), (20, 1, "bullet", None, "7"), (30, 1, "", 4, None), (30, 2, "none", 1, None), (50, 0, "upperRoman", 3, None), (50, 3, "ordinal", 1, None)], "abstract_id long, level int, number_format string, start int, picture string")
     overrides = spark.createDataFrame([(1, 0, 5), (5, 3, 9)], "num_id long, level int, start_override int")
     return tuple(each.crossJoin(F.broadcast(t)) for t in (instances, levels, overrides))
+
+
+@F.pandas_udf("binary")
+def package_bytes(styles: pd.Series, texts: pd.Series) -> pd.Series:
+    """A minimal package for each document: its paragraphs, their styles and a style sheet."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def made(styles, texts):
+        body = "".join(f'<w:p>{f"""<w:pPr><w:pStyle w:val="{s}"/></w:pPr>""" if s else ""}<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in zip(styles, texts, strict=True))
+        sheet = "".join(f'<w:style w:type="paragraph" w:styleId="{s}"{" w:customStyle=" + chr(34) + "1" + chr(34) if s == "Custom1" else ""}><w:name w:val="{s}"/></w:style>' for s in sorted({s for s in styles if s}))
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w") as archive:
+            archive.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+            archive.writestr("word/styles.xml", f"<w:styles {w}>{sheet}</w:styles>")
+        return file.getvalue()
+
+    return pd.Series([made(s, t) for s, t in zip(styles, texts, strict=True)])
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as package files: path, content."""
+    ordered = F.array_sort(F.collect_list(F.struct("index", "style_id", "text")))
+    each = paragraphs(spark, sf_dir).groupBy("pkg_id").agg(ordered.alias("p"))
+    return each.select(F.col("pkg_id").cast("string").alias("path"), package_bytes("p.style_id", "p.text").alias("content"))

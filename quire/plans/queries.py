@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators import blocks, diagnostics, inline, lists, metadata, notes, numbering, roles
+from quire.operators import blocks, diagnostics, inline, lists, metadata, notes, numbering, roles, tei, validation
 from quire.plans import adapters as a
 from quire.plans.oracles import ORACLES
 
@@ -315,3 +315,32 @@ def w17_spans(spark, sf_dir):
     bold = F.floor(F.col("item") / 3) % 2 == 0
     items = words.withColumns({"kind": F.when(F.col("item") % 10 == 9, "tab").otherwise("text"), "marks": F.when(bold, "bold").otherwise(""), "link": F.when(F.col("item") % 12 > 9, "x"), "language": F.lit("fr")})
     return inline.spans(items).select("pkg_id", "index", "kind", "marks", "link", "text")
+
+
+@query
+def s01_package_paragraphs(spark, sf_dir):
+    """Documents written as packages and read again."""
+    from quire.sources.packages import body_paragraphs, decoded
+
+    rows = roles.with_roles(body_paragraphs(decoded(a.packages(spark, sf_dir))))
+    return rows.select(F.col("pkg_id").cast("long").alias("pkg_id"), "index", "text", "style_id", "role", "level")
+
+
+@query
+def t08_body_xml(spark, sf_dir):
+    return tei.body_xml(roled(spark, sf_dir)).select("pkg_id", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), F.length("body").cast("long").alias("n_chars"))
+
+
+@query
+def t01_document_xml(spark, sf_dir):
+    """Whole documents of those whose paragraphs raise no error, with the problems the validator finds in them."""
+    rows = roled(spark, sf_dir)
+    docs = a.table(spark, sf_dir, "documents")
+    nothing = {"subtitle": "string", "publisher": "string", "date": "string", "license_name": "string", "license_url": "string"}
+    people = F.array(F.struct(F.lit("author").alias("role"), F.lit("Ada").alias("given_name"), F.col("source").alias("family_name"), F.lit(None).cast("string").alias("literal_name"), F.lit("0000-0002-1825-0097").alias("orcid")))
+    numbers = F.array(F.struct(F.lit("doi").alias("type"), F.lit(None).cast("string").alias("format"), F.concat(F.lit("doi:10.1234/a"), "doc_id").alias("value")))
+    about = docs.select(F.col("doc_id").alias("pkg_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("language"), people.alias("people"), numbers.alias("identifiers"), F.array("source").alias("keywords"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    errors = roles.style_diagnosis(rows).where("code = 'unsupported_paragraph_style'")
+    written_docs = tei.documents(tei.header_xml(about), tei.body_xml(rows), errors)
+    problems = validation.validated(written_docs).groupBy(F.col("pkg_id").cast("long").alias("pkg_id")).agg(F.count(F.lit(1)).alias("n_problems"))
+    return written_docs.join(problems, "pkg_id", "left").select("pkg_id", "xml", F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
