@@ -17,7 +17,7 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 def _digit(text: Column, at: Column | int) -> Column:
     mark = F.substring(text, F.lit(at) if isinstance(at, int) else at, F.lit(1))
-    return F.when(mark == "X", 10).otherwise(mark.cast("int"))
+    return F.when(mark == "X", 10).otherwise(mark.try_cast("int"))
 
 
 def _weighted(text: Column, weights: list[int]) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def spaced(value: Column) -> Column:
@@ -14,7 +15,7 @@ def spaced(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(value: pd.Series) -> pd.Series:
     """Case folded (sharp s becomes ss), blanks collapsed, accents dropped; no built-in function decomposes letters."""
 

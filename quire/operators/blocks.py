@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quire.operators.roles import BIBLIOGRAPHY
 
-ORDER = Window.partitionBy("pkg_id").orderBy("index")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-BEHIND = ORDER.rowsBetween(1, Window.unboundedFollowing)
+def in_order() -> WindowSpec:
+    return Window.partitionBy("pkg_id").orderBy("index")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def behind() -> WindowSpec:
+    return in_order().rowsBetween(1, Window.unboundedFollowing)
 
 
 def blank(text: Column) -> Column:
@@ -19,8 +30,8 @@ def blank(text: Column) -> Column:
 
 def islands(rows: DataFrame, kind: str) -> DataFrame:
     """Adds island: one number for each run of neighbouring rows with one value of `kind`."""
-    fresh = (~F.col(kind).eqNullSafe(F.lag(kind).over(ORDER))).cast("int")
-    return rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(SO_FAR)).drop("_new")
+    fresh = (~F.col(kind).eqNullSafe(F.lag(kind).over(in_order()))).cast("int")
+    return rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(so_far())).drop("_new")
 
 
 def runs(roled: DataFrame, role: str) -> DataFrame:
@@ -31,7 +42,7 @@ def runs(roled: DataFrame, role: str) -> DataFrame:
 
 def epigraph_runs(roled: DataFrame) -> DataFrame:
     """Runs of epigraphs and whether each stands where it may: first, or right behind a heading."""
-    found = islands(roled, "role").withColumn("before", F.lag("role").over(ORDER)).where("role = 'epigraph'")
+    found = islands(roled, "role").withColumn("before", F.lag("role").over(in_order())).where("role = 'epigraph'")
     first = F.min_by("before", "index")
     return found.groupBy("pkg_id", "island").agg(F.min("index").alias("start"), F.count(F.lit(1)).alias("n_paragraphs"), (first.isNull() | (first == "heading")).alias("allowed")).drop("island")
 
@@ -42,7 +53,7 @@ def signature_runs(roled: DataFrame, most: int = 2) -> DataFrame:
     A run is terminal when nothing follows but blank paragraphs, or next comes a heading of level 1 or 2.
     """
     shown = F.when(~blank(F.col("text")), F.struct("role", "level"))
-    following = roled.withColumn("ahead", F.first(shown, ignorenulls=True).over(BEHIND))
+    following = roled.withColumn("ahead", F.first(shown, ignorenulls=True).over(behind()))
     found = islands(following, "role").where("role = 'signature'")
     ahead = F.max_by("ahead", "index")
     terminal = ahead.isNull() | ((ahead["role"] == "heading") & (ahead["level"] <= 2))
@@ -53,14 +64,14 @@ def signature_runs(roled: DataFrame, most: int = 2) -> DataFrame:
 
 def heading_jumps(roled: DataFrame) -> DataFrame:
     """Headings more than one level below the heading before them."""
-    heads = roled.where("role = 'heading'").withColumn("previous", F.lag("level").over(ORDER))
+    heads = roled.where("role = 'heading'").withColumn("previous", F.lag("level").over(in_order()))
     return heads.where("level > previous + 1").select("pkg_id", "index", "level", "previous")
 
 
 def sourced_quotes(roled: DataFrame, source_style: str = "TEIbiblreference") -> DataFrame:
     """Quote runs with the index of the source paragraph right behind them, and whether a second one follows."""
     style = F.coalesce(F.col("style_id") == source_style, F.lit(False))
-    marked = roled.withColumn("next", F.lead(style).over(ORDER)).withColumn("second", F.lead(style, 2).over(ORDER))
+    marked = roled.withColumn("next", F.lead(style).over(in_order())).withColumn("second", F.lead(style, 2).over(in_order()))
     found = islands(marked, "role").where("role in ('prose_quote', 'verse_quote')")
     last = F.max_by(F.struct("index", "next", "second"), "index")
     grouped = found.groupBy("pkg_id", "island", "role").agg(F.min("index").alias("start"), last.alias("last"))
@@ -76,18 +87,18 @@ def bibliography_cut(roled: DataFrame, start_style: str = "TEIbiblstart", native
     """
     entry = F.col("style_id").isin(*native)
     shown = F.when(~blank(F.col("text")), F.struct(F.col("index").alias("at"), F.col("role")))
-    near = roled.withColumn("near", F.last(shown, ignorenulls=True).over(BEFORE))
+    near = roled.withColumn("near", F.last(shown, ignorenulls=True).over(before()))
     first = near.groupBy("pkg_id").agg(F.min(F.when(F.col("style_id") == start_style, F.col("index"))).alias("marked"), F.min(F.when(entry, F.struct("index", "near"))).alias("native"))
     heading = F.when(F.col("native.near.role") == "heading", F.col("native.near.at"))
     cuts = first.select("pkg_id", F.coalesce("marked", heading, F.col("native.index")).alias("cut"), F.coalesce("marked", F.col("native.index")).alias("opens")).where("cut is not null")
-    behind = roled.join(cuts, "pkg_id").where("index >= opens")
+    later = roled.join(cuts, "pkg_id").where("index >= opens")
     intruder = ~F.coalesce(entry | (F.col("style_id") == start_style), F.lit(False)) & ~blank(F.col("text"))
-    return behind.groupBy("pkg_id", "cut").agg(F.count_if(F.coalesce(entry, F.lit(False))).alias("n_entries"), F.count_if(intruder).alias("n_intruders"))
+    return later.groupBy("pkg_id", "cut").agg(F.count_if(F.coalesce(entry, F.lit(False))).alias("n_entries"), F.count_if(intruder).alias("n_intruders"))
 
 
 def contributions(roled: DataFrame) -> DataFrame:
     """Packages with two or more level-2 headings, cut before each: segment 0 comes before the first and is reported, not dropped."""
-    numbered = roled.withColumn("segment", F.sum(F.when((F.col("role") == "heading") & (F.col("level") == 2), 1).otherwise(0)).over(SO_FAR))
+    numbered = roled.withColumn("segment", F.sum(F.when((F.col("role") == "heading") & (F.col("level") == 2), 1).otherwise(0)).over(so_far()))
     whole = Window.partitionBy("pkg_id")
     many = numbered.withColumn("segments", F.max("segment").over(whole)).where("segments >= 2")
     return many.groupBy("pkg_id", "segment").agg(F.min("index").alias("start"), F.count(F.lit(1)).alias("n_paragraphs"))
@@ -96,7 +107,7 @@ def contributions(roled: DataFrame) -> DataFrame:
 def preamble(roled: DataFrame) -> DataFrame:
     """Title and subtitle of the leading run of Title and Subtitle paragraphs, and what is wrong with the others."""
     title = F.coalesce(F.col("style_id").isin("Title", "Subtitle"), F.lit(False))
-    open_run = roled.withColumn("left", F.max((~title & ~blank(F.col("text"))).cast("int")).over(SO_FAR)).where(title)
+    open_run = roled.withColumn("left", F.max((~title & ~blank(F.col("text"))).cast("int")).over(so_far())).where(title)
     rank = F.row_number().over(Window.partitionBy("pkg_id", "style_id", "left").orderBy("index"))
     code = F.when(F.col("left") == 1, "metadata_style_not_initial").when(blank(F.col("text")), "empty_metadata_suggestion").when(rank > 1, F.when(F.col("style_id") == "Title", "multiple_docx_titles").otherwise("multiple_docx_subtitles"))
     return open_run.select("pkg_id", "index", "style_id", code.alias("code"))
@@ -107,7 +118,7 @@ def heading_paths(roled: DataFrame) -> DataFrame:
     heads = roled.where("role = 'heading'")
     out = heads
     for level in range(1, 6):
-        out = out.withColumn(f"_at{level}", F.last(F.when(F.col("level") == level, F.col("index")), ignorenulls=True).over(BEFORE))
+        out = out.withColumn(f"_at{level}", F.last(F.when(F.col("level") == level, F.col("index")), ignorenulls=True).over(before()))
     parent = F.greatest(*(F.when(F.col("level") > level, F.col(f"_at{level}")) for level in range(1, 6)))
     return out.select("pkg_id", "index", "level", parent.alias("parent"))
 

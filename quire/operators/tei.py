@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators.blocks import ORDER, islands
+from quire.operators.blocks import before, in_order, islands
 
 # Types of divisions by level, and names the format has for roles, marks and identifiers.
 DIVISIONS = {1: "part", 2: "chapter", 3: "section1", 4: "section2", 5: "section3", 6: "section4"}
@@ -51,9 +51,8 @@ def body_xml(roled: DataFrame, xml: str | None = None) -> DataFrame:
     content = F.coalesce(F.col(xml) if xml else escaped(F.col("text")), F.lit(""))
     rows = islands(roled, "role").withColumn("_content", content)
     head = F.col("role") == "heading"
-    before = Window.partitionBy("pkg_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_depth", F.coalesce(F.last(F.when(head, F.col("level")), ignorenulls=True).over(before), F.lit(0)))
-    rows = rows.withColumns({"_first": ~F.col("role").eqNullSafe(F.lag("role").over(ORDER)), "_last": ~F.col("role").eqNullSafe(F.lead("role").over(ORDER)), "_end": F.lead("index").over(ORDER).isNull()})
+    rows = rows.withColumn("_depth", F.coalesce(F.last(F.when(head, F.col("level")), ignorenulls=True).over(before()), F.lit(0)))
+    rows = rows.withColumns({"_first": ~F.col("role").eqNullSafe(F.lag("role").over(in_order())), "_last": ~F.col("role").eqNullSafe(F.lead("role").over(in_order())), "_end": F.lead("index").over(in_order()).isNull()})
     types = F.create_map(*(F.lit(x) for pair in DIVISIONS.items() for x in pair))
     closing = F.repeat(F.lit("</div>"), F.greatest(F.col("_depth") - F.col("level") + 1, F.lit(0)))
     opened = F.when(F.col("level") > F.col("_depth"), F.sequence(F.col("_depth") + 1, F.col("level"))).otherwise(F.array(F.col("level")))

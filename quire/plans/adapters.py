@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 # Style of a paragraph by a number from its place; None is a paragraph without a style.
 STYLES = ("Heading1", "Heading2", "Normal", "Quote", "Quote", "IntenseQuote", "BlockText", "Salutation", "Signature", None, "BodyText", "Heading3", "TEIbiblreference", "Custom1", "Title", "Bibliography")
@@ -85,7 +86,7 @@ def numbering_tables(spark: SparkSession, packages: DataFrame) -> tuple[DataFram
     return tuple(each.crossJoin(F.broadcast(t)) for t in (instances, levels, overrides))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def package_bytes(styles: pd.Series, texts: pd.Series) -> pd.Series:
     """A minimal package for each document: its paragraphs, their styles and a style sheet."""
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
