@@ -21,11 +21,14 @@ SHINGLES, FAN_OUT, FRONTIER = 1 << 16, 8, 1 << 20
 MOST_IN_BLOCK = 20_000
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64 majority bits over the XXH64 of all shingles (repeats included); 0 without words."""
+def fingerprint(text: bytes, words: int = 3, rounds: int = 1) -> list[int]:
+    """64 majority bits over the XXH64 of all shingles (repeats included); 0 without words.
+
+    Further rounds give fingerprints of their own, from the same hashes mixed anew.
+    """
     tokens = text.lower().split()  # of bytes: A-Z only, blanks are space and tab to carriage return
     if not tokens:
-        return 0
+        return [0] * rounds
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     joined = b" ".join(tokens)
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -33,24 +36,33 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     first = starts[:count].tolist()
     last = (starts + lengths)[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((rounds, 64), np.int64)
     for at in range(0, count, SHINGLES):
         hashes = np.array([digest(joined[a:z], SEED) for a, z in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=True)], U)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > count)
-    return int.from_bytes(bits.tobytes(), "big")
+        for k in range(rounds):
+            ones[k] += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            if k + 1 < rounds:
+                with np.errstate(over="ignore"):
+                    hashes = hashes * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03)
+                    hashes = (hashes ^ (hashes >> U(31))) * U(0xBF58476D1CE4E5B9)
+                    hashes ^= hashes >> U(29)
+    return [int.from_bytes(np.packbits(2 * row > count).tobytes(), "big") for row in ones]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], U).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "print"])
+        prints = np.array([fingerprint(x.as_py(), words, rounds) for x in batch.column(1)], U).reshape(-1, rounds).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k].copy()) for k in range(rounds))], names=["doc_id", *print_names(rounds)])
+
 
+def print_names(rounds: int) -> list[str]:
+    return ["print", *(f"print{k}" for k in range(1, rounds))]
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (the fingerprint's 64 bits as a signed long)."""
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+    """doc_id, print (the fingerprint's 64 bits as a signed long), and print1, print2 ... of further rounds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, print long")
+    return rows.mapInArrow(lambda it: _fingerprints(it, words, rounds), ", ".join(["doc_id long", *(f"{name} long" for name in print_names(rounds))]))
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -182,23 +194,41 @@ def near_links(prints: DataFrame, distance: int = 2, most_in_block: int = MOST_I
     return written(rows.mapInArrow(lambda it: _linked(it, distance), "a long, b long"), "simhash-links")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", most_in_block: int = MOST_IN_BLOCK) -> DataFrame:
+def node_links(nodes: DataFrame, name: str, distance: int, most_in_block: int) -> DataFrame:
+    """Links (a, b) between `node`s: those of one value of the fingerprint `name` with the least of them, and the least ones of near values."""
+    least = written(nodes.groupBy(name).agg(F.min("node").alias("least")), "simhash-least")
+    near = near_links(least.select(F.col(name).alias("print")), distance, most_in_block)
+    ends = least.select(F.col(name).alias("a"), F.col("least").alias("x")), least.select(F.col(name).alias("b"), F.col("least").alias("y"))
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return nodes.join(least, name).select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").unionByName(across)
+
+
+def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", most_in_block: int = MOST_IN_BLOCK, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), kept.
 
     Texts are compared as lower-cased (A-Z) words in shingles of `words`; shorter texts are one shingle, and
     texts without words, null ones included, share the fingerprint zero. Documents link when fingerprints
-    differ in at most `distance` bits, and `kept` marks the least doc_id of each component. A null doc_id
-    names no component while others do; rows that repeat an id are alike. An empty table gives no rows.
+    differ in at most `distance` bits, and `kept` marks the least doc_id of each component. With more
+    `rounds` each document has as many independent fingerprints and one near pair of them is enough: what
+    a single fingerprint misses by chance another finds. A null doc_id names no component while others do;
+    rows that repeat an id are alike. An empty table gives no rows.
 
-    Equal fingerprints are one node, so copies are never paired; the links between nodes are found by
-    `near_links` and followed by `components`.
+    Documents with equal fingerprints are one node, so copies are never paired; the links between nodes are
+    found by `near_links` and followed by `components`.
     """
-    printed = written(fingerprints(docs, words, id_col, text_col), "simhash-prints")
-    nodes = written(printed.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    linked = components(near_links(nodes.select("print"), distance, most_in_block))
-    placed = nodes.join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select("print", "component_id")
-    heavy = written(heavy_hitters(printed, "print").select(F.col("print").cast("long").alias("print")), "simhash-heavy")
-    found = lookup(printed, named, heavy, "print")
+    names = print_names(rounds)
+    printed = fingerprints(docs, words, id_col, text_col, rounds)
+    printed = written(printed.withColumn("node", F.xxhash64(*names) if rounds > 1 else F.col("print")), "simhash-prints")
+    nodes = written(printed.groupBy("node", *names).agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    if rounds > 1:
+        links = node_links(nodes, names[0], distance, most_in_block)
+        for name in names[1:]:
+            links = links.unionByName(node_links(nodes, name, distance, most_in_block))
+    else:
+        links = near_links(nodes.select("print"), distance, most_in_block)
+    placed = nodes.select("node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = placed.join(least, "component").select("node", "component_id").distinct()
+    heavy = written(heavy_hitters(printed, "node").select(F.col("node").cast("long").alias("node")), "simhash-heavy")
+    found = lookup(printed, named, heavy, "node")
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -45,6 +45,28 @@ def test_matches_all_pairs(spark, odd_rows):
         assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {i: (prints[i], want[i]) for i in prints}
 
 
+def test_any_of_several_fingerprints_links(spark, odd_rows):
+    from quire.llm.simhash import fingerprint
+
+    rows = odd_rows[:-2] + [(200 + i, (t or "") + " one more tail") for i, t in odd_rows[:40]]
+    prints = {i: fingerprint((t or "").encode(), 5, 3) for i, t in rows}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in prints.items():
+        for j, b in prints.items():
+            if i < j and any((x ^ y).bit_count() <= 4 for x, y in zip(a, b, strict=True)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=5, distance=4, rounds=3)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in prints}
+    assert len({p for row in prints.values() for p in row if any(row)}) > 2 * len({tuple(row) for row in prints.values()})
+
+
 def test_empty_table_and_extra_columns(spark):
     assert simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     frame = spark.createDataFrame([(1, "a b c d", 5), (2, "a b c d", 6), (None, "a b c d", 7)], "doc_id long, text string, component_id int")
