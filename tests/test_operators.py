@@ -147,3 +147,48 @@ def test_stream_converts_each_content_once(spark, tmp_path):
     (folder / "d.docx").write_bytes(package("<w:p/><w:p/>"))
     run()
     assert sorted(r.n for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_conversion_of_packages(spark):
+    from quire.plans.conversion import converted, summary
+
+    fine = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>One</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a &amp; b</w:t></w:r><w:hyperlink r:id="r1"><w:r><w:t>l</w:t></w:r></w:hyperlink></w:p>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="t" Target="https://x.org" TargetMode="External"/></Relationships>'
+    odd = '<w:p><w:pPr><w:pStyle w:val="Own"/></w:pPr><w:r><w:t>x</w:t><w:footnoteReference w:id="9"/></w:r></w:p>'
+    files = [("a", package(fine, word___rels__document_xml=rels)), ("b", package(odd)), ("c", b"-"), ("d", package(fine))]
+    files[0] = ("a", renamed(files[0][1], "word/_rels/document_xml.xml", "word/_rels/document.xml.rels"))
+    packages = decoded(spark.createDataFrame(files, "path string, content binary")).cache()
+    about = spark.createDataFrame([(p, "T", None, "en", "House", "2024", None, None, [("doi", None, "10.1234/x")], [("author", "Ada", "L", None, None)], ["k"]) for p in "abc"], "pkg_id string, title string, subtitle string, language string, publisher string, date string, license_name string, license_url string, identifiers array<struct<type:string,format:string,value:string>>, people array<struct<role:string,given_name:string,family_name:string,literal_name:string,orcid:string>>, keywords array<string>")
+    books, problems = converted(packages, about)
+    got = {r.pkg_id: r.xml for r in books.collect()}
+    assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref></p>' in got["a"]
+    assert validation.problems(got["a"]) == []
+    assert {(r.pkg_id, r.code) for r in problems.collect()} == {("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata")}
+    assert summary(packages).where("pkg_id = 'a'").first().n_links == 1
+
+
+def renamed(content, old, new):
+    file = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as before, zipfile.ZipFile(file, "w") as after:
+        for name in before.namelist():
+            after.writestr(new if name == old else name, before.read(name))
+    return file.getvalue()
+
+
+def test_tables_and_figures(spark):
+    from quire.operators.figures import figures, media_targets
+    from quire.operators.tables import table_problems
+
+    cell = "pkg_id long, block int, row int, col int, n_filled int, grid_span int, merged boolean, nested boolean, header boolean"
+    cells = [(1, 0, r, c, 1, None, False, False, r == 0) for r in range(2) for c in range(2)] + [(1, 1, 0, 0, 1, 2, False, False, False)] + [(1, 2, 0, 0, 1, 1, False, False, False), (1, 2, 1, 0, 1, 1, False, False, False), (1, 2, 1, 1, 1, 1, False, False, False)] + [(1, 3, 0, 0, 1, 1, False, False, False), (1, 3, 1, 0, 2, 1, False, False, True)]
+    got = {r.block: r.code for r in table_problems(spark.createDataFrame(cells, cell)).collect()}
+    assert got == {0: None, 1: "merged_table_cells_not_serializable", 2: "irregular_table_not_serializable", 3: "invalid_table_header_not_serializable"}
+    styles = ["TEIfiguretitle", None, "TEIfigurecaption", "TEIfigurecredits", None, "Caption", "Caption", "TEIfigurecredits", None, "Normal"]
+    frame = spark.createDataFrame([(1, i, s, int(i in (1, 4, 8))) for i, s in enumerate(styles)], "pkg_id long, index int, style_id string, drawing_count int")
+    assert [(r["index"], r.title, r.caption, r.credits) for r in figures(frame).orderBy("index").collect()] == [(1, 0, 2, 3), (4, 5, 6, 7), (8, None, None, None)]
+    png = b"\x89PNG\r\n\x1a\n"
+    drawings = spark.createDataFrame([(1, "d", i, f"r{i}") for i in range(6)], "pkg_id long, part string, index int, relation_id string")
+    relations = spark.createDataFrame([(1, "d", "r0", 0, "media/a.png", None), (1, "d", "r1", 1, "../x.png", None), (1, "d", "r2", 2, "https://x.org/a.png", "External"), (1, "d", "r3", 3, "media/none.png", None), (1, "d", "r4", 4, "media/a.png", None), (1, "d", "r4", 5, "media/b.png", None)], "pkg_id long, part string, relation_id string, sequence int, target string, mode string")
+    media = spark.createDataFrame([(1, "word/media/a.png", "ab", "image/png", png)], "pkg_id long, path string, sha256 string, declared_type string, head binary")
+    got = [(r.url, r.code) for r in media_targets(drawings, relations, media).orderBy("index").collect()]
+    assert got[0] == ("media/ab.png", None) and [c.split("_")[0] for _, c in got[1:]] == ["unsafe", "external", "missing", "duplicate", "missing"]
