@@ -123,6 +123,8 @@ def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, i
     """
     texts = keyed(docs, id_col, text_col, carry)
     found = repeated_units(texts, kind).groupBy(F.col("doc").alias("id"), F.shiftright("unit", 32).cast("int").alias("rep")).agg(F.collect_list("unit").alias("found"))
-    joined = texts.join(found, ["id", "rep"], "left").select("doc_id", "text", "found", *carry)
+    # a document is one row on either side, so there is no skew to split: one even deal, few tasks
+    dealt = texts.repartition("id", "rep")
+    joined = dealt.join(found, ["id", "rep"], "left").select("doc_id", "text", "found", *carry)
     carried = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(lambda it: _cut(it, kind, least_words), f"doc_id long, n_units long, n_repeated long, spans array<struct<start:long,end:long>>, kept string{carried}")
