@@ -204,4 +204,14 @@ ORACLES: dict[str, str] = {
                 || CASE WHEN is_end THEN repeat('</div>', CASE WHEN role = 'heading' THEN level ELSE depth END) ELSE '' END AS xml FROM e),
         b AS (SELECT pkg_id, '<body>' || string_agg(xml, '' ORDER BY "index") || '</body>' AS body FROM x GROUP BY 1)
         SELECT pkg_id, sha256(body) AS sha256, length(body) AS n_chars FROM b""",
+    "e03_table_problems": """WITH c AS (SELECT l_orderkey AS pkg_id, l_linenumber::INT AS row_, l_suppkey % 3 AS col_, count(*) AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2, 3),
+        w AS (SELECT *, count(*) OVER (PARTITION BY pkg_id, row_) AS width FROM c),
+        g AS (SELECT pkg_id, max(row_) + 1 AS n_rows, max(width) AS n_cols, min(width) AS least, bool_or(p % 23 = 0 OR p % 29 = 0) AS merged, bool_or(p % 31 = 0) AS nested, max(row_) FILTER (p % 5 = 0) AS head, min(row_) FILTER (p % 5 <> 0) AS body, max(n) AS filled FROM w GROUP BY 1)
+        SELECT pkg_id, 0 AS block, n_rows, n_cols, CASE WHEN merged THEN 'merged_table_cells_not_serializable' WHEN nested THEN 'nested_table_not_serializable' WHEN least < n_cols THEN 'irregular_table_not_serializable' WHEN head > body THEN 'invalid_table_header_not_serializable' WHEN filled > 1 THEN 'multiple_paragraph_table_cell_not_serializable' END AS code FROM g""",
+    "w12_figures": """WITH l AS (SELECT doc_id AS pkg_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i FROM documents),
+        s AS (SELECT *, (pkg_id + i) % 6 AS at_, CASE WHEN (pkg_id + i) % 6 = 0 AND pkg_id % 3 = 0 THEN 'T' WHEN (pkg_id + i) % 6 = 2 THEN CASE WHEN pkg_id % 2 = 0 THEN 'N' ELSE 'C' END WHEN (pkg_id + i) % 6 = 3 AND pkg_id % 5 > 0 THEN 'N' WHEN (pkg_id + i) % 6 IN (3, 4) THEN 'R' END AS style FROM l),
+        n AS (SELECT *, coalesce(lag(style) OVER w, '') AS p, coalesce(lead(style) OVER w, '') AS a, coalesce(lead(style, 2) OVER w, '') AS b, coalesce(lead(style, 3) OVER w, '') AS c FROM s WINDOW w AS (PARTITION BY pkg_id ORDER BY i)),
+        f AS (SELECT *, a = 'N' AND b = 'N' AND p <> 'T' AS pair FROM n WHERE at_ = 1),
+        k AS (SELECT *, CASE WHEN pair THEN 2 WHEN a IN ('C', 'N') THEN 1 ELSE 0 END AS last FROM f)
+        SELECT pkg_id, i AS "index", CASE WHEN p = 'T' THEN i - 1 WHEN pair THEN i + 1 END AS title, CASE WHEN last > 0 THEN i + last END AS caption, CASE WHEN (CASE last WHEN 2 THEN c WHEN 1 THEN b ELSE a END) = 'R' THEN i + last + 1 END AS credits FROM k""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators import blocks, diagnostics, inline, lists, metadata, notes, numbering, roles, tei, validation
+from quire.operators import blocks, diagnostics, figures, inline, lists, metadata, notes, numbering, roles, tables, tei, validation
 from quire.plans import adapters as a
 from quire.plans.oracles import ORACLES
 
@@ -344,3 +344,18 @@ def t01_document_xml(spark, sf_dir):
     written_docs = tei.documents(tei.header_xml(about), tei.body_xml(rows), errors)
     problems = validation.validated(written_docs).groupBy(F.col("pkg_id").cast("long").alias("pkg_id")).agg(F.count(F.lit(1)).alias("n_problems"))
     return written_docs.join(problems, "pkg_id", "left").select("pkg_id", "xml", F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
+
+
+@query
+def e03_table_problems(spark, sf_dir):
+    lines = a.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pkg_id"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col")).agg(F.count(F.lit(1)).cast("int").alias("n_filled"), F.min("l_partkey").alias("p"))
+    cells = lines.select("pkg_id", F.lit(0).alias("block"), "row", "col", "n_filled", F.when(F.col("p") % 23 == 0, 2).alias("grid_span"), (F.col("p") % 29 == 0).alias("merged"), (F.col("p") % 31 == 0).alias("nested"), (F.col("p") % 5 == 0).alias("header"))
+    return tables.table_problems(cells)
+
+
+@query
+def w12_figures(spark, sf_dir):
+    lines = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pkg_id"), F.posexplode(F.split("text", "\n")).alias("index", "text"))
+    at, k = (F.col("pkg_id") + F.col("index")) % 6, F.col("pkg_id")
+    style = F.when((at == 0) & (k % 3 == 0), "TEIfiguretitle").when(at == 2, F.when(k % 2 == 0, "Caption").otherwise("TEIfigurecaption")).when((at == 3) & (k % 5 > 0), "Caption").when((at == 4) | ((at == 3) & (k % 5 == 0)), "TEIfigurecredits")
+    return figures.figures(lines.select("pkg_id", "index", style.alias("style_id"), (at == 1).cast("int").alias("drawing_count")))
