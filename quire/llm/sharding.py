@@ -71,11 +71,19 @@ def balanced_parts(groups: DataFrame, parts: int, per_task: int = GROUPS_PER_TAS
 
     Every task differences the groups of one hash bucket down to one partial partition; what is left of all
     buckets is differenced again, `fan_in` of them a task, until the last ones (at most `fan_in` times
-    `parts` sums, a fixed bound) are differenced on the driver.
+    `parts` sums, a fixed bound) are differenced on the driver. Groups that outweigh a quarter of a bucket's
+    part, fewer than 4 * parts * fan_in, would upset their bucket: they wait for the last round, where the
+    buckets' parts are then single items, so that light parts make room for heavy groups.
     """
-    spark, rows = groups.sparkSession, groups.count()
-    buckets = max(1, -(-rows // per_task))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    spark = groups.sparkSession
+    size = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total")).first()
+    buckets = max(1, -(-size["n"] // per_task))
+    most = size["total"] // (4 * parts * min(buckets, fan_in))
+    heavy = [] if buckets == 1 else groups.where(F.col("weight") > most).orderBy(F.desc("weight"), "digest").collect()
+    light = groups.where(F.col("weight") <= most) if heavy else groups
+    if heavy:
+        buckets = max(buckets, min(64, fan_in))
+    dealt = light.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     placed = written(dealt.groupBy("bucket").applyInPandas(lambda f: _difference_groups(f, parts), "digest string, bucket long, part int, weight long"), "shard-groups")
     while buckets > fan_in:
         sums = placed.groupBy("bucket", "part").agg(F.sum("weight").alias("weight")).withColumn("parent", F.floor(F.col("bucket") / fan_in))
@@ -83,13 +91,20 @@ def balanced_parts(groups: DataFrame, parts: int, per_task: int = GROUPS_PER_TAS
         placed = written(placed.join(moves, ["bucket", "part"]).select("digest", F.col("parent").alias("bucket"), F.col("new_part").alias("part"), "weight"), "shard-groups")
         buckets = -(-buckets // fan_in)
     last = placed.groupBy("bucket", "part").agg(F.sum("weight").alias("weight")).orderBy("bucket", "part").collect()  # at most fan_in * parts rows
-    sums: dict[int, list[int]] = {}
-    for row in last:
-        sums.setdefault(row.bucket, [0] * parts)[row.part] = row.weight
-    target = differenced(sums.values(), parts)
-    moves = [(b, s, t[s]) for b, t in zip(sums, target, strict=True) for s in range(parts)]
+    if heavy:
+        singles = [r.weight for r in heavy] + [r.weight for r in last]
+        target = differenced(([w] + [0] * (parts - 1) for w in singles), parts)
+        moves = [(r.bucket, r.part, t[0]) for r, t in zip(last, target[len(heavy) :], strict=True)]
+        apart = spark.createDataFrame([(r.digest, t[0]) for r, t in zip(heavy, target, strict=False)], "digest string, part int")
+    else:
+        sums: dict[int, list[int]] = {}
+        for row in last:
+            sums.setdefault(row.bucket, [0] * parts)[row.part] = row.weight
+        target = differenced(sums.values(), parts)
+        moves = [(b, s, t[s]) for b, t in zip(sums, target, strict=True) for s in range(parts)]
     final = spark.createDataFrame(moves, "bucket long, part int, shard int")
-    return placed.join(F.broadcast(final), ["bucket", "part"]).select("digest", F.col("shard").alias("part"))
+    found = placed.join(F.broadcast(final), ["bucket", "part"]).select("digest", F.col("shard").alias("part"))
+    return found.unionByName(apart) if heavy else found
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", per_task: int = GROUPS_PER_TASK, fan_in: int = FAN_IN) -> DataFrame:
