@@ -30,17 +30,24 @@ def element(name: str, content: Column, **attributes: Column) -> Column:
 
 
 def span_xml(spans: DataFrame) -> DataFrame:
-    """spans (pkg_id, index, span, kind, marks as an array, link, language, text) -> `xml` for each paragraph."""
+    """spans (pkg_id, index, span, kind, marks as an array, link, language, text) -> `xml` for each paragraph; the text of a `note` is XML already."""
     kept = F.filter(F.coalesce("marks", F.array().cast("array<string>")), lambda m: m.isin(*RENDITIONS))
     names = F.create_map(*(F.lit(x) for pair in RENDITIONS.items() for x in pair))
     rend = F.array_join(F.transform(kept, lambda m: names[m]), " ")
-    text = F.when(F.col("kind") == "break", "<lb/>").otherwise(F.coalesce(escaped(F.col("text")), F.lit("")))
+    text = F.when(F.col("kind") == "break", "<lb/>").when(F.col("kind") == "note", F.col("text")).otherwise(F.coalesce(escaped(F.col("text")), F.lit("")))
     marked = F.when((F.size(kept) > 0) | F.col("language").isNotNull(), element("hi", text, rend=F.nullif(rend, F.lit("")), **{"xml:lang": F.col("language")})).otherwise(text)
     linked = F.when(F.col("link").isNotNull(), element("ref", marked, target=F.col("link"))).otherwise(marked)
     parts = F.array_sort(F.collect_list(F.struct("span", linked.alias("xml"))))
     return spans.groupBy("pkg_id", "index").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("xml"))
 
 
+def note_xml(notes: DataFrame) -> DataFrame:
+    """notes (pkg_id, kind, note_id, text with a line for each paragraph) -> `xml`, to stand wherever the note is referred to."""
+    paragraphs = F.array_join(F.transform(F.split(escaped(F.coalesce("text", F.lit(""))), "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    place = F.when(F.col("kind") == "footnote", "foot").otherwise("end")
+    return notes.select("pkg_id", "kind", "note_id", element("note", paragraphs, place=place).alias("xml"))
+
+
 def body_xml(roled: DataFrame, xml: str | None = None) -> DataFrame:
     """pkg_id, body: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
 

@@ -59,12 +59,17 @@ def found_problems(packages: DataFrame, roled: DataFrame) -> DataFrame:
 
 
 def body_spans(packages: DataFrame) -> DataFrame:
-    """Items of body paragraphs as spans with marks (direct ones over the character style's) and external links."""
+    """Items of body paragraphs as spans with marks (direct ones over the character style's) external links, and notes where they are referred to (each time)."""
     style_marks = F.when(F.col("char_style") == "Strong", F.array(F.lit("bold"))).when(F.col("char_style") == "Emphasis", F.array(F.lit("italic")))
     direct = {n: F.col(n) for n in ("bold", "italic", "small_caps", "caps")} | {"superscript": F.when(F.col("vertical") == "superscript", True), "subscript": F.when(F.col("vertical") == "subscript", True)}
     links = exploded(packages, "relations").where("mode = 'External'").select("pkg_id", "part", F.col("relation_id").alias("link"), F.col("target").alias("url")).dropDuplicates(["pkg_id", "part", "link"])
-    items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table and kind in ('text', 'break')").join(links, ["pkg_id", "part", "link"], "left")
-    return inline.spans(items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), "kind", "text", inline.marks(style_marks, direct).alias("marks"), F.col("url").alias("link"), F.lit(None).cast("string").alias("language")))
+    notes_xml = tei.note_xml(exploded(packages, "notes").dropDuplicates(["pkg_id", "kind", "note_id"])).select("pkg_id", F.concat("kind", F.lit("_reference")).alias("kind"), F.col("note_id").alias("reference_id"), "xml")
+    items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table and kind in ('text', 'break', 'footnote_reference', 'endnote_reference')")
+    items = items.join(links, ["pkg_id", "part", "link"], "left").join(notes_xml, ["pkg_id", "kind", "reference_id"], "left")
+    is_note = F.col("reference_id").isNotNull()
+    kind, text = F.when(is_note, "note").otherwise(F.col("kind")), F.when(is_note, F.coalesce("xml", F.lit(""))).otherwise(F.col("text"))
+    shown = items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), kind.alias("kind"), text.alias("text"), F.when(~is_note, inline.marks(style_marks, direct)).alias("marks"), F.when(~is_note, F.col("url")).alias("link"), F.lit(None).cast("string").alias("language"))
+    return inline.spans(shown)
 
 
 def converted(packages: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -152,16 +152,17 @@ def test_stream_converts_each_content_once(spark, tmp_path):
 def test_conversion_of_packages(spark):
     from quire.plans.conversion import converted, summary
 
-    fine = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>One</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a &amp; b</w:t></w:r><w:hyperlink r:id="r1"><w:r><w:t>l</w:t></w:r></w:hyperlink></w:p>'
+    fine = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>One</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a &amp; b</w:t></w:r><w:hyperlink r:id="r1"><w:r><w:t>l</w:t></w:r></w:hyperlink><w:r><w:footnoteReference w:id="2"/></w:r></w:p>'
+    notes = f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>see &lt;it&gt;</w:t></w:r></w:p><w:p/></w:footnote></w:footnotes>'
     rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="t" Target="https://x.org" TargetMode="External"/></Relationships>'
     odd = '<w:p><w:pPr><w:pStyle w:val="Own"/></w:pPr><w:r><w:t>x</w:t><w:footnoteReference w:id="9"/></w:r></w:p>'
-    files = [("a", package(fine, word___rels__document_xml=rels)), ("b", package(odd)), ("c", b"-"), ("d", package(fine))]
+    files = [("a", package(fine, word___rels__document_xml=rels, word__footnotes=notes)), ("b", package(odd)), ("c", b"-"), ("d", package(fine, word__footnotes=notes))]
     files[0] = ("a", renamed(files[0][1], "word/_rels/document_xml.xml", "word/_rels/document.xml.rels"))
     packages = decoded(spark.createDataFrame(files, "path string, content binary")).cache()
     about = spark.createDataFrame([(p, "T", None, "en", "House", "2024", None, None, [("doi", None, "10.1234/x")], [("author", "Ada", "L", None, None)], ["k"]) for p in "abc"], "pkg_id string, title string, subtitle string, language string, publisher string, date string, license_name string, license_url string, identifiers array<struct<type:string,format:string,value:string>>, people array<struct<role:string,given_name:string,family_name:string,literal_name:string,orcid:string>>, keywords array<string>")
     books, problems = converted(packages, about)
     got = {r.pkg_id: r.xml for r in books.collect()}
-    assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref></p>' in got["a"]
+    assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref><note place="foot"><p>see &lt;it&gt;</p><p></p></note></p>' in got["a"]
     assert validation.problems(got["a"]) == []
     assert {(r.pkg_id, r.code) for r in problems.collect()} == {("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata")}
     assert summary(packages).where("pkg_id = 'a'").first().n_links == 1
