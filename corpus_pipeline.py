@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import written
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.near_dedup import near_dedup
 from quire.llm.packing import pack
 from quire.llm.quality import fit_quality, quality
-from quire.llm.simhash import simhash_dedup
 from quire.llm.unit_dedup import unit_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
 
-#: Words of a shingle, bits of difference up to which documents count as near duplicates, and fingerprints of each.
-NEAR_WORDS, NEAR_BITS, NEAR_ROUNDS = 5, 6, 4
+#: Words of a shingle, and the similarity of shingle sets from which documents count as near duplicates.
+NEAR_WORDS, NEAR_LEAST = 5, 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distant(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: any of the fingerprints of their five-word shingles within NEAR_BITS."""
-    kept = simhash_dedup(docs, words=NEAR_WORDS, distance=NEAR_BITS, rounds=NEAR_ROUNDS).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each group of near duplicates: their five-word shingles alike to NEAR_LEAST, pair by pair."""
+    kept = near_dedup(docs, words=NEAR_WORDS, least=NEAR_LEAST).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
 
