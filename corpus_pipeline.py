@@ -39,7 +39,7 @@ def distant(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents of which nothing is left go."""
-    found = unit_dedup(docs, kind="sentence", least_words=10, carry=("lang", "source"))
+    found = unit_dedup(docs, kind="sentence", least_words=10, carry=("lang", "source"), whole=True)
     left = found.where((F.size("spans") == 0) | (F.trim("kept") != ""))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 

@@ -32,7 +32,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup(table(spark, sf_dir, "documents"), kind="sentence", least_words=10)
+    found = unit_dedup(table(spark, sf_dir, "documents"), kind="sentence", least_words=10, whole=True)
     return found.select("doc_id", "n_units", "n_repeated", F.size("spans").alias("n_spans"), "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

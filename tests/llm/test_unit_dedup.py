@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from quire.llm.unit_dedup import BETWEEN, unit_dedup, units
+from quire.llm.unit_dedup import BETWEEN, PASSAGE, WINDOW, unit_dedup, units
 
 
 def plain(rows, kind, least):
@@ -59,3 +60,35 @@ def test_repeated_ids_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.kept) for r in unit_dedup(frame).collect())
     assert got == [(0, ""), (1, ""), (1, line), (2, "")]
     assert unit_dedup(frame.limit(0)).count() == 0
+
+
+def test_passages_go_wherever_they_start(spark):
+    rng = random.Random(8)
+
+    def prose(count):
+        return " ".join(f"w{rng.randrange(9000)}" for _ in range(count))
+
+    shared = [prose(n) for n in (50, 55, 60, 80, 200)]
+    rows, left = [(k, text) for k, text in enumerate(shared)], {}
+    for i in range(60):
+        own = prose(40 + i), prose(30)
+        left[100 + i] = own
+        rows.append((100 + i, f"{own[0]} {shared[i % 5].upper() if i % 2 else shared[i % 5]} {own[1]}"))
+    got = {r.doc_id: r for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), whole=True).collect()}
+    assert all(got[k].kept == text for k, text in enumerate(shared))
+    for i, (before, after) in left.items():
+        kept, stay = got[i].kept.split(), len(before.split()) + len(after.split())
+        assert kept[: len(before.split())] == before.split() and kept[-30:] == after.split()
+        assert len(kept) - stay <= 4 * WINDOW - 2 and got[i].spans
+    text, parts, at = dict(rows)[100], [], 0
+    for s in got[100].spans:
+        parts.append(text[at : s.start])
+        at = s.end
+    assert "".join(parts) + text[at:] == got[100].kept
+
+
+def test_a_text_of_one_word_again_and_again_keeps_its_first_passage(spark):
+    rows = [(1, "a " * 200), (2, "x y " * 300)]
+    got = {r.doc_id: r.kept.split() for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert PASSAGE <= len(got[1]) < 4 * PASSAGE and PASSAGE <= len(got[2]) < 4 * PASSAGE
+
