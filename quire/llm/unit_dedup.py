@@ -91,7 +91,8 @@ def _digested(batches: Iterator[pa.RecordBatch], kind: str, whole: bool) -> Iter
                     docs.append(doc)
                     places.append(rep << 32 | k)
             if whole:
-                found = list((PASSAGES | k, name) for k, name in _passage_digests(text))
+                found = [(LINES | k, digest(text[a:z], 1)) for k, (a, z) in enumerate(units(text, "line"))]
+                found += [(PASSAGES | k, name) for k, name in _passage_digests(text)]
                 for k, name in found:
                     if name:
                         hashes.append(name)
@@ -193,7 +194,7 @@ def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, i
     compared; a null text counts as empty. Null ids come last; rows that repeat an id come in the order of
     their texts' digests. An empty table gives no rows.
 
-    With `whole`, passages go as well
+    With `whole`, every line that an earlier line equals goes as well, however short, and so do passages
     wherever they start (see `passages`; by 64 bits); n_units and n_repeated still count the units of `kind`.
     A few words may stay at a passage's borders.
 

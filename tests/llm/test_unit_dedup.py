@@ -92,3 +92,8 @@ def test_a_text_of_one_word_again_and_again_keeps_its_first_passage(spark):
     got = {r.doc_id: r.kept.split() for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
     assert PASSAGE <= len(got[1]) < 4 * PASSAGE and PASSAGE <= len(got[2]) < 4 * PASSAGE
 
+
+def test_every_repeated_line_goes(spark):
+    rows = [(1, "All rights reserved.\nOne text of its own."), (2, "Another text.\nALL  rights reserved.\nIts end."), (3, "Says so: all rights reserved. Yes."), (4, "All rights reserved.")]
+    got = {r.doc_id: r.kept for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert got == {1: rows[0][1], 2: "Another text.\nIts end.", 3: rows[2][1], 4: ""}
