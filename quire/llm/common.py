@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.staging import shared_dir, written
 
-__all__ = ["HEAVY", "heavy_hitters", "lookup", "numbered", "shared_dir", "split_heavy", "text_or_empty", "written"]
+__all__ = ["HEAVY", "carried", "heavy_hitters", "lookup", "numbered", "shared_dir", "split_heavy", "spread", "text_or_empty", "whole_keys", "written"]
 
 #: Entries a task keeps while it looks for frequent values; also the most that are ever broadcast.
 HEAVY = 1024
@@ -23,6 +24,13 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def carried(carry: Sequence[str], own: Sequence[str]) -> list[str]:
+    """The columns `carry`; an error where one has the name (in any case) of a result column of the operator's own."""
+    if clash := sorted({c.lower() for c in carry} & {c.lower() for c in own}):
+        raise ValueError(f"columns to carry have names of result columns: {', '.join(clash)}")
+    return list(carry)
+
+
 def _misra_gries(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: dict = {}
     for batch in batches:
@@ -61,6 +69,36 @@ def lookup(rows: DataFrame, table: DataFrame, heavy: DataFrame, key: str) -> Dat
     return rows_heavy.join(F.broadcast(table_heavy), key).unionByName(rows_light.join(table_light, key))
 
 
+def spread(rows: DataFrame, table: DataFrame, key: str, total: int, most: int = HEAVY) -> DataFrame:
+    """Inner join with `table`, which has one row per key and in `n` (not returned) how many of the `total` rows have it.
+
+    Fewer than `most` keys can have over total / most rows each: those are broadcast and their rows stay
+    where they are, so no task gets all rows of one key. The others shuffle.
+    """
+    hot = F.col("n") > total / most
+    few = table.where(hot)
+    light = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few.drop("n")), key).unionByName(light.join(table.where(~hot).drop("n"), key))
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], width: int, least: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """The first `width` columns of rows sorted by the first, in turns that end where a key ends, of `least` rows or more but for the last."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(width)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last key may go on
+        if count + cut >= least and (cut or held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held, count, columns = [], 0, [c[cut:] for c in columns]
+        held.append(columns)
+        count += len(columns[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 

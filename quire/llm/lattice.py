@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import heavy_hitters, lookup, written
+from quire.llm.common import heavy_hitters, lookup, spread, written
 from quire.llm.components import components
-from quire.llm.simhash import _forest
+from quire.llm.simhash import Forest
 
 #: Tables, cells probed beside a vector's own, and the size of a cell (projected length of a unit vector: 1 / CELL).
 TABLES, PROBES, CELL = 8, 4, 0.4
@@ -140,7 +140,7 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float, tables: int) -> I
                 for k, v in zip(who.tolist(), np.bincount(at_, copies[two]).astype(np.int64).tolist(), strict=True):
                     count[k] = count.get(k, 0) + v
             nodes, at_ = np.unique(np.r_[node[a], node[b]], return_inverse=True)
-            kept = np.array(_forest(len(nodes), at_[: len(a)], at_[len(a) :]), np.int64)
+            kept = Forest(len(nodes)).joining(at_[: len(a)], at_[len(a) :])
             edges.append((node[a[kept]], node[b[kept]]))
         yield _found(np.fromiter(count, np.int64, len(count)), None, np.fromiter(count.values(), np.int64, len(count)))
         for a, b in edges:
@@ -185,8 +185,8 @@ def lattice_links(nodes: DataFrame, least: float, tables: int = TABLES, probes:
     slim = slim.select("node", F.floor(F.col("place") / (1 + probes)).cast("int").alias("number"), (F.col("place") % (1 + probes) > 0).cast("int").alias("kind"), "space", "name")
     slim = slim.withColumn("key", F.xxhash64("space", "number", "name"))
     counts = slim.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("homes"), F.count(F.lit(1)).alias("all")).where("homes > 0 and all > 1")
-    chunks = counts.select("key", F.ceil(F.col("homes") / most).cast("int").alias("own"), F.ceil(F.col("all") / most).cast("int").alias("any"))
-    met = slim.join(chunks, "key")
+    chunks = counts.select("key", F.ceil(F.col("homes") / most).cast("int").alias("own"), F.ceil(F.col("all") / most).cast("int").alias("any"), F.col("all").alias("n"))
+    met = spread(slim, written(chunks, "lattice-cells"), "key", tables * (1 + probes) * entries.count())
     salt = F.xxhash64("node", F.lit(7))
     mine = F.pmod(salt, F.col("any")).cast("int")
     # chunks of all entries, paired: an entry goes to each pair its chunk is in
@@ -222,8 +222,9 @@ def lattice_dedup(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     degree = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     placed = components(links.where("b is not null").select("a", "b"))
     known = nodes.select("name", "node", "least", "copies").join(placed, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = known.join(ids, "component").select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    known = written(known, "lattice-known")
+    ids = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    table = spread(known, ids, "component", known.count()).select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     slim = good.select("vec_id", "name")
     heavy = written(heavy_hitters(slim, "name"), "lattice-heavy")
     found = lookup(slim, table, heavy, "name").select("vec_id", "n_links", "component_id")

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import heavy_hitters, lookup, text_or_empty, written
+from quire.llm.common import heavy_hitters, lookup, spread, text_or_empty, whole_keys, written
 from quire.llm.components import components
-from quire.llm.simhash import SEED, U, _forest, _signed, block_masks, fingerprint, gray_rank, near_pairs, print_names
+from quire.llm.simhash import SEED, Forest, U, _signed, block_masks, fingerprint, gray_rank, near_chunks, print_names
 
 #: Pairs for each member that one group may propose in one pass, besides those that connect it; the rest waits for the next.
 PER_MEMBER = 8
+#: What tells a row from others: its id, and 128 bits of its text.
+MARKS = ("doc_id", "text_high", "text_low")
 #: Share of all fingerprints' bits in which a proposed pair may differ before its shingles are looked up.
 MOST_APART = 0.28
 
@@ -38,58 +40,50 @@ def _printed(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iter
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts = [x.as_py() for x in part.column(1)]
+            texts = [x.as_py() for x in part.column(3)]
             prints = np.array([fingerprint(x, words, rounds) for x in texts], U).reshape(-1, rounds).view(np.int64)
             sets = [shingle_set(x, words).tobytes() for x in texts]
             # equal sets come with different fingerprints when repeats differ, so both name the node
             nodes = [xxhash.xxh3_64_intdigest(s + p.tobytes()) for s, p in zip(sets, prints, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, U).view(np.int64)), *(pa.array(prints[:, k].copy()) for k in range(rounds)), pa.array(sets, pa.binary())], names=["doc_id", "node", *print_names(rounds), "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array(nodes, U).view(np.int64)), *(pa.array(prints[:, k].copy()) for k in range(rounds)), pa.array(sets, pa.binary())], names=[*MARKS, "node", *print_names(rounds), "shingles"])
 
 
 def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int) -> Iterator[pa.RecordBatch]:
     """Over rows (key, node, print, component, start) sorted by key: pairs (a, b), and (key, next) of groups that have more.
 
     A group's pairs have a fixed order. From `start` on those between components are proposed, `per_member`
-    for each member at most; in the first pass also those that connect all the group's candidates.
+    for each member at most; in the first pass also those that connect all the group's candidates. Pairs are
+    looked at as they are found, so memory follows the members and not their pairs.
     """
-    held = [np.zeros(0, np.int64)] * 5
-
-    def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
+    for columns in whole_keys(batches, 5):
         order = np.lexsort((columns[1], gray_rank(columns[2].view(U)), columns[0]))
         key, node, bits, component, start = (c[order] for c in columns)
-        a, b = near_pairs(bits.view(U), key, distance)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
         lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[lead, len(key)])
-        group = np.searchsorted(lead, a, "right") - 1
-        place = np.arange(len(a)) - np.searchsorted(group, group, "left")  # of each pair among its group's
-        open_ = (component[a] != component[b]) & (place >= start[a])
-        a, b, group, place = a[open_], b[open_], group[open_], place[open_]
-        turn = np.arange(len(a)) - np.searchsorted(group, group, "left")
-        now = turn < per_member * sizes[group]
-        late = np.flatnonzero(~now)
-        more, first = np.unique(group[late], return_index=True)
-        fresh = late[start[a[late]] == 0]
-        if len(fresh):
-            whole = np.flatnonzero(np.isin(group, np.unique(group[fresh])))
-            now[whole[np.array(_forest(len(key), a[whole], b[whole]), np.int64)]] = True
-        out = [node[a[now]], node[b[now]], key[lead[more]], place[late[first]]]
-        none = [pa.nulls(n, pa.int64()) for n in (len(more), int(now.sum()))]
-        arrays = [pa.concat_arrays([pa.array(out[0]), none[0]]), pa.concat_arrays([pa.array(out[1]), none[0]]), pa.concat_arrays([none[1], pa.array(out[2])]), pa.concat_arrays([none[1], pa.array(out[3].astype(np.int64))])]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key", "next"])
-
-    for batch in batches:
-        rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-        if not len(rows[0]):
-            continue
-        whole = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-        if whole >= 50_000:
-            yield flush([r[:whole] for r in rows])
-            rows = [r[whole:] for r in rows]
-        held = rows
-    if len(held[0]):
-        yield flush(held)
+        # pairs so far of each group, those of them that were open, and the first that has to wait
+        seen, taken, later = np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64), np.full(len(lead), -1)
+        forest = Forest(len(key))
+        for a, b in near_chunks(bits.view(U), key, distance):
+            group = np.searchsorted(lead, a, "right") - 1  # ascending, as a is
+            place = seen[group] + np.arange(len(a)) - np.searchsorted(group, group, "left")
+            seen += np.bincount(group, minlength=len(lead))
+            open_ = (component[a] != component[b]) & (place >= start[a])
+            a, b, group, place = a[open_], b[open_], group[open_], place[open_]
+            now = taken[group] + np.arange(len(a)) - np.searchsorted(group, group, "left") < per_member * sizes[group]
+            taken += np.bincount(group, minlength=len(lead))
+            late = np.flatnonzero(~now & (later[group] < 0))
+            waiting, first = np.unique(group[late], return_index=True)
+            later[waiting] = place[late[first]]
+            fresh = np.flatnonzero(start[a] == 0)
+            now[fresh[forest.joining(a[fresh], b[fresh])]] = True
+            yield _pairs(node[a[now]], node[b[now]])
+        more = np.flatnonzero(later >= 0)
+        yield _pairs(key[lead[more]], later[more], ("key", "next"))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
+    given = dict(zip(names, (a, b), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(given[n], pa.int64()) if n in given else pa.nulls(len(a), pa.int64()) for n in ("a", "b", "key", "next")], names=["a", "b", "key", "next"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -99,13 +93,20 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["a", "b"])
 
 
+def text_bits(text: Column) -> list[Column]:
+    """text_high and text_low: 128 bits of a text, which tell rows with one id or none apart."""
+    return [F.xxhash64(F.lit(1), text).alias(MARKS[1]), F.xxhash64(F.lit(2), text).alias(MARKS[2])]
+
+
 def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int = 10, blocks: int = 5, distance: int = 12, id_col: str = "doc_id", text_col: str = "text", per_member: int = PER_MEMBER) -> DataFrame:
-    """One row per input row: doc_id, component_id (least doc_id reachable), kept.
+    """One row per input row: doc_id, text_high and text_low (128 bits of the text), component_id, kept.
 
     Two texts link when the Jaccard similarity of their sets of `words`-word shingles (as 32-bit hashes) is
-    at least `least`; `kept` marks the least doc_id of each component of links. Words, empty texts, null and
-    repeated ids are as in `simhash_dedup`. Every proposed link is verified, so nothing goes for a chance
-    likeness of fingerprints.
+    at least `least`. component_id is the least doc_id reachable by links (null only where no row of the
+    component has an id), and `kept` marks the row that stays: of the least id, nulls last, then of the least
+    bits of the text; rows alike in both are all marked. Words and empty texts are as in `simhash_dedup`. An
+    empty table gives no rows. Every proposed link is verified, so nothing goes for a chance likeness of
+    fingerprints.
 
     Pairs are proposed by `rounds` independent fingerprints: two that agree on one of `blocks` blocks of
     bits are searched together by the Gray index and proposed within `distance` bits. Texts with equal
@@ -113,10 +114,12 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     size: such a group proposes in passes, and what earlier passes have connected is not proposed again.
     """
     names = print_names(rounds)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    schema = ", ".join(["doc_id long", "node long", *(f"{n} long" for n in names), "shingles binary"])
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_bits(text), text.cast("binary").alias("text"))
+    schema = ", ".join([*(f"{n} long" for n in (*MARKS, "node", *names)), "shingles binary"])
     printed = written(rows.mapInArrow(lambda it: _printed(it, words, rounds), schema), "near-prints")
-    nodes = written(printed.groupBy("node", *names).agg(F.min("doc_id").alias("least_id")), "near-nodes")
+    mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), *MARKS)
+    nodes = written(printed.groupBy("node", *names).agg(F.min(mark).alias("least_mark")), "near-nodes")
     parts = [F.struct(F.xxhash64(F.lit(r), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for r, n in enumerate(names) for k, m in enumerate(block_masks((1 << 64) - 1, blocks))]
     dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
@@ -138,9 +141,9 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
         if more.isEmpty():
             break
         columns = dealt.join(more, "key").join(placed, "node", "left").select("key", "node", "print", F.coalesce("component", "node").alias("component"), "start")
-    named = nodes.select("node", "least_id").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least_ids, "component").select("node", "component_id").distinct()
-    ids = printed.select("doc_id", "node")
+    placed = written(nodes.select("node", "least_mark").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    best = placed.groupBy("component").agg(F.min("least_mark").alias("best"), F.count(F.lit(1)).alias("n"))
+    named = spread(placed, best, "component", placed.count()).groupBy("node").agg(F.min("best").alias("best"))
+    ids = printed.select(*MARKS, "node")
     heavy = written(heavy_hitters(ids, "node").select(F.col("node").cast("long").alias("node")), "near-heavy")
-    return lookup(ids, named, heavy, "node").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return lookup(ids, named, heavy, "node").select(*MARKS, F.col("best.doc_id").alias("component_id"), (mark == F.col("best")).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import heavy_hitters, lookup, text_or_empty, written
+from quire.llm.common import heavy_hitters, lookup, spread, text_or_empty, whole_keys, written
 from quire.llm.components import components
 
 U = np.uint64
@@ -19,6 +20,8 @@ SEED = 42
 SHINGLES, FAN_OUT, FRONTIER = 1 << 16, 8, 1 << 20
 #: Fingerprints that share a block beyond which their other bits are cut into blocks as well.
 MOST_IN_BLOCK = 20_000
+#: Times that crowded blocks are cut, at most.
+DEEPEST = 4
 
 
 def fingerprint(text: bytes, words: int = 3, rounds: int = 1) -> list[int]:
@@ -73,8 +76,8 @@ def gray_rank(prints: np.ndarray) -> np.ndarray:
     return rank
 
 
-def near_pairs(prints: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i < j) of fingerprints of one group that differ in at most `distance` bits.
+def near_chunks(prints: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i < j, in order) of fingerprints of one group that differ in at most `distance` bits, some `FRONTIER` at a time.
 
     `prints` come sorted by group and Gray rank. Runs of `FAN_OUT` neighbours form a node with the bits all
     of them share (mask and pattern); nodes form upper nodes the same way, within their group. A query goes
@@ -94,7 +97,6 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, distance: int) -> tuple[np
         shared = np.bitwise_and.reduceat(mask, at) & ~(np.bitwise_or.reduceat(pattern, at) ^ np.bitwise_and.reduceat(pattern, at))
         levels.append((shared, pattern[at], at, np.r_[at[1:], len(owner)]))
         owner = owner[at]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     # the top nodes of a group, and its members as queries
     top = np.searchsorted(owner, group, "left"), np.searchsorted(owner, group, "right")
     stack = [(len(levels) - 1, np.arange(len(prints)), *top)]
@@ -104,7 +106,7 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, distance: int) -> tuple[np
         total = int(sizes.sum())
         if total > FRONTIER and len(query) > 1:
             half = len(query) // 2
-            stack += [(level, query[:half], low[:half], high[:half]), (level, query[half:], low[half:], high[half:])]
+            stack += [(level, query[half:], low[half:], high[half:]), (level, query[:half], low[:half], high[:half])]
             continue
         query = np.repeat(query, sizes)
         node = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
@@ -115,49 +117,48 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, distance: int) -> tuple[np
             stack.append((level - 1, query, first[node], end[node]))
         else:
             ordered = query < node
-            found.append((query[ordered], node[ordered]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-
-
-def _forest(count: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Of the links, those that join two trees when taken in turn: as few as connect the same."""
-    root = list(range(count))
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[y] = x
-            kept.append(k)
-    return kept
+            yield query[ordered], node[ordered]
+
+
+class Forest:
+    """Trees over `count` nodes; of links taken in turn only those are kept that join two trees, as few as connect the same."""
+
+    def __init__(self, count: int):
+        self.root = np.arange(count)
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the links kept, which join their trees from now on."""
+        while not np.array_equal(up := self.root[self.root], self.root):
+            self.root = up
+        between = np.flatnonzero(self.root[a] != self.root[b])
+        if not len(between):
+            return between
+        root, kept = self.root.tolist(), []
+        for k, x, y in zip(between.tolist(), a[between].tolist(), b[between].tolist(), strict=True):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[y] = x
+                kept.append(k)
+        self.root = np.array(root)
+        return np.array(kept, np.int64)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, print) sorted by key: links of near fingerprints, a forest for each run of keys."""
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Over rows (key, print) sorted by key: links of near fingerprints, a forest for each run of keys.
 
-    def flush(key: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    Pairs are thinned as they are found, so memory follows the fingerprints and not their pairs.
+    """
+    for key, bits in whole_keys(batches, 2):
         prints = bits.view(U)
         order = np.lexsort((gray_rank(prints), key))
         key, prints = key[order], prints[order]
-        a, b = near_pairs(prints, key, distance)
-        kept = np.array(_forest(len(prints), a, b), np.int64)
-        a, b = prints[a[kept]].view(np.int64), prints[b[kept]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    for batch in batches:
-        key, bits = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
-        if not len(key):
-            continue
-        whole = int(np.searchsorted(key, key[-1], "left")) if np.all(key[1:] >= key[:-1]) else 0
-        if whole >= 50_000:
-            yield flush(key[:whole], bits[:whole])
-            key, bits = key[whole:], bits[whole:]
-        held = key, bits
-    if len(held[0]):
-        yield flush(*held)
+        forest = Forest(len(prints))
+        for a, b in near_chunks(prints, key, distance):
+            kept = forest.joining(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(prints[x[kept]].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -176,22 +177,30 @@ def near_links(prints: DataFrame, distance: int = 2, most_in_block: int = MOST_I
 
     Two fingerprints within `distance` agree on one of `distance + 1` blocks of bits, so each is dealt once
     for each block; those that agree on a block are indexed and searched together. Where too many do, their
-    other bits are cut into blocks the same way, so what one task indexes stays small without losing a pair.
+    other bits are cut into blocks the same way, and again, so what one task indexes stays small without
+    losing a pair: with a distance of 2 four cuts leave 14 bits free, fewer values than fill a block.
     """
-    whole = (1 << 64) - 1
-    blocks = block_masks(whole, distance + 1)
     bits = F.col("print")
-    dealt = prints.select("print", F.explode(F.array([F.struct(F.lit(k).alias("block"), bits.bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(blocks)])).alias("by")).select("print", "by.*")
-    counts = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = dealt.join(counts, ["block", "value"])
-    parts = []
-    for k, m in enumerate(blocks):
-        for j, finer in enumerate(block_masks(whole & ~m, distance + 1)):
-            parts.append(F.when(F.col("block") == k, F.xxhash64(F.lit(j), "block", "value", bits.bitwiseAND(F.lit(_signed(finer))))))
-    finer_keys = F.array_compact(F.array(parts))
-    keys = F.when(F.col("n") <= most_in_block, F.array(F.xxhash64("block", "value"))).otherwise(finer_keys)
-    rows = shared.select(F.explode(keys).alias("key"), "print").repartition("key").sortWithinPartitions("key")
-    return written(rows.mapInArrow(lambda it: _linked(it, distance), "a long, b long"), "simhash-links")
+    rows, free = prints.select("print", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key")), [(1 << 64) - 1]
+    total, links = (distance + 1) * prints.count(), []
+    for depth in range(DEEPEST):
+        cases, left = [], []
+        for path, own in enumerate(free):
+            for mask in block_masks(own, distance + 1):
+                value = F.xxhash64("key", F.lit(len(left)), bits.bitwiseAND(F.lit(_signed(mask))))
+                cases.append(F.when(F.col("path") == path, F.struct(F.lit(len(left)).alias("path"), value.alias("key"))))
+                left.append(own & ~mask)
+        dealt = rows.select("print", F.explode(F.array_compact(F.array(cases))).alias("by")).select("print", "by.*")
+        counts = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("many", F.col("n")), "simhash-counts")
+        last = depth + 1 == DEEPEST or counts.where(F.col("many") > most_in_block).isEmpty()
+        shared = spread(dealt, counts, "key", total)
+        here = (shared if last else shared.where(F.col("many") <= most_in_block)).select("key", "print").repartition("key").sortWithinPartitions("key")
+        links.append(written(here.mapInArrow(lambda it: _linked(it, distance), "a long, b long"), "simhash-links"))
+        if last:
+            break
+        rows, free = written(shared.where(F.col("many") > most_in_block).drop("many"), "simhash-crowded"), left
+        total = (distance + 1) * rows.count()
+    return reduce(DataFrame.unionByName, links)
 
 
 def node_links(nodes: DataFrame, name: str, distance: int, most_in_block: int) -> DataFrame:
@@ -226,9 +235,9 @@ def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: st
             links = links.unionByName(node_links(nodes, name, distance, most_in_block))
     else:
         links = near_links(nodes.select("print"), distance, most_in_block)
-    placed = nodes.select("node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "component").select("node", "component_id").distinct()
+    placed = written(nodes.select("node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "simhash-placed")
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread(placed, least, "component", placed.count()).select("node", "component_id").distinct()
     heavy = written(heavy_hitters(printed, "node").select(F.col("node").cast("long").alias("node")), "simhash-heavy")
     found = lookup(printed, named, heavy, "node")
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

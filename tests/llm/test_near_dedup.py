@@ -68,4 +68,6 @@ def test_large_groups_propose_in_passes(spark):
 def test_null_and_repeated_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup(frame).collect()) == [(0, 1, False), (1, 1, True), (2, 1, False), (2, 1, False)]
+    frame = spark.createDataFrame([(5, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k"), (None, "g h i j k")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup(frame).collect()) == [(0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True)]
     assert near_dedup(frame.limit(0)).count() == 0

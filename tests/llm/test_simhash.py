@@ -5,7 +5,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.simhash import block_masks, gray_rank, near_pairs, simhash_dedup
+from quire.llm.simhash import block_masks, gray_rank, near_chunks, simhash_dedup
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -80,7 +80,7 @@ def test_index_finds_every_pair(rows):
     group, prints = np.array([g for g, _ in pairs]), np.array([p for _, p in pairs], np.uint64)
     order = np.lexsort((gray_rank(prints), group))
     group, prints = group[order], prints[order]
-    a, b = near_pairs(prints, group, 2)
+    a, b = (np.concatenate(x) for x in zip(*near_chunks(prints, group, 2), strict=True))
     want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if group[i] == group[j] and (int(prints[i]) ^ int(prints[j])).bit_count() <= 2}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
 
