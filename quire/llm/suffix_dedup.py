@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import heavy_hitters, lookup, text_or_empty, written
+from quire.llm.common import numbered, spread, text_or_empty, written
 from quire.llm.lyndon import suffix_array
 
 #: Bytes hashed at once; positions in a piece fit the low bits of an anchor's rank.
 PIECE_BITS = 20
 #: Symbols that one suffix array is built over, unless one group alone is larger.
 SYMBOLS = 60_000
-#: Contexts of one anchor beyond which its strings are grouped by Spark instead of in one task.
-MOST_CONTEXTS = 50_000
+#: Symbols of one anchor's contexts beyond which they are divided by more of the bytes around the anchor.
+MOST_SYMBOLS = 250_000
 LAST = (1 << 63) - 1
 
 U = np.uint64
@@ -194,42 +194,21 @@ def repeated_starts(key: np.ndarray, doc: np.ndarray, first: np.ndarray, shape:
     """(doc, start) of each string that also starts earlier among these contexts; all contexts of a key are here.
 
     The anchor's bytes, the same for all contexts of a key, stand as one symbol of their own, so a string is
-    `length - core + 1` symbols. Starts whose hash no other start of the key has are trimmed from both ends,
-    contexts without any left go, and the rest are put in order by their suffix array.
+    `length - core + 1` symbols. The suffix array of all contexts puts equal strings side by side, and
+    neighbours are compared symbol by symbol.
     """
     width = length - core
-    sizes = np.array([len(x) for x in sides], np.int64)
-    data = np.frombuffer(b"".join(sides), np.uint8)
-    base = np.cumsum(sizes) - sizes
-    count = shape.astype(np.int64) >> 8
-    # a string of a context is its sides' bytes from its start's offset, `width` of them, and the place of the anchor
-    run = np.repeat(np.arange(len(key)), count)
-    inside = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    place = (shape & 0xFF)[run] - inside
-    hashes = Rolling(data)
-    start = base[run] + inside
-    hashed = hashes.spans(start, start + width) ^ mixed(key[run].view(U) + place.astype(U))
-    _, same, times = np.unique(hashed, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero(times[same] > 1)
-    if not len(hit):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = run[hit]
-    lead = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    low, high, used = inside[hit][lead], inside[hit][np.r_[lead[1:] - 1, len(hit) - 1]], owner[lead]
-    # the trimmed contexts as symbols: the bytes shifted up by two, the anchor above all bytes, 1 between contexts
-    _, letter = np.unique(key[used], return_inverse=True)
-    lengths = high - low + width
-    symbols = np.ones(int(lengths.sum()) + 2 * len(used), np.int64)
-    begin = np.cumsum(lengths + 2) - lengths - 2
-    own = np.repeat(np.arange(len(used)), lengths)
-    step = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    gap = ((shape & 0xFF)[used] - low)[own]
-    symbols[begin[own] + step + (step >= gap)] = data[base[used][own] + low[own] + step].astype(np.int64) + 2
-    symbols[begin + (shape & 0xFF)[used] - low] = 258 + letter
+    count, gap = shape.astype(np.int64) >> 8, shape.astype(np.int64) & 0xFF
+    sizes = count - 1 + width
+    # the bytes shifted up by two, the anchor above all bytes, 1 between contexts
+    _, letter = np.unique(key, return_inverse=True)
+    symbols = np.ones(int(sizes.sum()) + 2 * len(key), np.int64)
+    begin = np.cumsum(sizes + 2) - sizes - 2
+    own, step = _steps(sizes)
+    symbols[begin[own] + step + (step >= gap[own])] = np.frombuffer(b"".join(sides), np.uint8).astype(np.int64) + 2
+    symbols[begin + gap] = 258 + letter
     wanted = np.full(len(symbols), -1, np.int64)
-    starts = high - low + 1
-    own = np.repeat(np.arange(len(used)), starts)
-    step = np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts)
+    own, step = _steps(count)
     wanted[begin[own] + step] = np.arange(len(own))
     order = np.array(suffix_array(symbols), np.int64)
     order = order[wanted[order] >= 0]
@@ -238,13 +217,19 @@ def repeated_starts(key: np.ndarray, doc: np.ndarray, first: np.ndarray, shape:
         alike &= symbols[order[1:] + k] == symbols[order[:-1] + k]
     classes = np.cumsum(np.r_[True, ~alike])
     which = wanted[order]
-    docs = doc[used][own][which]
-    at = (first[used] + low)[own][which] + step[which]
+    docs = doc[own][which]
+    at = first[own][which] + step[which]
     rank = np.lexsort((at, docs, classes))
     later = rank[np.r_[False, classes[rank][1:] == classes[rank][:-1]]]
     return docs[later], at[later]
 
 
+def _steps(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of these sizes, laid end to end: each place's item, and its place within it."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _resolved(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterator[pa.RecordBatch]:
     """Over contexts sorted by key: spans of strings that start earlier."""
     held: list[tuple] = []
@@ -290,15 +275,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """`id` (null ids last), `rep` (0 unless an id repeats), `doc_id`, `text` as bytes, and the columns `carry`."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), *carry)
-    if rows.groupBy("id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("id").orderBy(F.sha2("text", 256))
-        return written(rows.withColumn("rep", F.row_number().over(order) - 1), "suffix-texts")
-    return rows.withColumn("rep", F.lit(0))
+    """`id` (null ids last), `rep` (0 unless an id repeats), `doc_id`, `text` as bytes, and the columns `carry` in a struct `_carried`.
+
+    Rows that repeat an id are numbered by digests of their texts alone, in buckets (`numbered`): an id, or
+    no id, that a third of all rows has fills no task.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), *([F.struct(*carry).alias("_carried")] if carry else []))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.withColumn("rep", F.lit(0))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "suffix-texts")
+    marks = written(rows.select("id", "_row", F.sha2("text", 256).alias("_digest")), "suffix-marks")
+    reps = numbered(marks, ["id"], ["_digest"], "rep", marks.count()).select("_row", F.col("rep").cast("int"))
+    return rows.join(reps, "_row").drop("_row")
 
 
-def repeated_spans(texts: DataFrame, length: int = 100, core: int = 48, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 100, core: int = 48, most_symbols: int = MOST_SYMBOLS) -> DataFrame:
     """`doc`, `first`, `end` of byte spans covered by `length`-byte strings that also start earlier (positions as rep << 32 | byte)."""
     runs = written(texts.select("id", "rep", "text").mapInArrow(lambda it: _runs(it, length, core), RUN), "suffix-runs")
     columns = ["key", "context", "doc", "first", "shape"]
@@ -308,32 +299,66 @@ def repeated_spans(texts: DataFrame, length: int = 100, core: int = 48, most_con
     wanted = grouped.where("kind = 0").groupBy("doc", F.shiftright("first", 32).cast("int").alias("rep")).agg(F.collect_list(F.struct("key", "first", "shape")).alias("wanted"))
     source = texts.select(F.col("id").alias("doc"), "rep", "text").join(wanted, ["doc", "rep"]).select("doc", "text", "wanted")
     contexts = written(source.mapInArrow(lambda it: _contexts(it, length, core), "key long, doc long, first long, shape int, sides binary"), "suffix-contexts")
-    large = written(contexts.groupBy("key").count().where(F.col("count") > most_contexts).select("key"), "suffix-large")
-    few = contexts.join(large, "key", "left_anti") if large.limit(1).count() else contexts
+    contexts = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - core))
+    small = []
+    while True:
+        sizes = written(contexts.groupBy("key").agg(F.sum(F.length("sides") + 2).alias("symbols"), F.count(F.lit(1)).alias("n")), "suffix-sizes")
+        large = F.col("symbols") > most_symbols
+        if sizes.where(large).isEmpty():
+            small.append(contexts)
+            break
+        sized = spread(contexts, sizes, "key", sizes.agg(F.sum("n")).first()[0])
+        small.append(sized.where(~large).drop("symbols"))
+        contexts, again = _divided(sized.where(large).drop("symbols"), length, core)
+        spans.append(again)
+    few = reduce(DataFrame.unionByName, small).drop("low", "high")
     sorted_contexts = few.repartition("key").sortWithinPartitions("key", "doc", "first")
     resolved = written(sorted_contexts.mapInArrow(lambda it: _resolved(it, length, core), RUN), "suffix-resolved")
     spans.append(resolved.select("doc", "first", F.col("context").alias("end")))
-    if few is not contexts:
-        spans.append(_by_string(contexts.join(large, "key", "left_semi"), length, core))
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, spans)
 
 
-def _by_string(contexts: DataFrame, length: int, core: int) -> DataFrame:
-    """The same spans for anchors with too many contexts for one task: each string is a row, grouped by its digest."""
-    place = F.expr("shape & 255")
-    strings = contexts.select("doc", "first", "sides", "key", place.alias("place"), F.explode(F.sequence(F.lit(0), F.shiftright("shape", 8) - 1)).alias("step"))
-    name = F.sha2(F.concat(F.col("key").cast("string").cast("binary"), F.lit(b"/"), (F.col("place") - F.col("step")).cast("string").cast("binary"), F.lit(b"/"), F.expr(f"substring(sides, step + 1, {length - core})")), 256)
-    rows = written(strings.select(name.alias("string"), "doc", (F.col("first") + F.col("step")).alias("first")), "suffix-strings")
-    heavy = written(heavy_hitters(rows, "string"), "suffix-heavy")
-    earliest = rows.groupBy("string").agg(F.min(F.struct("doc", "first")).alias("earliest"))
-    later = lookup(rows, earliest, heavy, "string").where(F.struct("doc", "first") != F.col("earliest"))
-    return later.select("doc", "first", (F.col("first") + length).alias("end"))
+def _divided(contexts: DataFrame, length: int, core: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of anchors that have too many for one task, dealt out by more bytes; and the spans of those that repeat another.
+
+    `low` and `high` bound how many bytes before the anchor a string of the group starts. Strings that start
+    at least halfway share the bytes just before the anchor up to there, and the others share bytes behind
+    it, so either part of a context goes to a key of its own, narrower by half; equal strings go together.
+    Of parts that are equal in all bytes the earliest goes on, so when `low` meets `high` one is left.
+    """
+    width = length - core
+    place, count = F.col("shape").bitwiseAND(F.lit(255)), F.shiftright("shape", 8)
+    middle = F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int")
+    skipped = F.greatest(F.lit(0), place - middle + 1)  # starts of the upper part
+    upper = F.struct(
+        F.xxhash64("key", F.lit(1), F.substring("sides", place - middle + 1, middle)).alias("key"),
+        F.col("first").alias("first"),
+        F.least(count, place - middle + 1).alias("count"),
+        place.alias("place"),
+        F.substring("sides", F.lit(1), F.least(count, place - middle + 1) - 1 + width).alias("sides"),
+        middle.alias("low"),
+        F.col("high").alias("high"),
+    )
+    lower = F.struct(
+        F.xxhash64("key", F.lit(0), F.substring("sides", place + 1, width - middle + 1)).alias("key"),
+        (F.col("first") + skipped).alias("first"),
+        (count - skipped).alias("count"),
+        (place - skipped).alias("place"),
+        F.substring("sides", skipped + 1, F.length("sides")).alias("sides"),
+        F.col("low").alias("low"),
+        (middle - 1).alias("high"),
+    )
+    parts = F.filter(F.array(upper, lower), lambda p: (p["count"] > 0) & (p["low"] <= p["high"]))
+    rows = contexts.select("doc", F.explode(parts).alias("part")).select("doc", "part.*")
+    rows = rows.select("key", "doc", "first", (F.shiftleft("count", 8) + F.col("place")).alias("shape"), "sides", "low", "high")
+    rows = written(rows.withColumn("string", F.sha2(F.concat_ws("/", F.hex("sides"), "key", "shape").cast("binary"), 256)), "suffix-divided")
+    earliest = rows.groupBy("string").agg(F.min(F.struct("doc", "first")).alias("earliest"), F.count(F.lit(1)).alias("n"))
+    known = written(spread(rows, earliest, "string", rows.count()).withColumn("is_first", F.struct("doc", "first") == F.col("earliest")).drop("earliest", "string"), "suffix-known")
+    again = known.where("not is_first").select("doc", "first", (F.col("first") + F.shiftright("shape", 8) - 1 + length).alias("end"))
+    return known.where("is_first").drop("is_first"), again
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, core: int = 48, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, core: int = 48, id_col: str = "doc_id", text_col: str = "text", most_symbols: int = MOST_SYMBOLS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans (start, end), kept (the bytes left).
 
     A byte goes when a string of `length` bytes that covers it also starts earlier in the corpus: in a
@@ -345,10 +370,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, core: int = 48, id_col: str
     Every string has an anchor, the window of `core` bytes with the smallest hash, so equal strings share an
     anchor and only the contexts of anchors that occur with different surroundings are compared. Equal
     contexts are merged in each batch and again after the shuffle, so hot passages travel as a few rows.
-    The rest are ordered by the suffix arrays (linear grouping) of the contexts of their anchors.
+    The rest are ordered by the suffix arrays (linear grouping) of the contexts of their anchors; an anchor
+    whose contexts are too many for one task is divided by more of the bytes around it.
     """
     texts = keyed(docs, id_col, text_col)
-    spans = repeated_spans(texts, length, core, most_contexts)
+    spans = repeated_spans(texts, length, core, most_symbols)
     per_text = spans.groupBy(F.col("doc").alias("id"), F.shiftright("first", 32).cast("int").alias("rep")).agg(F.collect_list(F.struct("first", "end")).alias("found"))
     joined = texts.join(per_text, ["id", "rep"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
