@@ -6,6 +6,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import carried
 from quire.llm.tokens import _ranges
 
 MARK = "▁"
@@ -22,6 +24,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MOST_WORDS, CHUNK = 250_000, 4 << 20
 #: Words given to the libraries at once: what they return for each is much larger than its ids.
 AT_ONCE = 10_000
+#: Words put together into one text for the libraries.
+TOGETHER = 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -72,9 +76,15 @@ class PieceModel:
             elif number == 2:
                 own = dict(_fields(value))
                 model.kind = own.get(3, UNIGRAM)
+                if own.get(24):
+                    raise ValueError("models that treat blanks as suffixes are not supported")
                 model.unknown_surface = own[44].decode() if 44 in own else model.unknown_surface
-            elif number == 3:
+            elif number in (3, 5):
                 own = dict(_fields(value))
+                if number == 5 and own.get(2):
+                    raise ValueError("models with a denormaliser are not supported")
+                if number == 5:
+                    continue
                 model.charsmap = own.get(2, b"")
                 model.dummy_prefix, model.squeeze, model.escape = (bool(own.get(k, 1)) for k in (3, 4, 5))
         return model
@@ -128,6 +138,7 @@ class PieceTable:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks as spaces, byte pieces joined, control pieces left out, the added prefix dropped."""
+        ids = np.asarray(ids, np.int64)
         data = self.shown[_ranges(self.begins[ids], self.sizes[ids])].tobytes()
         text = data.decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
@@ -152,6 +163,8 @@ class PieceCodec(PieceTable):
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=self.data)
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        self.plain = np.array([k not in (CONTROL, UNKNOWN) for _, _, k in m.pieces])
         self._forget()
 
     def _forget(self) -> None:
@@ -164,18 +177,33 @@ class PieceCodec(PieceTable):
             return ids, [True] * len(texts)
         return ids, [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
 
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words end to end, how many each has, and whether the libraries agree; none may have a blank or a mark."""
+        lists, agreed = self._both([" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        starts = np.flatnonzero(self.marked[ids])  # each word begins with the only mark it has
+        if len(starts) == len(words) and all(agreed):
+            return ids, np.diff(np.r_[starts, len(ids)]), np.ones(len(words), bool)
+        lists, agreed = self._both(words)
+        return np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists))), np.fromiter(map(len, lists), np.int64, len(lists)), np.array(agreed, bool)
+
+    def texts(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids by the tokenizer's decoder; control pieces are left out, and a list with an unknown piece goes by the table."""
+        known = [self.plain[x].all() for x in ids]
+        found = iter(self.tokenizer.decode_batch([x.tolist() for x, k in zip(ids, known, strict=True) if k]))
+        return [next(found) if k else self.decode(x) for x, k in zip(ids, known, strict=True)]
+
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MOST_WORDS:
             self._forget()
         unknown = [w for w in words if w not in self.known]
         for at in range(0, len(unknown), AT_ONCE):
             new = unknown[at : at + AT_ONCE]
-            ids, agreed = self._both(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes, agreed = self._of_words(new)
             self.known.update(zip(new, range(len(self.agreed), len(self.agreed) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            self.agreed = np.concatenate([self.agreed, np.array(agreed, bool)])
+            self.flat = np.concatenate([self.flat, ids])
+            self.agreed = np.concatenate([self.agreed, agreed])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -207,7 +235,6 @@ class PieceCodec(PieceTable):
 
 
 _codecs: dict[tuple, PieceCodec] = {}
-_tables: dict[str, PieceTable] = {}
 
 
 def codec(path: str, threads: int, verify: bool) -> PieceCodec:
@@ -217,37 +244,42 @@ def codec(path: str, threads: int, verify: bool) -> PieceCodec:
     return _codecs[path, threads, verify]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, verify: bool, decode: bool) -> Iterator[pa.RecordBatch]:
     pieces = codec(path, threads, verify)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             ids, same = pieces.encode(part.column(part.num_columns - 1).cast(pa.string()))
             agreed = pa.array(same) if verify else pa.nulls(len(ids), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), agreed], names=[*part.schema.names[:-1], "ids", "n_ids", "parity"])
+            columns = [*part.columns[:-1], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), agreed]
+            again = [pa.array([t for k in range(0, len(ids), 250) for t in pieces.texts(ids[k : k + 250])], pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([*columns, *again], names=[*part.schema.names[:-1], "ids", "n_ids", "parity", *["decoded"] * decode])
 
 
-def encode_pieces(docs: DataFrame, path: str, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, `carry`, ids (little-endian unsigned 32-bit), n_ids, parity.
+def encode_pieces(docs: DataFrame, path: str, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """One row per input row: doc_id, `carry`, ids (little-endian unsigned 32-bit), n_ids, parity, and with `decode` the text of the ids as `decoded`.
 
     Ids are those of the SentencePiece model at `path`, by the tokenizers library; distinct words, or whole
     texts where words can't be told apart, go to it in batches on `threads` threads. `parity` says whether
     the sentencepiece library gives the same ids for all of them (null unless `verify`). A null or empty
-    text has no ids. Rows that repeat an id are encoded once each. An empty table gives no rows.
+    text has no ids and decodes to an empty one. Rows that repeat an id are encoded once each. An empty table
+    gives no rows. Other columns of `docs` are left out, whatever their names; a carried one that has a
+    result column's name is an error.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("_text"))
+    own = ("doc_id", "ids", "n_ids", "parity", "_text", *["decoded"] * decode)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried(carry, own), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _encoded(it, path, threads, verify), f"{schema}, ids binary, n_ids long, parity boolean")
+    return rows.mapInArrow(lambda it: _encoded(it, path, threads, verify, decode), f"{schema}, ids binary, n_ids long, parity boolean" + ", decoded string" * decode)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    if path not in _tables:
-        _tables[path] = PieceTable(path)
-    pieces = _tables[path]
+    pieces = codec(path, 2, False)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            texts = [pieces.decode(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)) if x.is_valid else None for x in part.column(part.num_columns - 1)]
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
+            given = part.column(part.num_columns - 1)
+            found = iter(pieces.texts([np.frombuffer(x.as_buffer(), "<u4") for x in given if x.is_valid]))
+            texts = [next(found) if x.is_valid else None for x in given]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
 
