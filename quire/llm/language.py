@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import buckets_for
 from quire.llm.quality import fold
 
 #: Buckets of n-grams of one to three bytes; labelled documents a model is fitted on at most, over all languages.
@@ -123,16 +124,27 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["id", "lang", "x"])
 
 
+def smallest(ids: DataFrame, each: int, rows: int) -> DataFrame:
+    """Distinct `_id`s: of each `lang` the `each` rows whose ids have the smallest hashes; no language has over `rows`.
+
+    First those of every bucket of a language, then those of its buckets' winners: no task sorts a language.
+    """
+    order = [F.xxhash64("_id"), F.col("_id")]
+    dealt = ids.withColumn("_bucket", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(buckets_for(rows))))
+    for groups in (["lang", "_bucket"], ["lang"]):
+        dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_at") <= each).drop("_at")
+    return dealt.select("_id").distinct()
+
+
 def fit_language(docs: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Codes:
     """Codes for the values of `lang_col`, from at most `most_rows` labelled documents outside the held-out fold.
 
     Of each language the same number of documents is taken, those of the smallest hashes of their ids, whole.
     """
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) != 2))
-    names = tuple(r[0] for r in marked.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_rows).select(lang_col).collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = marked.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"))
-    chosen = ids.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max(1, most_rows // max(1, len(names)))).select("_id").distinct()
+    counts = marked.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_rows).collect()
+    names = tuple(r[0] for r in counts)
+    chosen = smallest(marked.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang")), max(1, most_rows // max(1, len(names))), max((r[1] for r in counts), default=0))
     rows = marked.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     found = rows.mapInArrow(_profiled, "id long, lang string, x binary").orderBy("id", "lang", "x").toArrow()  # about most_rows rows
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
