@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import HEAVY, heavy_hitters, lookup, split_heavy, text_or_empty, written
+from quire.llm.common import HEAVY, carried, heavy_hitters, lookup, split_heavy, text_or_empty, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
+RESULT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -18,7 +19,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256).alias("text_sha256"),
         F.monotonically_increasing_id().alias("_row"),
-        *([F.struct(*carry).alias("_carried")] if carry else []),
+        *([F.struct(*carried(carry, RESULT)).alias("_carried")] if carry else []),
     )
 
 
@@ -27,7 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they agree after blanks (space, tab to carriage return) are deleted; a null text
     counts as empty. Of equal texts the one with the most code points stays, then the smallest doc_id (null
-    ids last), and of repeated rows with that id exactly one. An empty table gives no rows.
+    ids last), and of repeated rows with that id exactly one. An empty table gives no rows. Other columns of
+    `docs` are left out, whatever their names; a carried one that has a result column's name is an error.
 
     Misra-Gries names the digests that may fill a task; their winners are found by partial aggregation over
     all their rows (the exact count and winner, not the counters' estimate) and broadcast, at most `counters`

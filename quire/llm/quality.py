@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_or_empty
+from quire.llm.common import carried, text_or_empty
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "lower", "digit", "blank", "sentence_marks", "other_marks", "symbols", "control", "beyond_ascii",
@@ -160,8 +160,9 @@ def quality(docs: DataFrame, forest: Forest, threshold: float = 0.3, id_col: str
     """One row per input row: doc_id, `carry`, held_out, score (0 to 1), predicted (1 from `threshold` up).
 
     The score follows from the whole text alone; a null text counts as empty and is scored as well. Rows that
-    repeat an id are scored once each. An empty table gives no rows.
+    repeat an id are scored once each. An empty table gives no rows. Other columns of `docs` are left out,
+    whatever their names; a carried one that has a result column's name is an error.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, (fold(id_col, 5) == 0).alias("held_out"), text_or_empty(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carried(carry, ("doc_id", "held_out", "score", "predicted", "_text")), (fold(id_col, 5) == 0).alias("held_out"), text_or_empty(text_col).cast("binary").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(lambda it: _scored(it, forest, threshold), f"{schema}, score double, predicted int")

@@ -9,7 +9,7 @@ from quire.llm.exact_dedup import exact_dedup
 from quire.llm.language import fit_language, language
 from quire.llm.lattice import lattice_dedup
 from quire.llm.packing import pack
-from quire.llm.pieces import decode_pieces, encode_pieces
+from quire.llm.pieces import encode_pieces
 from quire.llm.quality import fit_quality, quality
 from quire.llm.sharding import shard
 from quire.llm.simhash import simhash_dedup
@@ -32,7 +32,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup(table(spark, sf_dir, "documents"), kind="sentence", least_words=10, whole=True)
+    found = unit_dedup(table(spark, sf_dir, "documents"), kind="line", least_words=1, whole=True)
     return found.select("doc_id", "n_units", "n_repeated", F.size("spans").alias("n_spans"), "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -45,7 +45,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
-    found = decode_pieces(encode_pieces(docs, path, carry=("text_sha256",)), path)
+    found = encode_pieces(docs, path, carry=("text_sha256",), decode=True)
     again = F.sha2(F.col("decoded").cast("binary"), 256)
     return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), again.alias("decoded_sha256"), (again == F.col("text_sha256")).alias("round_trip"), "parity")
 

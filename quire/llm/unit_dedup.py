@@ -12,17 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import carried
 from quire.llm.suffix_dedup import keyed
 
 #: What stands between two units of a kind. Sentences end within lines; lines are cut into them.
 BETWEEN = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*"), "sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+")}
 
 #: Positions of which one at least is a cut, if all of them are in a passage; words of a passage at least.
-WINDOW, PASSAGE = 9, 16
+WINDOW, PASSAGE = 7, 16
 #: Among a unit's numbers, those of whole lines and of passages.
 LINES, PASSAGES, NUMBER = 1 << 30, 2 << 30, (1 << 30) - 1
 
 WORD = re.compile(r"\S+")
+RESULT = ("doc_id", "n_units", "n_repeated", "spans", "kept")
 UNIT = "kind int, high long, low long, doc long, unit long"
 
 
@@ -91,7 +93,7 @@ def _digested(batches: Iterator[pa.RecordBatch], kind: str, whole: bool) -> Iter
                     docs.append(doc)
                     places.append(rep << 32 | k)
             if whole:
-                found = [(LINES | k, digest(text[a:z], 1)) for k, (a, z) in enumerate(units(text, "line"))]
+                found = [(LINES | k, digest(text[a:z], 1)) for k, (a, z) in enumerate(units(text, "line") if kind != "line" else ())]
                 found += [(PASSAGES | k, name) for k, name in _passage_digests(text)]
                 for k, name in found:
                     if name:
@@ -184,15 +186,16 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: str, least_words: int) -> Iter
         yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
 
 
-def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def unit_dedup(docs: DataFrame, kind: str = "line", least_words: int = 1, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_units, n_repeated, spans (start, end in code points of the original), kept (the text left), and the columns `carry`.
 
     Units (`kind`: line, paragraph, or sentence, which cuts lines as well) are compared in lower case with
     their words a space apart; a unit without words is never repeated. Of equal units the earliest stays, by
-    doc_id, then place. Neighbouring repeated units form a run, and a run of at least `least_words` words is
-    removed with the blanks before it, so that short units that recur by chance stay. Whole texts are
+    doc_id, then place. Neighbouring repeated units form a run, and a run of at least `least_words` words (one:
+    every repeated unit; more suit sentences, which recur by chance) is removed with the blanks before it. Whole texts are
     compared; a null text counts as empty. Null ids come last; rows that repeat an id come in the order of
-    their texts' digests. An empty table gives no rows.
+    hashes of their texts. An empty table gives no rows. Other columns of `docs` are left out, whatever their
+    names; a carried one that has a result column's name is an error.
 
     With `whole`, every line that an earlier line equals goes as well, however short, and so do passages
     wherever they start (see `passages`; by 64 bits); n_units and n_repeated still count the units of `kind`.
@@ -201,11 +204,12 @@ def unit_dedup(docs: DataFrame, kind: str = "sentence", least_words: int = 10, i
     Repeats within a batch are settled there, so a unit that fills a third of the corpus is shuffled once for
     each batch; the others are settled by one sort on the digest.
     """
-    texts = keyed(docs, id_col, text_col, carry)
+    texts = keyed(docs, id_col, text_col, tuple(carried(carry, RESULT)))
     # dealt before they are grouped: single rows take less of a shuffle than lists of one
     again = repeated_units(texts, kind, whole).select(F.col("doc").alias("id"), F.shiftright("unit", 32).cast("int").alias("rep"), F.col("unit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("unit"))
     found = again.repartition("id", "rep").groupBy("id", "rep").agg(F.collect_list("unit").alias("found"))
     # the join deals texts out itself: `rep` is mostly a constant, and a deal by it is not taken for the join's own
-    joined = texts.join(found, ["id", "rep"], "left").select("doc_id", "text", "found", *carry)
-    carried = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(lambda it: _cut(it, kind, least_words), f"doc_id long, n_units long, n_repeated long, spans array<struct<start:long,end:long>>, kept string{carried}")
+    joined = texts.join(found, ["id", "rep"], "left").select("doc_id", "text", "found", *(["_carried"] if carry else []))
+    more = "".join(f", _carried {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
+    cut = joined.mapInArrow(lambda it: _cut(it, kind, least_words), f"doc_id long, n_units long, n_repeated long, spans array<struct<start:long,end:long>>, kept string{more}")
+    return cut.select(*RESULT, *(F.col("_carried").getField(c).alias(c) for c in carry))

@@ -50,7 +50,7 @@ def test_matches_a_plain_pass_in_order(spark, odd_rows, kind):
 
 def test_short_repeats_stay(spark):
     rows = [(1, "Yes. No."), (2, "Yes. No. One two three four five six seven eight nine ten."), (3, "One two three four five six seven eight nine ten. Yes.")]
-    got = {r.doc_id: r.kept for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.kept for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), "sentence", 10).collect()}
     assert got == {1: "Yes. No.", 2: rows[1][1], 3: ""}
 
 
