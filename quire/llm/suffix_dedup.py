@@ -17,8 +17,8 @@ from quire.llm.lyndon import suffix_array
 PIECE_BITS = 20
 #: Symbols that one suffix array is built over, unless one group alone is larger.
 SYMBOLS = 60_000
-#: Symbols of one anchor's contexts beyond which they are divided by more of the bytes around the anchor.
-MOST_SYMBOLS = 250_000
+#: Symbols of one anchor's contexts beyond which they are divided by more of the bytes around the anchor, and symbols for a task.
+MOST_SYMBOLS, TASK_SYMBOLS = 60_000, 1_000_000
 LAST = (1 << 63) - 1
 
 U = np.uint64
@@ -300,19 +300,21 @@ def repeated_spans(texts: DataFrame, length: int = 100, core: int = 48, most_sym
     source = texts.select(F.col("id").alias("doc"), "rep", "text").join(wanted, ["doc", "rep"]).select("doc", "text", "wanted")
     contexts = written(source.mapInArrow(lambda it: _contexts(it, length, core), "key long, doc long, first long, shape int, sides binary"), "suffix-contexts")
     contexts = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - core))
-    small = []
+    small, symbols = [], 0
     while True:
         sizes = written(contexts.groupBy("key").agg(F.sum(F.length("sides") + 2).alias("symbols"), F.count(F.lit(1)).alias("n")), "suffix-sizes")
+        total = sizes.agg(F.sum("n").alias("n"), F.sum("symbols").alias("symbols")).first()
+        symbols += total["symbols"] or 0
         large = F.col("symbols") > most_symbols
         if sizes.where(large).isEmpty():
             small.append(contexts)
             break
-        sized = spread(contexts, sizes, "key", sizes.agg(F.sum("n")).first()[0])
+        sized = spread(contexts, sizes, "key", total["n"])
         small.append(sized.where(~large).drop("symbols"))
         contexts, again = _divided(sized.where(large).drop("symbols"), length, core)
         spans.append(again)
     few = reduce(DataFrame.unionByName, small).drop("low", "high")
-    sorted_contexts = few.repartition("key").sortWithinPartitions("key", "doc", "first")
+    sorted_contexts = few.repartition(1 + symbols // TASK_SYMBOLS, "key").sortWithinPartitions("key", "doc", "first")
     resolved = written(sorted_contexts.mapInArrow(lambda it: _resolved(it, length, core), RUN), "suffix-resolved")
     spans.append(resolved.select("doc", "first", F.col("context").alias("end")))
     return reduce(DataFrame.unionByName, spans)
