@@ -41,8 +41,9 @@ def runs(roled: DataFrame, role: str) -> DataFrame:
 
 
 def epigraph_runs(roled: DataFrame) -> DataFrame:
-    """Runs of epigraphs and whether each stands where it may: first, or right behind a heading."""
-    found = islands(roled, "role").withColumn("before", F.lag("role").over(in_order())).where("role = 'epigraph'")
+    """Runs of epigraphs and whether each stands where it may: first, or right behind a heading, blank paragraphs aside."""
+    shown = F.when((F.col("role") != "paragraph") | ~blank(F.col("text")), F.col("role"))
+    found = islands(roled, "role").withColumn("before", F.last(shown, ignorenulls=True).over(before())).where("role = 'epigraph'")
     first = F.min_by("before", "index")
     return found.groupBy("pkg_id", "island").agg(F.min("index").alias("start"), F.count(F.lit(1)).alias("n_paragraphs"), (first.isNull() | (first == "heading")).alias("allowed")).drop("island")
 
@@ -134,6 +135,7 @@ def stanzas(lines: DataFrame) -> DataFrame:
 def summary(roled: DataFrame) -> DataFrame:
     """Per package: blocks by kind, neighbouring quotes, verses, epigraphs and floating texts counted as one block each."""
     grouped = F.col("role").isin("prose_quote", "verse_quote", "epigraph", "floating_text")
-    counted = islands(roled, "role").withColumn("block", F.when(grouped, F.concat(F.lit("g"), F.col("island"))).otherwise(F.concat(F.lit("p"), F.col("index"))))
+    opens = ~grouped | ~F.col("role").eqNullSafe(F.lag("role").over(in_order()))
+    counted = roled.withColumn("opens", opens)
     kinds = ("heading", "paragraph", "prose_quote", "verse_quote", "epigraph", "floating_text", "signature", "unsupported")
-    return counted.groupBy("pkg_id").agg(*(F.count_distinct(F.when(F.col("role") == k, F.col("block"))).alias(f"n_{k}") for k in kinds), F.max("level").alias("deepest"))
+    return counted.groupBy("pkg_id").agg(*(F.count_if((F.col("role") == k) & F.col("opens")).alias(f"n_{k}") for k in kinds), F.max("level").alias("deepest"))

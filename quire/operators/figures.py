@@ -30,6 +30,12 @@ def figures(paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def orphans(paragraphs: DataFrame) -> DataFrame:
+    """Titles, captions and credits that belong to no image: pkg_id, index."""
+    used = figures(paragraphs).select("pkg_id", F.explode(F.array_compact(F.array("title", "caption", "credits"))).alias("index"))
+    return paragraphs.where(F.col("style_id").isin(TITLE, CAPTION, CREDITS, NATIVE)).select("pkg_id", "index").join(used, ["pkg_id", "index"], "left_anti")
+
+
 def media_targets(drawings: DataFrame, relations: DataFrame, media: DataFrame) -> DataFrame:
     """drawings (pkg_id, part, index, relation_id) -> the stored image's address by content, or the code of what is wrong.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.functions.names import spaced
+from quire.functions.names import folded, spaced
 
 # Licences known by their identifier, and the vocabularies of identifiers.
 LICENSES = (
@@ -60,10 +60,11 @@ def repeated_ids(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy("pkg_id", F.trim(id_col).alias(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def similar_keywords(rows: DataFrame) -> DataFrame:
-    """rows (pkg_id, position, keyword): later keywords that differ from the first with the same spaced form."""
-    w = Window.partitionBy("pkg_id", spaced(F.col("keyword"))).orderBy("position")
-    return rows.withColumn("first", F.first("keyword").over(w)).where("keyword <> first").select("pkg_id", "position", "keyword", "first")
+def similar_keywords(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows (pkg_id, position, keyword): later keywords that differ from the first of theirs that is equal but for case, accents and blanks."""
+    w = Window.partitionBy("pkg_id", *within, "_fold").orderBy("position")
+    named = rows.withColumn("_fold", folded(F.col("keyword")))
+    return named.withColumn("first", F.first("keyword").over(w)).where("keyword <> first").select("pkg_id", *within, "position", "keyword", "first")
 
 
 def affiliation_text(*parts: str):
@@ -94,7 +95,10 @@ def unmatched_signatures(signatures: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def with_profile(documents: DataFrame, profile: DataFrame) -> DataFrame:
-    """Publication columns of `documents`, a blank one replaced by the institution's profile (one row)."""
+    """Publication columns of `documents`, a blank one filled in from the institution's profile; without a profile nothing changes, and more than one row is an error."""
     shared = [c for c in profile.columns if c in documents.columns]
-    joined = documents.crossJoin(F.broadcast(profile.select(*(F.col(c).alias(f"_{c}") for c in shared)).limit(1)))
-    return joined.select(*(F.coalesce(ids.optional_text(F.col(c)), F.col(f"_{c}")).alias(c) if c in shared else F.col(c) for c in documents.columns))
+    rows = profile.select(*shared).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("one profile at most can fill in documents")
+    given = {c: F.lit(rows[0][c]) for c in shared} if rows else {}
+    return documents.select(*(F.coalesce(ids.optional_text(F.col(c)), given[c]).alias(c) if c in given else F.col(c) for c in documents.columns))

@@ -10,7 +10,7 @@ from quire.staging import written
 
 # Number formats of ordered lists, and what holds where a level says nothing.
 ORDERED = ("decimal", "decimalZero", "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "ordinal", "cardinalText", "ordinalText")
-DEFAULT_FORMAT, DEFAULT_START, DEFAULT_SUFFIX = "decimal", 0, "tab"
+DEFAULT_FORMAT, DEFAULT_START = "decimal", 0
 
 
 def list_kind(number_format: Column, picture: Column) -> Column:
@@ -53,7 +53,7 @@ def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: Data
     )
 
 
-def inherited_numbering(styles: DataFrame, most: int = 64) -> DataFrame:
+def inherited_numbering(styles: DataFrame, most: int = 512) -> DataFrame:
     """For each style (pkg_id, style_id, based_on, raw_id) the first one up its chain that sets a number, by rounds.
 
     outcome: set (with raw_id and depth), cycle, or none.
@@ -71,6 +71,8 @@ def inherited_numbering(styles: DataFrame, most: int = 64) -> DataFrame:
         state = written(step, "style-chains")
         if state.where("at is not null").isEmpty():
             break
+    else:
+        raise RuntimeError(f"style chains did not settle in {most} rounds")
     outcome = F.when(F.col("cycle"), "cycle").when(F.col("raw_id").isNotNull(), "set").otherwise("none")
     return state.select("pkg_id", "style_id", outcome.alias("outcome"), "raw_id", (F.size("seen") - 1).alias("depth"))
 
@@ -80,6 +82,20 @@ def active(status: Column, raw_id: Column) -> Column:
     return F.when(status.isNotNull(), status != "removed").otherwise(F.coalesce(raw_id != "0", F.lit(False)))
 
 
+def refusal(role: Column, status: Column, kind: Column, origin: Column, legal: Column, restart: Column) -> Column:
+    """Why a numbered paragraph is no list item, by the first reason that holds; null where it is one or its number was removed."""
+    fine = (status == "resolved") & kind.isin("ordered", "bulleted")
+    return (
+        F.when(status.isNull() | (status == "removed"), None)
+        .when(role != "paragraph", "numbered_nonparagraph_style_not_serializable")
+        .when(restart.isNotNull(), "explicit_list_restart_not_serializable")
+        .when(origin == "style", "style_based_numbering_not_serializable")
+        .when(F.coalesce(legal, F.lit(False)), "legal_numbering_not_serializable")
+        .when(kind == "none", "numbering_without_marker_not_serializable")
+        .when(~F.coalesce(fine, F.lit(False)), "unsupported_numbering_not_serializable")
+    )
+
+
 def refused_numbering(resolved: DataFrame) -> DataFrame:
     """Numbered paragraphs that cannot be written as list items."""
     fine = (F.col("status") == "resolved") & F.col("kind").isin("ordered", "bulleted") & F.col("level").isNotNull()

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.names import spaced
+from quire.functions.names import folded, spaced
 
 # Style identifiers and names of the word processor, and of the controlled styles.
 ROLES = {
@@ -17,6 +17,7 @@ ROLES = {
     "BlockText": ("floating_text", None), "Title": ("deferred", None), "Subtitle": ("deferred", None),
 }
 CONSECUTIVE_IDS, CONSECUTIVE_NAMES, NOT_CONSECUTIVE = ("BodyText",), ("corps de texte", "body text"), ("BodyText2", "BodyText3")
+#: Styles of blocks that neighbours decide over, and of figures' texts.
 CONTENTS = ("TOC1", "TOC2", "TOC3", "TOC4", "TOC5", "TOC6", "TOC7", "TOC8", "TOC9", "TOCHeading")
 FIGURE_CONTAINERS = ("Normal", "FootnoteText", "EndnoteText")
 CONTROLLED = {
@@ -24,6 +25,36 @@ CONTROLLED = {
     "TEIbiblstart": "TEI_bibl_start", "TEIbiblreference": "TEI_bibl_reference",
 }
 BIBLIOGRAPHY = ("Bibliography",)
+CONTINUATION = ("ListParagraph",)
+# Names that the word processor shows for its own styles in other languages, in lower case.
+PARAGRAPH_NAMES = {
+    "Heading1": ("heading 1", "titre 1", "überschrift 1", "título 1"),
+    "Heading2": ("heading 2", "titre 2", "überschrift 2", "título 2"),
+    "Heading3": ("heading 3", "titre 3", "überschrift 3", "título 3"),
+    "Heading4": ("heading 4", "titre 4", "überschrift 4", "título 4"),
+    "Heading5": ("heading 5", "titre 5", "überschrift 5", "título 5"),
+    "Heading6": ("heading 6", "titre 6", "überschrift 6", "título 6"),
+    "Normal": ("normal", "standard"),
+    "BodyText": ("body text", "corps de texte", "textkörper", "texto independiente"),
+    "Quote": ("quote", "citation", "zitat", "cita"),
+    "IntenseQuote": ("intense quote", "citation intense"),
+    "ListParagraph": ("list paragraph", "paragraphe de liste", "listenabsatz", "párrafo de lista"),
+    "FootnoteText": ("footnote text", "note de bas de page", "fußnotentext", "texto de nota al pie"),
+    "EndnoteText": ("endnote text", "note de fin", "endnotentext", "texto de nota al final"),
+    "Title": ("title", "titre", "titel", "título"),
+    "Subtitle": ("subtitle", "sous-titre", "untertitel", "subtítulo"),
+    "Caption": ("caption", "légende", "beschriftung", "título de ilustración"),
+    "Bibliography": ("bibliography", "bibliographie"),
+}
+CHARACTER_NAMES = {
+    "Emphasis": ("emphasis", "accentuation", "énfasis"),
+    "Strong": ("strong", "élevé"),
+    "Hyperlink": ("hyperlink", "lien hypertexte"),
+    "FollowedHyperlink": ("followedhyperlink", "followed hyperlink", "lien hypertexte suivi visité"),
+    "FootnoteReference": ("footnote reference", "appel note de bas de p."),
+    "EndnoteReference": ("endnote reference", "appel de note de fin"),
+}
+CHARACTER_MARKS = {"Strong": "bold", "Emphasis": "italic"}
 
 
 @dataclass(frozen=True)
@@ -66,6 +97,31 @@ def with_roles(paragraphs: DataFrame, c: Convention | None = None) -> DataFrame:
     return paragraphs.withColumns({"role": role, "level": level.cast("int"), "rendition": F.when(body & ~heading, "consecutive")})
 
 
+def own_styles(styles: DataFrame) -> DataFrame:
+    """styles (pkg_id, style_id, name, style_type, is_custom) -> pkg_id, style_id, meant: ids that stand for the word processor's own styles by their visible names.
+
+    Custom styles and ids that are known already stand for nothing else. The names are a fixed, small table.
+    """
+    known = [*PARAGRAPH_NAMES, *CHARACTER_NAMES]
+    table = [("paragraph", own, n) for own, names in PARAGRAPH_NAMES.items() for n in names] + [("character", own, n) for own, names in CHARACTER_NAMES.items() for n in names]
+    names = styles.sparkSession.createDataFrame(table, "_kind string, meant string, _name string").select("_kind", "meant", folded(F.col("_name")).alias("_fold"))
+    kind = F.when(F.col("style_type") == "character", "character").otherwise("paragraph")
+    rows = styles.where(~F.coalesce("is_custom", F.lit(False)) & ~F.col("style_id").isin(*known)).select("pkg_id", "style_id", kind.alias("_kind"), folded(F.col("name")).alias("_fold"))
+    return rows.join(F.broadcast(names), ["_kind", "_fold"]).select("pkg_id", "style_id", "meant").distinct()
+
+
+def continuation(role: Column, style: Column, custom: Column, numbered: Column) -> Column:
+    """What a list paragraph without a number of its own may be: `candidate`, or `rejected` for a custom style; else null."""
+    listed = (role == "paragraph") & style.isin(*CONTINUATION) & ~F.coalesce(numbered, F.lit(False))
+    return F.when(listed & F.coalesce(custom, F.lit(False)), "rejected").when(listed, "candidate")
+
+
+def cell_style(style: Column, name: Column, custom: Column) -> Column:
+    """Whether a table cell's paragraph may have the style: none, Normal that is not custom, or the controlled one."""
+    own = (style == "TEIcell") & (name == CONTROLLED["TEIcell"]) & F.coalesce(custom, F.lit(False))
+    return F.coalesce(style.isNull() | ((style == "Normal") & ~F.coalesce(custom, F.lit(False))) | own, F.lit(False))
+
+
 def controlled_status(style: Column, name: Column, custom: Column, kind: Column) -> Column:
     """valid: id and visible name of one controlled style, custom, of a paragraph; invalid: one of them alone; else unrelated."""
     names = F.create_map(*(F.lit(x) for pair in CONTROLLED.items() for x in pair))

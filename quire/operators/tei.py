@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
@@ -48,35 +48,59 @@ def note_xml(notes: DataFrame) -> DataFrame:
     return notes.select("pkg_id", "kind", "note_id", element("note", paragraphs, place=place).alias("xml"))
 
 
-def body_xml(roled: DataFrame, xml: str | None = None) -> DataFrame:
+def verse_xml(content: Column) -> Column:
+    """Verse lines by line breaks; blank lines at the ends go, others part stanzas. Null without a line."""
+    lines = F.transform(F.split(content, "\n|<lb/>"), lambda x: F.trim(x))
+    whole = F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    stanza = lambda s: F.concat(F.lit("<lg>"), F.array_join(F.transform(F.split(s, "\n"), lambda line: F.concat(F.lit("<l>"), line, F.lit("</l>"))), ""), F.lit("</lg>"))
+    return F.when(whole != "", F.array_join(F.transform(F.split(whole, r"\n{2,}"), stanza), ""))
+
+
+#: Roles that `body_xml` writes; a paragraph of any other role needs a piece, or an error row that stops its document.
+WRITTEN = ("heading", "paragraph", "prose_quote", "verse_quote", "epigraph", "floating_text", "signature", "bibl", "ready")
+
+
+def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
     """pkg_id, body: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
 
     A heading closes the divisions at its level and below and opens one for each level down to its own, so a
     skipped level gets a division without a head. `xml` names a column of ready inline XML; without it the
-    text is escaped. Whatever a document leaves open is closed behind its last paragraph.
+    text is escaped. Whatever a document leaves open is closed behind its last paragraph. Signatures are
+    paragraphs. Right behind a quotation a paragraph of the role bibl is its source, and both are one `cit`.
+    `pieces` (pkg_id, index, piece) are blocks that are XML already (`tei_blocks`); they stand for the
+    paragraphs at their indices, and those at an index that no paragraph has stand between.
     """
+    if pieces is not None:
+        roled = roled.join(pieces, ["pkg_id", "index"], "full").withColumn("role", F.when(F.col("piece").isNotNull(), "ready").otherwise(F.col("role")))
     content = F.coalesce(F.col(xml) if xml else escaped(F.col("text")), F.lit(""))
     rows = islands(roled, "role").withColumn("_content", content)
     head = F.col("role") == "heading"
     rows = rows.withColumn("_depth", F.coalesce(F.last(F.when(head, F.col("level")), ignorenulls=True).over(before()), F.lit(0)))
     rows = rows.withColumns({"_first": ~F.col("role").eqNullSafe(F.lag("role").over(in_order())), "_last": ~F.col("role").eqNullSafe(F.lead("role").over(in_order())), "_end": F.lead("index").over(in_order()).isNull()})
+    quote = F.col("role").isin("prose_quote", "verse_quote")
+    rows = rows.withColumns({"_source": F.when(quote & F.col("_last") & (F.lead("role").over(in_order()) == "bibl"), F.lead("_content").over(in_order())), "_taken": F.coalesce(F.lag("role").over(in_order()).isin("prose_quote", "verse_quote"), F.lit(False))})
+    rows = rows.withColumn("_cited", F.max("_source").over(Window.partitionBy("pkg_id", "island")).isNotNull())
     types = F.create_map(*(F.lit(x) for pair in DIVISIONS.items() for x in pair))
     closing = F.repeat(F.lit("</div>"), F.greatest(F.col("_depth") - F.col("level") + 1, F.lit(0)))
     opened = F.when(F.col("level") > F.col("_depth"), F.sequence(F.col("_depth") + 1, F.col("level"))).otherwise(F.array(F.col("level")))
     opening = F.array_join(F.transform(opened, lambda n: F.concat(F.lit('<div type="'), types[n], F.lit('">'))), "")
 
-    def group(start: str, piece: Column, end: str) -> Column:
+    def group(start: str | Column, piece: Column, end: str | Column) -> Column:
         return F.concat(F.when(F.col("_first"), start).otherwise(""), piece, F.when(F.col("_last"), end).otherwise(""))
 
     p = element("p", F.col("_content"))
-    verse = F.concat(F.lit("<lg>"), F.array_join(F.transform(F.split("_content", "\n|<lb/>"), lambda line: F.concat(F.lit("<l>"), line, F.lit("</l>"))), ""), F.lit("</lg>"))
+    verse = F.coalesce(verse_xml(F.col("_content")), F.lit(""))
+    cited = F.when(F.col("_cited"), "<cit><quote>").otherwise("<quote>"), F.concat(F.lit("</quote>"), F.coalesce(F.concat(element("bibl", F.col("_source")), F.lit("</cit>")), F.lit("")))
     piece = (
         F.when(head, F.concat(closing, opening, element("head", F.col("_content"))))
-        .when(F.col("role") == "prose_quote", group("<quote>", p, "</quote>"))
-        .when(F.col("role") == "verse_quote", group("<quote>", verse, "</quote>"))
+        .when(F.col("role") == "prose_quote", group(cited[0], p, cited[1]))
+        .when(F.col("role") == "verse_quote", group(cited[0], verse, cited[1]))
         .when(F.col("role") == "epigraph", group("<epigraph>", p, "</epigraph>"))
         .when(F.col("role") == "floating_text", group('<floatingText><body>', p, "</body></floatingText>"))
         .when(F.col("role") == "paragraph", element("p", F.col("_content"), rend=F.col("rendition")))
+        .when(F.col("role") == "signature", F.when(F.trim("_content") != "", p))
+        .when(F.col("role") == "bibl", F.when(~F.col("_taken"), element("bibl", F.col("_content"))))
+        .when(F.col("role") == "ready", F.col("piece") if pieces is not None else F.lit(""))
     )
     depth = F.when(head, F.col("level")).otherwise(F.col("_depth"))
     ended = F.concat(F.coalesce(piece, F.lit("")), F.when(F.col("_end"), F.repeat(F.lit("</div>"), depth.cast("int"))).otherwise(""))
@@ -112,10 +136,13 @@ def header_xml(metadata: DataFrame) -> DataFrame:
     return metadata.select("pkg_id", element("teiHeader", F.concat(element("fileDesc", file), element("profileDesc", profile))).alias("header"))
 
 
-def documents(headers: DataFrame, bodies: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """pkg_id, xml for the packages that no error diagnostic stops."""
+def documents(headers: DataFrame, bodies: DataFrame, diagnostics: DataFrame, fronts: DataFrame | None = None, backs: DataFrame | None = None) -> DataFrame:
+    """pkg_id, xml for the packages that no error diagnostic stops; one without paragraphs has an empty body."""
     from quire.operators.diagnostics import converted
 
-    joined = converted(headers.join(bodies, "pkg_id"), diagnostics)
+    joined = converted(headers.join(bodies, "pkg_id", "left"), diagnostics)
+    for name, more in (("front", fronts), ("back", backs)):
+        joined = joined.withColumn(name, F.lit("")) if more is None else joined.join(more.select("pkg_id", name), "pkg_id", "left")
+    empty = lambda name, text="": F.coalesce(F.col(name), F.lit(text))
     start = F.lit(f"<?xml version='1.0' encoding='UTF-8'?>\n<TEI xmlns=\"{NAMESPACE}\">")
-    return joined.select("pkg_id", F.concat(start, "header", F.lit("<text>"), "body", F.lit("</text></TEI>\n")).alias("xml"))
+    return joined.select("pkg_id", F.concat(start, "header", F.lit("<text>"), empty("front"), empty("body", "<body></body>"), empty("back"), F.lit("</text></TEI>\n")).alias("xml"))

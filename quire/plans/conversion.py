@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, diagnostics, inline, notes, numbering, roles, tei, validation
+from quire.functions import identifiers as ids
+from quire.operators import blocks, diagnostics, figures, graphics, inline, lists, notes, numbering, roles, tables, tei, tei_blocks, validation
 from quire.sources.packages import body_paragraphs, exploded
+from quire.staging import written
 
 DIAGNOSTIC = ("pkg_id", "phase", "origin", "code", "severity", "index", "note_id", "part")
 
@@ -27,63 +31,209 @@ def inspected(packages: DataFrame) -> DataFrame:
     return _row(issues, 0, "inspection").unionByName(_row(fatal, 0, "inspection"))
 
 
+def _first(rows: DataFrame, *key: str, order: str = "at") -> DataFrame:
+    """Of rows with one key the first in document order."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("pkg_id", *key).orderBy(order))).where("_rank = 1").drop("_rank", order)
+
+
+def _numbered(packages: DataFrame, table: str) -> DataFrame:
+    """A table's rows with `at`, their place in the document."""
+    return packages.select("pkg_id", F.posexplode(table).alias("at", "_x")).select("pkg_id", "at", "_x.*")
+
+
+def canonical(name: str):
+    return F.when(F.col(name).rlike("^[0-9]+$"), F.col(name).try_cast("bigint"))
+
+
+def numbering_tables(packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Instances, levels and overrides on canonical ids; of repeated ones the first counts."""
+    instances = _numbered(packages, "instances").select("pkg_id", "at", canonical("num_id").alias("num_id"), canonical("abstract_id").alias("abstract_id")).where("num_id is not null")
+    levels = _numbered(packages, "levels").select("pkg_id", "at", canonical("abstract_id").alias("abstract_id"), canonical("level").cast("int").alias("level"), F.coalesce("number_format", F.lit("")).alias("number_format"), canonical("start").cast("int").alias("start"), "picture").where("abstract_id is not null and level is not null")
+    overrides = _numbered(packages, "overrides").select("pkg_id", "at", canonical("num_id").alias("num_id"), canonical("level").cast("int").alias("level"), canonical("start_override").cast("int").alias("start_override")).where("num_id is not null and level is not null")
+    return _first(instances, "num_id"), _first(levels, "abstract_id", "level"), _first(overrides, "num_id", "level")
+
+
+def repeated_numbering(packages: DataFrame) -> DataFrame:
+    """Definitions behind the first of their canonical id, with a code for each kind."""
+    found = []
+    for table, key, code in (("instances", ("num_id",), "duplicate_numbering_instance"), ("levels", ("abstract_id", "level"), "duplicate_numbering_level")):
+        rows = _numbered(packages, table).select("pkg_id", *(canonical(k).alias(k) for k in key)).dropna()
+        found.append(rows.groupBy("pkg_id", *key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pkg_id", F.lit(code).alias("code")))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def resolved(packages: DataFrame) -> DataFrame:
-    """Numbering of body paragraphs, on canonical ids; of repeated definitions the first counts."""
-    canonical = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("bigint"))
-    rows = exploded(packages, "paragraphs").where("part = 'word/document.xml' and not in_table and has_numbering").select("pkg_id", "index", "raw_id", "raw_level")
-    instances = exploded(packages, "instances").select("pkg_id", canonical("num_id").alias("num_id"), canonical("abstract_id").alias("abstract_id")).where("num_id is not null").dropDuplicates(["pkg_id", "num_id"])
-    levels = exploded(packages, "levels").select("pkg_id", canonical("abstract_id").alias("abstract_id"), canonical("level").cast("int").alias("level"), F.coalesce("number_format", F.lit("")).alias("number_format"), canonical("start").cast("int").alias("start"), "picture").where("abstract_id is not null and level is not null").dropDuplicates(["pkg_id", "abstract_id", "level"])
-    overrides = exploded(packages, "overrides").select("pkg_id", canonical("num_id").alias("num_id"), canonical("level").cast("int").alias("level"), canonical("start_override").cast("int").alias("start_override")).where("num_id is not null and level is not null").dropDuplicates(["pkg_id", "num_id", "level"])
-    return numbering.resolved_numbering(rows, instances, levels, overrides)
+    """Numbering of body paragraphs with its origin: their own, or the one their style sets or inherits."""
+    rows = exploded(packages, "paragraphs").where("part = 'word/document.xml' and not in_table").select("pkg_id", "index", "style_id", "has_numbering", "raw_id", "raw_level")
+    styles = _first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", "based_on", "raw_id"), "style_id")
+    inherited = numbering.inherited_numbering(styles).where("outcome = 'set'").select("pkg_id", "style_id", F.col("raw_id").alias("_style_id"))
+    joined = rows.join(inherited, ["pkg_id", "style_id"], "left").where("has_numbering or _style_id is not null")
+    own = F.col("has_numbering")
+    used = joined.select("pkg_id", "index", F.when(own, "direct").otherwise("style").alias("origin"), F.when(own, F.col("raw_id")).otherwise(F.col("_style_id")).alias("raw_id"), F.when(own, F.col("raw_level")).alias("raw_level"))
+    found = numbering.resolved_numbering(used, *numbering_tables(packages))
+    return found.join(used.select("pkg_id", "index", "origin", "raw_id"), ["pkg_id", "index"])
+
+
+def with_own_styles(packages: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs whose localized style ids are replaced by the ids they stand for."""
+    meant = roles.own_styles(_first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", "name", "style_type", "is_custom"), "style_id"))
+    return paragraphs.join(meant, ["pkg_id", "style_id"], "left").withColumn("style_id", F.coalesce("meant", "style_id")).drop("meant")
+
+
+def body_blocks(packages: DataFrame) -> DataFrame:
+    """Body paragraphs with the role each has among its neighbours, and what decides over it.
+
+    Over the roles of `roles.with_roles`: bibliography (from the cut on), figure (an image), figure_text (its
+    title, caption, credits), list_item (numbered, status resolved), bibl (a reference of its own or of the
+    quotation before it) and empty (nothing but layout).
+    """
+    roled = roles.with_roles(with_own_styles(packages, body_paragraphs(packages)))
+    items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table")
+    other = (F.col("kind") != "drawing") & ~((F.col("kind") == "text") & blocks.blank(F.col("text")))
+    stats = items.groupBy("pkg_id", "index").agg(F.count_if(F.col("kind") == "drawing").alias("drawing_count"), F.bool_or(other).alias("has_other"), F.bool_or((F.col("kind") == "tab") | F.col("link").isNotNull() | F.col("anchor").isNotNull() | F.col("reference_id").isNotNull() | ((F.col("kind") == "break") & (F.col("break_type") != "line"))).alias("has_mark"))
+    numbers = resolved(packages).select("pkg_id", "index", "status", "kind", "number_format", "start", F.col("level").alias("list_level"), "origin", F.col("raw_id").alias("number"))
+    rows = roled.join(stats, ["pkg_id", "index"], "left").join(numbers, ["pkg_id", "index"], "left")
+    rows = rows.withColumns({"drawing_count": F.coalesce("drawing_count", F.lit(0)), "numbered": numbering.active(F.col("status"), F.col("raw_id"))})
+    cut = blocks.bibliography_cut(roled).select("pkg_id", "cut")
+    around = figures.figures(rows).select("pkg_id", F.explode(F.array_compact(F.array("title", "caption", "credits"))).alias("index")).distinct().withColumn("_text_of_figure", F.lit(True))
+    rows = rows.join(cut, "pkg_id", "left").join(around, ["pkg_id", "index"], "left")
+    reference = roles.controlled_status(F.col("style_id"), F.col("style_name"), F.col("style_is_custom"), F.lit("paragraph"))
+    empty = blocks.blank(F.col("text")) & ~F.coalesce("has_mark", F.lit(False)) & (F.size("bookmark_ids") == 0) & ~F.col("numbered")
+    listed = (F.col("role") == "paragraph") & (F.col("status") == "resolved") & F.col("kind").isin("ordered", "bulleted") & (F.col("origin") == "direct")
+    role = (
+        F.when(F.col("index") >= F.col("cut"), "bibliography").when(F.col("drawing_count") > 0, "figure").when(F.col("_text_of_figure"), "figure_text").when(listed, "list_item")
+        .when((F.col("style_id") == "TEIbiblreference") & (reference == "valid"), "bibl").when((F.col("role").isin("paragraph", "signature")) & empty, "empty").otherwise(F.col("role"))
+    )
+    return rows.withColumn("role", role).drop("_text_of_figure")
+
+
+def _drawings(packages: DataFrame) -> DataFrame:
+    rows = exploded(packages, "items").where("part = 'word/document.xml' and not in_table and kind = 'drawing'")
+    return rows.select("pkg_id", "part", "index", F.coalesce("link", "anchor").alias("link"), "placement", "embedded", "linked", "cropped", "transformed", "invalid", "description")
+
+
+def found_graphics(packages: DataFrame, body: DataFrame) -> DataFrame:
+    relations = exploded(packages, "relations").select("pkg_id", "part", "relation_id", "sequence", "target", "type", "mode")
+    return graphics.graphics(body.where("drawing_count > 0").select("pkg_id", "part", "index", "style_id", "style_is_custom", "numbered", "has_other"), _drawings(packages), relations, exploded(packages, "media"))
+
+
+def found_lists(body: DataFrame) -> DataFrame:
+    items = body.where("role = 'list_item'")
+    path = lists.list_items(items.select(F.xxhash64("pkg_id").alias("pkg_id"), "index", canonical("number").alias("num_id"), F.col("list_level").alias("level"), "kind", "number_format", "start"))
+    return items.withColumn("_key", F.xxhash64("pkg_id")).join(path.withColumnRenamed("pkg_id", "_key"), ["_key", "index"]).drop("_key")
 
 
-def found_problems(packages: DataFrame, roled: DataFrame) -> DataFrame:
-    """Diagnostics of all phases, repeats removed: inspection, numbering, notes, text."""
+def found_problems(packages: DataFrame, body: DataFrame) -> DataFrame:
+    """Diagnostics of all phases, repeats removed: inspection, numbering, notes, and whatever in the text cannot be written."""
     refs = exploded(packages, "items").where("reference_id is not null").select("pkg_id", F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
     known = exploded(packages, "notes").select("pkg_id", F.concat("kind", F.lit(":"), "note_id").alias("note_id"))
-    signatures = blocks.signature_runs(roled).where("refused is not null").select("pkg_id", F.col("start").alias("index"), F.when(F.col("refused") == "too_long", "too_many_signature_lines").otherwise("non_terminal_signature").alias("code"))
+    repeated = known.groupBy("pkg_id", "note_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    signatures = blocks.signature_runs(body.where("role not in ('empty', 'bibliography')")).where("refused is not null").select("pkg_id", F.col("start").alias("index"))
+    tables_found = tables.table_problems(exploded(packages, "cells")).where("code is not null").select("pkg_id", F.col("block").alias("index"), "code")
+    refusal = numbering.refusal(F.when(F.col("role") == "list_item", "paragraph").otherwise(F.col("role")), F.col("status"), F.col("kind"), F.col("origin"), F.lit(None).cast("boolean"), F.lit(None).cast("int"))
+    numbers = body.where("role <> 'bibliography'").withColumn("code", refusal).where("code is not null")
+    items = exploded(packages, "items").where("part = 'word/document.xml'")
+    relation = exploded(packages, "relations").select("pkg_id", "part", F.col("relation_id").alias("link"), "mode").distinct()
+    code = (
+        F.when(F.col("kind") == "tab", "tab_not_serializable").when((F.col("kind") == "break") & (F.col("break_type") != "line"), "page_or_column_break_not_serializable")
+        .when(F.col("link").isNotNull() & ~F.coalesce(F.col("mode") == "External", F.lit(False)), "unresolved_link_not_serializable").when(F.col("link").isNull() & F.col("anchor").isNotNull(), "internal_link_not_serializable")
+        .when(F.col("in_table") & (F.col("kind") == "drawing"), "image_in_table_cell_not_serializable")
+    )
+    inner = items.join(relation, ["pkg_id", "part", "link"], "left").withColumn("code", code).where("code is not null").select("pkg_id", "index", "code")
+    kept = body.where("role not in ('empty', 'bibliography')").select("pkg_id", "index").unionByName(items.where("in_table").select("pkg_id", "index").distinct())
+    inner = inner.join(kept, ["pkg_id", "index"], "left_semi")
+    at = lambda rows, role, code: rows.where(F.col("role") == role).select("pkg_id", "index", F.lit(code).alias("code"))
+    blank = body.where(blocks.blank(F.col("text")))
+    texts = (
+        at(blank.where("not coalesce(has_mark, false)"), "heading", "empty_heading"), at(blank.where("not coalesce(has_mark, false)"), "list_item", "empty_list_item_not_serializable"),
+        at(blank, "verse_quote", "ambiguous_empty_verse_block"),
+        figures.orphans(body).select("pkg_id", "index", F.lit("orphan_figure_caption_not_serializable").alias("code")),
+        blocks.epigraph_runs(body.where("role <> 'empty'")).where("not allowed").select("pkg_id", F.col("start").alias("index"), F.lit("misplaced_epigraph_not_serializable").alias("code")),
+        blocks.sourced_quotes(body).where("has_second").select("pkg_id", F.col("start").alias("index"), F.lit("multiple_quotation_sources_not_serializable").alias("code")),
+        at(body.where((F.col("index") > F.col("cut")) & ~F.coalesce(F.col("style_id").isin(*roles.BIBLIOGRAPHY, "TEIbiblreference", "TEIbiblstart"), F.lit(False)) & ~blocks.blank(F.col("text"))), "bibliography", "nonterminal_bibliography_not_serializable"),
+        found_lists(body).where("code is not null").select("pkg_id", "index", "code"),
+        found_graphics(packages, body).where("code is not null").select("pkg_id", "index", "code"),
+        tables_found, inner, numbers.select("pkg_id", "index", "code"),
+    )
+    styled = body.where(~F.col("role").isin("bibliography", "figure", "figure_text", "list_item", "bibl", "empty", "ready"))
     parts = (
         inspected(packages),
-        _row(numbering.refused_numbering(resolved(packages)), 1, "numbering", "error"),
+        _row(repeated_numbering(packages), 0, "inspection", "error"),
         _row(notes.missing_targets(refs, known), 2, "editorial", "error", code=F.lit("missing_note_target")),
         _row(notes.unreferenced(refs, known), 2, "editorial", "warning", code=F.lit("unreferenced_note")),
-        _row(roles.style_diagnosis(roled), 3, "editorial"),
-        _row(blocks.heading_jumps(roled), 3, "editorial", "info", code=F.lit("heading_level_jump")),
-        _row(signatures, 3, "editorial", "error"),
+        _row(repeated, 2, "editorial", "error", code=F.lit("duplicate_note_id")),
+        _row(roles.style_diagnosis(styled), 3, "editorial"),
+        _row(blocks.heading_jumps(body), 3, "editorial", "info", code=F.lit("heading_level_jump")),
+        _row(at(body, "empty", "empty_paragraph_ignored"), 3, "editorial", "info"),
+        _row(signatures, 3, "editorial", "error", code=F.lit("misplaced_signature_not_serializable")),
+        *(_row(rows, 3, "editorial", "error") for rows in texts),
     )
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, parts)
     rows = rows.withColumn("sequence", F.struct("phase", "part", "note_id", "index", "code"))
     return diagnostics.distinct_diagnostics(rows).drop("sequence")
 
 
-def body_spans(packages: DataFrame) -> DataFrame:
-    """Items of body paragraphs as spans with marks (direct ones over the character style's) external links, and notes where they are referred to (each time)."""
-    style_marks = F.when(F.col("char_style") == "Strong", F.array(F.lit("bold"))).when(F.col("char_style") == "Emphasis", F.array(F.lit("italic")))
+def body_spans(packages: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Items of body and cell paragraphs as spans with marks (direct ones over the character style's), external links, and notes where they are referred to (each time).
+
+    languages: pkg_id, language of the documents; a run in another language than its document's carries it.
+    """
+    meant = roles.own_styles(_first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", "name", "style_type", "is_custom"), "style_id")).select("pkg_id", F.col("style_id").alias("char_style"), "meant")
+    names = F.create_map(*(F.lit(x) for pair in roles.CHARACTER_MARKS.items() for x in pair))
+    style_marks = F.when(names[F.col("char_style")].isNotNull(), F.array(names[F.col("char_style")]))
     direct = {n: F.col(n) for n in ("bold", "italic", "small_caps", "caps")} | {"superscript": F.when(F.col("vertical") == "superscript", True), "subscript": F.when(F.col("vertical") == "subscript", True)}
-    links = exploded(packages, "relations").where("mode = 'External'").select("pkg_id", "part", F.col("relation_id").alias("link"), F.col("target").alias("url")).dropDuplicates(["pkg_id", "part", "link"])
-    notes_xml = tei.note_xml(exploded(packages, "notes").dropDuplicates(["pkg_id", "kind", "note_id"])).select("pkg_id", F.concat("kind", F.lit("_reference")).alias("kind"), F.col("note_id").alias("reference_id"), "xml")
-    items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table and kind in ('text', 'break', 'footnote_reference', 'endnote_reference')")
+    links = _first(exploded(packages, "relations").where("mode = 'External'").select("pkg_id", "part", F.col("relation_id").alias("link"), F.col("target").alias("url"), "sequence"), "part", "link", order="sequence")
+    known = _first(_numbered(packages, "notes"), "kind", "note_id")
+    notes_xml = tei.note_xml(known).select("pkg_id", F.concat("kind", F.lit("_reference")).alias("kind"), F.col("note_id").alias("reference_id"), "xml")
+    items = exploded(packages, "items").where("part = 'word/document.xml' and kind in ('text', 'break', 'footnote_reference', 'endnote_reference')")
+    items = items.where("kind <> 'break' or break_type = 'line'").join(meant, ["pkg_id", "char_style"], "left").withColumn("char_style", F.coalesce("meant", "char_style"))
     items = items.join(links, ["pkg_id", "part", "link"], "left").join(notes_xml, ["pkg_id", "kind", "reference_id"], "left")
+    language = F.lit(None).cast("string")
+    if languages is not None:
+        items = items.join(languages.select("pkg_id", F.col("language").alias("_document")), "pkg_id", "left")
+        language = F.when(ids.primary_language(F.col("language")) != ids.primary_language(F.col("_document")), F.col("language"))
     is_note = F.col("reference_id").isNotNull()
     kind, text = F.when(is_note, "note").otherwise(F.col("kind")), F.when(is_note, F.coalesce("xml", F.lit(""))).otherwise(F.col("text"))
-    shown = items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), kind.alias("kind"), text.alias("text"), F.when(~is_note, inline.marks(style_marks, direct)).alias("marks"), F.when(~is_note, F.col("url")).alias("link"), F.lit(None).cast("string").alias("language"))
+    shown = items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), kind.alias("kind"), text.alias("text"), F.when(~is_note, inline.marks(style_marks, direct)).alias("marks"), F.when(~is_note, F.col("url")).alias("link"), F.when(~is_note, language).alias("language"))
     return inline.spans(shown)
 
 
+def body_pieces(packages: DataFrame, body: DataFrame, xml: DataFrame) -> DataFrame:
+    """Lists, figures and tables as pieces at the blocks' places (`block` counts paragraphs and tables)."""
+    place = body.select("pkg_id", "index", "block")
+    items = tei_blocks.list_pieces(found_lists(body).join(xml, ["pkg_id", "index"], "left"))
+    images = tei_blocks.figure_pieces(figures.figures(body), found_graphics(packages, body), xml)
+    gone = body.where("role in ('empty', 'bibliography', 'figure_text')").select("pkg_id", "index", F.lit("").alias("piece"))
+    whole = items.unionByName(images).unionByName(gone).groupBy("pkg_id", "index").agg(F.max("piece").alias("piece")).join(place, ["pkg_id", "index"])
+    cells = exploded(packages, "cells").join(xml, ["pkg_id", "index"], "left")
+    return whole.select("pkg_id", "block", "piece").unionByName(tei_blocks.table_xml(cells)).withColumnRenamed("block", "index")
+
+
+def bibliographies(body: DataFrame, xml: DataFrame) -> DataFrame:
+    rows = body.where("role = 'bibliography'").join(xml, ["pkg_id", "index"], "left")
+    entry = F.col("style_id").isin(*roles.BIBLIOGRAPHY, "TEIbiblreference")
+    head = F.when(entry, "entry").when(F.col("index") == F.col("cut"), "head")
+    return tei_blocks.bibliography_xml(rows.withColumn("part", head).where("part is not null").select("pkg_id", "index", "part", "xml"))
+
+
 def converted(packages: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, xml) of the packages without errors, and the diagnostics of all.
 
     metadata: what `tei.header_xml` takes. A package without metadata is refused (missing_metadata), and so
-    is one whose XML breaks the profile.
+    is one whose XML breaks the profile. Packages are decoded once: what is read here is a written table, and
+    so are their blocks. Every paragraph, item, image, list and table is written or has an error row.
     """
-    roled = roles.with_roles(body_paragraphs(packages))
+    packages = written(packages, "packages")
+    body = written(body_blocks(packages), "blocks")
     lacking = packages.select("pkg_id").join(metadata, "pkg_id", "left_anti")
-    problems = found_problems(packages, roled).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata")))
-    ready = roled.join(tei.span_xml(body_spans(packages)), ["pkg_id", "index"], "left")
-    books = tei.documents(tei.header_xml(metadata), tei.body_xml(ready, "xml"), problems)
-    invalid = validation.validated(books)
+    problems = written(found_problems(packages, body).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
+    xml = written(tei.span_xml(body_spans(packages, metadata)), "spans")
+    pieces = body_pieces(packages, body, xml)
+    ready = body.join(xml, ["pkg_id", "index"], "left").withColumn("index", F.col("block"))
+    fronts = metadata.select("pkg_id", tei_blocks.front_xml(F.col("abstracts")).alias("front")) if "abstracts" in metadata.columns else None
+    known = metadata.join(packages.select("pkg_id"), "pkg_id", "left_semi")
+    books = written(tei.documents(tei.header_xml(known), tei.body_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
+    invalid = written(validation.validated(books), "invalid")
     checked = _row(invalid.select("pkg_id").distinct(), 5, "validation", "error", code=F.lit("invalid_output"))
     return books.join(invalid, "pkg_id", "left_anti"), problems.unionByName(checked)
 

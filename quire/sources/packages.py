@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+TRUE, FALSE = ("1", "true", "on"), ("0", "false", "off")
 REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 CT = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 MOST_XML, MOST_MEDIA = 16 << 20, 64 << 20
+#: Packages decoded together.
+TOGETHER = 32
+IN_TABLES = 1_000_000_000
 NOT_NOTES = ("separator", "continuationSeparator", "continuationNotice")
 
 PARAGRAPH = "part string, note_id string, index int, block int, style_id string, outline_level int, has_numbering boolean, raw_id string, raw_level string, bookmark_ids array<string>, in_table boolean"
-ITEM = "part string, note_id string, index int, run int, item int, kind string, text string, break_type string, reference_id string, relation_ids array<string>, link string, anchor string, char_style string, bold boolean, italic boolean, small_caps boolean, caps boolean, vertical string, language string, in_table boolean"
+ITEM = "part string, note_id string, index int, run int, item int, kind string, text string, break_type string, reference_id string, relation_ids array<string>, placement string, embedded array<string>, linked array<string>, description string, cropped boolean, transformed boolean, invalid boolean, link string, anchor string, char_style string, bold boolean, italic boolean, small_caps boolean, caps boolean, vertical string, language string, in_table boolean"
 STYLE = "style_id string, name string, style_type string, based_on string, is_custom boolean, outline_level int, raw_id string, raw_level string"
 TABLES = {
     "paragraphs": PARAGRAPH,
@@ -34,7 +39,7 @@ TABLES = {
     "overrides": "num_id string, level string, start_override string",
     "relations": "part string, relation_id string, type string, target string, mode string, sequence int",
     "notes": "kind string, note_id string, text string",
-    "cells": "block int, row int, col int, text string, n_filled int, grid_span int, merged boolean, nested boolean, header boolean",
+    "cells": "block int, row int, col int, index int, text string, n_filled int, grid_span int, merged boolean, nested boolean, header boolean",
     "media": "path string, size long, declared_type string, sha256 string, head binary",
     "issues": "code string, severity string, part string, message string",
 }
@@ -76,15 +81,38 @@ def _level(value: str | None) -> int | None:
 
 
 def _within(top: ET.Element, link: tuple = (None, None)) -> Iterator[tuple[ET.Element, tuple]]:
-    """Runs of a paragraph in order, with the link around each; paragraphs inside (text boxes) and field results are not entered."""
+    """Runs of a paragraph in order, with the link around each; paragraphs inside (text boxes) are not entered."""
     for child in top:
-        if child.tag == W + "p" or child.tag == W + "fldSimple":
+        if child.tag == W + "p":
             continue
         if child.tag == W + "r":
             yield child, link
         yield from _within(child, (child.get(R + "id"), child.get(W + "anchor")) if child.tag == W + "hyperlink" else link)
 
 
+def _drawing(x: ET.Element) -> dict:
+    """Placement, sources, alternative text, and what has been done to the picture."""
+    box = next((c for c in x if c.tag in (WP + "inline", WP + "anchor")), None)
+    about = x.find(f".//{WP}docPr")
+    blips, frames = list(x.iter(A + "blip")), list(x.iter(A + "xfrm"))
+    extent = box.find(WP + "extent") if box is not None else None
+    sizes = [extent.get(k) for k in ("cx", "cy")] if extent is not None else []
+    turns = [f.get("rot") for f in frames if f.get("rot") is not None]
+    flips = [f.get(k) for f in frames for k in ("flipH", "flipV") if f.get(k) is not None]
+    edges = [c.get(k) for c in x.iter(A + "srcRect") for k in "ltrb" if c.get(k) is not None]
+    return {
+        "placement": None if box is None else box.tag.removeprefix(WP), "relation_ids": [b.get(R + "embed") or b.get(R + "link") for b in blips],
+        "embedded": [b.get(R + "embed") for b in blips if b.get(R + "embed")], "linked": [b.get(R + "link") for b in blips if b.get(R + "link")],
+        "description": None if about is None else about.get("descr") or about.get("title"),
+        "cropped": any(_integer(e) != 0 for e in edges), "transformed": any(_integer(t) != 0 for t in turns) or any(f in TRUE for f in flips),
+        "invalid": any(_integer(v) is None for v in (*turns, *edges)) or any((_integer(s) or 0) <= 0 for s in sizes) or any(f not in (*TRUE, *FALSE) for f in flips),
+    }
+
+
+def _integer(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"[+-]?[0-9]+", value.strip()) else None
+
+
 def _items(run: ET.Element) -> Iterator[dict]:
     for x in run:
         name = x.tag.removeprefix(W)
@@ -98,7 +126,9 @@ def _items(run: ET.Element) -> Iterator[dict]:
         elif name in ("footnoteReference", "endnoteReference"):
             yield {"kind": "footnote_reference" if name[0] == "f" else "endnote_reference", "reference_id": x.get(W + "id")}
         elif name == "drawing":
-            yield {"kind": "drawing", "relation_ids": [b.get(R + "embed") or b.get(R + "link") for b in x.iter(A + "blip")]}
+            yield {"kind": "drawing", **_drawing(x)}
+        elif name in ("pict", "object"):
+            yield {"kind": "drawing", "placement": "vml", "relation_ids": [], "embedded": [], "linked": []}
 
 
 def _paragraph(p: ET.Element, where: dict, out: dict) -> str:
@@ -124,9 +154,9 @@ def _paragraph(p: ET.Element, where: dict, out: dict) -> str:
 
 
 def _body(root: ET.Element, part: str, out: dict) -> None:
-    """Direct paragraphs and tables of the body; `index` counts paragraphs, `block` both. Cells' paragraphs have made-up indices."""
+    """Direct paragraphs and tables of the body; `index` counts paragraphs, `block` both. Cells' paragraphs are counted on their own, from `IN_TABLES`."""
     body = root.find(W + "body")
-    index = 0
+    index, inner = 0, IN_TABLES
     for block, child in enumerate(x for x in (body if body is not None else ()) if x.tag in (W + "p", W + "tbl")):
         if child.tag == W + "p":
             _paragraph(child, {"part": part, "note_id": None, "index": index, "block": block, "in_table": False}, out)
@@ -135,10 +165,14 @@ def _body(root: ET.Element, part: str, out: dict) -> None:
         for r, row in enumerate(child.findall(W + "tr")):
             header = _switch(row.find(W + "trPr"), "tblHeader") or False
             for c, cell in enumerate(row.findall(W + "tc")):
-                texts = [_paragraph(p, {"part": part, "note_id": None, "index": r * 10_000 + c * 100 + k, "block": block, "in_table": True}, out) for k, p in enumerate(cell.findall(W + "p"))]
+                texts = []
+                for p in cell.findall(W + "p"):
+                    texts.append((inner, _paragraph(p, {"part": part, "note_id": None, "index": inner, "block": block, "in_table": True}, out)))
+                    inner += 1
+                filled = [k for k, t in texts if t.strip()]
                 props = cell.find(W + "tcPr")
                 merged = props is not None and any(props.find(W + m) is not None for m in ("vMerge", "hMerge"))
-                out["cells"].append({"block": block, "row": r, "col": c, "text": "\n".join(texts), "n_filled": sum(bool(t.strip()) for t in texts), "grid_span": _level(_val(props, "gridSpan")), "merged": merged, "nested": cell.find(W + "tbl") is not None, "header": header})
+                out["cells"].append({"block": block, "row": r, "col": c, "index": filled[0] if filled else None, "text": "\n".join(t for _, t in texts), "n_filled": len(filled), "grid_span": _level(_val(props, "gridSpan")), "merged": merged, "nested": cell.find(W + "tbl") is not None, "header": header})
 
 
 def _note_paragraphs(top: ET.Element) -> Iterator[ET.Element]:
@@ -219,17 +253,26 @@ def decode(pkg_id: str, content: bytes) -> dict:
     return out
 
 
-def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decoded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    nested = [(t, pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in d.split(", ")]))) for t, d in TABLES.items()]
+    schema = pa.schema([("pkg_id", pa.string()), ("sha256", pa.string()), ("error", pa.string()), *nested])
+    held: list[dict] = []
     fields = {t: [f.split()[0] for f in d.split(", ")] for t, d in TABLES.items()}
     for frame in frames:
-        for pkg_id, content in zip(frame["pkg_id"], frame["content"], strict=True):
-            row = decode(pkg_id, bytes(content) if content is not None else b"")
-            yield pd.DataFrame([{k: [{f: x.get(f) for f in fields[k]} for x in v] if k in fields else v for k, v in row.items()}])
+        for pkg_id, content in zip(frame.column(0), frame.column(1), strict=True):
+            row = decode(pkg_id.as_py(), content.as_py() or b"")
+            held.append({k: [{f: x.get(f) for f in fields[k]} for x in v] if k in fields else v for k, v in row.items()})
+            if len(held) == TOGETHER:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 def decoded(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
     """One nested row per package of `files`; a bad package is a row with its error, never a failed job."""
-    return files.select(F.col(id_col).cast("string").alias("pkg_id"), F.col(content_col).alias("content")).mapInPandas(_decoded, SCHEMA)
+    return files.select(F.col(id_col).cast("string").alias("pkg_id"), F.col(content_col).alias("content")).mapInArrow(_decoded, SCHEMA)
 
 
 def read_packages(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:

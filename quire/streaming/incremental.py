@@ -23,15 +23,15 @@ def converted_stream(files: DataFrame, convert: Callable[[DataFrame], DataFrame]
     from quire.sources.packages import decoded
 
     def batch(frame: DataFrame, number: int) -> None:
-        rows = convert(decoded(frame)).dropDuplicates(["sha256"])
+        packages = decoded(frame).dropDuplicates(["sha256"])
         spark = frame.sparkSession
         try:
-            known = spark.read.parquet(target).select("sha256")
+            known = spark.read.parquet(target).select("sha256").distinct()
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
         else:
-            rows = rows.join(known, "sha256", "left_anti")
-        rows.write.mode("append").parquet(target)
+            packages = packages.join(known, "sha256", "left_anti")
+        convert(packages).write.mode("append").parquet(target)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

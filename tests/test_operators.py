@@ -93,7 +93,7 @@ def test_profile_fills_blanks(spark):
 
 def test_decoding_a_package(spark):
     body = """<w:p><w:pPr><w:pStyle w:val="Quote"/><w:numPr><w:ilvl w:val="0"/><w:numId w:val="01"/></w:numPr></w:pPr><w:r><w:rPr><w:b/><w:i w:val="false"/></w:rPr><w:t>A</w:t><w:tab/><w:t>B</w:t><w:br/></w:r>
-        <w:hyperlink r:id="r1"><w:r><w:t>link</w:t><w:footnoteReference w:id="2"/></w:r></w:hyperlink><w:fldSimple><w:r><w:t>skipped</w:t></w:r></w:fldSimple></w:p>
+        <w:hyperlink r:id="r1"><w:r><w:t>link</w:t><w:footnoteReference w:id="2"/></w:r></w:hyperlink><w:fldSimple><w:r><w:t>, field</w:t></w:r></w:fldSimple></w:p>
         <w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/>"""
     notes = f'<w:footnotes {W}><w:footnote w:id="0" w:type="separator"/><w:footnote w:id="2"><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:footnote></w:footnotes>'
     styles = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="Quote"><w:name w:val="quote"/></w:style></w:styles>'
@@ -103,7 +103,7 @@ def test_decoding_a_package(spark):
     got = decoded(spark.createDataFrame(files, "path string, content binary")).cache()
     assert {r.pkg_id: r.error for r in got.collect()} == {"ok": None, "zip": "unreadable_file", "dtd": None, "bad": "malformed_xml_part", "null": "unreadable_file"}
     one = got.where("pkg_id = 'ok'")
-    assert [(r["index"], r.text, r.style_name, r.raw_id) for r in body_paragraphs(one).orderBy("index").collect()] == [(0, "A\tB\nlink[footnote:2]", "quote", "01"), (1, "", None, None)]
+    assert [(r["index"], r.text, r.style_name, r.raw_id) for r in body_paragraphs(one).orderBy("index").collect()] == [(0, "A\tB\nlink[footnote:2], field", "quote", "01"), (1, "", None, None)]
     bold = exploded(one, "items").where("text = 'A'").first()
     assert (bold.bold, bold.italic, bold.caps) == (True, False, None)
     assert exploded(one, "notes").first().text == "one\ntwo" and exploded(one, "cells").first().header
@@ -164,7 +164,7 @@ def test_conversion_of_packages(spark):
     got = {r.pkg_id: r.xml for r in books.collect()}
     assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref><note place="foot"><p>see &lt;it&gt;</p><p></p></note></p>' in got["a"]
     assert validation.problems(got["a"]) == []
-    assert {(r.pkg_id, r.code) for r in problems.collect()} == {("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata")}
+    assert {(r.pkg_id, r.code) for r in problems.collect()} == {("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata"), ("d", "unresolved_link_not_serializable")}
     assert summary(packages).where("pkg_id = 'a'").first().n_links == 1
 
 
