@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from quire.llm.components import components
 from quire.llm.simhash import SEED, Forest, U, _signed, block_masks, fingerprint, gray_rank, near_chunks, print_names
 
 #: Pairs for each member that one group may propose in one pass, besides those that connect it; the rest waits for the next.
-PER_MEMBER = 8
+PER_MEMBER = 2
+#: Fingerprints searched first; the others only look for links between what these have connected.
+FIRST = 2
 #: What tells a row from others: its id, and 128 bits of its text.
 MARKS = ("doc_id", "text_high", "text_low")
 #: Share of all fingerprints' bits in which a proposed pair may differ before its shingles are looked up.
@@ -93,6 +96,17 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["a", "b"])
 
 
+def _close(found: DataFrame, nodes: DataFrame, printed: DataFrame, apart: Column, most_apart: int, least: float) -> DataFrame:
+    """Of the proposed pairs those whose shingle sets are alike, as links (a, b)."""
+    pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = nodes.alias("x"), nodes.alias("y")
+    close = written(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(apart <= most_apart).select("a", "b"), "near-close")
+    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    sets = written(printed.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    both = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
+    return written(both.mapInArrow(lambda it: _verified(it, least), "a long, b long"), "near-links")
+
+
 def text_bits(text: Column) -> list[Column]:
     """text_high and text_low: 128 bits of a text, which tell rows with one id or none apart."""
     return [F.xxhash64(F.lit(1), text).alias(MARKS[1]), F.xxhash64(F.lit(2), text).alias(MARKS[2])]
@@ -111,7 +125,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     Pairs are proposed by `rounds` independent fingerprints: two that agree on one of `blocks` blocks of
     bits are searched together by the Gray index and proposed within `distance` bits. Texts with equal
     shingles and fingerprints are one node. Large groups of near copies would propose the square of their
-    size: such a group proposes in passes, and what earlier passes have connected is not proposed again.
+    size: such a group proposes in passes, each of four times as many as the one before, and what has been
+    connected is not proposed again. `FIRST` fingerprints are searched before the others for the same reason.
     """
     names = print_names(rounds)
     text = text_or_empty(text_col)
@@ -120,27 +135,26 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     printed = written(rows.mapInArrow(lambda it: _printed(it, words, rounds), schema), "near-prints")
     mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), *MARKS)
     nodes = written(printed.groupBy("node", *names).agg(F.min(mark).alias("least_mark")), "near-nodes")
-    parts = [F.struct(F.xxhash64(F.lit(r), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for r, n in enumerate(names) for k, m in enumerate(block_masks((1 << 64) - 1, blocks))]
-    dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
-    columns = dealt.select("key", "node", "print", F.col("node").alias("component"), F.lit(0).cast("long").alias("start"))
-    links = None
-    while True:
-        ordered = columns.repartition("key").sortWithinPartitions("key")
-        found = written(ordered.mapInArrow(lambda it: _proposed(it, distance, per_member), "a long, b long, key long, next long"), "near-pairs")
-        pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = nodes.alias("x"), nodes.alias("y")
-        close = written(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(apart <= int(64 * rounds * MOST_APART)).select("a", "b"), "near-close")
-        wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        sets = written(printed.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-        both = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
-        sure = written(both.mapInArrow(lambda it: _verified(it, least), "a long, b long"), "near-links")
-        links = sure if links is None else links.unionByName(sure)
-        placed = written(components(links), "near-components")
-        more = found.where("key is not null").select("key", F.col("next").alias("start"))
-        if more.isEmpty():
-            break
-        columns = dealt.join(more, "key").join(placed, "node", "left").select("key", "node", "print", F.coalesce("component", "node").alias("component"), "start")
+    masks = list(enumerate(block_masks((1 << 64) - 1, blocks)))
+    placed = None
+    for some in (names[:FIRST], names[FIRST:]) if rounds > FIRST else (names,):
+        parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in some for k, m in masks]
+        dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print").withColumn("start", F.lit(0).cast("long"))
+        most = per_member
+        while True:
+            known = dealt if placed is None else dealt.join(placed, "node", "left")
+            columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start")
+            ordered = columns.repartition("key").sortWithinPartitions("key")
+            found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most), "a long, b long, key long, next long"), "near-pairs")
+            sure = _close(found, nodes, printed, apart, int(64 * rounds * MOST_APART), least)
+            # what is connected already is one link for each node
+            stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            placed = written(components(stars), "near-components")
+            more = found.where("key is not null").select("key", F.col("next").alias("start"))
+            if more.isEmpty():
+                break
+            dealt, most = dealt.drop("start").join(more, "key"), 4 * most
     placed = written(nodes.select("node", "least_mark").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
     best = placed.groupBy("component").agg(F.min("least_mark").alias("best"), F.count(F.lit(1)).alias("n"))
     named = spread(placed, best, "component", placed.count()).groupBy("node").agg(F.min("best").alias("best"))
