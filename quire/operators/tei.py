@@ -50,7 +50,7 @@ def note_xml(notes: DataFrame) -> DataFrame:
 
 def verse_xml(content: Column) -> Column:
     """Verse lines by line breaks; blank lines at the ends go, others part stanzas. Null without a line."""
-    lines = F.transform(F.split(content, "\n|<lb/>"), lambda x: F.trim(x))
+    lines = F.transform(F.split(content, "\n|<lb/>"), lambda x: F.when(F.trim(x) != "", x).otherwise(""))
     whole = F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
     stanza = lambda s: F.concat(F.lit("<lg>"), F.array_join(F.transform(F.split(s, "\n"), lambda line: F.concat(F.lit("<l>"), line, F.lit("</l>"))), ""), F.lit("</lg>"))
     return F.when(whole != "", F.array_join(F.transform(F.split(whole, r"\n{2,}"), stanza), ""))

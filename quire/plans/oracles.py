@@ -198,7 +198,8 @@ ORACLES: dict[str, str] = {
                 WHEN 'heading' THEN repeat('</div>', greatest(depth - level + 1, 0)) || list_aggregate(['<div type="' || ['part', 'chapter', 'section1', 'section2', 'section3', 'section4'][n] || '">' FOR n IN CASE WHEN level > depth THEN range(depth + 1, level + 1) ELSE [level] END], 'string_agg', '') || '<head>' || c || '</head>'
                 WHEN 'paragraph' THEN '<p' || CASE WHEN rendition IS NOT NULL THEN ' rend="' || rendition || '"' ELSE '' END || '>' || c || '</p>'
                 WHEN 'prose_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</quote>' ELSE '' END
-                WHEN 'verse_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || '<lg><l>' || c || '</l></lg>' || CASE WHEN is_last THEN '</quote>' ELSE '' END
+                WHEN 'signature' THEN CASE WHEN trim(c) <> '' THEN '<p>' || c || '</p>' END
+                WHEN 'verse_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || CASE WHEN trim(c) <> '' THEN '<lg><l>' || c || '</l></lg>' ELSE '' END || CASE WHEN is_last THEN '</quote>' ELSE '' END
                 WHEN 'epigraph' THEN CASE WHEN is_first THEN '<epigraph>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</epigraph>' ELSE '' END
                 WHEN 'floating_text' THEN CASE WHEN is_first THEN '<floatingText><body>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</body></floatingText>' ELSE '' END END, '')
                 || CASE WHEN is_end THEN repeat('</div>', CASE WHEN role = 'heading' THEN level ELSE depth END) ELSE '' END AS xml FROM e),
