@@ -17,8 +17,6 @@ from quire.llm.simhash import SEED, Forest, U, _signed, block_masks, fingerprint
 
 #: Pairs for each member that one group may propose in one pass, besides those that connect it; the rest waits for the next.
 PER_MEMBER = 2
-#: Fingerprints searched first; the others only look for links between what these have connected.
-FIRST = 2
 #: What tells a row from others: its id, and 128 bits of its text.
 MARKS = ("doc_id", "text_high", "text_low")
 #: Share of all fingerprints' bits in which a proposed pair may differ before its shingles are looked up.
@@ -126,7 +124,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     bits are searched together by the Gray index and proposed within `distance` bits. Texts with equal
     shingles and fingerprints are one node. Large groups of near copies would propose the square of their
     size: such a group proposes in passes, each of four times as many as the one before, and what has been
-    connected is not proposed again. `FIRST` fingerprints are searched before the others for the same reason.
+    connected is not proposed again.
     """
     names = print_names(rounds)
     text = text_or_empty(text_col)
@@ -138,23 +136,22 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
     masks = list(enumerate(block_masks((1 << 64) - 1, blocks)))
     placed = None
-    for some in (names[:FIRST], names[FIRST:]) if rounds > FIRST else (names,):
-        parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in some for k, m in masks]
-        dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print").withColumn("start", F.lit(0).cast("long"))
-        most = per_member
-        while True:
-            known = dealt if placed is None else dealt.join(placed, "node", "left")
-            columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start")
-            ordered = columns.repartition("key").sortWithinPartitions("key")
-            found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most), "a long, b long, key long, next long"), "near-pairs")
-            sure = _close(found, nodes, printed, apart, int(64 * rounds * MOST_APART), least)
-            # what is connected already is one link for each node
-            stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            placed = written(components(stars), "near-components")
-            more = found.where("key is not null").select("key", F.col("next").alias("start"))
-            if more.isEmpty():
-                break
-            dealt, most = dealt.drop("start").join(more, "key"), 4 * most
+    parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in names for k, m in masks]
+    dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print").withColumn("start", F.lit(0).cast("long"))
+    most = per_member
+    while True:
+        known = dealt if placed is None else dealt.join(placed, "node", "left")
+        columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start")
+        ordered = columns.repartition("key").sortWithinPartitions("key")
+        found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most), "a long, b long, key long, next long"), "near-pairs")
+        sure = _close(found, nodes, printed, apart, int(64 * rounds * MOST_APART), least)
+        # what is connected already is one link for each node
+        stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        placed = written(components(stars), "near-components")
+        more = found.where("key is not null").select("key", F.col("next").alias("start"))
+        if more.isEmpty():
+            break
+        dealt, most = dealt.drop("start").join(more, "key"), 4 * most
     placed = written(nodes.select("node", "least_mark").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
     best = placed.groupBy("component").agg(F.min("least_mark").alias("best"), F.count(F.lit(1)).alias("n"))
     named = spread(placed, best, "component", placed.count()).groupBy("node").agg(F.min("best").alias("best"))
