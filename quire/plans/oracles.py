@@ -191,6 +191,10 @@ ORACLES: dict[str, str] = {
     "p01_plain_text": f"""WITH {_WORDS} SELECT pkg_id, "index", string_agg(CASE item % 7 WHEN 0 THEN text WHEN 1 THEN chr(9) WHEN 2 THEN text WHEN 3 THEN CASE WHEN item % 2 = 0 THEN chr(10) ELSE '' END WHEN 4 THEN text WHEN 5 THEN '[footnote:' || item || ']' ELSE '[drawing]' END, '' ORDER BY item) AS text FROM words GROUP BY ALL""",
     "w17_spans": f"""WITH {_WORDS}, i AS (SELECT *, CASE WHEN item % 10 = 9 THEN 'tab' ELSE 'text' END AS kind, CASE WHEN (item // 3) % 2 = 0 THEN 'bold' ELSE '' END AS marks, CASE WHEN item % 12 > 9 THEN 'x' END AS link FROM words), k AS (SELECT * FROM i WHERE kind <> 'text' OR text <> ''), f AS (SELECT *, CASE WHEN kind = 'text' AND (kind, marks, coalesce(link, '')) = lag((kind, marks, coalesce(link, ''))) OVER (PARTITION BY pkg_id, "index" ORDER BY item) THEN 0 ELSE 1 END AS fresh FROM k), s AS (SELECT *, sum(fresh) OVER (PARTITION BY pkg_id, "index" ORDER BY item) AS span FROM f) SELECT pkg_id, "index", first(kind) AS kind, first(marks) AS marks, first(link) AS link, string_agg(text, '' ORDER BY item) AS text FROM s GROUP BY pkg_id, "index", span""",
     "s01_package_paragraphs": f"""WITH {PARAGRAPHS} SELECT pkg_id, "index", text, style_id, CASE WHEN role = 'heading' AND style_id NOT LIKE 'Heading%' THEN 'unsupported' WHEN role = 'heading' AND style_id IS NULL THEN 'paragraph' ELSE role END AS role, CASE WHEN style_id LIKE 'Heading%' THEN level END AS level FROM (SELECT *, coalesce(style_id, '') AS known FROM roled)""".replace("WHEN role = 'heading' AND style_id NOT LIKE 'Heading%' THEN 'unsupported'", "WHEN role = 'heading' AND known = '' THEN 'paragraph' WHEN role = 'heading' AND known NOT LIKE 'Heading%' THEN 'unsupported'"),
+    "m05_record_rules": """SELECT s_suppkey AS pkg_id, 'missing_title' AS code, 'error' AS severity, 'document.title' AS path FROM supplier WHERE s_suppkey % 5 = 0
+        UNION ALL SELECT s_suppkey, 'invalid_language', 'error', 'document.language' FROM supplier WHERE s_suppkey % 4 = 0
+        UNION ALL SELECT s_suppkey, 'invalid_source_sha256', 'error', 'source_document.sha256' FROM supplier WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT s_suppkey, 'invalid_pagination', 'error', 'pagination' FROM supplier WHERE s_suppkey % 7 IN (0, 6)""",
     "t08_body_xml": f"""WITH {PARAGRAPHS},
         e AS (SELECT *, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS c, coalesce(last_value(CASE WHEN role = 'heading' THEN level END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
                 role IS DISTINCT FROM lag(role) OVER w AS is_first, role IS DISTINCT FROM lead(role) OVER w AS is_last, lead("index") OVER w IS NULL AS is_end FROM numbered WINDOW w AS (PARTITION BY pkg_id ORDER BY "index")),

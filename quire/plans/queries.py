@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators import blocks, diagnostics, figures, inline, lists, metadata, notes, numbering, roles, tables, tei, validation
+from quire.operators import blocks, diagnostics, figures, inline, lists, metadata, notes, numbering, record_rules, roles, tables, tei, validation
 from quire.plans import adapters as a
 from quire.plans.oracles import ORACLES
+from quire.sources import records
 
 FLAGSHIP = "a02_editorial_summary"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,6 +256,18 @@ def m01_typed_json(spark, sf_dir):
     return metadata.typed_fields(a.table(spark, sf_dir, "events").select("event_id", raw.alias("json")), "json", {"k": "BIGINT"})
 
 
+@query
+def m05_record_rules(spark, sf_dir):
+    """Records read from JSON and judged by all rules."""
+    k = F.col("s_suppkey")
+    source = F.struct(F.lit("a.docx").alias("path"), F.when(k % 3 == 0, "x").otherwise(F.repeat(F.lit("0"), 64)).alias("sha256"))
+    about = F.struct(F.when(k % 4 == 0, "f").otherwise("fr").alias("language"), F.when(k % 5 == 0, " ").otherwise(F.col("s_name")).alias("title"))
+    nobody = F.array().cast("array<string>")
+    record = F.struct(F.lit("2.0").alias("schema_version"), source.alias("source_document"), about.alias("document"), nobody.alias("contributors"), nobody.alias("affiliations"), F.struct((k % 7).alias("from"), F.lit(5).alias("to")).alias("pagination"))
+    rows = a.table(spark, sf_dir, "supplier").select(k.alias("pkg_id"), F.to_json(record).alias("json"))
+    return record_rules.violations(records.decoded_records(rows)).select("pkg_id", "code", "severity", "path")
+
+
 @query
 def m23_partial_dates(spark, sf_dir):
     day = F.date_format("ts", "yyyy-MM-dd")
