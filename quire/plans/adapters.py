@@ -32,13 +32,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0")
-    return orders.select((F.col("o_orderkey") % 100).alias("pkg_id"), F.col("o_orderkey").alias("note_id"))
+    """Every order defines a note; one order in seven under the next number, which few references have."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select((key % 100).alias("pkg_id"), (key * 2 + F.when(key % 7 == 0, 1).otherwise(0)).alias("note_id"))
 
 
 def note_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0")
-    return lines.select((F.col("l_orderkey") % 100).alias("pkg_id"), F.col("l_orderkey").alias("note_id"))
+    """Every line item refers to its order's note; one in three by the next number."""
+    key = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select((key % 100).alias("pkg_id"), (key * 2 + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)).alias("note_id"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ PEOPLE = """
 """
 
 NOTES = """
-    notes AS (SELECT o_orderkey % 100 AS pkg_id, o_orderkey AS note_id FROM orders WHERE o_orderkey % 7 <> 0),
-    refs AS (SELECT DISTINCT l_orderkey % 100 AS pkg_id, l_orderkey AS note_id FROM lineitem WHERE l_partkey % 3 = 0)
+    notes AS (SELECT o_orderkey % 100 AS pkg_id, o_orderkey * 2 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS note_id FROM orders),
+    refs AS (SELECT DISTINCT l_orderkey % 100 AS pkg_id, l_orderkey * 2 + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS note_id FROM lineitem)
 """
 
 _GROUPED = "role IN ('prose_quote', 'verse_quote', 'epigraph', 'floating_text')"
@@ -155,7 +155,7 @@ ORACLES: dict[str, str] = {
     "w04_stanzas": """WITH t AS (SELECT conv_id AS pkg_id, turn AS "index", string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)) AS parts FROM conversations), l AS (SELECT pkg_id, "index", unnest(parts) AS text, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS line FROM t), g AS (SELECT *, trim(text) = '' AS gap FROM l), n AS (SELECT *, sum(gap::INT) OVER (PARTITION BY pkg_id, "index" ORDER BY line) AS stanza FROM g) SELECT pkg_id, "index", min(line) AS first_line, count(*) AS n_lines FROM n WHERE NOT gap GROUP BY pkg_id, "index", stanza""",
     "j06_missing_note_targets": f"WITH {NOTES} SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.pkg_id = r.pkg_id AND n.note_id = r.note_id)",
     "j07_unreferenced_notes": f"WITH {NOTES} SELECT DISTINCT * FROM notes n WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE n.pkg_id = r.pkg_id AND n.note_id = r.note_id)",
-    "j09_reachable_notes": "WITH RECURSIVE n AS (SELECT o_orderkey % 100 AS pkg_id, o_orderkey AS note_id FROM orders), r AS (SELECT pkg_id, note_id FROM n WHERE note_id % 5 = 0 AND note_id % 400 < 100 UNION SELECT r.pkg_id, r.note_id + 100 FROM r JOIN n USING (pkg_id, note_id) WHERE r.note_id % 400 < 300) SELECT DISTINCT * FROM r",
+    "j09_reachable_notes": "WITH RECURSIVE n AS (SELECT o_orderkey % 100 AS pkg_id, o_orderkey AS note_id FROM orders), r AS (SELECT pkg_id, note_id - note_id % 400 + note_id % 100 AS note_id FROM n UNION SELECT r.pkg_id, r.note_id + CASE WHEN r.note_id % 400 < 300 THEN 100 ELSE -300 END FROM r JOIN n USING (pkg_id, note_id)) SELECT DISTINCT * FROM r",
     "j10_affiliations_of_people": f"WITH {PEOPLE} SELECT e.pkg_id, e.person, e.position, e.affiliation_id, a.name FROM each e LEFT JOIN affiliations a USING (pkg_id, affiliation_id)",
     "j11_unknown_affiliations": f"WITH {PEOPLE} SELECT e.pkg_id, e.person, e.position, e.affiliation_id FROM each e ANTI JOIN affiliations a USING (pkg_id, affiliation_id)",
     "j12_unused_affiliations": f"WITH {PEOPLE} SELECT a.pkg_id, a.affiliation_id, a.name FROM affiliations a ANTI JOIN each e USING (pkg_id, affiliation_id)",

@@ -125,8 +125,10 @@ def j07_unreferenced_notes(spark, sf_dir):
 @query
 def j09_reachable_notes(spark, sf_dir):
     lines = a.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("pkg_id"), F.col("o_orderkey").alias("note_id"))
-    inner = lines.where("note_id % 400 < 300").withColumn("target", F.col("note_id") + 100)
-    return notes.reachable(lines.where("note_id % 5 = 0 and note_id % 400 < 100"), inner)
+    # rings of four notes; the body refers to the first of each
+    target = F.col("note_id") + F.when(F.col("note_id") % 400 < 300, 100).otherwise(-300)
+    body = lines.withColumn("note_id", F.col("note_id") - F.col("note_id") % 400 + F.col("note_id") % 100)
+    return notes.reachable(body, lines.withColumn("target", target))
 
 
 @query
