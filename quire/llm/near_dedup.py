@@ -49,16 +49,17 @@ def _printed(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iter
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array(nodes, U).view(np.int64)), *(pa.array(prints[:, k].copy()) for k in range(rounds)), pa.array(sets, pa.binary())], names=[*MARKS, "node", *print_names(rounds), "shingles"])
 
 
-def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, node, print, component, start) sorted by key: pairs (a, b), and (key, next) of groups that have more.
+def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, node, print, component, start, size) sorted by key: pairs (a, b), and (key, next) of groups that have more.
 
     A group's pairs have a fixed order. From `start` on those between components are proposed, `per_member`
     for each member at most; in the first pass also those that connect all the group's candidates. Pairs are
-    looked at as they are found, so memory follows the members and not their pairs.
+    looked at as they are found, so memory follows the members and not their pairs. Sets whose sizes differ so
+    much that their similarity cannot reach `least` make no pair.
     """
-    for columns in whole_keys(batches, 5):
+    for columns in whole_keys(batches, 6):
         order = np.lexsort((columns[1], gray_rank(columns[2].view(U)), columns[0]))
-        key, node, bits, component, start = (c[order] for c in columns)
+        key, node, bits, component, start, size = (c[order] for c in columns)
         lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[lead, len(key)])
         # pairs so far of each group, those of them that were open, and the first that has to wait
@@ -68,7 +69,8 @@ def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int)
             group = np.searchsorted(lead, a, "right") - 1  # ascending, as a is
             place = seen[group] + np.arange(len(a)) - np.searchsorted(group, group, "left")
             seen += np.bincount(group, minlength=len(lead))
-            open_ = (component[a] != component[b]) & (place >= start[a])
+            possible = np.minimum(size[a], size[b]) / np.maximum(np.maximum(size[a], size[b]), 1) >= least
+            open_ = (component[a] != component[b]) & (place >= start[a]) & possible
             a, b, group, place = a[open_], b[open_], group[open_], place[open_]
             now = taken[group] + np.arange(len(a)) - np.searchsorted(group, group, "left") < per_member * sizes[group]
             taken += np.bincount(group, minlength=len(lead))
@@ -132,18 +134,18 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     schema = ", ".join([*(f"{n} long" for n in (*MARKS, "node", *names)), "shingles binary"])
     printed = written(rows.mapInArrow(lambda it: _printed(it, words, rounds), schema), "near-prints")
     mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), *MARKS)
-    nodes = written(printed.groupBy("node", *names).agg(F.min(mark).alias("least_mark")), "near-nodes")
+    nodes = written(printed.groupBy("node", (F.length("shingles") / 4).cast("int").alias("size"), *names).agg(F.min(mark).alias("least_mark")), "near-nodes")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
     masks = list(enumerate(block_masks((1 << 64) - 1, blocks)))
     placed = None
     parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in names for k, m in masks]
-    dealt = nodes.select("node", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print").withColumn("start", F.lit(0).cast("long"))
+    dealt = nodes.select("node", "size", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print", "size").withColumn("start", F.lit(0).cast("long"))
     most = per_member
     while True:
         known = dealt if placed is None else dealt.join(placed, "node", "left")
-        columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start")
+        columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start", "size")
         ordered = columns.repartition("key").sortWithinPartitions("key")
-        found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most), "a long, b long, key long, next long"), "near-pairs")
+        found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most, least=least), "a long, b long, key long, next long"), "near-pairs")
         sure = _close(found, nodes, printed, apart, int(64 * rounds * MOST_APART), least)
         # what is connected already is one link for each node
         stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))

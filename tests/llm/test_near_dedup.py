@@ -71,3 +71,13 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(5, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k"), (None, "g h i j k")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup(frame).collect()) == [(0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True)]
     assert near_dedup(frame.limit(0)).count() == 0
+
+
+def test_sizes_that_just_reach_the_threshold_link(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(84))  # 80 shingles
+    rows = [(k, " ".join([text, *(f"more{n}" for n in range(k))])) for k in (0, 20, 21)]  # 0.8 with 100, less with 101
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()}
+    assert got == plain(rows[:2])[0] == {0: 0, 20: 0}
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 21: 21}
