@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,8 +20,10 @@ from quire.llm.simhash import SEED, Forest, U, _signed, block_masks, fingerprint
 PER_MEMBER = 2
 #: What tells a row from others: its id, and 128 bits of its text.
 MARKS = ("doc_id", "text_high", "text_low")
-#: Share of all fingerprints' bits in which a proposed pair may differ before its shingles are looked up.
-MOST_APART = 0.28
+#: Share of all fingerprints' bits in which a proposed pair may differ before its shingles are looked up, where a set is small.
+MOST_APART, SMALL = 0.28, 30
+#: Otherwise the expected share at the least similarity, and so many standard deviations more.
+DEVIATIONS = 5.5
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -37,6 +40,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def most_apart(least: float, bits: int) -> int:
+    """Bits of `bits` in which two large sets of similarity `least` differ at most, but for one pair in some ten million.
+
+    A bit differs with the angle between the sets' vectors, whose cosine is 2s / (1 + s) for sets of one size.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+
+
 def _printed(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -96,11 +108,11 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["a", "b"])
 
 
-def _close(found: DataFrame, nodes: DataFrame, printed: DataFrame, apart: Column, most_apart: int, least: float) -> DataFrame:
+def _close(found: DataFrame, nodes: DataFrame, printed: DataFrame, apart: Column, most: Column, least: float) -> DataFrame:
     """Of the proposed pairs those whose shingle sets are alike, as links (a, b)."""
     pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
-    close = written(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(apart <= most_apart).select("a", "b"), "near-close")
+    close = written(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(apart <= most).select("a", "b"), "near-close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     sets = written(printed.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
     both = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
@@ -136,6 +148,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), *MARKS)
     nodes = written(printed.groupBy("node", (F.length("shingles") / 4).cast("int").alias("size"), *names).agg(F.min(mark).alias("least_mark")), "near-nodes")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
+    limit = F.when(F.least("x.size", "y.size") < SMALL, int(64 * rounds * MOST_APART)).otherwise(most_apart(least, 64 * rounds))
     masks = list(enumerate(block_masks((1 << 64) - 1, blocks)))
     placed = None
     parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in names for k, m in masks]
@@ -146,7 +159,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
         columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start", "size")
         ordered = columns.repartition("key").sortWithinPartitions("key")
         found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most, least=least), "a long, b long, key long, next long"), "near-pairs")
-        sure = _close(found, nodes, printed, apart, int(64 * rounds * MOST_APART), least)
+        sure = _close(found, nodes, printed, apart, limit, least)
         # what is connected already is one link for each node
         stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
         placed = written(components(stars), "near-components")
