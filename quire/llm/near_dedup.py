@@ -108,9 +108,17 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["a", "b"])
 
 
-def _close(found: DataFrame, nodes: DataFrame, printed: DataFrame, apart: Column, most: Column, least: float) -> DataFrame:
+def _fresh(found: DataFrame, past: DataFrame | None) -> DataFrame:
+    """The distinct pairs proposed, without those that an earlier pass has looked at."""
+    pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if past is None:
+        return written(pairs.distinct(), "near-fresh")
+    both = pairs.withColumn("old", F.lit(False)).unionByName(past.withColumn("old", F.lit(True)))
+    return written(both.groupBy("a", "b").agg(F.max("old").alias("old")).where("not old").select("a", "b"), "near-fresh")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, printed: DataFrame, apart: Column, most: Column, least: float) -> DataFrame:
     """Of the proposed pairs those whose shingle sets are alike, as links (a, b)."""
-    pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
     close = written(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(apart <= most).select("a", "b"), "near-close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
@@ -137,8 +145,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     Pairs are proposed by `rounds` independent fingerprints: two that agree on one of `blocks` blocks of
     bits are searched together by the Gray index and proposed within `distance` bits. Texts with equal
     shingles and fingerprints are one node. Large groups of near copies would propose the square of their
-    size: such a group proposes in passes, each of four times as many as the one before, and what has been
-    connected is not proposed again.
+    size: such a group proposes in passes, each of four times as many as the one before; what has been connected
+    is not proposed again, and no pair is looked at twice.
     """
     names = print_names(rounds)
     text = text_or_empty(text_col)
@@ -153,13 +161,15 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
     placed = None
     parts = [F.struct(F.xxhash64(F.lit(n), F.lit(k), F.col(n).bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col(n).alias("print")) for n in names for k, m in masks]
     dealt = nodes.select("node", "size", F.explode(F.array(parts)).alias("by")).select("by.key", "node", "by.print", "size").withColumn("start", F.lit(0).cast("long"))
-    most = per_member
+    most, past = per_member, None
     while True:
         known = dealt if placed is None else dealt.join(placed, "node", "left")
         columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start", "size")
         ordered = columns.repartition("key").sortWithinPartitions("key")
         found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most, least=least), "a long, b long, key long, next long"), "near-pairs")
-        sure = _close(found, nodes, printed, apart, limit, least)
+        fresh = _fresh(found, past)
+        past = fresh if past is None else past.unionByName(fresh)
+        sure = _close(fresh, nodes, printed, apart, limit, least)
         # what is connected already is one link for each node
         stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
         placed = written(components(stars), "near-components")
