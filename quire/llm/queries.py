@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.byte_pairs import encode_bytes
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.language import fit_language, language
 from quire.llm.lattice import lattice_dedup
@@ -77,6 +78,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    found = encode_bytes(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN, decode=True)
+    ids = F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").cast("binary"), 256)
+    return found.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
@@ -88,6 +97,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLES = {
