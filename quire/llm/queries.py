@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.byte_pairs import encode_bytes
+from quire.llm.centroids import cluster
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm import oracles
 from quire.llm.language import fit_language, language
 from quire.llm.lattice import lattice_dedup
 from quire.llm.packing import pack
@@ -78,6 +80,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, size=64, scale=256, salt="2")
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
     "op13_byte_pairs": op13_byte_pairs,
 }
 
@@ -114,4 +121,5 @@ ORACLES = {
                sha256(t) AS text_sha256
         FROM norm WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
     """,
+    "op11_centroids": oracles.clustering(clusters=40, rounds=5, size=64, scale=256, salt="2"),
 }
