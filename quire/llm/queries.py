@@ -17,6 +17,7 @@ from quire.llm.quality import fit_quality, quality
 from quire.llm.sharding import shard
 from quire.llm.simhash import simhash_dedup
 from quire.llm.suffix_dedup import suffix_dedup
+from quire.llm.turns import repair
 from quire.llm.unit_dedup import unit_dedup
 
 
@@ -84,6 +85,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, size=64, scale=256, salt="2")
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_centroids": op11_centroids,
+    "op12_turns": op12_turns,
     "op13_byte_pairs": op13_byte_pairs,
 }
 
@@ -122,4 +128,5 @@ ORACLES = {
         FROM norm WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
     """,
     "op11_centroids": oracles.clustering(clusters=40, rounds=5, size=64, scale=256, salt="2"),
+    "op12_turns": oracles.conversation_repair(),
 }
