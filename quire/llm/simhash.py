@@ -24,6 +24,14 @@ MOST_IN_BLOCK = 20_000
 DEEPEST = 4
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same things, one for each."""
+    with np.errstate(over="ignore"):
+        hashes = hashes * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03)
+        hashes = (hashes ^ (hashes >> U(31))) * U(0xBF58476D1CE4E5B9)
+        return hashes ^ (hashes >> U(29))
+
+
 def fingerprint(text: bytes, words: int = 3, rounds: int = 1) -> list[int]:
     """64 majority bits over the XXH64 of all shingles (repeats included); 0 without words.
 
@@ -45,10 +53,7 @@ def fingerprint(text: bytes, words: int = 3, rounds: int = 1) -> list[int]:
         for k in range(rounds):
             ones[k] += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
             if k + 1 < rounds:
-                with np.errstate(over="ignore"):
-                    hashes = hashes * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03)
-                    hashes = (hashes ^ (hashes >> U(31))) * U(0xBF58476D1CE4E5B9)
-                    hashes ^= hashes >> U(29)
+                hashes = mixed(hashes)
     return [int.from_bytes(np.packbits(2 * row > count).tobytes(), "big") for row in ones]
 
 

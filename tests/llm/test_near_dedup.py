@@ -1,6 +1,9 @@
 import random
 
-from quire.llm.near_dedup import near_dedup
+import numpy as np
+import pytest
+
+from quire.llm.near_dedup import differing, most_apart, near_dedup, set_prints
 
 
 def shingles(text, words=5):
@@ -81,3 +84,34 @@ def test_sizes_that_just_reach_the_threshold_link(spark):
     assert got == plain(rows[:2])[0] == {0: 0, 20: 0}
     got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()}
     assert got == {0: 0, 21: 21}
+
+
+@pytest.mark.parametrize("n", [20, 50, 100, 200, 400])
+def test_repeated_shingles_count_once(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for k in range(10):
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+        rows += [(2 * k, text + " |" * n), (2 * k + 1, text + " -" * n)]
+    want, links = plain(rows)
+    assert sum(s >= 0.8 for *_, s in links) == 10
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(10)) >= 9
+    assert all(want[i] == want[j] for i, j in got.items())
+
+
+def test_bits_that_may_differ():
+    limits = most_apart(0.8, 640)
+    assert differing(5, 4, 4) == pytest.approx(0.1875) and differing(7, 7, 7) == 0
+    assert limits[0] == 0 and max(limits) < 200 and limits[-1] < 145
+    # the chances of small sets come down to that of large ones
+    assert max(differing(40, 50, 40), differing(63, 63, 56)) < limits[-1] / 640
+    rng = random.Random(1)
+    for a, b, common in ((5, 4, 4), (9, 9, 8), (30, 30, 27), (200, 200, 178)):
+        apart = []
+        for _ in range(60):
+            hashes = np.array([rng.getrandbits(64) for _ in range(a + b - common)], np.uint64)
+            one, two = set_prints(np.sort(hashes[:a]), 10), set_prints(np.sort(hashes[a - common :]), 10)
+            apart.append(int(np.bitwise_count(one ^ two).sum()))
+        assert max(apart) <= limits[min(a, b, len(limits) - 1)]
+        assert abs(sum(apart) / 60 / 640 - differing(a, b, common)) < 0.02
