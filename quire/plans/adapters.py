@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -79,6 +79,23 @@ def list_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("pkg_id"), F.col("l_linenumber").cast("int").alias("index"), raw.alias("raw_id"), level.alias("raw_level"))
 
 
+def listed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as blocks of some hundred documents, with the class that decides over lists; one block in forty has no row."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    order = Window.partitionBy("pkg_id").orderBy("l_orderkey", "l_linenumber")
+    rows = lines.withColumn("pkg_id", F.col("l_orderkey") % 499).withColumn("index", F.row_number().over(order).cast("int"))
+    p, s = F.col("p"), F.col("s")
+    kind = F.when(p % 10 < 6, "item").when(p % 10 == 6, "candidate").when(p % 10 == 7, F.when(s % 2 == 0, "candidate").otherwise("rejected")).when(p % 10 == 8, "quiet").otherwise("other")
+    number, level = F.floor(F.col("l_orderkey") / 499) % 5 + F.when(s % 7 == 0, 1).otherwise(0), (F.floor(p / 10) % 3 + F.when(s % 23 == 0, 2).otherwise(0)).cast("int")
+    item = kind == "item"
+    only = lambda c: F.when(item, c)
+    form = F.when(level % 2 == 0, "ordered").otherwise("bulleted")
+    return rows.where((s + p) % 40 != 0).select(
+        "pkg_id", "index", F.col("index").alias("block"), kind.alias("class"), only(number).cast("long").alias("num_id"), only(level).alias("level"),
+        only(form).alias("kind"), only(F.lit("decimal")).alias("number_format"), only(F.when(s % 11 == 0, 3).otherwise(1)).alias("start"), (s % 13 == 0).alias("empty"),
+    )
+
+
 def numbering_tables(spark: SparkSession, packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same instances, levels and overrides for every package."""
     each = packages.select("pkg_id").distinct()

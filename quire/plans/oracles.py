@@ -113,6 +113,77 @@ NOTES = """
     refs AS (SELECT DISTINCT l_orderkey % 100 AS pkg_id, l_orderkey * 2 + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS note_id FROM lineitem)
 """
 
+# A step of the state machine over blocks: what is open, what has been closed, and which numbers have been interrupted.
+LIST_STEPS = """WITH RECURSIVE raw AS (
+        SELECT l_orderkey % 499 AS pkg_id, row_number() OVER (PARTITION BY l_orderkey % 499 ORDER BY l_orderkey, l_linenumber)::INT AS "index", l_orderkey, s, p
+        FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+    ), shaped AS (
+        SELECT pkg_id, "index", s % 13 = 0 AS empty, (l_orderkey // 499 % 5 + CASE WHEN s % 7 = 0 THEN 1 ELSE 0 END)::INT AS num, (p // 10 % 3 + CASE WHEN s % 23 = 0 THEN 2 ELSE 0 END)::INT AS level, CASE WHEN s % 11 = 0 THEN 3 ELSE 1 END AS start,
+               CASE WHEN p % 10 < 6 THEN 'item' WHEN p % 10 = 6 THEN 'candidate' WHEN p % 10 = 7 THEN CASE WHEN s % 2 = 0 THEN 'candidate' ELSE 'rejected' END WHEN p % 10 = 8 THEN 'quiet' ELSE 'other' END AS class
+        FROM raw WHERE (s + p) % 40 <> 0
+    ), spaced AS (
+        SELECT *, num || ':' || level || ':' || start AS sig, row_number() OVER w AS n, "index" - row_number() OVER w AS region, lag(class) OVER w AS lag_class FROM shaped WINDOW w AS (PARTITION BY pkg_id ORDER BY "index")
+    ), turned AS (
+        SELECT *, coalesce(lag(region) OVER (PARTITION BY pkg_id ORDER BY n) <> region, false) AS gap,
+               last_value(CASE WHEN class <> 'candidate' THEN {'class': class, 'region': region, 'num': num, 'level': level, 'sig': sig} END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+               first_value(CASE WHEN class <> 'candidate' THEN {'class': class, 'region': region, 'num': num, 'level': level, 'sig': sig} END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z
+        FROM spaced
+    ), weighed AS (
+        SELECT *, class = 'candidate' AND coalesce(a.class = 'item' AND a.region = region, false) AS behind,
+               CASE WHEN NOT coalesce(z.class = 'item' AND z.region = region, false) THEN 'end of sequence' WHEN z.num <> a.num THEN 'other number' WHEN z.level < a.level THEN 'other level, behind an inner list'
+                    WHEN z.level <> a.level THEN 'other level' WHEN z.sig <> a.sig THEN 'other signature' END AS why
+        FROM turned
+    ), x AS MATERIALIZED (
+        SELECT pkg_id, "index", n, empty, num, level, sig, gap, CASE WHEN behind AND why IS NULL THEN 'continuation' WHEN class IN ('item', 'quiet') THEN class ELSE 'other' END AS act,
+               CASE WHEN behind AND (lag_class <> 'candidate' OR gap) THEN why WHEN class = 'rejected' AND lag_class = 'item' AND NOT gap THEN 'custom style' END AS reason
+        FROM weighed
+    ), state AS (
+        SELECT pkg_id, 0::BIGINT AS n, NULL::VARCHAR AS act, 0 AS lists, []::INT[] AS interrupted, []::INT[] AS closed, NULL::INT AS root, NULL::INT AS prev, []::INT[] AS ids, []::VARCHAR[] AS closed_levels, []::INT[] AS closed_ids,
+               []::STRUCT(level INT, num INT, sig VARCHAR, list INT, items INT)[] AS stack, []::VARCHAR[] AS codes
+        FROM (SELECT DISTINCT pkg_id FROM x)
+        UNION ALL
+        SELECT pkg_id, n, act, lists + (item AND NOT same)::INT, interrupted,
+               CASE WHEN jump OR split THEN ids ELSE closed END,
+               CASE WHEN NOT item THEN root WHEN fresh THEN level ELSE root END, CASE WHEN item THEN level ELSE prev END,
+               CASE WHEN NOT item THEN ids WHEN fresh THEN [num] ELSE list_append(ids, num) END,
+               CASE WHEN NOT item THEN closed_levels WHEN fresh THEN [] ELSE closed_levels || list_transform(gone, lambda g: g.num || ':' || g.level) END,
+               CASE WHEN NOT item THEN closed_ids WHEN fresh THEN [] ELSE closed_ids || list_transform(gone, lambda g: g.num) END,
+               CASE WHEN NOT item THEN stack WHEN same THEN list_append(kept[:-2], {'level': level, 'num': num, 'sig': sig, 'list': kept[-1].list, 'items': kept[-1].items + 1})
+                    ELSE list_append(kept, {'level': level, 'num': num, 'sig': sig, 'list': lists + 1, 'items': 1}) END,
+               CASE WHEN item THEN list_filter([CASE WHEN hit THEN 'interrupted_list_continuation_not_serializable' END, CASE WHEN jump THEN 'list_level_jump_not_serializable' END, CASE WHEN split THEN 'list_root_level_decrease_split' END, CASE WHEN fresh AND level <> 0 THEN 'list_root_level_normalized' END], lambda c: c IS NOT NULL) ELSE [] END
+        FROM (
+            SELECT *, list_filter(staying, lambda t: NOT (t.level = level AND t.sig <> sig)) AS kept, list_filter(stack, lambda t: t.level > level OR (t.level = level AND t.sig <> sig)) AS gone,
+                   len(list_filter(staying, lambda t: t.level = level AND t.sig = sig)) > 0 AS same
+            FROM (
+                SELECT *, CASE WHEN fresh THEN [] ELSE list_filter(stack, lambda t: t.level <= level) END AS staying,
+                       item AND (list_contains(interrupted, num) OR (prev IS NOT NULL AND (list_contains(closed_levels, num || ':' || level) OR (list_contains(closed_ids, num) AND NOT list_contains(list_transform(stack, lambda t: t.num), num))))) AS hit
+                FROM (
+                    SELECT *, item AND (prev IS NULL OR jump OR split) AS fresh
+                    FROM (
+                        SELECT *, act = 'item' AS item, act = 'item' AND prev IS NOT NULL AND level > prev + 1 AS jump, act = 'item' AND prev IS NOT NULL AND level <= prev + 1 AND level < root AS split
+                        FROM (
+                            SELECT x.pkg_id, x.n, x.act, x.num, x.level, x.sig, s.lists, s.root,
+                                   CASE WHEN stops THEN s.interrupted || CASE WHEN s.prev IS NOT NULL THEN s.ids ELSE s.closed END ELSE s.interrupted END AS interrupted,
+                                   CASE WHEN stops THEN [] WHEN ends AND s.prev IS NOT NULL THEN s.ids ELSE s.closed END AS closed,
+                                   CASE WHEN ends THEN NULL ELSE s.prev END AS prev, CASE WHEN ends THEN [] ELSE s.ids END AS ids, CASE WHEN ends THEN [] ELSE s.closed_levels END AS closed_levels,
+                                   CASE WHEN ends THEN [] ELSE s.closed_ids END AS closed_ids, CASE WHEN ends THEN [] ELSE s.stack END AS stack
+                            FROM state s JOIN (SELECT *, gap OR act = 'other' AS stops, gap OR act IN ('other', 'quiet') AS ends FROM x) x ON x.pkg_id = s.pkg_id AND x.n = s.n + 1
+                        )
+                    )
+                )
+            )
+        )
+    ), placed AS (
+        SELECT s.pkg_id, x."index", s.n, s.act, x.empty, s.codes, s.stack[-1].list AS list_id, list_aggregate(list_transform(s.stack, lambda t: t.list || ':' || t.items), 'string_agg', '.') AS path
+        FROM state s JOIN x USING (pkg_id, n) WHERE s.act IN ('item', 'continuation')
+    ), numbered_parts AS (
+        SELECT *, (n - max(CASE WHEN act = 'item' THEN n END) OVER (PARTITION BY pkg_id ORDER BY n))::INT AS part, starts_with(lead(path) OVER (PARTITION BY pkg_id ORDER BY n), path || '.') AS child FROM placed
+    )
+    SELECT pkg_id, "index", list_id, path, part, array_to_string(CASE WHEN NOT empty THEN codes WHEN part > 0 THEN list_append(codes, 'empty_list_continuation_not_serializable') WHEN child THEN list_append(codes, 'empty_parent_list_item') ELSE list_append(codes, 'empty_list_item_not_serializable') END, ',') AS codes, NULL AS reason
+    FROM numbered_parts
+    UNION ALL SELECT pkg_id, "index", NULL, NULL, NULL, 'ambiguous_list_continuation_not_serializable', reason FROM x WHERE reason IS NOT NULL
+"""
+
 _GROUPED = "role IN ('prose_quote', 'verse_quote', 'epigraph', 'floating_text')"
 
 
@@ -161,6 +232,7 @@ ORACLES: dict[str, str] = {
     "j12_unused_affiliations": f"WITH {PEOPLE} SELECT a.pkg_id, a.affiliation_id, a.name FROM affiliations a ANTI JOIN each e USING (pkg_id, affiliation_id)",
     "j13_unmatched_signatures": f"""WITH {PEOPLE}, s AS (SELECT c_custkey % 40 AS pkg_id, c_custkey AS at, CASE WHEN c_custkey % 3 = 0 THEN 'ADA  ' || c_mktsegment WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE c_name || 'x' END AS name FROM customer), known AS (SELECT pkg_id, lower(c_name) AS key FROM people UNION SELECT pkg_id, 'ada ' || lower(c_mktsegment) FROM people) SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.pkg_id = s.pkg_id AND k.key = trim(regexp_replace(lower(s.name), '\\s+', ' ', 'g')))""",
     "j04_relation_lookup": """WITH l AS (SELECT l_orderkey % 50 AS pkg_id, l_suppkey % 20 AS relation_id, l_orderkey * 10 + l_linenumber AS sequence, min(l_partkey) AS target FROM lineitem GROUP BY 1, 2, 3), f AS (SELECT *, row_number() OVER w AS at, count(*) OVER (PARTITION BY pkg_id, relation_id) > 1 AS duplicate FROM l WINDOW w AS (PARTITION BY pkg_id, relation_id ORDER BY sequence)) SELECT o_orderkey % 50 AS pkg_id, o_custkey % 25 AS relation_id, o_orderkey AS used_by, f.target, f.duplicate FROM orders LEFT JOIN f ON f.pkg_id = o_orderkey % 50 AND f.relation_id = o_custkey % 25 AND f.at = 1""",
+    "l01_list_items": LIST_STEPS,
     "j02_numbering": f"WITH {NUMBERING} SELECT * FROM shown",
     "l10_refused_numbering": f"""WITH {NUMBERING} SELECT pkg_id, "index", 'numbered_paragraph_not_serializable' AS code, status FROM shown WHERE status <> 'removed' AND NOT coalesce(status = 'resolved' AND kind IN ('ordered', 'bulleted') AND level IS NOT NULL, false)""",
     "j03_style_chains": """WITH RECURSIVE s AS (SELECT p_partkey % 20 AS pkg_id, p_partkey // 20 AS k, CASE WHEN (p_partkey // 20) % 9 = 0 THEN NULL WHEN (p_partkey // 20) % 13 = 1 THEN p_partkey // 20 + 1 ELSE p_partkey // 20 - 1 END AS up, CASE WHEN (p_partkey // 20) % 5 = 0 THEN 'n' || (p_partkey // 20) END AS raw_id FROM part),

@@ -182,10 +182,9 @@ def j03_style_chains(spark, sf_dir):
 
 @query
 def l01_list_items(spark, sf_dir):
-    rows = a.list_paragraphs(spark, sf_dir)
-    found = numbering.resolved_numbering(rows, *a.numbering_tables(spark, rows)).where("status = 'resolved' and kind in ('ordered', 'bulleted')")
-    numbered = found.join(rows.select("pkg_id", "index", ids.strict_number(F.col("raw_id"))["canonical"].alias("num_id")), ["pkg_id", "index"])
-    return lists.list_items(numbered.select("pkg_id", "index", "num_id", "level", "kind", "number_format", "start"))
+    """Line items as blocks of documents: items of a few numbers and levels, paragraphs that may continue them, figures, others, gaps."""
+    found = lists.list_items(a.listed_blocks(spark, sf_dir))
+    return found.select("pkg_id", "index", "list_id", "path", "part", F.array_join("codes", ",").alias("codes"), "reason")
 
 
 @query

@@ -72,10 +72,49 @@ def test_small_values(spark):
 
 def test_lists_stack_and_errors(spark):
     made = [(0, 1, 0), (1, 1, 1), (2, 1, 1), (3, 1, 0), (5, 1, 0), (7, 2, 0), (8, 2, 2), (9, 2, 0), (11, 3, 1), (12, 3, 0)]
-    frame = spark.createDataFrame([(1, i, n, level, "ordered", "decimal", 1) for i, n, level in made], "pkg_id long, index int, num_id long, level int, kind string, number_format string, start int")
-    got = {r["index"]: (r.path, r.code) for r in lists.list_items(frame).collect()}
+    got = listed(spark, [(i, "item", n, level) for i, n, level in made])
     assert [got[i][0] for i in (0, 1, 2, 3)] == ["1:1", "1:1.2:1", "1:1.2:2", "1:2"]
-    assert [got[i][1] for i in (5, 7, 8, 9, 11, 12)] == ["interrupted_list_not_serializable", None, "discontinuous_list_level", "list_sequence_broken", None, "list_level_below_root"]
+    again = "interrupted_list_continuation_not_serializable"
+    assert [got[i][2] for i in (5, 7, 8, 9, 11, 12)] == [[again], [], ["list_level_jump_not_serializable", "list_root_level_normalized"], ["list_root_level_decrease_split"], ["list_root_level_normalized"], ["list_root_level_decrease_split"]]
+
+
+def listed(spark, made):
+    """made: block, class, number, level, and start and emptiness if not 1 and false."""
+    rows = [("a", i, i, kind, n, level, *([None] * 3 if kind != "item" else ["ordered", "decimal", rest[0] if rest else 1]), bool(rest[1:] and rest[1])) for i, kind, n, level, *rest in made]
+    frame = spark.createDataFrame(rows, "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int, empty boolean")
+    return {r["index"]: (r.path, r.part, r.codes, r.reason) for r in lists.list_items(frame).collect()}
+
+
+def test_items_go_on_behind_list_paragraphs(spark):
+    got = listed(spark, [(0, "item", 1, 0), (1, "candidate", None, None), (2, "candidate", None, None), (3, "item", 1, 0), (4, "item", 1, 1), (5, "item", 1, 0)])
+    assert [got[i][:2] for i in range(6)] == [("1:1", 0), ("1:1", 1), ("1:1", 2), ("1:2", 0), ("1:2.2:1", 0), ("1:3", 0)] and all(not x[2] for x in got.values())
+    item, more = (0, "item", 1, 0), (1, "candidate", None, None)
+    after = {"end of sequence": [], "other number": [(2, "item", 2, 0)], "other level": [(2, "item", 1, 1)], "other signature": [(2, "item", 1, 0, 5)]}
+    for reason, rest in after.items():
+        got = listed(spark, [item, more, *rest])
+        assert got[1] == (None, None, ["ambiguous_list_continuation_not_serializable"], reason)
+    assert listed(spark, [item, more, (3, "item", 1, 0)])[1][3] == "end of sequence"  # a table between
+    assert listed(spark, [item, more, (2, "quiet", None, None), (3, "item", 1, 0)])[1][3] == "end of sequence"
+    assert listed(spark, [item, (1, "item", 1, 1), (2, "candidate", None, None), (3, "item", 1, 0)])[2][3] == "other level, behind an inner list"
+    assert listed(spark, [item, (1, "rejected", None, None)])[1][3] == "custom style"
+    assert 1 not in listed(spark, [(0, "other", None, None), more, (2, "item", 1, 0)])
+
+
+def test_numbers_are_not_used_again(spark):
+    again = "interrupted_list_continuation_not_serializable"
+    got = listed(spark, [(0, "item", 1, 0), (1, "item", 2, 1), (2, "item", 1, 0), (3, "item", 2, 1)])  # an inner list closed and opened again
+    assert got[3][2] == [again]
+    got = listed(spark, [(0, "item", 1, 0), (1, "item", 2, 0), (2, "item", 1, 0)])  # a sibling between
+    assert got[1][:3] == ("2:1", 0, []) and got[2][2] == [again]
+    assert listed(spark, [(0, "item", 1, 0), (1, "quiet", None, None), (2, "item", 1, 0)])[2][2] == []
+    assert listed(spark, [(0, "item", 1, 0), (1, "other", None, None), (2, "item", 1, 0)])[2][2] == [again]
+    assert listed(spark, [(0, "item", 1, 0), (2, "item", 1, 0)])[2][2] == [again]
+
+
+def test_empty_items(spark):
+    got = listed(spark, [(0, "item", 1, 0, 1, True), (1, "item", 1, 1, 1, True), (2, "item", 1, 0, 1, True), (3, "candidate", None, None), (4, "item", 1, 0)])
+    assert [got[i][2] for i in (0, 1, 2, 3, 4)] == [["empty_parent_list_item"], ["empty_list_item_not_serializable"], ["empty_list_item_not_serializable"], [], []]
+    assert lists.list_problems(lists.list_items(spark.createDataFrame([], "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int"))).count() == 0
 
 
 def test_spans_merge_and_marks(spark):
