@@ -25,14 +25,15 @@ def plain_text(items: DataFrame) -> DataFrame:
 
 
 def spans(items: DataFrame) -> DataFrame:
-    """Text items with marks, link and language -> spans: neighbours that agree in all three are one; empty text goes."""
+    """Text items with marks, link, language and, if there is such a column, bibl -> spans: neighbours that agree in all of them are one; empty text goes."""
     order = Window.partitionBy("pkg_id", "index").orderBy("item")
-    look = F.struct("kind", "marks", "link", "language")
+    more = [c for c in ("bibl",) if c in items.columns]
+    look = F.struct("kind", "marks", "link", "language", *more)
     fresh = ~((F.col("kind") == "text") & look.eqNullSafe(F.lag(look).over(order)))
     shown = items.where((F.col("kind") != "text") | (F.coalesce("text", F.lit("")) != "")).withColumn("span", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ordered = F.array_sort(F.collect_list(F.struct("item", F.coalesce("text", F.lit("")).alias("text"))))
     text = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-    return shown.groupBy("pkg_id", "index", "span").agg(F.first("kind").alias("kind"), F.first("marks").alias("marks"), F.first("link").alias("link"), F.first("language").alias("language"), text.alias("text"))
+    return shown.groupBy("pkg_id", "index", "span").agg(F.first("kind").alias("kind"), F.first("marks").alias("marks"), F.first("link").alias("link"), F.first("language").alias("language"), *(F.first(c).alias(c) for c in more), text.alias("text"))
 
 
 def marks(style_marks: Column, direct: dict[str, Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,66 @@ def reachable(body: DataFrame, inner: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError(f"notes are nested more than {most} deep")
 
 
+def filled(texts: DataFrame, refs: DataFrame, notes: DataFrame, key: Sequence[str], token: Callable) -> DataFrame:
+    """texts (`key`, xml) with the xml of the notes (pkg_id, note_id, xml) in the place of the tokens of `refs` (`key`, note_id); of a note that is not there nothing."""
+    wanted = refs.select(*key, "note_id").distinct().join(notes.select("pkg_id", "note_id", F.col("xml").alias("_note")), ["pkg_id", "note_id"], "left")
+    parts = wanted.groupBy(*key).agg(F.collect_list(F.struct(token(F.col("note_id")).alias("token"), F.coalesce("_note", F.lit("")).alias("xml"))).alias("_notes"))
+    text = F.aggregate("_notes", F.col("xml"), lambda text, x: F.replace(text, x["token"], x["xml"]))
+    return texts.join(parts, list(key), "left").withColumn("xml", F.when(F.col("_notes").isNotNull(), text).otherwise(F.col("xml"))).drop("_notes")
+
+
+def nested(notes: DataFrame, refs: DataFrame, token: Callable, most: int = 200) -> DataFrame:
+    """notes (pkg_id, note_id, xml with tokens) with the notes inside them (refs: pkg_id, note_id, target) written in, from the innermost out.
+
+    Each round writes the notes all of whose references lead to finished ones or to none that is known, so rounds are as
+    many as notes are nested deep. What no round finishes is in a cycle or leads to one, and is left out, as are notes
+    nested more than `most` deep.
+    """
+    key = ["pkg_id", "note_id"]
+    inner = written(refs.join(notes.select("pkg_id", F.col("note_id").alias("target")), ["pkg_id", "target"], "left_semi").distinct(), "notes-inner")
+    waiting = inner.select(*key).distinct()
+    done = written(notes.join(waiting, key, "left_anti"), "notes-done")
+    left = written(notes.join(waiting, key, "left_semi"), "notes-left")
+    for _ in range(most):
+        if left.isEmpty():
+            break
+        unready = inner.join(done.select("pkg_id", F.col("note_id").alias("target")), ["pkg_id", "target"], "left_anti").select(*key).distinct()
+        ready = left.join(unready, key, "left_anti")
+        uses = inner.join(ready.select(*key), key, "left_semi").select("pkg_id", F.col("note_id").alias("owner"), F.col("target").alias("note_id"))
+        made = filled(ready.withColumnRenamed("note_id", "owner"), uses, done, ["pkg_id", "owner"], token).withColumnRenamed("owner", "note_id").select(*done.columns)
+        made = written(made, "notes-made")
+        if made.isEmpty():
+            break
+        done = done.unionByName(made)
+        left = written(left.join(made.select(*key), key, "left_anti"), "notes-left")
+    return done.withColumn("xml", F.regexp_replace("xml", "\x01[^\x02]*\x02", ""))
+
+
+def cycles(body: DataFrame, inner: DataFrame, notes: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The notes reached from the body, and those of them through which a cycle of notes is entered (pkg_id, note_id each).
+
+    body: pkg_id, note_id; inner: pkg_id, note_id, target; notes: pkg_id, note_id. What is not in or between cycles is taken away from
+    both ends, round by round: notes that lead nowhere, and notes that none of the rest refers to. Of what stays, those
+    that the body or another reached note refers to are entered.
+    """
+    key = ["pkg_id", "note_id"]
+    edges = written(inner.join(notes.distinct(), key, "left_semi").join(notes.select("pkg_id", F.col("note_id").alias("target")), ["pkg_id", "target"], "left_semi").select(*key, "target").distinct(), "notes-edges")
+    reached = written(reachable(body.join(notes.select(*key).distinct(), key, "left_semi"), edges, most), "notes-found")
+    core = edges.join(reached, key, "left_semi")
+    before = core.count()
+    while before:
+        ahead = core.select("pkg_id", F.col("note_id").alias("target")).distinct()
+        core = core.join(ahead, ["pkg_id", "target"], "left_semi").select(*key, "target")
+        behind = core.select("pkg_id", F.col("target").alias("note_id")).distinct()
+        core = written(core.join(behind, key, "left_semi"), "notes-core")
+        if (now := core.count()) == before:
+            break
+        before = now
+    held = core.select(*key).distinct()
+    outside = edges.join(reached, key, "left_semi").join(held, key, "left_anti").select("pkg_id", F.col("target").alias("note_id"))
+    return reached, held.join(body.select(*key).unionByName(outside).distinct(), key, "left_semi")
+
+
 def affiliations_of(people: DataFrame, affiliations: DataFrame) -> DataFrame:
     """people (pkg_id, person, affiliation_ids) with the affiliation behind each id, in the ids' order."""
     each = people.select("pkg_id", "person", F.posexplode("affiliation_ids").alias("position", "affiliation_id"))

@@ -55,6 +55,8 @@ CHARACTER_NAMES = {
     "EndnoteReference": ("endnote reference", "appel de note de fin"),
 }
 CHARACTER_MARKS = {"Strong": "bold", "Emphasis": "italic"}
+NEUTRAL_CHARACTERS = ("Hyperlink", "FollowedHyperlink", "FootnoteReference", "EndnoteReference")
+INLINE_REFERENCE = ("TEIbiblreference-inline", "TEI_bibl_reference-inline")
 
 
 @dataclass(frozen=True)
@@ -130,6 +132,13 @@ def controlled_status(style: Column, name: Column, custom: Column, kind: Column)
     return F.when(exact, "valid").when(partly, "invalid").otherwise("unrelated")
 
 
+def inline_reference(style: Column, name: Column, custom: Column, kind: Column) -> Column:
+    """valid: id and visible name of the style of references inside a paragraph, custom, of characters; invalid: one of them alone; else null."""
+    own, shown = style == INLINE_REFERENCE[0], name == INLINE_REFERENCE[1]
+    exact = F.coalesce(own & shown & custom & (kind == "character"), F.lit(False))
+    return F.when(exact, "valid").when(F.coalesce(own, F.lit(False)) | F.coalesce(shown, F.lit(False)), "invalid")
+
+
 def contents_entry(style: Column, custom: Column) -> Column:
     return F.coalesce(style.isin(*CONTENTS), F.lit(False)) & ~F.coalesce(custom, F.lit(False))
 

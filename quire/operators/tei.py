@@ -30,22 +30,28 @@ def element(name: str, content: Column, **attributes: Column) -> Column:
 
 
 def span_xml(spans: DataFrame) -> DataFrame:
-    """spans (pkg_id, index, span, kind, marks as an array, link, language, text) -> `xml` for each paragraph; the text of a `note` is XML already."""
+    """spans (pkg_id, index, span, kind, marks as an array, link, language, text) -> `xml` for each paragraph; the text of a `note` stays as it is.
+
+    Neighbours with `bibl`, if there is such a column, are one reference inside the paragraph, whatever their marks.
+    """
     kept = F.filter(F.coalesce("marks", F.array().cast("array<string>")), lambda m: m.isin(*RENDITIONS))
     names = F.create_map(*(F.lit(x) for pair in RENDITIONS.items() for x in pair))
     rend = F.array_join(F.transform(kept, lambda m: names[m]), " ")
     text = F.when(F.col("kind") == "break", "<lb/>").when(F.col("kind") == "note", F.col("text")).otherwise(F.coalesce(escaped(F.col("text")), F.lit("")))
     marked = F.when((F.size(kept) > 0) | F.col("language").isNotNull(), element("hi", text, rend=F.nullif(rend, F.lit("")), **{"xml:lang": F.col("language")})).otherwise(text)
     linked = F.when(F.col("link").isNotNull(), element("ref", marked, target=F.col("link"))).otherwise(marked)
+    if "bibl" in spans.columns:
+        order, own = Window.partitionBy("pkg_id", "index").orderBy("span"), F.coalesce("bibl", F.lit(False))
+        beside = lambda look: F.coalesce(look("bibl").over(order), F.lit(False))
+        spans = spans.withColumns({"_opens": own & ~beside(F.lag), "_closes": own & ~beside(F.lead)})
+        linked = F.concat(F.when(F.col("_opens"), "<bibl>").otherwise(""), linked, F.when(F.col("_closes"), "</bibl>").otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct("span", linked.alias("xml"))))
     return spans.groupBy("pkg_id", "index").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("xml"))
 
 
-def note_xml(notes: DataFrame) -> DataFrame:
-    """notes (pkg_id, kind, note_id, text with a line for each paragraph) -> `xml`, to stand wherever the note is referred to."""
-    paragraphs = F.array_join(F.transform(F.split(escaped(F.coalesce("text", F.lit(""))), "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
-    place = F.when(F.col("kind") == "footnote", "foot").otherwise("end")
-    return notes.select("pkg_id", "kind", "note_id", element("note", paragraphs, place=place).alias("xml"))
+def note_token(note: Column) -> Column:
+    """What stands for the note (kind:id) until its text is known: in characters that no XML document can hold."""
+    return F.concat(F.lit("\x01"), note, F.lit("\x02"))
 
 
 def verse_xml(content: Column) -> Column:
@@ -60,8 +66,8 @@ def verse_xml(content: Column) -> Column:
 WRITTEN = ("heading", "paragraph", "prose_quote", "verse_quote", "epigraph", "floating_text", "signature", "bibl", "ready")
 
 
-def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
-    """pkg_id, body: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
+def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """pkg_id, content: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
 
     A heading closes the divisions at its level and below and opens one for each level down to its own, so a
     skipped level gets a division without a head. `xml` names a column of ready inline XML; without it the
@@ -105,8 +111,12 @@ def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None
     depth = F.when(head, F.col("level")).otherwise(F.col("_depth"))
     ended = F.concat(F.coalesce(piece, F.lit("")), F.when(F.col("_end"), F.repeat(F.lit("</div>"), depth.cast("int"))).otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct("index", ended.alias("xml"))))
-    joined = rows.groupBy("pkg_id").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("body"))
-    return joined.select("pkg_id", F.concat(F.lit("<body>"), "body", F.lit("</body>")).alias("body"))
+    return rows.groupBy("pkg_id").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("content"))
+
+
+def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """pkg_id, body: `content_xml` as the body of a document."""
+    return content_xml(roled, xml, pieces).select("pkg_id", F.concat(F.lit("<body>"), "content", F.lit("</body>")).alias("body"))
 
 
 def header_xml(metadata: DataFrame) -> DataFrame:

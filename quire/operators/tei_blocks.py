@@ -13,11 +13,12 @@ from quire.operators.tei import element, escaped, quoted
 
 
 def list_pieces(items: DataFrame) -> DataFrame:
-    """items (pkg_id, index, path, kind, number_format, start, xml): the item with the lists and items that open and close around it.
+    """items (pkg_id, index, path, part, kind, number_format, start, xml): the item with the lists and items that open and close around it.
 
     `path` has list:item for each level, as `lists.list_items` gives it. A list opens with its first item.
     Behind an item close all lists that the next item is not in, and the items around them; an item with a
-    child list stays open until that list has ended. Items without a path (errors) are left out.
+    child list stays open until that list has ended. Rows of a part above 0 go on with the item before them: it then has a `p`
+    for each. Items without a path (errors) are left out.
     """
     order = Window.partitionBy("pkg_id").orderBy("index")
     rows = items.where("path is not null").withColumn("_own", F.split("path", r"\.")).withColumn("_next", F.lead("_own").over(order))
@@ -31,7 +32,10 @@ def list_pieces(items: DataFrame) -> DataFrame:
     opening = F.when(first, F.concat(F.lit('<list type="'), quoted(kind), F.lit('"'), F.coalesce(number, F.lit("")), F.lit(">"))).otherwise("")
     lists_closed = F.concat(F.repeat(F.lit("</list></item>"), F.greatest(depth - shared - 1, F.lit(0))), F.when(depth > shared, "</list>").otherwise(""), F.when((depth > shared) & (shared > 0) & (ahead == shared), "</item>").otherwise(""))
     closing = F.when((ahead > depth) & (shared == depth), "").otherwise(F.concat(F.lit("</item>"), lists_closed))
-    return rows.select("pkg_id", "index", F.concat(opening, F.lit("<item>"), F.coalesce("xml", F.lit("")), closing).alias("piece"))
+    goes_on = F.coalesce((F.lead("path").over(order) == F.col("path")) & (F.lead("part").over(order) > 0), F.lit(False))
+    p = F.concat(F.lit("<p>"), F.coalesce("xml", F.lit("")), F.lit("</p>"))
+    start = F.when(F.col("part") > 0, p).otherwise(F.concat(opening, F.lit("<item>"), F.when(goes_on, p).otherwise(F.coalesce("xml", F.lit("")))))
+    return rows.select("pkg_id", "index", F.concat(start, F.when(goes_on, "").otherwise(closing)).alias("piece"))
 
 
 def figure_pieces(figures: DataFrame, graphics: DataFrame, texts: DataFrame) -> DataFrame:

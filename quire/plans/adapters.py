@@ -43,6 +43,24 @@ def note_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((key % 100).alias("pkg_id"), (key * 2 + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)).alias("note_id"))
 
 
+def nested_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as notes that refer to notes: (notes with xml, references inside notes, references in bodies).
+
+    The notes of a document are numbered; most refer to two further ones, some back to the one before them, some to themselves.
+    """
+    order = Window.partitionBy("pkg_id").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("pkg_id"), "o_orderkey", "o_orderpriority").withColumn("i", F.row_number().over(order) - 1)
+    key, i = F.col("o_orderkey"), F.col("i")
+    on = lambda test, number: F.when(test, number)
+    targets = F.array_compact(F.array(on(key % 3 != 0, 2 * i + 1), on(key % 3 != 0, 2 * i + 2), on(key % 37 == 0, F.floor((i - 1) / 2)), on(key % 53 == 0, i)))
+    name = lambda n: F.concat(F.lit("footnote:"), n.cast("string"))
+    tokens = F.array_join(F.transform("targets", lambda t: F.concat(F.lit("\x01"), name(t), F.lit("\x02"))), "")
+    rows = rows.withColumn("targets", targets)
+    notes = rows.select("pkg_id", name(i).alias("note_id"), F.concat(F.lit('<note place="foot"><p>'), "o_orderpriority", tokens, F.lit("</p></note>")).alias("xml"))
+    inner = rows.select("pkg_id", name(i).alias("note_id"), F.explode("targets").alias("t")).select("pkg_id", "note_id", name(F.col("t")).alias("target"))
+    return notes, inner, rows.where(((i == 0) & (F.col("pkg_id") % 2 == 0)) | (i % 7 == 3)).select("pkg_id", name(i).alias("note_id"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.col("c_nationkey").cast("long")
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("pkg_id"), F.col("c_custkey").alias("person"), F.array(nation, (nation + 7) % 30).alias("affiliation_ids"), F.col("c_name").alias("literal_name"), F.lit("Ada").alias("given_name"), F.col("c_mktsegment").alias("family_name"))

@@ -80,12 +80,13 @@ def with_own_styles(packages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return paragraphs.join(meant, ["pkg_id", "style_id"], "left").withColumn("style_id", F.coalesce("meant", "style_id")).drop("meant")
 
 
-def body_blocks(packages: DataFrame) -> DataFrame:
+def body_blocks(packages: DataFrame, inner: bool = False) -> DataFrame:
     """Body paragraphs with the role each has among its neighbours, and what decides over it.
 
     Over the roles of `roles.with_roles`: bibliography (from the cut on), figure (an image), figure_text (its
     title, caption, credits), list_item (numbered, status resolved), bibl (a reference of its own or of the
-    quotation before it) and empty (nothing but layout).
+    quotation before it) and empty (nothing but layout). `inner` blocks are those of notes (`note_view`), which have
+    no bibliography. `continuation` says which list paragraphs may go on with an item (`roles.continuation`).
     """
     roled = roles.with_roles(with_own_styles(packages, body_paragraphs(packages)))
     items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table")
@@ -94,7 +95,7 @@ def body_blocks(packages: DataFrame) -> DataFrame:
     numbers = resolved(packages).select("pkg_id", "index", "status", "kind", "number_format", "start", F.col("level").alias("list_level"), "origin", F.col("raw_id").alias("number"))
     rows = roled.join(stats, ["pkg_id", "index"], "left").join(numbers, ["pkg_id", "index"], "left")
     rows = rows.withColumns({"drawing_count": F.coalesce("drawing_count", F.lit(0)), "numbered": numbering.active(F.col("status"), F.col("raw_id"))})
-    cut = blocks.bibliography_cut(roled).select("pkg_id", "cut")
+    cut = blocks.bibliography_cut(roled).where(F.lit(not inner)).select("pkg_id", "cut")
     around = figures.figures(rows).select("pkg_id", F.explode(F.array_compact(F.array("title", "caption", "credits"))).alias("index")).distinct().withColumn("_text_of_figure", F.lit(True))
     rows = rows.join(cut, "pkg_id", "left").join(around, ["pkg_id", "index"], "left")
     reference = roles.controlled_status(F.col("style_id"), F.col("style_name"), F.col("style_is_custom"), F.lit("paragraph"))
@@ -104,7 +105,8 @@ def body_blocks(packages: DataFrame) -> DataFrame:
         F.when(F.col("index") >= F.col("cut"), "bibliography").when(F.col("drawing_count") > 0, "figure").when(F.col("_text_of_figure"), "figure_text").when(listed, "list_item")
         .when((F.col("style_id") == "TEIbiblreference") & (reference == "valid"), "bibl").when((F.col("role").isin("paragraph", "signature")) & empty, "empty").otherwise(F.col("role"))
     )
-    return rows.withColumn("role", role).drop("_text_of_figure")
+    goes_on = roles.continuation(F.col("role"), F.col("style_id"), F.col("style_is_custom"), F.col("has_numbering") | F.col("numbered"))
+    return rows.withColumn("continuation", goes_on).withColumn("role", role).drop("_text_of_figure")
 
 
 def _drawings(packages: DataFrame) -> DataFrame:
@@ -118,16 +120,26 @@ def found_graphics(packages: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def found_lists(body: DataFrame) -> DataFrame:
-    items = body.where("role = 'list_item'")
-    path = lists.list_items(items.select(F.xxhash64("pkg_id").alias("pkg_id"), "index", canonical("number").alias("num_id"), F.col("list_level").alias("level"), "kind", "number_format", "start"))
-    return items.withColumn("_key", F.xxhash64("pkg_id")).join(path.withColumnRenamed("pkg_id", "_key"), ["_key", "index"]).drop("_key")
+    """What `lists.list_items` finds in the blocks, with each item's kind, number_format and start."""
+    item = F.col("role") == "list_item"
+    only = lambda c: F.when(item, F.col(c))
+    empty = blocks.blank(F.col("text")) & ~F.coalesce("has_mark", F.lit(False)) & (F.col("drawing_count") == 0)
+    rows = body.select("pkg_id", "index", "block", lists.block_class(F.col("role"), item, F.col("continuation")).alias("class"), F.when(item, canonical("number")).alias("num_id"), only("list_level").alias("level"), *(only(c).alias(c) for c in ("kind", "number_format", "start")), empty.alias("empty"))
+    return lists.list_items(rows).join(rows.select("pkg_id", "index", "kind", "number_format", "start"), ["pkg_id", "index"])
 
 
-def found_problems(packages: DataFrame, body: DataFrame) -> DataFrame:
-    """Diagnostics of all phases, repeats removed: inspection, numbering, notes, and whatever in the text cannot be written."""
-    refs = exploded(packages, "items").where("reference_id is not null").select("pkg_id", F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
-    known = exploded(packages, "notes").select("pkg_id", F.concat("kind", F.lit(":"), "note_id").alias("note_id"))
-    repeated = known.groupBy("pkg_id", "note_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def note_refs(packages: DataFrame) -> DataFrame:
+    """pkg_id, owner (the note a reference stands in, null in the body), note_id (the one it names); both as kind:id."""
+    owner = F.when(F.col("note_id").isNotNull(), F.concat(F.regexp_extract("part", "word/(.*)s[.]xml", 1), F.lit(":"), "note_id"))
+    return exploded(packages, "items").where("reference_id is not null").select("pkg_id", owner.alias("owner"), F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
+
+
+def known_notes(packages: DataFrame) -> DataFrame:
+    return exploded(packages, "notes").select("pkg_id", F.concat("kind", F.lit(":"), "note_id").alias("note_id"))
+
+
+def text_problems(packages: DataFrame, body: DataFrame, inner: bool = False) -> list[DataFrame]:
+    """Whatever in a text cannot be written, in the body or (`inner`, over `note_view`) inside notes."""
     signatures = blocks.signature_runs(body.where("role not in ('empty', 'bibliography')")).where("refused is not null").select("pkg_id", F.col("start").alias("index"))
     tables_found = tables.table_problems(exploded(packages, "cells")).where("code is not null").select("pkg_id", F.col("block").alias("index"), "code")
     refusal = numbering.refusal(F.when(F.col("role") == "list_item", "paragraph").otherwise(F.col("role")), F.col("status"), F.col("kind"), F.col("origin"), F.lit(None).cast("boolean"), F.lit(None).cast("int"))
@@ -139,69 +151,143 @@ def found_problems(packages: DataFrame, body: DataFrame) -> DataFrame:
         .when(F.col("link").isNotNull() & ~F.coalesce(F.col("mode") == "External", F.lit(False)), "unresolved_link_not_serializable").when(F.col("link").isNull() & F.col("anchor").isNotNull(), "internal_link_not_serializable")
         .when(F.col("in_table") & (F.col("kind") == "drawing"), "image_in_table_cell_not_serializable")
     )
-    inner = items.join(relation, ["pkg_id", "part", "link"], "left").withColumn("code", code).where("code is not null").select("pkg_id", "index", "code")
+    runs = items.join(relation, ["pkg_id", "part", "link"], "left").withColumn("code", code).where("code is not null").select("pkg_id", "index", "code")
     kept = body.where("role not in ('empty', 'bibliography')").select("pkg_id", "index").unionByName(items.where("in_table").select("pkg_id", "index").distinct())
-    inner = inner.join(kept, ["pkg_id", "index"], "left_semi")
+    runs = runs.join(kept, ["pkg_id", "index"], "left_semi")
     at = lambda rows, role, code: rows.where(F.col("role") == role).select("pkg_id", "index", F.lit(code).alias("code"))
     blank = body.where(blocks.blank(F.col("text")))
+    found = found_lists(body)
+    own = "note" if inner else "body"
+    only = {
+        "body": [blocks.epigraph_runs(body.where("role <> 'empty'")).where("not allowed").select("pkg_id", F.col("start").alias("index"), F.lit("misplaced_epigraph_not_serializable").alias("code"))],
+        "note": [at(body, "heading", "heading_in_note_not_serializable"), at(body, "epigraph", "misplaced_epigraph_not_serializable"), at(body, "floating_text", "floating_text_in_note_not_serializable"), at(body, "signature", "misplaced_signature_not_serializable"),
+                 body.where("style_id = 'TEIbiblstart'").select("pkg_id", "index", F.lit("bibliography_in_note_not_serializable").alias("code"))],
+    }
     texts = (
-        at(blank.where("not coalesce(has_mark, false)"), "heading", "empty_heading"), at(blank.where("not coalesce(has_mark, false)"), "list_item", "empty_list_item_not_serializable"),
+        at(blank.where("not coalesce(has_mark, false)"), "heading", "empty_heading"), *only[own],
         at(blank, "verse_quote", "ambiguous_empty_verse_block"),
         figures.orphans(body).select("pkg_id", "index", F.lit("orphan_figure_caption_not_serializable").alias("code")),
-        blocks.epigraph_runs(body.where("role <> 'empty'")).where("not allowed").select("pkg_id", F.col("start").alias("index"), F.lit("misplaced_epigraph_not_serializable").alias("code")),
         blocks.sourced_quotes(body).where("has_second").select("pkg_id", F.col("start").alias("index"), F.lit("multiple_quotation_sources_not_serializable").alias("code")),
         at(body.where((F.col("index") > F.col("cut")) & ~F.coalesce(F.col("style_id").isin(*roles.BIBLIOGRAPHY, "TEIbiblreference", "TEIbiblstart"), F.lit(False)) & ~blocks.blank(F.col("text"))), "bibliography", "nonterminal_bibliography_not_serializable"),
-        found_lists(body).where("code is not null").select("pkg_id", "index", "code"),
+        _behind_the_cut(packages, body), _cell_problems(packages), _run_problems(packages, body),
         found_graphics(packages, body).where("code is not null").select("pkg_id", "index", "code"),
-        tables_found, inner, numbers.select("pkg_id", "index", "code"),
+        tables_found, runs, numbers.select("pkg_id", "index", "code"),
     )
     styled = body.where(~F.col("role").isin("bibliography", "figure", "figure_text", "list_item", "bibl", "empty", "ready"))
-    parts = (
+    unnumbered = body.where((F.col("style_id") == "ListParagraph") & F.col("status").isNull() & ~F.col("has_numbering"))
+    return [
+        _row(unnumbered, 0, "inspection", "warning", code=F.lit("list_paragraph_without_numbering")),
+        _row(roles.style_diagnosis(styled), 3, "editorial"),
+        *([] if inner else [_row(blocks.heading_jumps(body), 3, "editorial", "info", code=F.lit("heading_level_jump")), _row(signatures, 3, "editorial", "error", code=F.lit("misplaced_signature_not_serializable"))]),
+        _row(at(body, "empty", "empty_paragraph_ignored"), 3, "editorial", "info"),
+        _row(lists.list_problems(found), 3, "editorial"),
+        *(_row(rows, 3, "editorial", "error") for rows in texts),
+    ]
+
+
+def _behind_the_cut(packages: DataFrame, body: DataFrame) -> DataFrame:
+    """Tables behind the start of the bibliography: no entry, and nowhere to write them."""
+    start = body.where("role = 'bibliography'").groupBy("pkg_id").agg(F.min("block").alias("_cut"))
+    return exploded(packages, "cells").select("pkg_id", "block").distinct().join(start, "pkg_id").where("block > _cut").select("pkg_id", F.lit(None).cast("int").alias("index"), F.lit("nonterminal_bibliography_not_serializable").alias("code")).distinct()
+
+
+def _cell_problems(packages: DataFrame) -> DataFrame:
+    """Written cells' paragraphs of a style that no cell has, of a role that no cell has, or numbered."""
+    filled = exploded(packages, "cells").where("index is not null").select("pkg_id", "index")
+    cells = exploded(packages, "paragraphs").where("part = 'word/document.xml' and in_table").join(filled, ["pkg_id", "index"], "left_semi")
+    styles = _first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", F.col("name").alias("style_name"), F.col("is_custom").alias("style_is_custom"), F.col("outline_level").alias("_outline")), "style_id")
+    rows = with_own_styles(packages, cells.join(styles, ["pkg_id", "style_id"], "left").withColumn("outline_level", F.coalesce("outline_level", "_outline")))
+    roled = roles.with_roles(rows)
+    named = F.col("style_id"), F.col("style_name"), F.col("style_is_custom")
+    controlled = F.coalesce((roles.controlled_status(*named, F.lit("paragraph")) == "valid") & (F.col("style_id") == "TEIcell"), F.lit(False))
+    codes = F.array_compact(F.array(
+        F.when(~roles.cell_style(*named), "unsupported_table_cell_style"),
+        F.when(F.col("has_numbering") & (F.coalesce("raw_id", F.lit("")) != "0"), "numbered_table_cell_not_serializable"),
+        F.when((F.col("role") != "paragraph") & ~controlled, "unsupported_table_cell_content"),
+    ))
+    return roled.select("pkg_id", F.col("block").alias("index"), F.explode(codes).alias("code"))
+
+
+def with_character_styles(packages: DataFrame, items: DataFrame) -> DataFrame:
+    """Items whose localized character style is replaced by the one it stands for, with `reference`: whether the style is the one of references inside a paragraph (valid), or only like it (invalid)."""
+    styles = _first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", "name", "style_type", "is_custom"), "style_id")
+    meant = roles.own_styles(styles).select("pkg_id", F.col("style_id").alias("char_style"), "meant")
+    named = styles.select("pkg_id", F.col("style_id").alias("char_style"), F.struct("name", "is_custom", "style_type").alias("_style"))
+    rows = items.join(named, ["pkg_id", "char_style"], "left").join(meant, ["pkg_id", "char_style"], "left")
+    reference = roles.inline_reference(F.col("char_style"), F.col("_style.name"), F.col("_style.is_custom"), F.col("_style.style_type"))
+    return rows.withColumn("reference", reference).withColumn("char_style", F.coalesce("meant", "char_style")).drop("meant", "_style")
+
+
+def _run_problems(packages: DataFrame, body: DataFrame) -> DataFrame:
+    """Runs of written paragraphs whose character style stands for no mark, and references inside a paragraph that cannot be."""
+    items = exploded(packages, "items").where("part = 'word/document.xml' and char_style is not null").select("pkg_id", "index", "char_style", "in_table", (F.col("kind") == "drawing").alias("drawn")).distinct()
+    role = body.select("pkg_id", "index", F.col("role").alias("_role"))
+    rows = with_character_styles(packages, items).join(role, ["pkg_id", "index"], "left").where("in_table or _role <> 'empty'")
+    valid = F.coalesce(F.col("reference") == "valid", F.lit(False))
+    code = (
+        F.when(F.col("reference") == "invalid", "invalid_bibliographic_reference_inline_style").when(valid & F.col("drawn"), "drawing_in_bibliographic_reference_inline_not_serializable")
+        .when(valid & F.coalesce(F.col("_role").isin("bibl", "bibliography"), F.lit(False)), "nested_bibliographic_reference_not_serializable")
+        .when(~valid & ~F.col("char_style").isin(*roles.CHARACTER_MARKS, *roles.NEUTRAL_CHARACTERS), "unsupported_character_style")
+    )
+    return rows.withColumn("code", code).where("code is not null").select("pkg_id", "index", "code")
+
+
+def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame | None = None, note_blocks: DataFrame | None = None) -> DataFrame:
+    """Diagnostics of all phases, repeats removed: inspection, numbering, notes, and whatever in the text cannot be written.
+
+    notes_found and note_blocks: `note_view` of the packages and its `body_blocks`; headings and the like inside notes
+    count where the note is reached from the body.
+    """
+    refs, known = note_refs(packages), known_notes(packages)
+    repeated = known.groupBy("pkg_id", "note_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    body_refs, inner_refs = refs.where("owner is null").select("pkg_id", "note_id"), refs.where("owner is not null")
+    reached, cyclic = notes.cycles(body_refs, inner_refs.select("pkg_id", F.col("owner").alias("note_id"), F.col("note_id").alias("target")), known)
+    parts = [
         inspected(packages),
         _row(repeated_numbering(packages), 0, "inspection", "error"),
         _row(notes.missing_targets(refs, known), 2, "editorial", "error", code=F.lit("missing_note_target")),
         _row(notes.unreferenced(refs, known), 2, "editorial", "warning", code=F.lit("unreferenced_note")),
         _row(repeated, 2, "editorial", "error", code=F.lit("duplicate_note_id")),
-        _row(roles.style_diagnosis(styled), 3, "editorial"),
-        _row(blocks.heading_jumps(body), 3, "editorial", "info", code=F.lit("heading_level_jump")),
-        _row(at(body, "empty", "empty_paragraph_ignored"), 3, "editorial", "info"),
-        _row(signatures, 3, "editorial", "error", code=F.lit("misplaced_signature_not_serializable")),
-        *(_row(rows, 3, "editorial", "error") for rows in texts),
-    )
+        _row(cyclic, 4, "serialization", "error", code=F.lit("cyclic_note_reference")),
+        _row(known.distinct().join(reached, ["pkg_id", "note_id"], "left_anti"), 4, "serialization", "warning", code=F.lit("unreferenced_note_not_serialized")),
+        *text_problems(packages, body),
+    ]
+    if note_blocks is not None:
+        inside = reduce(DataFrame.unionByName, text_problems(notes_found, note_blocks, True))
+        named = inside.withColumns(note_names()).where((F.col("code") != "heading_in_note_not_serializable") | F.col("note_id").isNotNull())
+        headings = named.where("code = 'heading_in_note_not_serializable'").join(reached, ["pkg_id", "note_id"], "left_semi")
+        parts.append(named.where("code <> 'heading_in_note_not_serializable'").unionByName(headings.select(*named.columns)))
     rows = reduce(DataFrame.unionByName, parts)
     rows = rows.withColumn("sequence", F.struct("phase", "part", "note_id", "index", "code"))
     return diagnostics.distinct_diagnostics(rows).drop("sequence")
 
 
 def body_spans(packages: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """Items of body and cell paragraphs as spans with marks (direct ones over the character style's), external links, and notes where they are referred to (each time).
+    """Items of body and cell paragraphs as spans with marks (direct ones over the character style's), external links, and a token where a note is referred to.
 
     languages: pkg_id, language of the documents; a run in another language than its document's carries it.
     """
-    meant = roles.own_styles(_first(_numbered(packages, "styles").select("pkg_id", "at", "style_id", "name", "style_type", "is_custom"), "style_id")).select("pkg_id", F.col("style_id").alias("char_style"), "meant")
     names = F.create_map(*(F.lit(x) for pair in roles.CHARACTER_MARKS.items() for x in pair))
     style_marks = F.when(names[F.col("char_style")].isNotNull(), F.array(names[F.col("char_style")]))
     direct = {n: F.col(n) for n in ("bold", "italic", "small_caps", "caps")} | {"superscript": F.when(F.col("vertical") == "superscript", True), "subscript": F.when(F.col("vertical") == "subscript", True)}
     links = _first(exploded(packages, "relations").where("mode = 'External'").select("pkg_id", "part", F.col("relation_id").alias("link"), F.col("target").alias("url"), "sequence"), "part", "link", order="sequence")
-    known = _first(_numbered(packages, "notes"), "kind", "note_id")
-    notes_xml = tei.note_xml(known).select("pkg_id", F.concat("kind", F.lit("_reference")).alias("kind"), F.col("note_id").alias("reference_id"), "xml")
     items = exploded(packages, "items").where("part = 'word/document.xml' and kind in ('text', 'break', 'footnote_reference', 'endnote_reference')")
-    items = items.where("kind <> 'break' or break_type = 'line'").join(meant, ["pkg_id", "char_style"], "left").withColumn("char_style", F.coalesce("meant", "char_style"))
-    items = items.join(links, ["pkg_id", "part", "link"], "left").join(notes_xml, ["pkg_id", "kind", "reference_id"], "left")
+    items = with_character_styles(packages, items.where("kind <> 'break' or break_type = 'line'"))
+    items = items.join(links, ["pkg_id", "part", "link"], "left")
     language = F.lit(None).cast("string")
     if languages is not None:
         items = items.join(languages.select("pkg_id", F.col("language").alias("_document")), "pkg_id", "left")
         language = F.when(ids.primary_language(F.col("language")) != ids.primary_language(F.col("_document")), F.col("language"))
     is_note = F.col("reference_id").isNotNull()
-    kind, text = F.when(is_note, "note").otherwise(F.col("kind")), F.when(is_note, F.coalesce("xml", F.lit(""))).otherwise(F.col("text"))
-    shown = items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), kind.alias("kind"), text.alias("text"), F.when(~is_note, inline.marks(style_marks, direct)).alias("marks"), F.when(~is_note, F.col("url")).alias("link"), F.when(~is_note, language).alias("language"))
+    kind, text = F.when(is_note, "note").otherwise(F.col("kind")), F.when(is_note, tei.note_token(F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id"))).otherwise(F.col("text"))
+    shown = items.select("pkg_id", "index", (F.col("run") * 100_000 + F.col("item")).alias("item"), kind.alias("kind"), text.alias("text"), F.when(~is_note, inline.marks(style_marks, direct)).alias("marks"), F.when(~is_note, F.col("url")).alias("link"), F.when(~is_note, language).alias("language"), F.coalesce(F.col("reference") == "valid", F.lit(False)).alias("bibl"))
     return inline.spans(shown)
 
 
 def body_pieces(packages: DataFrame, body: DataFrame, xml: DataFrame) -> DataFrame:
     """Lists, figures and tables as pieces at the blocks' places (`block` counts paragraphs and tables)."""
     place = body.select("pkg_id", "index", "block")
-    items = tei_blocks.list_pieces(found_lists(body).join(xml, ["pkg_id", "index"], "left"))
+    items = tei_blocks.list_pieces(found_lists(body).where("path is not null").join(xml, ["pkg_id", "index"], "left"))
     images = tei_blocks.figure_pieces(figures.figures(body), found_graphics(packages, body), xml)
     gone = body.where("role in ('empty', 'bibliography', 'figure_text')").select("pkg_id", "index", F.lit("").alias("piece"))
     whole = items.unionByName(images).unionByName(gone).groupBy("pkg_id", "index").agg(F.max("piece").alias("piece")).join(place, ["pkg_id", "index"])
@@ -216,18 +302,82 @@ def bibliographies(body: DataFrame, xml: DataFrame) -> DataFrame:
     return tei_blocks.bibliography_xml(rows.withColumn("part", head).where("part is not null").select("pkg_id", "index", "part", "xml"))
 
 
+UNIT = "\x1f"
+
+
+def note_names() -> dict:
+    """pkg_id and note_id (kind:id) of a row of `note_view`, whose pkg_id names both."""
+    name = F.substring_index("pkg_id", UNIT, -1)
+    return {"pkg_id": F.substring("pkg_id", F.lit(1), F.length("pkg_id") - F.length(name) - 1), "note_id": name}
+
+
+def note_view(packages: DataFrame) -> DataFrame:
+    """The packages' notes as packages of their own, so that whatever reads bodies reads them: pkg_id is the package's id and the note's kind:id.
+
+    A note brings the styles it uses, and its package's numbering, relations and media only if it has numbers,
+    links or drawings. Styles that may inherit a number come with all others. Of notes of one id the first counts.
+    """
+    part, names = F.concat(F.lit("word/"), "kind", F.lit("s.xml")), {"part": F.lit("word/document.xml"), "note_id": F.lit(None).cast("string")}
+    of = lambda table: exploded(packages, table).where("note_id is not null")
+    kinds = {f.name: f.dataType for f in packages.schema.fields}
+
+    def gathered(table: str) -> DataFrame:
+        fields = [f.name for f in kinds[table].elementType.fields]
+        return of(table).groupBy("pkg_id", F.col("part").alias("_part"), "note_id").agg(F.collect_list(F.struct(*(names[f].alias(f) if f in names else F.col(f) for f in fields))).cast(kinds[table]).alias(table))
+
+    known = _first(_numbered(packages, "notes").select("pkg_id", "at", "kind", "note_id"), "kind", "note_id").withColumn("_part", part)
+    rows = known.join(gathered("paragraphs"), ["pkg_id", "_part", "note_id"], "left").join(gathered("items"), ["pkg_id", "_part", "note_id"], "left")
+    rows = rows.withColumns({t: F.coalesce(t, F.array().cast(kinds[t])) for t in ("paragraphs", "items")})
+    shared = packages.select("pkg_id", "sha256", *(F.col(t).alias(f"_{t}") for t in ("styles", "instances", "levels", "overrides", "relations", "media")))
+    rows = rows.join(shared, "pkg_id")
+    used = F.array_distinct(F.array_compact(F.concat(F.transform("paragraphs", lambda p: p["style_id"]), F.transform("items", lambda i: i["char_style"]))))
+    chained = F.exists("_styles", lambda s: s["raw_id"].isNotNull()) & F.exists("_styles", lambda s: F.array_contains("_used", s["style_id"]) & s["based_on"].isNotNull())
+    rows = rows.withColumn("_used", used)
+    numbered = F.exists("paragraphs", lambda p: p["has_numbering"]) | chained
+    drawn, linked = F.exists("items", lambda i: i["kind"] == "drawing"), F.exists("items", lambda i: i["link"].isNotNull())
+    given = {
+        "styles": F.when(chained, F.col("_styles")).otherwise(F.filter("_styles", lambda s: F.array_contains("_used", s["style_id"]))),
+        "relations": F.when(drawn | linked, F.transform(F.filter("_relations", lambda r: r["part"] == F.col("_part")), lambda r: r.withField("part", F.lit("word/document.xml")))),
+        "media": F.when(drawn, F.col("_media")), **{t: F.when(numbered, F.col(f"_{t}")) for t in ("instances", "levels", "overrides")},
+    }
+    none = lambda t: F.array().cast(kinds[t])
+    own = {t: F.coalesce(c.cast(kinds[t]), none(t)) for t, c in given.items()} | {t: none(t) for t in ("notes", "cells", "issues")}
+    rows = rows.withColumns(own | {"pkg_id": F.concat("pkg_id", F.lit(UNIT), "kind", F.lit(":"), "note_id"), "error": F.lit(None).cast("string")})
+    return rows.select(*packages.columns)
+
+
+def note_texts(packages: DataFrame, view: DataFrame, body: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """pkg_id, note_id (kind:id), xml of each note with all notes inside it; notes in a cycle, and those that lead to one, are left out."""
+    if languages is not None:
+        units = view.select("pkg_id").withColumn("_unit", F.col("pkg_id")).withColumns(note_names())
+        languages = units.join(languages.select("pkg_id", "language"), "pkg_id").select(F.col("_unit").alias("pkg_id"), "language")
+    xml = written(tei.span_xml(body_spans(view, languages)), "note-spans")
+    ready = body.join(xml, ["pkg_id", "index"], "left").withColumn("index", F.col("block"))
+    inside = tei.content_xml(ready, "xml", body_pieces(view, body, xml))
+    rows = view.select("pkg_id").join(inside, "pkg_id", "left").withColumns(note_names())
+    place = F.when(F.col("note_id").startswith("footnote:"), "foot").otherwise("end")
+    bare = written(rows.select("pkg_id", "note_id", tei.element("note", F.coalesce("content", F.lit("")), place=place).alias("xml")), "note-texts")
+    refs = note_refs(packages).where("owner is not null").select("pkg_id", F.col("owner").alias("note_id"), F.col("note_id").alias("target"))
+    return notes.nested(bare, refs, tei.note_token)
+
+
 def converted(packages: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, xml) of the packages without errors, and the diagnostics of all.
 
     metadata: what `tei.header_xml` takes. A package without metadata is refused (missing_metadata), and so
     is one whose XML breaks the profile. Packages are decoded once: what is read here is a written table, and
-    so are their blocks. Every paragraph, item, image, list and table is written or has an error row.
+    so are their blocks. Notes are texts of their own, read like bodies, and stand wherever they are referred to. Every
+    paragraph, item, image, list, table and note is written or has an error row.
     """
     packages = written(packages, "packages")
     body = written(body_blocks(packages), "blocks")
+    view = written(note_view(packages), "notes")
+    inner = written(body_blocks(view, inner=True), "note-blocks")
     lacking = packages.select("pkg_id").join(metadata, "pkg_id", "left_anti")
-    problems = written(found_problems(packages, body).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
-    xml = written(tei.span_xml(body_spans(packages, metadata)), "spans")
+    problems = written(found_problems(packages, body, view, inner).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
+    inside = note_texts(packages, view, inner, metadata)
+    refs = exploded(packages, "items").where("part = 'word/document.xml' and reference_id is not null").select("pkg_id", "index", F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
+    xml = written(notes.filled(tei.span_xml(body_spans(packages, metadata)), refs, inside, ["pkg_id", "index"], tei.note_token), "spans")
     pieces = body_pieces(packages, body, xml)
     ready = body.join(xml, ["pkg_id", "index"], "left").withColumn("index", F.col("block"))
     fronts = metadata.select("pkg_id", tei_blocks.front_xml(F.col("abstracts")).alias("front")) if "abstracts" in metadata.columns else None

@@ -113,6 +113,12 @@ NOTES = """
     refs AS (SELECT DISTINCT l_orderkey % 100 AS pkg_id, l_orderkey * 2 + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS note_id FROM lineitem)
 """
 
+NESTED_NOTES = """numbered AS (SELECT o_orderkey % 97 AS pkg_id, o_orderkey AS k, o_orderpriority AS said, row_number() OVER (PARTITION BY o_orderkey % 97 ORDER BY o_orderkey) - 1 AS i FROM orders),
+    aimed AS (SELECT *, list_filter([CASE WHEN k % 3 <> 0 THEN 2 * i + 1 END, CASE WHEN k % 3 <> 0 THEN 2 * i + 2 END, CASE WHEN k % 37 = 0 THEN floor((i - 1) / 2)::BIGINT END, CASE WHEN k % 53 = 0 THEN i END], lambda t: t IS NOT NULL) AS targets FROM numbered),
+    edges AS MATERIALIZED (SELECT DISTINCT e.pkg_id, e.i, t.i AS target FROM (SELECT pkg_id, i, unnest(targets) AS target FROM aimed) e JOIN numbered t ON t.pkg_id = e.pkg_id AND t.i = e.target),
+    steps AS (SELECT pkg_id, i, target, 1 AS depth FROM edges UNION SELECT s.pkg_id, s.i, e.target, depth + 1 FROM steps s JOIN edges e ON e.pkg_id = s.pkg_id AND e.i = s.target WHERE depth < 25)
+"""
+
 # A step of the state machine over blocks: what is open, what has been closed, and which numbers have been interrupted.
 LIST_STEPS = """WITH RECURSIVE raw AS (
         SELECT l_orderkey % 499 AS pkg_id, row_number() OVER (PARTITION BY l_orderkey % 499 ORDER BY l_orderkey, l_linenumber)::INT AS "index", l_orderkey, s, p
@@ -233,6 +239,23 @@ ORACLES: dict[str, str] = {
     "j13_unmatched_signatures": f"""WITH {PEOPLE}, s AS (SELECT c_custkey % 40 AS pkg_id, c_custkey AS at, CASE WHEN c_custkey % 3 = 0 THEN 'ADA  ' || c_mktsegment WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE c_name || 'x' END AS name FROM customer), known AS (SELECT pkg_id, lower(c_name) AS key FROM people UNION SELECT pkg_id, 'ada ' || lower(c_mktsegment) FROM people) SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.pkg_id = s.pkg_id AND k.key = trim(regexp_replace(lower(s.name), '\\s+', ' ', 'g')))""",
     "j04_relation_lookup": """WITH l AS (SELECT l_orderkey % 50 AS pkg_id, l_suppkey % 20 AS relation_id, l_orderkey * 10 + l_linenumber AS sequence, min(l_partkey) AS target FROM lineitem GROUP BY 1, 2, 3), f AS (SELECT *, row_number() OVER w AS at, count(*) OVER (PARTITION BY pkg_id, relation_id) > 1 AS duplicate FROM l WINDOW w AS (PARTITION BY pkg_id, relation_id ORDER BY sequence)) SELECT o_orderkey % 50 AS pkg_id, o_custkey % 25 AS relation_id, o_orderkey AS used_by, f.target, f.duplicate FROM orders LEFT JOIN f ON f.pkg_id = o_orderkey % 50 AND f.relation_id = o_custkey % 25 AND f.at = 1""",
     "l01_list_items": LIST_STEPS,
+    "t10_nested_notes": f"""WITH RECURSIVE {NESTED_NOTES},
+        whole AS (
+            SELECT pkg_id, i, 0 AS n, '<note place="foot"><p>' || said || array_to_string(list_transform(targets, lambda t: chr(1) || t || chr(2)), '') || '</p></note>' AS xml FROM aimed
+            WHERE (pkg_id, i) NOT IN (SELECT (pkg_id, i) FROM steps WHERE depth = 25)
+            UNION ALL
+            SELECT w.pkg_id, w.i, n + 1, replace(w.xml, chr(1) || w.first || chr(2), coalesce('<note place="foot"><p>' || t.said || array_to_string(list_transform(t.targets, lambda t: chr(1) || t || chr(2)), '') || '</p></note>', ''))
+            FROM (SELECT *, regexp_extract(xml, chr(1) || '(-?[0-9]+)' || chr(2), 1) AS first FROM whole) w LEFT JOIN aimed t ON t.pkg_id = w.pkg_id AND t.i = try_cast(w.first AS BIGINT) WHERE first <> ''
+        )
+        SELECT pkg_id, 'footnote:' || i AS note_id, sha256(arg_max(xml, n)) AS sha256, length(arg_max(xml, n))::BIGINT AS n_chars FROM whole GROUP BY pkg_id, i""",
+    "j19_note_cycles": f"""WITH RECURSIVE {NESTED_NOTES},
+        body AS (SELECT pkg_id, i FROM numbered WHERE (i = 0 AND pkg_id % 2 = 0) OR i % 7 = 3),
+        reached AS (SELECT pkg_id, i FROM body UNION SELECT e.pkg_id, e.target FROM reached r JOIN edges e ON e.pkg_id = r.pkg_id AND e.i = r.i),
+        own AS MATERIALIZED (SELECT DISTINCT s.pkg_id, s.i, s.target FROM steps s JOIN reached r ON r.pkg_id = s.pkg_id AND r.i = s.i),
+        turning AS (SELECT DISTINCT pkg_id, i FROM own WHERE i = target),
+        core AS (SELECT pkg_id, i FROM turning UNION SELECT a.pkg_id, a.i FROM own a JOIN turning t ON t.pkg_id = a.pkg_id AND t.i = a.target JOIN own b ON b.pkg_id = a.pkg_id AND b.target = a.i JOIN turning u ON u.pkg_id = b.pkg_id AND u.i = b.i),
+        outer_refs AS (SELECT pkg_id, i FROM body UNION SELECT e.pkg_id, e.target FROM edges e JOIN reached r ON r.pkg_id = e.pkg_id AND r.i = e.i WHERE (e.pkg_id, e.i) NOT IN (SELECT (pkg_id, i) FROM core))
+        SELECT pkg_id, 'footnote:' || i AS note_id, (pkg_id, i) IN (SELECT (pkg_id, i) FROM core) AND (pkg_id, i) IN (SELECT (pkg_id, i) FROM outer_refs) AS entered FROM reached""",
     "j02_numbering": f"WITH {NUMBERING} SELECT * FROM shown",
     "l10_refused_numbering": f"""WITH {NUMBERING} SELECT pkg_id, "index", 'numbered_paragraph_not_serializable' AS code, status FROM shown WHERE status <> 'removed' AND NOT coalesce(status = 'resolved' AND kind IN ('ordered', 'bulleted') AND level IS NOT NULL, false)""",
     "j03_style_chains": """WITH RECURSIVE s AS (SELECT p_partkey % 20 AS pkg_id, p_partkey // 20 AS k, CASE WHEN (p_partkey // 20) % 9 = 0 THEN NULL WHEN (p_partkey // 20) % 13 = 1 THEN p_partkey // 20 + 1 ELSE p_partkey // 20 - 1 END AS up, CASE WHEN (p_partkey // 20) % 5 = 0 THEN 'n' || (p_partkey // 20) END AS raw_id FROM part),

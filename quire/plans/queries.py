@@ -360,6 +360,22 @@ def t01_document_xml(spark, sf_dir):
     return written_docs.join(problems, "pkg_id", "left").select("pkg_id", "xml", F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
 
 
+@query
+def t10_nested_notes(spark, sf_dir):
+    """Every note with all notes inside it; those in a cycle, or that lead to one, are left out."""
+    texts, inner, _ = a.nested_notes(spark, sf_dir)
+    found = notes.nested(texts, inner, tei.note_token)
+    return found.select("pkg_id", "note_id", F.sha2(F.col("xml").cast("binary"), 256).alias("sha256"), F.length("xml").cast("long").alias("n_chars"))
+
+
+@query
+def j19_note_cycles(spark, sf_dir):
+    """Notes reached from bodies, and whether a cycle of notes is entered there."""
+    texts, inner, body = a.nested_notes(spark, sf_dir)
+    reached, entered = notes.cycles(body, inner, texts.select("pkg_id", "note_id"))
+    return reached.join(entered.withColumn("entered", F.lit(True)), ["pkg_id", "note_id"], "left").select("pkg_id", "note_id", F.coalesce("entered", F.lit(False)).alias("entered"))
+
+
 @query
 def e03_table_problems(spark, sf_dir):
     lines = a.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pkg_id"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col")).agg(F.count(F.lit(1)).cast("int").alias("n_filled"), F.min("l_partkey").alias("p"))

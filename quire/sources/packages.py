@@ -19,6 +19,7 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 TRUE, FALSE = ("1", "true", "on"), ("0", "false", "off")
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 CT = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 MOST_XML, MOST_MEDIA = 16 << 20, 64 << 20
@@ -127,6 +128,12 @@ def _items(run: ET.Element) -> Iterator[dict]:
             yield {"kind": "footnote_reference" if name[0] == "f" else "endnote_reference", "reference_id": x.get(W + "id")}
         elif name == "drawing":
             yield {"kind": "drawing", **_drawing(x)}
+        elif x.tag == MC + "AlternateContent":
+            # the first choice stands for all of them; the fallback says the same for older readers
+            for choice in (x.find(MC + "Choice"), x.find(MC + "Fallback")):
+                if choice is not None:
+                    yield from _items(choice)
+                    break
         elif name in ("pict", "object"):
             yield {"kind": "drawing", "placement": "vml", "relation_ids": [], "embedded": [], "linked": []}
 
@@ -175,6 +182,17 @@ def _body(root: ET.Element, part: str, out: dict) -> None:
                 out["cells"].append({"block": block, "row": r, "col": c, "index": filled[0] if filled else None, "text": "\n".join(t for _, t in texts), "n_filled": len(filled), "grid_span": _level(_val(props, "gridSpan")), "merged": merged, "nested": cell.find(W + "tbl") is not None, "header": header})
 
 
+def _observed(root: ET.Element, part: str, out: dict) -> None:
+    """Issues for what a part holds and nothing here reads: text boxes, tables in them or in notes, old images."""
+    boxes = [x for x in root.iter(W + "txbxContent")]
+    inside_notes = part != "word/document.xml"
+    found = {
+        "textboxes_not_inspected": bool(boxes), "table_in_note_not_serializable": inside_notes and next(root.iter(W + "tbl"), None) is not None,
+        "table_in_textbox_not_serializable": any(next(b.iter(W + "tbl"), None) is not None for b in boxes), "vml_image_not_supported": next(root.iter(W + "pict"), None) is not None,
+    }
+    out["issues"] += [{"code": code, "severity": "info" if code == "textboxes_not_inspected" else "warning", "part": part, "message": part} for code, there in found.items() if there]
+
+
 def _note_paragraphs(top: ET.Element) -> Iterator[ET.Element]:
     for child in top:
         if child.tag == W + "p":
@@ -204,7 +222,9 @@ def decode(pkg_id: str, content: bytes) -> dict:
             return None
 
     try:
-        _body(parsed(archive, "word/document.xml"), "word/document.xml", out)
+        root = parsed(archive, "word/document.xml")
+        _body(root, "word/document.xml", out)
+        _observed(root, "word/document.xml", out)
     except Refused as refused:
         return out | {"error": str(refused)} | {t: [] for t in TABLES}
     if (root := optional("word/styles.xml")) is not None:
@@ -224,6 +244,7 @@ def decode(pkg_id: str, content: bytes) -> dict:
     for kind in ("footnote", "endnote"):
         part = f"word/{kind}s.xml"
         if (root := optional(part)) is not None:
+            _observed(root, part, out)
             for note in root.findall(W + kind):
                 if note.get(W + "id") is not None and note.get(W + "type") not in NOT_NOTES:
                     texts = [_paragraph(p, {"part": part, "note_id": note.get(W + "id"), "index": k, "block": k, "in_table": False}, out) for k, p in enumerate(_note_paragraphs(note))]

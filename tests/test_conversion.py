@@ -27,8 +27,8 @@ def image(description="A tree", relation="r9"):
 
 
 TABLE = '<w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc>{0}</w:tc><w:tc>{1}</w:tc></w:tr><w:tr><w:tc>{2}</w:tc><w:tc>{3}</w:tc></w:tr></w:tbl>'
-NUMBERING = f'<w:numbering {W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:start w:val="1"/><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
-STYLES = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="Titre1"><w:name w:val="Titre 1"/></w:style><w:style w:type="paragraph" w:customStyle="1" w:styleId="TEIbiblreference"><w:name w:val="TEI_bibl_reference"/></w:style></w:styles>'
+NUMBERING = f'<w:numbering {W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:start w:val="1"/><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="2"><w:start w:val="1"/><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+STYLES = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="Titre1"><w:name w:val="Titre 1"/></w:style><w:style w:type="paragraph" w:customStyle="1" w:styleId="TEIbiblreference"><w:name w:val="TEI_bibl_reference"/></w:style><w:style w:type="character" w:customStyle="1" w:styleId="TEIbiblreference-inline"><w:name w:val="TEI_bibl_reference-inline"/></w:style></w:styles>'
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r9" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/a.png"/></Relationships>'
 TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="png" ContentType="image/png"/></Types>'
 
@@ -38,6 +38,31 @@ def made(body, **parts):
     return renamed(renamed(content, "word/_rels/document_xml.xml", "word/_rels/document.xml.rels"), "types.xml", "[Content_Types].xml")
 
 
+MC = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+
+
+def run(text, look=""):
+    return f"<w:r><w:rPr>{look}</w:rPr><w:t>{text}</w:t></w:r>"
+
+
+def ref(note, kind="footnote"):
+    return f'<w:r><w:{kind}Reference w:id="{note}"/></w:r>'
+
+
+def footnotes(**texts):
+    return f'<w:footnotes {W}>' + "".join(f'<w:footnote w:id="{k[1:]}">{x}</w:footnote>' for k, x in texts.items()) + "</w:footnotes>"
+
+
+def with_notes(body, **texts):
+    links = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://x/hyperlink" Target="https://x.org" TargetMode="External"/></Relationships>'
+    content = made(body, word__footnotes=footnotes(**texts), word___rels__footnotes_xml=links)
+    return renamed(content, "word/_rels/footnotes_xml.xml", "word/_rels/footnotes.xml.rels")
+
+
+def listed(n, text, level=0, num=1):
+    return p(text, "ListParagraph", number(level, num)) if n else p(text, "ListParagraph")
+
+
 @pytest.fixture(scope="module")
 def outcome(spark):
     whole = (
@@ -57,16 +82,43 @@ def outcome(spark):
         "twice": made(p("a", "Signature") + p("b", "Signature") + p("c", "Signature")),
         "caption": made(p("a", "Caption")),
         "styled": made(p("a", "Heading1", props=number(0))),
+        "notes": with_notes(
+            p("a", inner=ref(1) + ref(2) + ref(1)),
+            n1=p(inner=run("it", "<w:i/>") + '<w:hyperlink r:id="r1" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:r><w:t>l</w:t></w:r></w:hyperlink>' + ref(3)) + p("Said", "Quote"),
+            n2=p("one", props=number(0)) + p("two", props=number(0)), n3=p("deep &lt;", "FootnoteText", inner=ref(4)), n4="", n5=p("Alone", "Heading1"),
+        ),
+        "circle": with_notes(p("a", inner=ref(1)), n1=p("b", inner=ref(2)), n2=p("c", inner=ref(1)), n3=p("d", inner=ref(3))),
+        "head_note": with_notes(p("a", inner=ref(1)), n1=p("b", "Heading2")),
+        "tab_note": with_notes(p("a", inner=ref(1)), n1=p("b", inner="<w:r><w:tab/></w:r>")),
+        "image_note": with_notes(p("a", inner=ref(1)), n1=p("b", inner=image())),
+        "table_note": with_notes(p("a", inner=ref(1)), n1=TABLE.format(p("a"), p("b"), p("c"), p("d"))),
+        "lost_note": with_notes(p("a", inner=ref(9)), n1=p("b")),
+        "box": made(p("a", inner=f'<w:r><mc:AlternateContent {MC}><mc:Choice Requires="wps"><w:drawing><w:txbxContent>{p("boxed")}</w:txbxContent></w:drawing></mc:Choice></mc:AlternateContent></w:r>')),
+        "choice": made(p(inner=image().replace("<w:drawing>", f'<mc:AlternateContent {MC}><mc:Choice Requires="x"><w:drawing>').replace("</w:drawing>", "</w:drawing></mc:Choice><mc:Fallback/></mc:AlternateContent>"))),
+        "table_behind": made(p("a") + p("Sources", "Heading1") + p("A book", "Bibliography") + TABLE.format(p("a"), p("b"), p("c"), p("d"))),
+        "cell_style": made(TABLE.format(p("a", "Heading1"), p("b"), p("c"), p("d"))),
+        "cell_quote": made(TABLE.format(p("a", "Quote"), p("b"), p("c"), p("d"))),
+        "cell_number": made(TABLE.format(p("a", props=number(0)), p("b"), p("c"), p("d"))),
+        "odd_run": made(p("a", inner=run("b", '<w:rStyle w:val="Odd"/>'))),
+        "cited": made(p("See ", inner=run("A ", '<w:rStyle w:val="TEIbiblreference-inline"/>') + run("B", '<w:rStyle w:val="TEIbiblreference-inline"/><w:i/>') + run(".") + run("C", '<w:rStyle w:val="TEIbiblreference-inline"/>'))),
+        "cited_twice": made(p("By me", "TEIbiblreference", inner=run("A", '<w:rStyle w:val="TEIbiblreference-inline"/>'))),
+        "goes_on": made(listed(1, "one") + listed(0, "more") + listed(1, "two") + listed(1, "inner", 1)),
+        "goes_nowhere": made(listed(1, "one") + listed(0, "more") + p("end")),
+        "again": made(listed(1, "one") + p("between") + listed(1, "two")),
+        "jump": made(listed(1, "one") + listed(1, "two", 2)),
+        "empty_item": made(listed(1, "one") + listed(1, "")),
+        "empty_parent": made(listed(1, "") + listed(1, "in", 1)),
     }
     packages = decoded(spark.createDataFrame(list(files.items()), "path string, content binary"))
     people = "array<struct<role:string,given_name:string,family_name:string,literal_name:string,orcid:string>>"
     about = spark.createDataFrame([(k, "T", None, "en", "House", "2024", None, None, [], [], ["k"]) for k in files], f"pkg_id string, title string, subtitle string, language string, publisher string, date string, license_name string, license_url string, identifiers array<struct<type:string,format:string,value:string>>, people {people}, keywords array<string>")
     books, problems = converted(packages, about)
-    return {r.pkg_id: r.xml for r in books.collect()}, {(r.pkg_id, r.code) for r in problems.where("severity = 'error'").collect()}
+    found = problems.collect()
+    return {r.pkg_id: r.xml for r in books.collect()}, {(r.pkg_id, r.code) for r in found if r.severity == "error"}, {(r.pkg_id, r.code, r.note_id) for r in found}
 
 
 def test_everything_is_written(outcome):
-    xml, problems = outcome
+    xml, problems, _ = outcome
     assert {c for k, c in problems if k == "whole"} == set()
     body = xml["whole"].split("<text>")[1]
     assert body.startswith(
@@ -85,8 +137,38 @@ def test_everything_is_written(outcome):
         ("tab", "tab_not_serializable"), ("page", "page_or_column_break_not_serializable"), ("link", "internal_link_not_serializable"), ("nested", "multiple_paragraph_table_cell_not_serializable"),
         ("plain_image", "missing_figure_description"), ("pict", "mixed_text_and_image_not_serializable"), ("twice", "misplaced_signature_not_serializable"),
         ("caption", "orphan_figure_caption_not_serializable"), ("styled", "numbered_nonparagraph_style_not_serializable"),
+        ("circle", "cyclic_note_reference"), ("head_note", "heading_in_note_not_serializable"), ("tab_note", "tab_not_serializable"), ("image_note", "mixed_text_and_image_not_serializable"), ("table_note", "table_in_note_not_serializable"),
+        ("lost_note", "missing_note_target"), ("box", "textboxes_not_inspected"), ("table_behind", "nonterminal_bibliography_not_serializable"), ("cell_style", "unsupported_table_cell_style"), ("cell_quote", "unsupported_table_cell_content"),
+        ("cell_number", "numbered_table_cell_not_serializable"), ("odd_run", "unsupported_character_style"), ("cited_twice", "nested_bibliographic_reference_not_serializable"), ("goes_nowhere", "ambiguous_list_continuation_not_serializable"),
+        ("again", "interrupted_list_continuation_not_serializable"), ("jump", "list_level_jump_not_serializable"), ("empty_item", "empty_list_item_not_serializable"),
     ],
 )
 def test_what_cannot_be_written_stops_its_document(outcome, package, code):
-    xml, problems = outcome
+    xml, problems, _ = outcome
     assert (package, code) in problems and package not in xml
+
+
+def body(xml):
+    return xml.split("<body>")[1].split("</body>")[0]
+
+
+def test_notes_are_texts_of_their_own(outcome):
+    xml, _, found = outcome
+    inner = '<note place="foot"><p>deep &lt;<note place="foot"></note></p></note>'
+    first = f'<note place="foot"><p><hi rend="italic">it</hi><ref target="https://x.org">l</ref>{inner}</p><quote><p>Said</p></quote></note>'
+    second = '<note place="foot"><list type="decimal" n="1"><item>one</item><item>two</item></list></note>'
+    assert body(xml["notes"]) == f"<p>a{first}{second}{first}</p>"
+    about = {(code, note) for k, code, note in found if k == "notes"}
+    assert about == {("unreferenced_note", "footnote:5"), ("unreferenced_note_not_serialized", "footnote:5")}  # its heading is never written
+    assert {(code, note) for k, code, note in found if k == "circle"} == {("cyclic_note_reference", "footnote:1"), ("unreferenced_note_not_serialized", "footnote:3")}
+    assert ("tab_note", "tab_not_serializable", "footnote:1") in found
+
+
+def test_lists_and_references_inside_paragraphs(outcome):
+    xml, _, found = outcome
+    assert body(xml["goes_on"]) == '<list type="decimal" n="1"><item><p>one</p><p>more</p></item><item>two<list type="bulleted"><item>inner</item></list></item></list>'
+    assert body(xml["cited"]) == '<p>See <bibl>A <hi rend="italic">B</hi></bibl>.<bibl>C</bibl></p>'
+    assert body(xml["empty_parent"]) == '<list type="decimal" n="1"><item><list type="bulleted"><item>in</item></list></item></list>'
+    assert ("empty_parent", "empty_parent_list_item", None) in found and ("goes_on", "list_paragraph_without_numbering", None) in found
+    assert "<figure>" in xml["choice"]
+    assert all(validation.problems(x) == [] for x in xml.values())
