@@ -114,7 +114,7 @@ def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int,
     for columns in whole_keys(batches, 6 + rounds):
         order = np.lexsort((columns[1], gray_rank(columns[2].view(U)), columns[0]))
         key, node, bits, component, start, size = (c[order] for c in columns[:6])
-        prints = np.stack([c[order] for c in columns[6:]], 1) if rounds else None
+        prints = [c[order] for c in columns[6:]]
         lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[lead, len(key)])
         # pairs so far of each group, those of them that were open, and the first that has to wait
@@ -128,7 +128,10 @@ def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int,
             open_ = (component[a] != component[b]) & (place >= start[a]) & possible
             a, b, group, place = a[open_], b[open_], group[open_], place[open_]
             if rounds:
-                near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= limits[np.minimum(np.minimum(size[a], size[b]), LARGE)]
+                apart = np.zeros(len(a), np.int32)
+                for own in prints:
+                    apart += np.bitwise_count(own[a] ^ own[b])
+                near = apart <= limits[np.minimum(np.minimum(size[a], size[b]), LARGE)]
                 a, b, group, place = a[near], b[near], group[near], place[near]
             now = taken[group] + np.arange(len(a)) - np.searchsorted(group, group, "left") < per_member * sizes[group]
             taken += np.bincount(group, minlength=len(lead))
