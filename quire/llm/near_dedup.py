@@ -17,8 +17,8 @@ from quire.llm.components import components
 from quire.llm.simhash import SEED, SHINGLES, Forest, U, _signed, block_masks, gray_rank, mixed, near_chunks, print_names
 from quire.staging import discard
 
-#: Pairs for each member that one group may propose in the first pass, besides those that connect it, and times as many in each later one.
-PER_MEMBER, GROWTH = 1, 8
+#: Pairs for each member that one group may propose in the first pass, besides those that connect it; GROWTH in the second, and times as many in each later one.
+PER_MEMBER, GROWTH = 0, 8
 #: What tells a row from others: its id, and 128 bits of its text.
 MARKS = ("doc_id", "text_high", "text_low")
 #: Bits in which a pair may differ in all fingerprints before its shingles are looked up: those expected at the least similarity and so many standard deviations more.
@@ -236,7 +236,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
             left = left.join(nodes.select("node", *(F.col(n).alias(b) for n, b in zip(names, brought, strict=True))), "node")
         left = written(left, "near-crowded")
         discard(found, *([dealt] if most > per_member else []))
-        dealt, most = left, GROWTH * most
+        dealt, most = left, GROWTH * max(most, 1)
     placed = written(nodes.select("node", "least_mark").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
     best = placed.groupBy("component").agg(F.min("least_mark").alias("best"), F.count(F.lit(1)).alias("n"))
     named = spread(placed, best, "component", placed.count()).groupBy("node").agg(F.min("best").alias("best"))
