@@ -36,13 +36,9 @@ def checked_identifiers(rows: DataFrame) -> DataFrame:
     """rows (pkg_id, position, type, format, value): code of the first rule each breaks, null if none."""
     kind, value, shape = F.col("type"), F.col("value"), F.col("format")
     compact = ids.isbn(value)
-    wrong = (
-        ((kind == "doi") & ids.doi(value).isNull())
-        | ((kind == "isbn-13") & (F.coalesce(F.length(compact), F.lit(0)) != 13))
-        | ((kind == "isbn-10") & (F.coalesce(F.length(compact), F.lit(0)) != 10))
-        | (kind.isin("issn", "eissn") & ids.issn(value).isNull())
-    )
-    code = F.when(~F.coalesce(kind.isin(*IDENTIFIER_TYPES), F.lit(False)), "invalid_identifier_type").when(shape.isNotNull() & ~shape.isin(*IDENTIFIER_FORMATS), "invalid_identifier_format").when(F.coalesce(F.trim(value), F.lit("")) == "", "invalid_identifier_value").when(wrong, "invalid_identifier_value")
+    wanted, found = F.when(kind == "isbn-13", 13).when(kind == "isbn-10", 10), F.coalesce(F.length(compact), F.lit(0))
+    code = F.when(~F.coalesce(kind.isin(*IDENTIFIER_TYPES), F.lit(False)), "invalid_identifier_type").when(shape.isNotNull() & ~shape.isin(*IDENTIFIER_FORMATS), "invalid_identifier_format").when(F.coalesce(F.trim(value), F.lit("")) == "", "invalid_identifier_value")
+    code = code.when((kind == "doi") & ids.doi(value).isNull(), "invalid_doi").when(found != wanted, "invalid_isbn").when(wanted.isNotNull() & shape.isNull(), "missing_identifier_format").when(kind.isin("issn", "eissn") & ids.issn(value).isNull(), "invalid_issn")
     return rows.withColumn("code", code)
 
 

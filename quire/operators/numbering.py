@@ -23,14 +23,19 @@ def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: Data
     paragraphs: pkg_id, index, raw_id, raw_level; instances: pkg_id, num_id, abstract_id; levels: pkg_id,
     abstract_id, level, number_format, start, picture; overrides: pkg_id, num_id, level, start_override. Ids
     of the three tables are canonical numbers. The tables are small next to the paragraphs and of bounded
-    size for each package, so the joins are left to the optimizer.
+    size for each package, so the joins are left to the optimizer. Where levels have restart and legal, both are added,
+    and overrides have these and number_format, start and picture: what an override's own level says goes before the
+    definition's, field by field, and its start_override before both.
     """
     number, wanted = strict_number(F.col("raw_id")), strict_number(F.col("raw_level"))
     parsed = paragraphs.withColumns({"_id": number, "_level": wanted}).withColumns({"num_id": F.col("_id.canonical"), "_ok": F.col("_level.valid") & F.col("_level.canonical").between(0, 8)})
     hop1 = parsed.join(instances, ["pkg_id", "num_id"], "left")
     defined = levels.groupBy("pkg_id", "abstract_id").agg(F.max((F.col("level") == 0).cast("int")).alias("_has_zero"))
     hop2 = hop1.join(defined, ["pkg_id", "abstract_id"], "left").withColumn("level", F.when(F.col("_ok"), F.col("_level.canonical")).when(F.col("_has_zero") == 1, 0).cast("int"))
-    hop3 = hop2.join(levels, ["pkg_id", "abstract_id", "level"], "left").join(overrides, ["pkg_id", "num_id", "level"], "left")
+    more = ["restart", "legal"] if "restart" in levels.columns else []
+    over = {c: F.col(f"_{c}") for c in ("number_format", "start", "picture", *more)} if more else {}
+    own = overrides.withColumnsRenamed({c: f"_{c}" for c in over})
+    hop3 = hop2.join(levels, ["pkg_id", "abstract_id", "level"], "left").join(own, ["pkg_id", "num_id", "level"], "left").withColumns({c: F.coalesce(x, c) for c, x in over.items()})
     has_base = F.col("number_format").isNotNull()
     shape = F.coalesce(F.nullif("number_format", F.lit("")), F.lit(DEFAULT_FORMAT))
     kind = list_kind(shape, F.col("picture"))
@@ -49,7 +54,7 @@ def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: Data
     return hop3.select(
         "pkg_id", "index", status.alias("status"), code.alias("code"),
         F.when(status == "removed", F.lit(None)).otherwise(F.col("level")).cast("int").alias("level"),
-        F.when(done, shape).alias("number_format"), F.when(done, F.coalesce("start_override", "start", F.lit(DEFAULT_START))).cast("int").alias("start"), F.when(done, kind).alias("kind"),
+        F.when(done, shape).alias("number_format"), F.when(done, F.coalesce("start_override", "start", F.lit(DEFAULT_START))).cast("int").alias("start"), F.when(done, kind).alias("kind"), *more,
     )
 
 

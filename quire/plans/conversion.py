@@ -48,8 +48,8 @@ def canonical(name: str):
 def numbering_tables(packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Instances, levels and overrides on canonical ids; of repeated ones the first counts."""
     instances = _numbered(packages, "instances").select("pkg_id", "at", canonical("num_id").alias("num_id"), canonical("abstract_id").alias("abstract_id")).where("num_id is not null")
-    levels = _numbered(packages, "levels").select("pkg_id", "at", canonical("abstract_id").alias("abstract_id"), canonical("level").cast("int").alias("level"), F.coalesce("number_format", F.lit("")).alias("number_format"), canonical("start").cast("int").alias("start"), "picture").where("abstract_id is not null and level is not null")
-    overrides = _numbered(packages, "overrides").select("pkg_id", "at", canonical("num_id").alias("num_id"), canonical("level").cast("int").alias("level"), canonical("start_override").cast("int").alias("start_override")).where("num_id is not null and level is not null")
+    levels = _numbered(packages, "levels").select("pkg_id", "at", canonical("abstract_id").alias("abstract_id"), canonical("level").cast("int").alias("level"), F.coalesce("number_format", F.lit("")).alias("number_format"), canonical("start").cast("int").alias("start"), "picture", canonical("restart").cast("int").alias("restart"), "legal").where("abstract_id is not null and level is not null")
+    overrides = _numbered(packages, "overrides").select("pkg_id", "at", canonical("num_id").alias("num_id"), canonical("level").cast("int").alias("level"), canonical("start_override").cast("int").alias("start_override"), "number_format", canonical("start").cast("int").alias("start"), "picture", canonical("restart").cast("int").alias("restart"), "legal").where("num_id is not null and level is not null")
     return _first(instances, "num_id"), _first(levels, "abstract_id", "level"), _first(overrides, "num_id", "level")
 
 
@@ -92,7 +92,7 @@ def body_blocks(packages: DataFrame, inner: bool = False) -> DataFrame:
     items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table")
     other = (F.col("kind") != "drawing") & ~((F.col("kind") == "text") & blocks.blank(F.col("text")))
     stats = items.groupBy("pkg_id", "index").agg(F.count_if(F.col("kind") == "drawing").alias("drawing_count"), F.bool_or(other).alias("has_other"), F.bool_or((F.col("kind") == "tab") | F.col("link").isNotNull() | F.col("anchor").isNotNull() | F.col("reference_id").isNotNull() | ((F.col("kind") == "break") & (F.col("break_type") != "line"))).alias("has_mark"))
-    numbers = resolved(packages).select("pkg_id", "index", "status", "kind", "number_format", "start", F.col("level").alias("list_level"), "origin", F.col("raw_id").alias("number"))
+    numbers = resolved(packages).select("pkg_id", "index", "status", "kind", "number_format", "start", "restart", "legal", F.col("level").alias("list_level"), "origin", F.col("raw_id").alias("number"))
     rows = roled.join(stats, ["pkg_id", "index"], "left").join(numbers, ["pkg_id", "index"], "left")
     rows = rows.withColumns({"drawing_count": F.coalesce("drawing_count", F.lit(0)), "numbered": numbering.active(F.col("status"), F.col("raw_id"))})
     cut = blocks.bibliography_cut(roled).where(F.lit(not inner)).select("pkg_id", "cut")
@@ -100,7 +100,7 @@ def body_blocks(packages: DataFrame, inner: bool = False) -> DataFrame:
     rows = rows.join(cut, "pkg_id", "left").join(around, ["pkg_id", "index"], "left")
     reference = roles.controlled_status(F.col("style_id"), F.col("style_name"), F.col("style_is_custom"), F.lit("paragraph"))
     empty = blocks.blank(F.col("text")) & ~F.coalesce("has_mark", F.lit(False)) & (F.size("bookmark_ids") == 0) & ~F.col("numbered")
-    listed = (F.col("role") == "paragraph") & (F.col("status") == "resolved") & F.col("kind").isin("ordered", "bulleted") & (F.col("origin") == "direct")
+    listed = (F.col("role") == "paragraph") & (F.col("status") == "resolved") & F.col("kind").isin("ordered", "bulleted") & (F.col("origin") == "direct") & F.col("restart").isNull() & ~F.coalesce("legal", F.lit(False))
     role = (
         F.when(F.col("index") >= F.col("cut"), "bibliography").when(F.col("drawing_count") > 0, "figure").when(F.col("_text_of_figure"), "figure_text").when(listed, "list_item")
         .when((F.col("style_id") == "TEIbiblreference") & (reference == "valid"), "bibl").when((F.col("role").isin("paragraph", "signature")) & empty, "empty").otherwise(F.col("role"))
@@ -142,7 +142,7 @@ def text_problems(packages: DataFrame, body: DataFrame, inner: bool = False) ->
     """Whatever in a text cannot be written, in the body or (`inner`, over `note_view`) inside notes."""
     signatures = blocks.signature_runs(body.where("role not in ('empty', 'bibliography')")).where("refused is not null").select("pkg_id", F.col("start").alias("index"))
     tables_found = tables.table_problems(exploded(packages, "cells")).where("code is not null").select("pkg_id", F.col("block").alias("index"), "code")
-    refusal = numbering.refusal(F.when(F.col("role") == "list_item", "paragraph").otherwise(F.col("role")), F.col("status"), F.col("kind"), F.col("origin"), F.lit(None).cast("boolean"), F.lit(None).cast("int"))
+    refusal = numbering.refusal(F.when(F.col("role") == "list_item", "paragraph").otherwise(F.col("role")), F.col("status"), F.col("kind"), F.col("origin"), F.col("legal"), F.col("restart"))
     numbers = body.where("role <> 'bibliography'").withColumn("code", refusal).where("code is not null")
     items = exploded(packages, "items").where("part = 'word/document.xml'")
     relation = exploded(packages, "relations").select("pkg_id", "part", F.col("relation_id").alias("link"), "mode").distinct()
@@ -232,11 +232,11 @@ def _run_problems(packages: DataFrame, body: DataFrame) -> DataFrame:
     return rows.withColumn("code", code).where("code is not null").select("pkg_id", "index", "code")
 
 
-def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame | None = None, note_blocks: DataFrame | None = None) -> DataFrame:
+def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame | None = None, note_blocks: DataFrame | None = None, most_media: int = graphics.MOST_USED) -> DataFrame:
     """Diagnostics of all phases, repeats removed: inspection, numbering, notes, and whatever in the text cannot be written.
 
     notes_found and note_blocks: `note_view` of the packages and its `body_blocks`; headings and the like inside notes
-    count where the note is reached from the body.
+    count where the note is reached from the body. most_media: bytes of images that one document may use.
     """
     refs, known = note_refs(packages), known_notes(packages)
     repeated = known.groupBy("pkg_id", "note_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -248,6 +248,7 @@ def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame
         _row(notes.missing_targets(refs, known), 2, "editorial", "error", code=F.lit("missing_note_target")),
         _row(notes.unreferenced(refs, known), 2, "editorial", "warning", code=F.lit("unreferenced_note")),
         _row(repeated, 2, "editorial", "error", code=F.lit("duplicate_note_id")),
+        _row(graphics.used_media(found_graphics(packages, body), exploded(packages, "media"), most_media)[1], 4, "serialization", "error"),
         _row(cyclic, 4, "serialization", "error", code=F.lit("cyclic_note_reference")),
         _row(known.distinct().join(reached, ["pkg_id", "note_id"], "left_anti"), 4, "serialization", "warning", code=F.lit("unreferenced_note_not_serialized")),
         *text_problems(packages, body),
@@ -361,7 +362,7 @@ def note_texts(packages: DataFrame, view: DataFrame, body: DataFrame, languages:
     return notes.nested(bare, refs, tei.note_token)
 
 
-def converted(packages: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+def converted(packages: DataFrame, metadata: DataFrame, most_media: int = graphics.MOST_USED) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, xml) of the packages without errors, and the diagnostics of all.
 
     metadata: what `tei.header_xml` takes. A package without metadata is refused (missing_metadata), and so
@@ -374,7 +375,7 @@ def converted(packages: DataFrame, metadata: DataFrame) -> tuple[DataFrame, Data
     view = written(note_view(packages), "notes")
     inner = written(body_blocks(view, inner=True), "note-blocks")
     lacking = packages.select("pkg_id").join(metadata, "pkg_id", "left_anti")
-    problems = written(found_problems(packages, body, view, inner).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
+    problems = written(found_problems(packages, body, view, inner, most_media).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
     inside = note_texts(packages, view, inner, metadata)
     refs = exploded(packages, "items").where("part = 'word/document.xml' and reference_id is not null").select("pkg_id", "index", F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
     xml = written(notes.filled(tei.span_xml(body_spans(packages, metadata)), refs, inside, ["pkg_id", "index"], tei.note_token), "spans")

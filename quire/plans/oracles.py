@@ -265,7 +265,8 @@ ORACLES: dict[str, str] = {
     "a05_distinct_diagnostics": """WITH d AS (SELECT user_id % 50 AS pkg_id, event_id AS sequence, CASE WHEN event_id % 2 = 0 THEN 'inspection' ELSE 'editorial' END AS origin, CASE WHEN event_type = 'error' THEN 'multiple_docx_titles' ELSE event_type END AS code, user_id % 3 AS "index" FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY pkg_id, origin, code, CASE WHEN code <> 'multiple_docx_titles' THEN "index" END ORDER BY sequence) AS n FROM d) SELECT pkg_id, sequence, origin, code, "index" FROM r WHERE n = 1""",
     "f18_converted": "SELECT user_id % 2000 AS pkg_id FROM events GROUP BY 1 HAVING NOT bool_or(event_id % 40 = 0)",
     "m09_identifiers": f"""WITH {IDENTIFIERS} SELECT pkg_id, position, type, CASE WHEN type = 'ark' THEN 'invalid_identifier_type' WHEN format = 'scroll' THEN 'invalid_identifier_format' WHEN trim(value) = '' THEN 'invalid_identifier_value'
-        WHEN (type = 'doi' AND doi IS NULL) OR (type = 'isbn-13' AND coalesce(length(isbn), 0) <> 13) OR (type = 'isbn-10' AND coalesce(length(isbn), 0) <> 10) OR (type IN ('issn', 'eissn') AND issn IS NULL) THEN 'invalid_identifier_value' END AS code FROM checked""",
+        WHEN type = 'doi' AND doi IS NULL THEN 'invalid_doi' WHEN (type = 'isbn-13' AND coalesce(length(isbn), 0) <> 13) OR (type = 'isbn-10' AND coalesce(length(isbn), 0) <> 10) THEN 'invalid_isbn'
+        WHEN type IN ('isbn-13', 'isbn-10') AND format IS NULL THEN 'missing_identifier_format' WHEN type IN ('issn', 'eissn') AND issn IS NULL THEN 'invalid_issn' END AS code FROM checked""",
     "a08_repeated_identifiers": f"""WITH {IDENTIFIERS}, r AS (SELECT *, row_number() OVER (PARTITION BY pkg_id, type, lower(trim(value)) ORDER BY position) AS v, row_number() OVER (PARTITION BY pkg_id, type, format ORDER BY position) AS f FROM named) SELECT pkg_id, position, 'duplicate_identifier_value' AS code FROM r WHERE v > 1 UNION ALL SELECT pkg_id, position, 'duplicate_identifier_type_format' FROM r WHERE f > 1 AND format IS NOT NULL""",
     "m10_orcid": f"""WITH {IDENTIFIERS}, d AS (SELECT position, value, replace(value, '-', '') AS digits FROM named WHERE type = 'local') SELECT position, CASE WHEN (12 - list_sum([substr(digits, i, 1)::BIGINT * (1 << (16 - i)) FOR i IN range(1, 16)]) % 11) % 11 = substr(digits, 16, 1)::INT THEN value END AS orcid FROM d""",
     "m11_doi": f"WITH {IDENTIFIERS} SELECT position, doi FROM checked WHERE type = 'doi'",

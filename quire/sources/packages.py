@@ -36,8 +36,8 @@ TABLES = {
     "items": ITEM,
     "styles": STYLE,
     "instances": "num_id string, abstract_id string",
-    "levels": "abstract_id string, level string, number_format string, start string, level_text string, suffix string, picture string",
-    "overrides": "num_id string, level string, start_override string",
+    "levels": "abstract_id string, level string, number_format string, start string, level_text string, suffix string, picture string, restart string, legal boolean",
+    "overrides": "num_id string, level string, start_override string, number_format string, start string, picture string, restart string, legal boolean",
     "relations": "part string, relation_id string, type string, target string, mode string, sequence int",
     "notes": "kind string, note_id string, text string",
     "cells": "block int, row int, col int, index int, text string, n_filled int, grid_span int, merged boolean, nested boolean, header boolean",
@@ -138,6 +138,11 @@ def _items(run: ET.Element) -> Iterator[dict]:
             yield {"kind": "drawing", "placement": "vml", "relation_ids": [], "embedded": [], "linked": []}
 
 
+def _numbers(level: ET.Element | None) -> dict:
+    """What a level, or the one inside an override, says about its numbers."""
+    return {"number_format": _val(level, "numFmt"), "start": _val(level, "start"), "picture": _val(level, "lvlPicBulletId"), "restart": _val(level, "lvlRestart"), "legal": _switch(level, "isLgl")}
+
+
 def _paragraph(p: ET.Element, where: dict, out: dict) -> str:
     """Adds the paragraph and its items; returns its text."""
     props = p.find(W + "pPr")
@@ -237,10 +242,10 @@ def decode(pkg_id: str, content: bytes) -> dict:
     if (root := optional("word/numbering.xml")) is not None:
         for d in root.findall(W + "abstractNum"):
             for x in d.findall(W + "lvl"):
-                out["levels"].append({"abstract_id": d.get(W + "abstractNumId"), "level": x.get(W + "ilvl"), "number_format": _val(x, "numFmt"), "start": _val(x, "start"), "level_text": _val(x, "lvlText"), "suffix": _val(x, "suff"), "picture": _val(x, "lvlPicBulletId")})
+                out["levels"].append({"abstract_id": d.get(W + "abstractNumId"), "level": x.get(W + "ilvl"), "level_text": _val(x, "lvlText"), "suffix": _val(x, "suff"), **_numbers(x)})
         for n in root.findall(W + "num"):
             out["instances"].append({"num_id": n.get(W + "numId"), "abstract_id": _val(n, "abstractNumId")})
-            out["overrides"] += [{"num_id": n.get(W + "numId"), "level": o.get(W + "ilvl"), "start_override": _val(o, "startOverride")} for o in n.findall(W + "lvlOverride")]
+            out["overrides"] += [{"num_id": n.get(W + "numId"), "level": o.get(W + "ilvl"), "start_override": _val(o, "startOverride"), **_numbers(o.find(W + "lvl"))} for o in n.findall(W + "lvlOverride")]
     for kind in ("footnote", "endnote"):
         part = f"word/{kind}s.xml"
         if (root := optional(part)) is not None:

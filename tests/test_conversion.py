@@ -33,14 +33,19 @@ RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/rel
 TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="png" ContentType="image/png"/></Types>'
 
 
-def made(body, **parts):
-    content = package(body, word__numbering=NUMBERING, word__styles=STYLES, word___rels__document_xml=RELS, types=TYPES, **{"word__media__a.png": PNG}, **parts)
+def made(body, numbering=NUMBERING, **parts):
+    content = package(body, word__numbering=numbering, word__styles=STYLES, word___rels__document_xml=RELS, types=TYPES, **{"word__media__a.png": PNG}, **parts)
     return renamed(renamed(content, "word/_rels/document_xml.xml", "word/_rels/document.xml.rels"), "types.xml", "[Content_Types].xml")
 
 
 MC = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
 
 
+def overridden(level):
+    """The numbering with one more instance, whose first level says something else."""
+    return NUMBERING.replace("</w:numbering>", f'<w:num w:numId="7"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:lvl w:ilvl="0">{level}</w:lvl></w:lvlOverride></w:num></w:numbering>')
+
+
 def run(text, look=""):
     return f"<w:r><w:rPr>{look}</w:rPr><w:t>{text}</w:t></w:r>"
 
@@ -106,6 +111,10 @@ def outcome(spark):
         "goes_nowhere": made(listed(1, "one") + listed(0, "more") + p("end")),
         "again": made(listed(1, "one") + p("between") + listed(1, "two")),
         "jump": made(listed(1, "one") + listed(1, "two", 2)),
+        "restart": made(listed(1, "one"), NUMBERING.replace('<w:start w:val="1"/>', '<w:start w:val="1"/><w:lvlRestart w:val="0"/>')),
+        "legal": made(listed(1, "one"), NUMBERING.replace('<w:start w:val="1"/>', '<w:start w:val="1"/><w:isLgl/>')),
+        "own_restart": made(listed(1, "one", num=7), overridden('<w:lvlRestart w:val="0"/>')),
+        "own_format": made(listed(1, "one", num=7), overridden('<w:numFmt w:val="upperRoman"/><w:start w:val="4"/>')),
         "empty_item": made(listed(1, "one") + listed(1, "")),
         "empty_parent": made(listed(1, "") + listed(1, "in", 1)),
     }
@@ -141,6 +150,7 @@ def test_everything_is_written(outcome):
         ("lost_note", "missing_note_target"), ("box", "textboxes_not_inspected"), ("table_behind", "nonterminal_bibliography_not_serializable"), ("cell_style", "unsupported_table_cell_style"), ("cell_quote", "unsupported_table_cell_content"),
         ("cell_number", "numbered_table_cell_not_serializable"), ("odd_run", "unsupported_character_style"), ("cited_twice", "nested_bibliographic_reference_not_serializable"), ("goes_nowhere", "ambiguous_list_continuation_not_serializable"),
         ("again", "interrupted_list_continuation_not_serializable"), ("jump", "list_level_jump_not_serializable"), ("empty_item", "empty_list_item_not_serializable"),
+        ("restart", "explicit_list_restart_not_serializable"), ("legal", "legal_numbering_not_serializable"), ("own_restart", "explicit_list_restart_not_serializable"),
     ],
 )
 def test_what_cannot_be_written_stops_its_document(outcome, package, code):
@@ -170,5 +180,16 @@ def test_lists_and_references_inside_paragraphs(outcome):
     assert body(xml["cited"]) == '<p>See <bibl>A <hi rend="italic">B</hi></bibl>.<bibl>C</bibl></p>'
     assert body(xml["empty_parent"]) == '<list type="decimal" n="1"><item><list type="bulleted"><item>in</item></list></item></list>'
     assert ("empty_parent", "empty_parent_list_item", None) in found and ("goes_on", "list_paragraph_without_numbering", None) in found
+    assert body(xml["own_format"]) == '<list type="upperRoman" n="4"><item>one</item></list>'
     assert "<figure>" in xml["choice"]
     assert all(validation.problems(x) == [] for x in xml.values())
+
+
+def test_images_of_a_document_have_a_limit(spark):
+    from quire.operators import graphics
+
+    found = spark.createDataFrame([("a", 0, "media/x.png", "x"), ("a", 3, "media/x.png", "x"), ("a", 4, "media/y.png", "y"), ("b", 0, None, None)], "pkg_id string, index int, url string, sha256 string")
+    media = spark.createDataFrame([("a", "m/1", "x", 60), ("a", "m/2", "x", 60), ("a", "m/3", "y", 40), ("b", "m/1", "z", 500)], "pkg_id string, path string, sha256 string, size long")
+    assets, over = graphics.used_media(found, media, most=99)
+    assert sorted((r.path, r.size) for r in assets.collect()) == [("m/1", 60), ("m/3", 40)] and [tuple(r) for r in over.collect()] == [("a", 100, "used_media_too_large")]
+    assert graphics.used_media(found, media, most=100)[1].count() == 0
