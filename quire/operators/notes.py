@@ -73,7 +73,7 @@ def cycles(body: DataFrame, inner: DataFrame, notes: DataFrame, most: int = 200)
 
     body: pkg_id, note_id; inner: pkg_id, note_id, target; notes: pkg_id, note_id. What is not in or between cycles is taken away from
     both ends, round by round: notes that lead nowhere, and notes that none of the rest refers to. Of what stays, those
-    that the body or another reached note refers to are entered.
+    that the body or another reached note refers to are entered. Notes nested more than `most` deep are an error.
     """
     key = ["pkg_id", "note_id"]
     edges = written(inner.join(notes.distinct(), key, "left_semi").join(notes.select("pkg_id", F.col("note_id").alias("target")), ["pkg_id", "target"], "left_semi").select(*key, "target").distinct(), "notes-edges")

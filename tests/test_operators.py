@@ -201,9 +201,11 @@ def test_conversion_of_packages(spark):
     about = spark.createDataFrame([(p, "T", None, "en", "House", "2024", None, None, [("doi", None, "10.1234/x")], [("author", "Ada", "L", None, None)], ["k"]) for p in "abc"], "pkg_id string, title string, subtitle string, language string, publisher string, date string, license_name string, license_url string, identifiers array<struct<type:string,format:string,value:string>>, people array<struct<role:string,given_name:string,family_name:string,literal_name:string,orcid:string>>, keywords array<string>")
     books, problems = converted(packages, about)
     got = {r.pkg_id: r.xml for r in books.collect()}
-    assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref><note place="foot"><p>see &lt;it&gt;</p><p></p></note></p>' in got["a"]
+    assert list(got) == ["a"] and '<head>One</head><p><hi rend="bold">a &amp; b</hi><ref target="https://x.org">l</ref><note place="foot"><p>see &lt;it&gt;</p></note></p>' in got["a"]
+    # an empty paragraph is no content in a note either, and is named
+    assert [r["index"] for r in problems.where("pkg_id = 'a' and code = 'empty_paragraph_ignored' and note_id = 'footnote:2'").collect()] == [1]
     assert validation.problems(got["a"]) == []
-    assert {(r.pkg_id, r.code) for r in problems.collect()} == {("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata"), ("d", "unresolved_link_not_serializable")}
+    assert {(r.pkg_id, r.code) for r in problems.collect()} == {("a", "empty_paragraph_ignored"), ("d", "empty_paragraph_ignored"), ("b", "missing_note_target"), ("b", "unsupported_paragraph_style"), ("c", "unreadable_file"), ("d", "missing_metadata"), ("d", "unresolved_link_not_serializable")}
     assert summary(packages).where("pkg_id = 'a'").first().n_links == 1
 
 
