@@ -105,6 +105,38 @@ def contributions(roled: DataFrame) -> DataFrame:
     return many.groupBy("pkg_id", "segment").agg(F.min("index").alias("start"), F.count(F.lit(1)).alias("n_paragraphs"))
 
 
+def collective_problems(roled: DataFrame, first: str = "index") -> DataFrame:
+    """pkg_id, index, code, severity: what cannot be written of documents with two or more headings of level 2.
+
+    A part (level 1) cannot hold several texts: one error a document. Paragraphs before the first text that are
+    not blank have no place: a warning at the first of them. Order is that of the column `first`. Documents without
+    rows, and those whose level-2 headings are fewer, give none; of rows with one place any may be named.
+    """
+    head, at = F.coalesce(F.col("role") == "heading", F.lit(False)), F.col(first)
+    two = head & (F.col("level") == 2)
+    lost = F.min(F.when((F.coalesce(F.col("role"), F.lit("")) != "bibliography") & ~blank(F.col("text")), F.struct(at.alias("at"), F.col("index"))))
+    found = roled.groupBy("pkg_id").agg(F.count_if(two).alias("n"), F.min(F.when(two, at)).alias("begins"), F.bool_or(head & (F.col("level") == 1)).alias("parted"), lost.alias("lost")).where("n >= 2")
+    part = F.when(F.col("parted"), F.struct(F.lit(None).cast("int").alias("index"), F.lit("part_with_collective_work_not_serializable").alias("code"), F.lit("error").alias("severity")))
+    text = F.when(~F.col("parted") & (F.col("lost.at") < F.col("begins")), F.struct(F.col("lost.index").cast("int").alias("index"), F.lit("text_before_contributions_not_serialized").alias("code"), F.lit("warning").alias("severity")))
+    return found.select("pkg_id", F.explode(F.array_compact(F.array(part, text))).alias("x")).select("pkg_id", "x.*")
+
+
+def signature_suggestions(roled: DataFrame, most: int = 2) -> DataFrame:
+    """pkg_id, start, name, affiliation: what the lines of each terminal run of signatures say.
+
+    Every line of a run counts, blank ones too; a run of more than `most` lines says nothing. It is terminal when nothing
+    follows, or right behind it a heading style of level 1 or 2. A blank line says null.
+    """
+    marked = roled.withColumn("_signs", F.coalesce(F.col("style_id") == "Signature", F.lit(False)))
+    marked = marked.withColumn("_ahead", F.lead(F.struct(F.coalesce("style_id", F.lit("")).alias("style"))).over(in_order()))
+    lines = islands(marked, "_signs").where("_signs")
+    ahead = F.max_by("_ahead", "index")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("index", F.nullif(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), F.lit("")).alias("text")))), lambda x: x["text"])
+    runs_found = lines.groupBy("pkg_id", "island").agg(F.min("index").alias("start"), ahead.alias("ahead"), said.alias("said"))
+    terminal = F.col("ahead").isNull() | F.col("ahead.style").isin("Heading1", "Heading2")
+    return runs_found.where(terminal & (F.size("said") <= most)).select("pkg_id", "start", F.get("said", F.lit(0)).alias("name"), F.get("said", F.lit(1)).alias("affiliation"))
+
+
 def preamble(roled: DataFrame) -> DataFrame:
     """Title and subtitle of the leading run of Title and Subtitle paragraphs, and what is wrong with the others."""
     title = F.coalesce(F.col("style_id").isin("Title", "Subtitle"), F.lit(False))

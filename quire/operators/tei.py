@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators.blocks import before, in_order, islands
+from quire.operators.blocks import before, in_order, islands, so_far
 
 # Types of divisions by level, and names the format has for roles, marks and identifiers.
 DIVISIONS = {1: "part", 2: "chapter", 3: "section1", 4: "section2", 5: "section3", 6: "section4"}
@@ -66,21 +66,29 @@ def verse_xml(content: Column) -> Column:
 WRITTEN = ("heading", "paragraph", "prose_quote", "verse_quote", "epigraph", "floating_text", "signature", "bibl", "ready")
 
 
-def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
-    """pkg_id, content: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
+def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None, collective: bool = False) -> DataFrame:
+    """pkg_id, content, and in_parts with `collective`: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
 
     A heading closes the divisions at its level and below and opens one for each level down to its own, so a
-    skipped level gets a division without a head. `xml` names a column of ready inline XML; without it the
+    skipped level gets a division without type and head. `xml` names a column of ready inline XML; without it the
     text is escaped. Whatever a document leaves open is closed behind its last paragraph. Signatures are
     paragraphs. Right behind a quotation a paragraph of the role bibl is its source, and both are one `cit`.
     `pieces` (pkg_id, index, piece) are blocks that are XML already (`tei_blocks`); they stand for the
     paragraphs at their indices, and those at an index that no paragraph has stand between.
+
+    With `collective` a document with two or more headings of level 2 is in parts: each such heading begins a text
+    with a title page of its own, whose divisions begin anew below that level. What stands before the first is
+    left out (`blocks.collective_problems` says so).
     """
     if pieces is not None:
         roled = roled.join(pieces, ["pkg_id", "index"], "full").withColumn("role", F.when(F.col("piece").isNotNull(), "ready").otherwise(F.col("role")))
     content = F.coalesce(F.col(xml) if xml else escaped(F.col("text")), F.lit(""))
     rows = islands(roled, "role").withColumn("_content", content)
-    head = F.col("role") == "heading"
+    head = F.coalesce(F.col("role") == "heading", F.lit(False))
+    starts = head & (F.col("level") == 2) if collective else F.lit(False)
+    rows = rows.withColumns({"_parts": F.count_if(starts).over(Window.partitionBy("pkg_id")) if collective else F.lit(0), "_part": F.count_if(starts).over(so_far()) if collective else F.lit(0)})
+    many = F.col("_parts") >= 2
+    pivot = many & starts
     rows = rows.withColumn("_depth", F.coalesce(F.last(F.when(head, F.col("level")), ignorenulls=True).over(before()), F.lit(0)))
     rows = rows.withColumns({"_first": ~F.col("role").eqNullSafe(F.lag("role").over(in_order())), "_last": ~F.col("role").eqNullSafe(F.lead("role").over(in_order())), "_end": F.lead("index").over(in_order()).isNull()})
     quote = F.col("role").isin("prose_quote", "verse_quote")
@@ -89,7 +97,7 @@ def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | No
     types = F.create_map(*(F.lit(x) for pair in DIVISIONS.items() for x in pair))
     closing = F.repeat(F.lit("</div>"), F.greatest(F.col("_depth") - F.col("level") + 1, F.lit(0)))
     opened = F.when(F.col("level") > F.col("_depth"), F.sequence(F.col("_depth") + 1, F.col("level"))).otherwise(F.array(F.col("level")))
-    opening = F.array_join(F.transform(opened, lambda n: F.concat(F.lit('<div type="'), types[n], F.lit('">'))), "")
+    opening = F.array_join(F.transform(opened, lambda n: F.when(n == F.col("level"), F.concat(F.lit('<div type="'), types[n], F.lit('">'))).otherwise("<div>")), "")
 
     def group(start: str | Column, piece: Column, end: str | Column) -> Column:
         return F.concat(F.when(F.col("_first"), start).otherwise(""), piece, F.when(F.col("_last"), end).otherwise(""))
@@ -97,8 +105,11 @@ def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | No
     p = element("p", F.col("_content"))
     verse = F.coalesce(verse_xml(F.col("_content")), F.lit(""))
     cited = F.when(F.col("_cited"), "<cit><quote>").otherwise("<quote>"), F.concat(F.lit("</quote>"), F.coalesce(F.concat(element("bibl", F.col("_source")), F.lit("</cit>")), F.lit("")))
+    ends = lambda depth: F.concat(F.repeat(F.lit("</div>"), F.greatest(depth - 2, F.lit(0)).cast("int")), F.lit("</body></text>"))
+    page = F.concat(F.when(F.col("_part") > 1, ends(F.col("_depth"))).otherwise(""), F.lit('<text><front><div type="titlePage"><p rend="title-main">'), F.col("_content"), F.lit("</p></div></front><body>"))
     piece = (
-        F.when(head, F.concat(closing, opening, element("head", F.col("_content"))))
+        F.when(many & (F.col("_part") == 0), "").when(pivot, page)
+        .when(head, F.concat(closing, opening, element("head", F.col("_content"))))
         .when(F.col("role") == "prose_quote", group(cited[0], p, cited[1]))
         .when(F.col("role") == "verse_quote", group(cited[0], verse, cited[1]))
         .when(F.col("role") == "epigraph", group("<epigraph>", p, "</epigraph>"))
@@ -107,11 +118,12 @@ def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | No
         .when(F.col("role") == "signature", F.when(F.trim("_content") != "", p))
         .when(F.col("role") == "bibl", F.when(~F.col("_taken"), element("bibl", F.col("_content"))))
         .when(F.col("role") == "ready", F.col("piece") if pieces is not None else F.lit(""))
-    )
+    )
     depth = F.when(head, F.col("level")).otherwise(F.col("_depth"))
-    ended = F.concat(F.coalesce(piece, F.lit("")), F.when(F.col("_end"), F.repeat(F.lit("</div>"), depth.cast("int"))).otherwise(""))
+    end = F.when(many, ends(depth)).otherwise(F.repeat(F.lit("</div>"), depth.cast("int")))
+    ended = F.concat(F.coalesce(piece, F.lit("")), F.when(F.col("_end"), end).otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct("index", ended.alias("xml"))))
-    return rows.groupBy("pkg_id").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("content"))
+    return rows.groupBy("pkg_id").agg(F.array_join(F.transform(parts, lambda x: x["xml"]), "").alias("content"), *([F.bool_or(many).alias("in_parts")] if collective else []))
 
 
 def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
@@ -119,6 +131,13 @@ def body_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None
     return content_xml(roled, xml, pieces).select("pkg_id", F.concat(F.lit("<body>"), "content", F.lit("</body>")).alias("body"))
 
 
+def text_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """pkg_id, body: the body of a document, or of a collective volume the group of its texts."""
+    content, whole = F.col("content"), content_xml(roled, xml, pieces, collective=True)
+    group = F.concat(F.lit('<group type="article">'), content, F.lit("</group>"))
+    return whole.select("pkg_id", F.when(F.col("in_parts"), group).otherwise(F.concat(F.lit("<body>"), content, F.lit("</body>"))).alias("body"))
+
+
 def header_xml(metadata: DataFrame) -> DataFrame:
     """pkg_id, header. metadata: pkg_id, title, subtitle, language, publisher, date, license_name, license_url, identifiers
     (type, format, value), people (role, given_name, family_name, literal_name, orcid), keywords (text)."""

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from quire.operators.roles import with_roles
+
 # Style of a paragraph by a number from its place; None is a paragraph without a style.
 STYLES = ("Heading1", "Heading2", "Normal", "Quote", "Quote", "IntenseQuote", "BlockText", "Salutation", "Signature", None, "BodyText", "Heading3", "TEIbiblreference", "Custom1", "Title", "Bibliography")
 
@@ -27,6 +29,21 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumns({"style_id": style, "style_name": F.when(style == "Custom1", "Body  Text"), "style_is_custom": style == "Custom1", "outline_level": F.when((F.col("pkg_id") + F.col("index")) % 11 == 0, 2).cast("int")})
 
 
+def collective_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with roles; in three documents of four no heading is a part, in each second of these it opens a text."""
+    rows = with_roles(paragraphs(spark, sf_dir))
+    key = F.col("pkg_id")
+    part = (F.col("role") == "heading") & (F.col("level") == 1) & (key % 4 != 0)
+    return rows.withColumn("level", F.when(part, (2 + key % 2).cast("int")).otherwise(F.col("level")))
+
+
+def signed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, most of them signatures, and headings of three levels between."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pkg_id"), F.posexplode(F.split("text", "\n")).alias("index", "text"))
+    at = (F.col("pkg_id") * 7 + F.col("index") * F.col("index") * 3) % 11
+    return lines.withColumn("style_id", F.when(at < 5, "Signature").when(at < 7, "Heading1").when(at == 7, "Heading2").when(at == 8, "Heading3"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pkg_id"), F.col("turn").cast("int").alias("index"), "role", "text")
 

@@ -191,6 +191,13 @@ def _behind_the_cut(packages: DataFrame, body: DataFrame) -> DataFrame:
     return exploded(packages, "cells").select("pkg_id", "block").distinct().join(start, "pkg_id").where("block > _cut").select("pkg_id", F.lit(None).cast("int").alias("index"), F.lit("nonterminal_bibliography_not_serializable").alias("code")).distinct()
 
 
+def _lost_before(packages: DataFrame, body: DataFrame) -> DataFrame:
+    """`blocks.collective_problems` of the written blocks, tables and images among them."""
+    shown = F.lit("any").alias("text")
+    tables_at = exploded(packages, "cells").select("pkg_id", "block").distinct().select("pkg_id", F.lit(None).cast("int").alias("index"), "block", F.lit("table").alias("role"), F.lit(None).cast("int").alias("level"), shown)
+    return blocks.collective_problems(body.where("role <> 'empty'").select("pkg_id", "index", "block", "role", "level", shown).unionByName(tables_at), "block")
+
+
 def _cell_problems(packages: DataFrame) -> DataFrame:
     """Written cells' paragraphs of a style that no cell has, of a role that no cell has, or numbered."""
     filled = exploded(packages, "cells").where("index is not null").select("pkg_id", "index")
@@ -250,6 +257,7 @@ def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame
         _row(repeated, 2, "editorial", "error", code=F.lit("duplicate_note_id")),
         _row(graphics.used_media(found_graphics(packages, body), exploded(packages, "media"), most_media)[1], 4, "serialization", "error"),
         _row(cyclic, 4, "serialization", "error", code=F.lit("cyclic_note_reference")),
+        _row(_lost_before(packages, body), 4, "serialization"),
         _row(known.distinct().join(reached, ["pkg_id", "note_id"], "left_anti"), 4, "serialization", "warning", code=F.lit("unreferenced_note_not_serialized")),
         *text_problems(packages, body),
     ]
@@ -383,7 +391,7 @@ def converted(packages: DataFrame, metadata: DataFrame, most_media: int = graphi
     ready = body.join(xml, ["pkg_id", "index"], "left").withColumn("index", F.col("block"))
     fronts = metadata.select("pkg_id", tei_blocks.front_xml(F.col("abstracts")).alias("front")) if "abstracts" in metadata.columns else None
     known = metadata.join(packages.select("pkg_id"), "pkg_id", "left_semi")
-    books = written(tei.documents(tei.header_xml(known), tei.body_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
+    books = written(tei.documents(tei.header_xml(known), tei.text_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
     invalid = written(validation.validated(books), "invalid")
     checked = _row(invalid.select("pkg_id").distinct(), 5, "validation", "error", code=F.lit("invalid_output"))
     return books.join(invalid, "pkg_id", "left_anti"), problems.unionByName(checked)

@@ -199,6 +199,19 @@ def _runs(role: str) -> str:
 
 _WORDS = """words AS (SELECT conv_id AS pkg_id, turn AS "index", unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS item FROM conversations)"""
 
+# Blocks but headings as XML, where e has c (escaped text), is_first and is_last of its run.
+_WRITTEN_BLOCKS = """                WHEN 'paragraph' THEN '<p' || CASE WHEN rendition IS NOT NULL THEN ' rend="' || rendition || '"' ELSE '' END || '>' || c || '</p>'
+                WHEN 'prose_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</quote>' ELSE '' END
+                WHEN 'signature' THEN CASE WHEN trim(c) <> '' THEN '<p>' || c || '</p>' END
+                WHEN 'verse_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || CASE WHEN trim(c) <> '' THEN '<lg><l>' || c || '</l></lg>' ELSE '' END || CASE WHEN is_last THEN '</quote>' ELSE '' END
+                WHEN 'epigraph' THEN CASE WHEN is_first THEN '<epigraph>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</epigraph>' ELSE '' END
+                WHEN 'floating_text' THEN CASE WHEN is_first THEN '<floatingText><body>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</body></floatingText>'"""
+
+COLLECTIVE = """
+    lowered AS (SELECT * REPLACE (CASE WHEN role = 'heading' AND level = 1 AND pkg_id % 4 <> 0 THEN 2 + pkg_id % 2 ELSE level END AS level) FROM numbered),
+    counted AS (SELECT *, count(*) FILTER (role = 'heading' AND level = 2) OVER (PARTITION BY pkg_id ORDER BY "index") AS part FROM lowered),
+    cut AS (SELECT *, max(part) OVER (PARTITION BY pkg_id) AS parts FROM counted)"""
+
 ORACLES: dict[str, str] = {
     "f01_paragraph_role": f'WITH {PARAGRAPHS} SELECT pkg_id, "index", role, level, rendition FROM roled',
     "e07_style_diagnosis": f"""WITH {PARAGRAPHS} SELECT pkg_id, "index", style_id, CASE WHEN role = 'deferred' THEN 'deferred_paragraph_style' ELSE 'unsupported_paragraph_style' END AS code, 'error' AS severity FROM roled WHERE role IN ('deferred', 'unsupported')""",
@@ -295,16 +308,31 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS c, coalesce(last_value(CASE WHEN role = 'heading' THEN level END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
                 role IS DISTINCT FROM lag(role) OVER w AS is_first, role IS DISTINCT FROM lead(role) OVER w AS is_last, lead("index") OVER w IS NULL AS is_end FROM numbered WINDOW w AS (PARTITION BY pkg_id ORDER BY "index")),
         x AS (SELECT pkg_id, "index", coalesce(CASE role
-                WHEN 'heading' THEN repeat('</div>', greatest(depth - level + 1, 0)) || list_aggregate(['<div type="' || ['part', 'chapter', 'section1', 'section2', 'section3', 'section4'][n] || '">' FOR n IN CASE WHEN level > depth THEN range(depth + 1, level + 1) ELSE [level] END], 'string_agg', '') || '<head>' || c || '</head>'
-                WHEN 'paragraph' THEN '<p' || CASE WHEN rendition IS NOT NULL THEN ' rend="' || rendition || '"' ELSE '' END || '>' || c || '</p>'
-                WHEN 'prose_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</quote>' ELSE '' END
-                WHEN 'signature' THEN CASE WHEN trim(c) <> '' THEN '<p>' || c || '</p>' END
-                WHEN 'verse_quote' THEN CASE WHEN is_first THEN '<quote>' ELSE '' END || CASE WHEN trim(c) <> '' THEN '<lg><l>' || c || '</l></lg>' ELSE '' END || CASE WHEN is_last THEN '</quote>' ELSE '' END
-                WHEN 'epigraph' THEN CASE WHEN is_first THEN '<epigraph>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</epigraph>' ELSE '' END
-                WHEN 'floating_text' THEN CASE WHEN is_first THEN '<floatingText><body>' ELSE '' END || '<p>' || c || '</p>' || CASE WHEN is_last THEN '</body></floatingText>' ELSE '' END END, '')
+                WHEN 'heading' THEN repeat('</div>', greatest(depth - level + 1, 0)) || repeat('<div>', greatest(level - depth - 1, 0)) || '<div type="' || ['part', 'chapter', 'section1', 'section2', 'section3', 'section4'][level] || '">' || '<head>' || c || '</head>'
+{_WRITTEN_BLOCKS} ELSE '' END END, '')
                 || CASE WHEN is_end THEN repeat('</div>', CASE WHEN role = 'heading' THEN level ELSE depth END) ELSE '' END AS xml FROM e),
         b AS (SELECT pkg_id, '<body>' || string_agg(xml, '' ORDER BY "index") || '</body>' AS body FROM x GROUP BY 1)
         SELECT pkg_id, sha256(body) AS sha256, length(body) AS n_chars FROM b""",
+    "t07_collective_texts": f"""WITH {PARAGRAPHS}, {COLLECTIVE},
+        e AS (SELECT *, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS c, coalesce(last_value(CASE WHEN role = 'heading' THEN level END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
+                role IS DISTINCT FROM lag(role) OVER w AS is_first, role IS DISTINCT FROM lead(role) OVER w AS is_last FROM cut WINDOW w AS (PARTITION BY pkg_id ORDER BY "index")),
+        x AS (SELECT pkg_id, "index", part, parts, CASE WHEN role = 'heading' THEN level ELSE depth END AS left_open, role = 'heading' AND level = 2 AS opens, c,
+                coalesce(CASE role WHEN 'heading' THEN repeat('</div>', greatest(depth - level + 1, 0)) || repeat('<div>', greatest(level - depth - 1, 0)) || '<div type="' || ['part', 'chapter', 'section1', 'section2', 'section3', 'section4'][level] || '">' || '<head>' || c || '</head>'
+{_WRITTEN_BLOCKS} ELSE '' END END, '') AS xml FROM e),
+        flat AS (SELECT pkg_id, '<body>' || string_agg(xml, '' ORDER BY "index") || repeat('</div>', arg_max(left_open, "index")) || '</body>' AS body FROM x WHERE parts < 2 GROUP BY pkg_id),
+        texts AS (SELECT pkg_id, part, '<text><front><div type="titlePage"><p rend="title-main">' || any_value(c) FILTER (opens) || '</p></div></front><body>' || coalesce(string_agg(xml, '' ORDER BY "index") FILTER (NOT opens), '') || repeat('</div>', greatest(arg_max(left_open, "index") - 2, 0)) || '</body></text>' AS xml
+            FROM x WHERE parts >= 2 AND part > 0 GROUP BY pkg_id, part),
+        b AS (SELECT * FROM flat UNION ALL SELECT pkg_id, '<group type="article">' || string_agg(xml, '' ORDER BY part) || '</group>' FROM texts GROUP BY pkg_id)
+        SELECT pkg_id, sha256(body) AS sha256, length(body) AS n_chars FROM b""",
+    "t07_collective_problems": f"""WITH {PARAGRAPHS}, {COLLECTIVE},
+        d AS (SELECT pkg_id, bool_or(role = 'heading' AND level = 1) AS parted, min("index") FILTER (role = 'heading' AND level = 2) AS begins, min("index") FILTER (NOT is_blank) AS lost FROM cut WHERE parts >= 2 GROUP BY pkg_id)
+        SELECT pkg_id, NULL::INT AS "index", 'part_with_collective_work_not_serializable' AS code, 'error' AS severity FROM d WHERE parted
+        UNION ALL SELECT pkg_id, lost, 'text_before_contributions_not_serialized', 'warning' FROM d WHERE NOT parted AND lost < begins""",
+    "w21_signature_suggestions": """WITH lines AS (SELECT doc_id AS pkg_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        s AS (SELECT *, (pkg_id * 7 + i * i * 3) % 11 AS spot FROM lines),
+        k AS (SELECT *, i - row_number() OVER (PARTITION BY pkg_id, spot < 5 ORDER BY i) AS run, lead(spot) OVER (PARTITION BY pkg_id ORDER BY i) AS ahead FROM s),
+        r AS (SELECT pkg_id, min(i)::INT AS start, list(nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') ORDER BY i) AS said, arg_max(coalesce(ahead, -1), i) AS ahead FROM k WHERE spot < 5 GROUP BY pkg_id, run)
+        SELECT pkg_id, start, said[1] AS name, said[2] AS affiliation FROM r WHERE len(said) <= 2 AND ahead IN (-1, 5, 6, 7)""",
     "e03_table_problems": """WITH c AS (SELECT l_orderkey AS pkg_id, l_linenumber::INT AS row_, l_suppkey % 3 AS col_, count(*) AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2, 3),
         w AS (SELECT *, count(*) OVER (PARTITION BY pkg_id, row_) AS width FROM c),
         g AS (SELECT pkg_id, max(row_) + 1 AS n_rows, max(width) AS n_cols, min(width) AS least, bool_or(p % 23 = 0 OR p % 29 = 0) AS merged, bool_or(p % 31 = 0) AS nested, max(row_) FILTER (p % 5 = 0) AS head, min(row_) FILTER (p % 5 <> 0) AS body, max(n) AS filled FROM w GROUP BY 1)

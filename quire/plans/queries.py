@@ -345,6 +345,23 @@ def t08_body_xml(spark, sf_dir):
     return tei.body_xml(roled(spark, sf_dir)).select("pkg_id", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), F.length("body").cast("long").alias("n_chars"))
 
 
+@query
+def t07_collective_texts(spark, sf_dir):
+    """Documents as bodies or, of collective volumes, as groups of texts."""
+    found = tei.text_xml(a.collective_lines(spark, sf_dir))
+    return found.select("pkg_id", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), F.length("body").cast("long").alias("n_chars"))
+
+
+@query
+def t07_collective_problems(spark, sf_dir):
+    return blocks.collective_problems(a.collective_lines(spark, sf_dir))
+
+
+@query
+def w21_signature_suggestions(spark, sf_dir):
+    return blocks.signature_suggestions(a.signed_lines(spark, sf_dir))
+
+
 @query
 def t01_document_xml(spark, sf_dir):
     """Whole documents of those whose paragraphs raise no error, with the problems the validator finds in them."""
@@ -355,7 +372,7 @@ def t01_document_xml(spark, sf_dir):
     numbers = F.array(F.struct(F.lit("doi").alias("type"), F.lit(None).cast("string").alias("format"), F.concat(F.lit("doi:10.1234/a"), "doc_id").alias("value")))
     about = docs.select(F.col("doc_id").alias("pkg_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("language"), people.alias("people"), numbers.alias("identifiers"), F.array("source").alias("keywords"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
     errors = roles.style_diagnosis(rows)
-    written_docs = tei.documents(tei.header_xml(about), tei.body_xml(rows), errors)
+    written_docs = tei.documents(tei.header_xml(about), tei.text_xml(rows), errors.unionByName(blocks.collective_problems(rows), allowMissingColumns=True))
     problems = validation.validated(written_docs).groupBy(F.col("pkg_id").cast("long").alias("pkg_id")).agg(F.count(F.lit(1)).alias("n_problems"))
     return written_docs.join(problems, "pkg_id", "left").select("pkg_id", "xml", F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
 

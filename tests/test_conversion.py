@@ -116,6 +116,10 @@ def outcome(spark):
         "own_restart": made(listed(1, "one", num=7), overridden('<w:lvlRestart w:val="0"/>')),
         "own_format": made(listed(1, "one", num=7), overridden('<w:numFmt w:val="upperRoman"/><w:start w:val="4"/>')),
         "empty_item": made(listed(1, "one") + listed(1, "")),
+        "volume": made(p("Preface") + p("One", "Heading2") + p("In", "Heading3") + p("x") + p("deep", "Heading5") + p("Said", "Quote") + p("A. B.", "Signature") + p("House", "Signature") + p("Two", "Heading2") + p("Said", "Quote") + p("Sources", "Heading1") + p("A book", "Bibliography")),
+        "volume_table": made(TABLE.format(p("a"), p("b"), p("c"), p("d")) + p("One", "Heading2") + p("Two", "Heading2")),
+        "volume_part": made(p("Part", "Heading1") + p("One", "Heading2") + p("x") + p("Two", "Heading2")),
+        "chapter": made(p("One", "Heading2") + p("x")),
         "empty_parent": made(listed(1, "") + listed(1, "in", 1)),
     }
     packages = decoded(spark.createDataFrame(list(files.items()), "path string, content binary"))
@@ -150,6 +154,7 @@ def test_everything_is_written(outcome):
         ("lost_note", "missing_note_target"), ("box", "textboxes_not_inspected"), ("table_behind", "nonterminal_bibliography_not_serializable"), ("cell_style", "unsupported_table_cell_style"), ("cell_quote", "unsupported_table_cell_content"),
         ("cell_number", "numbered_table_cell_not_serializable"), ("odd_run", "unsupported_character_style"), ("cited_twice", "nested_bibliographic_reference_not_serializable"), ("goes_nowhere", "ambiguous_list_continuation_not_serializable"),
         ("again", "interrupted_list_continuation_not_serializable"), ("jump", "list_level_jump_not_serializable"), ("empty_item", "empty_list_item_not_serializable"),
+        ("volume_part", "part_with_collective_work_not_serializable"),
         ("restart", "explicit_list_restart_not_serializable"), ("legal", "legal_numbering_not_serializable"), ("own_restart", "explicit_list_restart_not_serializable"),
     ],
 )
@@ -185,6 +190,30 @@ def test_lists_and_references_inside_paragraphs(outcome):
     assert all(validation.problems(x) == [] for x in xml.values())
 
 
+def test_collective_volumes_are_groups_of_texts(outcome):
+    xml, _, found = outcome
+    page = '<text><front><div type="titlePage"><p rend="title-main">{}</p></div></front><body>'
+    first = page.format("One") + '<div type="section1"><head>In</head><p>x</p><div><div type="section3"><head>deep</head><quote><p>Said</p></quote><p>A. B.</p><p>House</p></div></div></div></body></text>'
+    second = page.format("Two") + "<quote><p>Said</p></quote></body></text>"
+    assert xml["volume"].split("</teiHeader>")[1].startswith(f'<text><group type="article">{first}{second}</group><back>')
+    assert ("volume", "text_before_contributions_not_serialized", None) in found and ("volume_table", "text_before_contributions_not_serialized", None) in found
+    assert body(xml["chapter"]) == '<div><div type="chapter"><head>One</head><p>x</p></div></div>'
+    assert all(validation.problems(xml[k]) == [] for k in ("volume", "volume_table", "chapter"))
+
+
+def test_signatures_say_who(spark):
+    from quire.operators import blocks
+
+    def said(*lines):
+        rows = spark.createDataFrame([("d", i, style, text) for i, (style, text) in enumerate(lines)], "pkg_id string, index int, style_id string, text string")
+        return sorted((r.start, r.name, r.affiliation) for r in blocks.signature_suggestions(rows).collect())
+
+    s = "Signature"
+    assert said((s, " Ada "), (s, "House"), ("Heading2", "x"), (s, ""), (s, "b")) == [(0, "Ada", "House"), (3, None, "b")]
+    assert said((s, "a"), (None, ""), ("Heading1", "x"), (s, "a"), ("Heading3", "y"), (s, "a"), (s, ""), (s, "b")) == []  # not terminal twice, too long
+    assert said((s, None)) == [(0, None, None)] and said() == []
+
+
 def test_images_of_a_document_have_a_limit(spark):
     from quire.operators import graphics
 
