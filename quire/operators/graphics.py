@@ -77,14 +77,23 @@ def used_media(found: DataFrame, media: DataFrame, most: int = MOST_USED) -> tup
     return assets, over.select("pkg_id", "total", F.lit("used_media_too_large").alias("code"))
 
 
-def asset_problems(assets: DataFrame, content: str = "content") -> DataFrame:
-    """assets (pkg_id, url, sha256, content): those whose name, digest, or first bytes do not agree, and addresses with two contents."""
-    kind = image_type(F.col(content))
-    expected = F.concat(F.lit("media/"), "sha256", F.when(kind == "image/png", ".png").when(kind == "image/jpeg", ".jpg"))
-    code = (
-        F.when(~F.col("url").startswith("media/") | F.col("url").contains(".."), "invalid_figure_media_url").when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "invalid_figure_sha256")
-        .when(F.sha2(content, 256) != F.col("sha256"), "figure_hash_mismatch").when(kind.isNull(), "unsupported_figure_media_type").when(F.col("url") != expected, "invalid_figure_media_url")
+def asset_code(url: Column, sha256: Column, content: Column) -> Column:
+    """Why an image cannot be stored: its name, digest and first bytes must agree. Null if they do."""
+    kind = image_type(content)
+    expected = F.concat(F.lit("media/"), sha256, F.when(kind == "image/png", ".png").when(kind == "image/jpeg", ".jpg"))
+    return (
+        F.when(~url.startswith("media/") | url.contains(".."), "invalid_figure_media_url").when(~sha256.rlike("^[0-9a-f]{64}$"), "invalid_figure_sha256")
+        .when(F.sha2(content, 256) != sha256, "figure_hash_mismatch").when(kind.isNull(), "unsupported_figure_media_type").when(url != expected, "invalid_figure_media_url")
     )
-    own = assets.withColumn("code", code).where("code is not null").select("pkg_id", "url", "code")
+
+
+def asset_conflicts(assets: DataFrame) -> DataFrame:
+    """pkg_id, url, code of assets whose address stands for two digests."""
     twice = assets.groupBy("url").agg(F.count_distinct("sha256").alias("n")).where("n > 1").select("url")
-    return own.unionByName(assets.join(twice, "url").select("pkg_id", "url", F.lit("conflicting_assets").alias("code")).distinct())
+    return assets.join(twice, "url").select("pkg_id", "url", F.lit("conflicting_assets").alias("code")).distinct()
+
+
+def asset_problems(assets: DataFrame, content: str = "content") -> DataFrame:
+    """assets (pkg_id, url, sha256, content): those whose name, digest, or first bytes do not agree, and addresses with two contents."""
+    own = assets.withColumn("code", asset_code(F.col("url"), F.col("sha256"), F.col(content))).where("code is not null").select("pkg_id", "url", "code")
+    return own.unionByName(asset_conflicts(assets))

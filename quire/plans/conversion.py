@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
 from quire.operators import blocks, diagnostics, figures, graphics, inline, lists, notes, numbering, roles, tables, tei, tei_blocks, validation
-from quire.sources.packages import body_paragraphs, exploded
+from quire.sources import sink
+from quire.sources.packages import body_paragraphs, decoded, exploded
 from quire.staging import written
 
 DIAGNOSTIC = ("pkg_id", "phase", "origin", "code", "severity", "index", "note_id", "part")
@@ -255,17 +256,19 @@ def found_problems(packages: DataFrame, body: DataFrame, notes_found: DataFrame
         _row(notes.missing_targets(refs, known), 2, "editorial", "error", code=F.lit("missing_note_target")),
         _row(notes.unreferenced(refs, known), 2, "editorial", "warning", code=F.lit("unreferenced_note")),
         _row(repeated, 2, "editorial", "error", code=F.lit("duplicate_note_id")),
-        _row(graphics.used_media(found_graphics(packages, body), exploded(packages, "media"), most_media)[1], 4, "serialization", "error"),
         _row(cyclic, 4, "serialization", "error", code=F.lit("cyclic_note_reference")),
         _row(_lost_before(packages, body), 4, "serialization"),
         _row(known.distinct().join(reached, ["pkg_id", "note_id"], "left_anti"), 4, "serialization", "warning", code=F.lit("unreferenced_note_not_serialized")),
         *text_problems(packages, body),
     ]
+    used = found_graphics(packages, body)
     if note_blocks is not None:
+        used = used.unionByName(found_graphics(notes_found, note_blocks).withColumns(note_names()).join(reached, ["pkg_id", "note_id"], "left_semi").drop("note_id"))
         inside = reduce(DataFrame.unionByName, text_problems(notes_found, note_blocks, True))
         named = inside.withColumns(note_names()).where((F.col("code") != "heading_in_note_not_serializable") | F.col("note_id").isNotNull())
         headings = named.where("code = 'heading_in_note_not_serializable'").join(reached, ["pkg_id", "note_id"], "left_semi")
         parts.append(named.where("code <> 'heading_in_note_not_serializable'").unionByName(headings.select(*named.columns)))
+    parts.append(_row(graphics.used_media(used, exploded(packages, "media"), most_media)[1], 4, "serialization", "error"))
     rows = reduce(DataFrame.unionByName, parts)
     rows = rows.withColumn("sequence", F.struct("phase", "part", "note_id", "index", "code"))
     return diagnostics.distinct_diagnostics(rows).drop("sequence")
@@ -376,8 +379,14 @@ def converted(packages: DataFrame, metadata: DataFrame, most_media: int = graphi
     metadata: what `tei.header_xml` takes. A package without metadata is refused (missing_metadata), and so
     is one whose XML breaks the profile. Packages are decoded once: what is read here is a written table, and
     so are their blocks. Notes are texts of their own, read like bodies, and stand wherever they are referred to. Every
-    paragraph, item, image, list, table and note is written or has an error row.
+    paragraph, item, image, list, table and note is written or has an error row, but for what stands before the first text
+    of a collective volume, which has a warning.
     """
+    books, problems, _ = _converted(packages, metadata, most_media)
+    return books, problems
+
+
+def _converted(packages: DataFrame, metadata: DataFrame, most_media: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     packages = written(packages, "packages")
     body = written(body_blocks(packages), "blocks")
     view = written(note_view(packages), "notes")
@@ -394,7 +403,22 @@ def converted(packages: DataFrame, metadata: DataFrame, most_media: int = graphi
     books = written(tei.documents(tei.header_xml(known), tei.text_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
     invalid = written(validation.validated(books), "invalid")
     checked = _row(invalid.select("pkg_id").distinct(), 5, "validation", "error", code=F.lit("invalid_output"))
-    return books.join(invalid, "pkg_id", "left_anti"), problems.unionByName(checked)
+    books = books.join(invalid, "pkg_id", "left_anti")
+    found = found_graphics(packages, body).unionByName(found_graphics(view, inner).withColumns(note_names()).drop("note_id"))
+    assets = graphics.used_media(found, exploded(packages, "media"))[0]
+    assets = assets.join(books, "pkg_id").where(F.contains("xml", "url")).drop("xml")
+    return books, problems.unionByName(checked), assets
+
+
+def convert_files(files: DataFrame, metadata: DataFrame, target: str, most_media: int = graphics.MOST_USED, id_col: str = "path", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Packages of `files` converted and written below `target` (`sink.write_books`): (outcome of each book, diagnostics of all packages).
+
+    A fault of an image that shows only while books are written is a diagnostic as well. Refused packages leave no file.
+    """
+    books, problems, assets = _converted(decoded(files, id_col, content_col), metadata, most_media)
+    books, assets = written(books, "valid"), written(assets, "used")
+    outcome = sink.write_books(books, files, assets, target, id_col, content_col)
+    return outcome, problems.unionByName(_row(outcome.where("code is not null"), 6, "writing", "error"))
 
 
 def summary(packages: DataFrame) -> DataFrame:
