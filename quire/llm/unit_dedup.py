@@ -70,14 +70,14 @@ def passages(words: list[bytes], least: int = PASSAGE, window: int = WINDOW) ->
 
 
 def _passage_digests(text: str) -> Iterator[tuple[int, bytes]]:
-    """Number and digest (64 bits, and 64 zeros) of each passage, without those that overlap an equal one of the text."""
+    """Number and digest (128 bits) of each passage, without those that overlap an equal one of the text."""
     words = text_words(text)
     ends: dict[bytes, int] = {}
     for k, (a, z) in enumerate(zip(*(x.tolist() for x in passages(words)), strict=True)):
-        name = xxhash.xxh3_64_digest(b" ".join(words[a:z]), 2)
+        name = xxhash.xxh3_128_digest(b" ".join(words[a:z]), 2)
         if ends.get(name, 0) <= a:
             ends[name] = z
-            yield k, name + bytes(8)
+            yield k, name
 
 
 def _digested(batches: Iterator[pa.RecordBatch], kind: str, whole: bool) -> Iterator[pa.RecordBatch]:
