@@ -139,14 +139,16 @@ def smallest(ids: DataFrame, each: int, rows: int) -> DataFrame:
 def fit_language(docs: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Codes:
     """Codes for the values of `lang_col`, from at most `most_rows` labelled documents outside the held-out fold.
 
-    Of each language the same number of documents is taken, those of the smallest hashes of their ids, whole.
+    Of each language the same number of documents is taken, those of the smallest hashes of their ids, whole. Of rows
+    that repeat an id the one of the least sha256 of its text counts.
     """
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) != 2))
     counts = marked.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_rows).collect()
     names = tuple(r[0] for r in counts)
     chosen = smallest(marked.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang")), max(1, most_rows // max(1, len(names))), max((r[1] for r in counts), default=0))
     rows = marked.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(_profiled, "id long, lang string, x binary").orderBy("id", "lang", "x").toArrow()  # about most_rows rows
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "lang", "text")).alias("_row")).select("id", "_row.lang", "_row.text")
+    found = rows.mapInArrow(_profiled, "id long, lang string, x binary").orderBy("id", "lang", "x").toArrow()  # one row for each chosen id
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     at = {name: k for k, name in enumerate(names)}
     return fitted(x, np.array([at[v] for v in found["lang"].to_pylist()], np.int64), names)

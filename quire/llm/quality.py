@@ -136,12 +136,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     """A forest for `label_col`, from at most `most_rows` labelled documents outside the held-out fold.
 
     The documents of the smallest hashes of their ids are taken, whole; an id with several labels counts by
-    the largest. Without labels of both kinds the score is the same for every text.
+    the largest, and of rows that repeat an id the one of the least sha256 of its text. Without labels of both kinds the score is the same for every text.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0))
     chosen = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("label", text_or_empty(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(_measured, "label int, x array<double>").toArrow()  # at most most_rows rows
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "label", text_or_empty(text_col).cast("binary").alias("text"))
+    rows = rows.groupBy("_id", "label").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("_row")).select("label", "_row.text")
+    found = rows.mapInArrow(_measured, "label int, x array<double>").toArrow()  # at most most_rows rows, one for each chosen id
     if not found.num_rows:
         return boosted(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(found["x"].to_pylist()), found["label"].to_numpy().astype(float)

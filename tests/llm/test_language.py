@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -60,3 +61,41 @@ def test_profile_of_a_long_text_is_near_its_parts(monkeypatch):
     whole = profiles([text, b""])
     monkeypatch.setattr("quire.llm.language.PIECE", 1000)
     assert np.abs(profiles([text])[0] - whole[0]).max() < 0.02 and not whole[1].any()
+
+
+def test_one_id_on_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    from quire.llm import language as module
+
+    seen = []
+    whole = module.fitted
+    monkeypatch.setattr(module, "fitted", lambda x, y, names: seen.append(x.shape) or whole(x, y, names))
+    rows = corpus(["aa", "bb"], 60)
+    again = next(i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    many = spark.createDataFrame(rows + [(again, f"ing the {k}", "bb" if k % 2 else "aa") for k in range(3000)], "doc_id long, text string, lang string").repartition(3)
+    codes = fit_language(many, most_rows=20)
+    assert seen[0][0] <= 20 and set(codes.languages) == {"aa", "bb"}
+
+
+def test_loss_weighted_decoding_matches_plain_sums():
+    from quire.llm.language import fitted
+
+    rng = np.random.default_rng(3)
+    y = np.arange(90) % 5
+    texts = [" ".join(rng.choice(SOUNDS[list(SOUNDS)[k]].split(), 12)).encode() for k in y]
+    x = profiles(texts).astype(np.float32)
+    codes = fitted(x, y, tuple("abcde"))
+    best, score, unsure = codes.decoded(x)
+    flat = codes.decoded(np.zeros_like(x))
+    for row, found in [(x[k], (best[k], score[k], unsure[k])) for k in range(0, 90, 7)] + [(np.zeros_like(x[0]), tuple(v[0] for v in flat))]:
+        distances = []
+        for word in codes.words:
+            total = 0.0
+            for bit in range(len(word)):
+                margin = sum(float(a) * float(b) for a, b in zip(row, codes.slope[:, bit])) + float(codes.offset[bit])
+                total += float(codes.weight[bit]) * math.log1p(math.exp(-word[bit] * margin))
+            distances.append(total)
+        order = sorted(range(5), key=distances.__getitem__)
+        likely = [math.exp(-d) for d in distances]
+        assert found[0] == order[0] and abs(found[1] - likely[order[0]] / sum(likely)) < 1e-4
+        assert bool(found[2]) == (likely[order[1]] > 0.5 * likely[order[0]])
+    assert (best == y).mean() > 0.9 and flat[2].any()

@@ -63,3 +63,16 @@ def test_no_labels_and_empty_tables(spark):
     assert {r.score for r in quality(docs, fit_quality(docs, none)).collect()} == {0.5}
     assert quality(docs.limit(0), fit_quality(docs, none)).count() == 0
     assert statistics([b"", b" \n", b"One two. two"]).shape == (3, len(FEATURES))
+
+
+def test_one_id_on_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    from quire.llm import quality as module
+
+    seen = []
+    whole = module.boosted
+    monkeypatch.setattr(module, "boosted", lambda x, y: seen.append(x.shape) or whole(x, y))
+    docs, labels = corpus(60)
+    again = next(i for i, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    many = spark.createDataFrame(docs + [(again, f"the {k}") for k in range(3000)], "doc_id long, text string").repartition(3)
+    fit_quality(many, spark.createDataFrame(labels + [(again, k % 2) for k in range(50)], "doc_id long, quality int"), most_rows=20)
+    assert seen[0][0] <= 20
