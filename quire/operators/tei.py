@@ -70,7 +70,7 @@ def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | No
     """pkg_id, content, and in_parts with `collective`: roled paragraphs nested into divisions, neighbours of one quotation, epigraph or aside together.
 
     A heading closes the divisions at its level and below and opens one for each level down to its own, so a
-    skipped level gets a division without type and head. `xml` names a column of ready inline XML; without it the
+    skipped level gets a division without a head (and, with `collective`, without a type). `xml` names a column of ready inline XML; without it the
     text is escaped. Whatever a document leaves open is closed behind its last paragraph. Signatures are
     paragraphs. Right behind a quotation a paragraph of the role bibl is its source, and both are one `cit`.
     `pieces` (pkg_id, index, piece) are blocks that are XML already (`tei_blocks`); they stand for the
@@ -97,7 +97,7 @@ def content_xml(roled: DataFrame, xml: str | None = None, pieces: DataFrame | No
     types = F.create_map(*(F.lit(x) for pair in DIVISIONS.items() for x in pair))
     closing = F.repeat(F.lit("</div>"), F.greatest(F.col("_depth") - F.col("level") + 1, F.lit(0)))
     opened = F.when(F.col("level") > F.col("_depth"), F.sequence(F.col("_depth") + 1, F.col("level"))).otherwise(F.array(F.col("level")))
-    opening = F.array_join(F.transform(opened, lambda n: F.when(n == F.col("level"), F.concat(F.lit('<div type="'), types[n], F.lit('">'))).otherwise("<div>")), "")
+    opening = F.array_join(F.transform(opened, lambda n: F.when(F.lit(not collective) | (n == F.col("level")), F.concat(F.lit('<div type="'), types[n], F.lit('">'))).otherwise("<div>")), "")
 
     def group(start: str | Column, piece: Column, end: str | Column) -> Column:
         return F.concat(F.when(F.col("_first"), start).otherwise(""), piece, F.when(F.col("_last"), end).otherwise(""))
