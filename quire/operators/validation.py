@@ -13,11 +13,11 @@ _BLOCKS = "p quote cit epigraph floatingText list figure table bibl signed"
 _INLINE = "hi ref lb note bibl"
 CHILDREN = {
     "TEI": "teiHeader text", "teiHeader": "fileDesc profileDesc", "fileDesc": "titleStmt publicationStmt sourceDesc", "titleStmt": "title author editor funder",
-    "author": "persName idno affiliation", "editor": "persName idno affiliation", "persName": "forename surname", "publicationStmt": "publisher idno date availability p",
-    "availability": "licence p", "sourceDesc": "p bibl", "profileDesc": "langUsage textClass", "langUsage": "language", "textClass": "keywords", "keywords": "list",
+    "author": "persName idno affiliation", "editor": "persName idno affiliation", "persName": "forename surname", "publicationStmt": "publisher ref idno date availability p",
+    "availability": "licence p", "sourceDesc": "p bibl", "series": "title editor biblScope idno", "funder": "orgName idno", "profileDesc": "langUsage textClass", "langUsage": "language", "textClass": "keywords", "keywords": "list",
     "text": "front body group back", "front": "div", "group": "text", "back": "div", "body": f"div head {_BLOCKS}", "div": f"div head listBibl {_BLOCKS}",
     "quote": "p lg", "cit": "quote bibl", "lg": "l lg", "epigraph": "p", "floatingText": "body", "list": "item head", "item": f"p list {_INLINE}", "p": _INLINE,
-    "head": _INLINE, "l": _INLINE, "hi": _INLINE, "ref": _INLINE, "note": f"{_BLOCKS} {_INLINE}", "figure": "head graphic figDesc p", "table": "row head", "row": "cell", "cell": _INLINE, "listBibl": "head bibl", "bibl": _INLINE,
+    "head": _INLINE, "l": _INLINE, "hi": _INLINE, "ref": _INLINE, "note": f"{_BLOCKS} {_INLINE}", "figure": "head graphic figDesc p", "table": "row head", "row": "cell", "cell": _INLINE, "listBibl": "head bibl", "bibl": f"series biblScope {_INLINE}",
 }
 REQUIRED = {"TEI": ("teiHeader", "text"), "fileDesc": ("titleStmt", "publicationStmt", "sourceDesc"), "titleStmt": ("title",), "lg": ("l",), "floatingText": ("body",)}
 VALUES = {("div", "type"): ("part", "chapter", "section1", "section2", "section3", "section4", "bibliography", "titlePage"), ("p", "rend"): ("break", "consecutive", "caption", "credits", "title-main", "title-sub"), ("note", "place"): ("foot", "end")}

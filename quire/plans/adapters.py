@@ -106,6 +106,45 @@ def identifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("pkg_id"), key.alias("position"), F.get(types, kind.cast("int")).alias("type"), shape.alias("format"), value.alias("value"))
 
 
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as bibliographic records: pkg_id, json. What a record says goes by the customer's key."""
+    k = F.col("c_custkey")
+    on = lambda test, value: F.when(test, value if not isinstance(value, str) else F.lit(value))
+    texts = lambda *values: F.array(*(F.lit(v) for v in values)).cast("array<string>")
+    obj = lambda **fields: F.struct(*((F.lit(v) if isinstance(v, (str, int)) else v).alias(n) for n, v in fields.items()))
+
+    def person(i):
+        n = k + i
+        return obj(
+            id=F.concat(F.lit("c"), i), role=F.get(texts("author", "editor", "translator", "scientific_editor", "other"), (n % 5).cast("int")), role_label=on(n % 5 == 4, "reader"),
+            literal_name=on(n % 2 == 0, F.concat(F.lit("Name "), n)), given_name=on((n % 2 == 1) & (n % 3 > 0), "Ada"), family_name=on(n % 2 == 1, F.concat(F.lit("F&"), n)),
+            email=on(n % 4 == 0, "a@x.org"), orcid=on(n % 3 == 0, "https://orcid.org/0000-0002-1825-0097"), affiliations=F.when(n % 3 == 0, texts()).when(n % 3 == 1, texts("a0")).otherwise(texts("a1", "a0")),
+        )
+
+    places = F.array(
+        obj(id="a0", name="Institute & Co", unit=F.lit(None).cast("string"), city="Lyon", country=F.lit(None).cast("string"), ror=on(k % 2 == 0, "https://ror.org/0a")),
+        obj(id="a1", name="College", unit="Letters", city=F.lit(None).cast("string"), country="FR", ror=on(k % 3 == 0, "https://ror.org/1b")),
+    )
+    number = lambda kind, value, shape=None: obj(type=kind, value=value, format=F.lit(None).cast("string") if shape is None else shape)
+    numbers = (
+        F.when(k % 3 == 0, F.array(number("doi", F.concat(F.lit("doi:10.1234/a"), k)), number("issn", "0378-5955")))
+        .when(k % 9 == 4, F.array(number("local", F.concat(F.lit(" L"), k)))).when(k % 3 == 1, F.array(number("isbn-13", "978-2-07-036822-8", on(k % 9 != 1, F.when(k % 2 == 1, "print").otherwise("epub")))))
+    )
+    words = lambda language, scheme, *items: obj(language=language, scheme=scheme, items=texts(*items))
+    record = obj(
+        schema_version="2.0", source_document=obj(path="a.docx", sha256=F.repeat(F.lit("0"), 64)),
+        document=obj(language=F.when(k % 2 == 1, "fr").otherwise("en-GB"), title=F.concat("c_name", F.lit(" & <"), "c_mktsegment", F.lit(">")), subtitle=on(k % 3 == 0, 'On "terms"')),
+        contributors=F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (k % 4).cast("int")), person), affiliations=places,
+        editorial_responsibility=on(k % 11 == 0, F.array(obj(responsibility="R", name="N"))), identifiers=numbers, keywords=on(k % 4 == 1, F.array(words("fr", "keywords", "x & y", "z"), words("en", "s", "q"))),
+        publication=obj(publisher=obj(name=on(k % 4 > 0, "House"), place=on(k % 6 == 0, "Paris"), url=on(k % 7 == 0, "https://x.org/?a=1&b=2")), publication_date=on(k % 3 == 1, "2024-05")),
+        rights=obj(license=obj(spdx_id=on(k % 8 == 0, "CC-BY-4.0")), statement=on(k % 8 == 1, "All is free"), holder=on(k % 8 == 2, "Me")),
+        collection=F.when(k % 10 == 0, obj(title="S", issn="0378-5955", volume="3", editor="E")).when(k % 10 == 1, obj(title="S", **{f: F.lit(None).cast("string") for f in ("issn", "volume", "editor")})),
+        pagination=F.when(k % 6 == 1, obj(**{"from": 1, "to": k.cast("int"), "extent": F.lit(None).cast("int")})).when(k % 6 == 2, obj(**{"from": F.lit(None).cast("int"), "to": F.lit(None).cast("int"), "extent": 9})),
+        funding=F.when(k % 5 == 0, F.array(obj(funder="Fund <A>", grant_number=F.concat(F.lit("G"), k)))).when(k % 5 == 1, F.array(obj(funder="B", grant_number=F.lit(None).cast("string")))),
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("pkg_id"), F.to_json(record).alias("json"))
+
+
 def list_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as paragraphs with raw numbering: one row for each order and line number."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))

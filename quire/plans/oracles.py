@@ -304,6 +304,31 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT s_suppkey, 'invalid_language', 'error', 'document.language' FROM supplier WHERE s_suppkey % 4 = 0
         UNION ALL SELECT s_suppkey, 'invalid_source_sha256', 'error', 'source_document.sha256' FROM supplier WHERE s_suppkey % 3 = 0
         UNION ALL SELECT s_suppkey, 'invalid_pagination', 'error', 'pagination' FROM supplier WHERE s_suppkey % 7 IN (0, 6)""",
+    "t02_record_headers": """WITH r AS (SELECT c_custkey AS k, c_name || ' &amp; &lt;' || c_mktsegment || '&gt;' AS title FROM customer),
+        p AS (SELECT *, coalesce(array_to_string([CASE WHEN (k + i) % 5 = 0 THEN '<author role="aut">' ELSE '<editor role="' || ['edt', 'trl', 'edt', 'ctb'][(k + i) % 5] || '">' END || '<persName>'
+                || CASE WHEN (k + i) % 2 = 0 THEN 'Name ' || (k + i) ELSE CASE WHEN (k + i) % 3 > 0 THEN '<forename>Ada</forename>' ELSE '' END || '<surname>F&amp;' || (k + i) || '</surname>' END || '</persName>'
+                || CASE (k + i) % 3 WHEN 0 THEN '<idno type="ORCID">0000-0002-1825-0097</idno>' WHEN 1 THEN '' ELSE '<affiliation>College, Letters, FR</affiliation>' END || CASE WHEN (k + i) % 3 > 0 THEN '<affiliation>Institute &amp; Co, Lyon</affiliation>' ELSE '' END
+                || CASE WHEN (k + i) % 5 = 0 THEN '</author>' ELSE '</editor>' END FOR i IN range(0, k % 4)], ''), '') AS people,
+            CASE k % 5 WHEN 0 THEN '<funder><orgName>Fund &lt;A&gt;</orgName><idno type="funder_registry">G' || k || '</idno></funder>' WHEN 1 THEN '<funder><orgName>B</orgName></funder>' ELSE '' END AS funders,
+            CASE WHEN k % 7 = 0 THEN '<ref target="https://x.org/?a=1&amp;b=2" type="site">https://x.org/?a=1&amp;b=2</ref>' ELSE '' END || CASE WHEN k % 3 = 1 THEN '<date when="2024-05" type="publishing">2024-05</date>' ELSE '' END
+                || CASE WHEN k % 3 = 0 THEN '<idno type="DOI">10.1234/a' || k || '</idno><idno type="pISSN">0378-5955</idno>' WHEN k % 9 = 4 THEN '<idno type="documentnumber">L' || k || '</idno>' WHEN k % 9 = 7 THEN '<idno type="' || CASE WHEN k % 2 = 1 THEN 'p' ELSE 'e' END || 'ISBN">978-2-07-036822-8</idno>' ELSE '' END
+                || CASE k % 8 WHEN 0 THEN '<availability><licence target="https://creativecommons.org/licenses/by/4.0/">CC BY 4.0</licence></availability>' WHEN 1 THEN '<availability><p>All is free</p></availability>' WHEN 2 THEN '<availability><p>© Me</p></availability>' ELSE '' END AS details,
+            CASE k % 10 WHEN 0 THEN '<series><title>S</title><editor>E</editor><biblScope unit="volume">3</biblScope><idno type="pISSN">0378-5955</idno></series>' WHEN 1 THEN '<series><title>S</title></series>' ELSE '' END || CASE WHEN k % 6 = 1 THEN '<biblScope unit="page">1-' || k || '</biblScope>' ELSE '' END AS source FROM r)
+        SELECT k AS pkg_id, '<teiHeader><fileDesc><titleStmt><title type="main">' || title || '</title>' || CASE WHEN k % 3 = 0 THEN '<title type="sub">On "terms"</title>' ELSE '' END || people || funders || '</titleStmt><publicationStmt>'
+            || CASE WHEN k % 4 = 0 THEN '<p></p>' ELSE '<publisher>House</publisher>' || details END || '</publicationStmt><sourceDesc><p>Conversion du fichier DOCX ' || k || '.</p></sourceDesc>' || CASE WHEN source <> '' THEN '<sourceDesc><bibl>' || source || '</bibl></sourceDesc>' ELSE '' END
+            || '</fileDesc><profileDesc><langUsage>' || CASE WHEN k % 2 = 1 THEN '<language ident="fr">fr</language>' ELSE '<language ident="en-GB">en-GB</language>' END || '</langUsage>'
+            || CASE WHEN k % 4 = 1 THEN '<textClass><keywords scheme="keywords" xml:lang="fr"><list><item>x &amp; y</item><item>z</item></list></keywords><keywords scheme="s" xml:lang="en"><list><item>q</item></list></keywords></textClass>' ELSE '' END || '</profileDesc></teiHeader>' AS header FROM p""",
+    "t02_header_losses": """WITH p AS (SELECT c_custkey AS k, i, c_custkey + i AS n FROM customer, (SELECT unnest(range(0, 3)) AS i) WHERE i < c_custkey % 4),
+        u AS (SELECT c_custkey AS k, coalesce(a0, false) AS a0, coalesce(a1, false) AS a1 FROM customer LEFT JOIN (SELECT k, bool_or(n % 3 > 0) AS a0, bool_or(n % 3 = 2) AS a1 FROM p GROUP BY k) ON k = c_custkey)
+        SELECT k AS pkg_id, 'contributor_role_serialized_as_contributor' AS code, 'info' AS severity, 'contributors[' || i || '].role' AS path FROM p WHERE n % 5 = 4
+        UNION ALL SELECT k, 'contributor_email_not_serialized', 'info', 'contributors[' || i || '].email' FROM p WHERE n % 4 = 0
+        UNION ALL SELECT k, 'ror_not_serialized', 'warning', 'affiliations[0].ror' FROM u WHERE a0 AND k % 2 = 0 UNION ALL SELECT k, 'ror_not_serialized', 'warning', 'affiliations[1].ror' FROM u WHERE a1 AND k % 3 = 0
+        UNION ALL SELECT k, 'unreferenced_affiliation_not_serialized', 'warning', 'affiliations[0].id' FROM u WHERE NOT a0 UNION ALL SELECT k, 'unreferenced_affiliation_not_serialized', 'warning', 'affiliations[1].id' FROM u WHERE NOT a1
+        UNION ALL SELECT k, 'missing_publisher_for_publication_details', 'error', NULL FROM u WHERE k % 4 = 0 AND (k % 3 < 2 OR k % 7 = 0 OR k % 8 < 3)
+        UNION ALL SELECT k, 'publisher_address_not_serialized', 'info', 'publication.publisher' FROM u WHERE k % 4 > 0 AND k % 6 = 0
+        UNION ALL SELECT k, 'invalid_isbn', 'error', 'identifiers[0].value' FROM u WHERE k % 4 > 0 AND k % 9 = 1
+        UNION ALL SELECT k, 'pagination_extent_not_serialized', 'warning', 'pagination.extent' FROM u WHERE k % 6 = 2
+        UNION ALL SELECT k, 'editorial_responsibility_not_serialized', 'info', 'editorial_responsibility' FROM u WHERE k % 11 = 0""",
     "t08_body_xml": f"""WITH {PARAGRAPHS},
         e AS (SELECT *, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS c, coalesce(last_value(CASE WHEN role = 'heading' THEN level END IGNORE NULLS) OVER (PARTITION BY pkg_id ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
                 role IS DISTINCT FROM lag(role) OVER w AS is_first, role IS DISTINCT FROM lead(role) OVER w AS is_last, lead("index") OVER w IS NULL AS is_end FROM numbered WINDOW w AS (PARTITION BY pkg_id ORDER BY "index")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators import blocks, diagnostics, figures, inline, lists, metadata, notes, numbering, record_rules, roles, tables, tei, validation
+from quire.operators import blocks, diagnostics, figures, header, inline, lists, metadata, notes, numbering, record_rules, roles, tables, tei, validation
 from quire.plans import adapters as a
 from quire.plans.oracles import ORACLES
 from quire.sources import records
@@ -362,6 +362,18 @@ def w21_signature_suggestions(spark, sf_dir):
     return blocks.signature_suggestions(a.signed_lines(spark, sf_dir))
 
 
+@query
+def t02_record_headers(spark, sf_dir):
+    """Records read from JSON, each written as the header of its book."""
+    return header.record_header(records.decoded_records(a.record_texts(spark, sf_dir)))
+
+
+@query
+def t02_header_losses(spark, sf_dir):
+    """What records say and their headers do not, and what has no place there."""
+    return header.losses(records.decoded_records(a.record_texts(spark, sf_dir)))
+
+
 @query
 def t01_document_xml(spark, sf_dir):
     """Whole documents of those whose paragraphs raise no error, with the problems the validator finds in them."""
