@@ -137,13 +137,22 @@ def signature_suggestions(roled: DataFrame, most: int = 2) -> DataFrame:
     return runs_found.where(terminal & (F.size("said") <= most)).select("pkg_id", "start", F.get("said", F.lit(0)).alias("name"), F.get("said", F.lit(1)).alias("affiliation"))
 
 
+def opened(roled: DataFrame) -> DataFrame:
+    """Adds `suggests` (a title or subtitle: a paragraph of either style) and `suggestion_code`, what is wrong with it.
+
+    Only the first paragraphs of a document suggest anything, up to the first of another style, blank ones included. Of
+    those with text the first of each style counts.
+    """
+    style, titled, full = F.col("style_id"), F.coalesce(F.col("style_id").isin("Title", "Subtitle"), F.lit(False)), ~blank(F.col("text"))
+    rows = roled.withColumns({"suggests": titled, "_left": F.max((~titled).cast("int")).over(so_far())})
+    again = lambda name: (style == name) & (F.count_if((style == name) & full & (F.col("_left") == 0)).over(so_far()) > 1)
+    code = F.when(~titled, None).when(F.col("_left") == 1, "metadata_style_not_initial").when(~full, "empty_metadata_suggestion").when(again("Title"), "multiple_docx_titles").when(again("Subtitle"), "multiple_docx_subtitles")
+    return rows.withColumn("suggestion_code", code).drop("_left")
+
+
 def preamble(roled: DataFrame) -> DataFrame:
-    """Title and subtitle of the leading run of Title and Subtitle paragraphs, and what is wrong with the others."""
-    title = F.coalesce(F.col("style_id").isin("Title", "Subtitle"), F.lit(False))
-    open_run = roled.withColumn("left", F.max((~title & ~blank(F.col("text"))).cast("int")).over(so_far())).where(title)
-    rank = F.row_number().over(Window.partitionBy("pkg_id", "style_id", "left").orderBy("index"))
-    code = F.when(F.col("left") == 1, "metadata_style_not_initial").when(blank(F.col("text")), "empty_metadata_suggestion").when(rank > 1, F.when(F.col("style_id") == "Title", "multiple_docx_titles").otherwise("multiple_docx_subtitles"))
-    return open_run.select("pkg_id", "index", "style_id", code.alias("code"))
+    """Paragraphs of the styles Title and Subtitle, each with what is wrong with it: null for the title and subtitle that a document begins with."""
+    return opened(roled).where("suggests").select("pkg_id", "index", "style_id", F.col("suggestion_code").alias("code"))
 
 
 def heading_paths(roled: DataFrame) -> DataFrame:

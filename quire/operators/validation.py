@@ -20,7 +20,7 @@ CHILDREN = {
     "head": _INLINE, "l": _INLINE, "hi": _INLINE, "ref": _INLINE, "note": f"{_BLOCKS} {_INLINE}", "figure": "head graphic figDesc p", "table": "row head", "row": "cell", "cell": _INLINE, "listBibl": "head bibl", "bibl": f"series biblScope {_INLINE}",
 }
 REQUIRED = {"TEI": ("teiHeader", "text"), "fileDesc": ("titleStmt", "publicationStmt", "sourceDesc"), "titleStmt": ("title",), "lg": ("l",), "floatingText": ("body",)}
-VALUES = {("div", "type"): ("part", "chapter", "section1", "section2", "section3", "section4", "bibliography", "titlePage"), ("p", "rend"): ("break", "consecutive", "caption", "credits", "title-main", "title-sub"), ("note", "place"): ("foot", "end")}
+VALUES = {("div", "type"): ("part", "chapter", "section1", "section2", "section3", "section4", "bibliography", "titlePage", "abstract"), ("p", "rend"): ("break", "consecutive", "caption", "credits", "title-main", "title-sub"), ("note", "place"): ("foot", "end")}
 _ALLOWED = {name: set(children.split()) for name, children in CHILDREN.items()}
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
-from quire.operators import blocks, diagnostics, figures, graphics, inline, lists, notes, numbering, roles, tables, tei, tei_blocks, validation
+from quire.operators import blocks, diagnostics, figures, graphics, header, inline, lists, notes, numbering, record_rules, roles, tables, tei, tei_blocks, validation
 from quire.sources import sink
 from quire.sources.packages import body_paragraphs, decoded, exploded
 from quire.staging import written
 
-DIAGNOSTIC = ("pkg_id", "phase", "origin", "code", "severity", "index", "note_id", "part")
+DIAGNOSTIC = ("pkg_id", "phase", "origin", "code", "severity", "index", "note_id", "part", "path")
 
 
 def _row(frame: DataFrame, phase: int, origin: str, severity: str | None = None, **columns) -> DataFrame:
@@ -22,7 +22,7 @@ def _row(frame: DataFrame, phase: int, origin: str, severity: str | None = None,
         if name in frame.columns:
             given[name] = F.col(name)
     given |= columns
-    return frame.select("pkg_id", F.lit(phase).alias("phase"), F.lit(origin).alias("origin"), columns.get("code", F.col("code") if "code" in frame.columns else F.lit(None)).alias("code"), (F.lit(severity) if severity else F.col("severity")).alias("severity"), *(given[n].cast(t).alias(n) for n, t in (("index", "int"), ("note_id", "string"), ("part", "string"))))
+    return frame.select("pkg_id", F.lit(phase).alias("phase"), F.lit(origin).alias("origin"), columns.get("code", F.col("code") if "code" in frame.columns else F.lit(None)).alias("code"), (F.lit(severity) if severity else F.col("severity")).alias("severity"), *(given[n].cast(t).alias(n) for n, t in (("index", "int"), ("note_id", "string"), ("part", "string"))), columns.get("path", F.lit(None)).cast("string").alias("path"))
 
 
 def inspected(packages: DataFrame) -> DataFrame:
@@ -87,9 +87,12 @@ def body_blocks(packages: DataFrame, inner: bool = False) -> DataFrame:
     Over the roles of `roles.with_roles`: bibliography (from the cut on), figure (an image), figure_text (its
     title, caption, credits), list_item (numbered, status resolved), bibl (a reference of its own or of the
     quotation before it) and empty (nothing but layout). `inner` blocks are those of notes (`note_view`), which have
-    no bibliography. `continuation` says which list paragraphs may go on with an item (`roles.continuation`).
+    no bibliography. `continuation` says which list paragraphs may go on with an item (`roles.continuation`). The title and
+    subtitle that a body begins with belong to its record: they are no blocks (`blocks.opened`).
     """
     roled = roles.with_roles(with_own_styles(packages, body_paragraphs(packages)))
+    if not inner:
+        roled = blocks.opened(roled).where("not suggests or suggestion_code is not null")
     items = exploded(packages, "items").where("part = 'word/document.xml' and not in_table")
     other = (F.col("kind") != "drawing") & ~((F.col("kind") == "text") & blocks.blank(F.col("text")))
     stats = items.groupBy("pkg_id", "index").agg(F.count_if(F.col("kind") == "drawing").alias("drawing_count"), F.bool_or(other).alias("has_other"), F.bool_or((F.col("kind") == "tab") | F.col("link").isNotNull() | F.col("anchor").isNotNull() | F.col("reference_id").isNotNull() | ((F.col("kind") == "break") & (F.col("break_type") != "line"))).alias("has_mark"))
@@ -179,7 +182,7 @@ def text_problems(packages: DataFrame, body: DataFrame, inner: bool = False) ->
     return [
         _row(unnumbered, 0, "inspection", "warning", code=F.lit("list_paragraph_without_numbering")),
         _row(roles.style_diagnosis(styled), 3, "editorial"),
-        *([] if inner else [_row(blocks.heading_jumps(body), 3, "editorial", "info", code=F.lit("heading_level_jump")), _row(signatures, 3, "editorial", "error", code=F.lit("misplaced_signature_not_serializable"))]),
+        *([] if inner else [_suggestions(body), _row(blocks.heading_jumps(body), 3, "editorial", "info", code=F.lit("heading_level_jump")), _row(signatures, 3, "editorial", "error", code=F.lit("misplaced_signature_not_serializable"))]),
         _row(at(body, "empty", "empty_paragraph_ignored"), 3, "editorial", "info"),
         _row(lists.list_problems(found), 3, "editorial"),
         *(_row(rows, 3, "editorial", "error") for rows in texts),
@@ -373,11 +376,41 @@ def note_texts(packages: DataFrame, view: DataFrame, body: DataFrame, languages:
     return notes.nested(bare, refs, tei.note_token)
 
 
+def _suggestions(body: DataFrame) -> DataFrame:
+    """Titles and subtitles of bodies that say nothing to a record."""
+    rows = body.where("suggestion_code is not null").select("pkg_id", F.col("suggestion_code").alias("code"), "index")
+    severity = F.when(F.col("code").isin("metadata_style_not_initial", "empty_metadata_suggestion"), "error").otherwise("warning")
+    return _row(rows.withColumn("severity", severity), 1, "metadata", path=F.concat(F.lit("paragraphs["), "index", F.lit("]")))
+
+
+def suggested(packages: DataFrame) -> DataFrame:
+    """pkg_id, file_name, sha256, title, subtitle, signatures: what packages themselves say of what their records say (`record_rules.inconsistencies`)."""
+    rows = blocks.opened(with_own_styles(packages, body_paragraphs(packages)))
+    said = lambda style: F.max(F.when(F.col("style_id") == style, record_rules.strip(F.col("text"))))
+    titles = rows.where("suggests and suggestion_code is null").groupBy("pkg_id").agg(said("Title").alias("title"), said("Subtitle").alias("subtitle"))
+    signed = blocks.signature_suggestions(rows).groupBy("pkg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]).alias("signatures"))
+    own = packages.select("pkg_id", F.regexp_extract(F.replace("pkg_id", F.lit("\\"), F.lit("/")), "([^/]*)/*$", 1).alias("file_name"), "sha256")
+    return own.join(titles, "pkg_id", "left").join(signed, "pkg_id", "left")
+
+
+def described(packages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pkg_id, language, abstracts of the records that may be used; their headers; diagnostics of all records of these packages).
+
+    Diagnostics are the issues of reading, broken rules, what differs from the package, and what no header holds. An error
+    among them refuses the package. One record for a package.
+    """
+    own = written(records.join(packages.select("pkg_id"), "pkg_id", "left_semi"), "records")
+    usable, broken = record_rules.checked_records(own)
+    found = (_row(rows, phase, "metadata", path=F.col("path")) for phase, rows in ((1, broken), (1, record_rules.inconsistencies(usable, suggested(packages))), (4, header.losses(usable))))
+    return usable.select("pkg_id", F.col("document.language").alias("language"), "abstracts"), header.record_header(usable), reduce(DataFrame.unionByName, found)
+
+
 def converted(packages: DataFrame, metadata: DataFrame, most_media: int = graphics.MOST_USED) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, xml) of the packages without errors, and the diagnostics of all.
 
-    metadata: what `tei.header_xml` takes. A package without metadata is refused (missing_metadata), and so
-    is one whose XML breaks the profile. Packages are decoded once: what is read here is a written table, and
+    metadata: records with pkg_id (`sources.records.decoded_records`), or columns that `tei.header_xml` takes. A package
+    without metadata is refused (missing_metadata), with a record that breaks a rule or has no place in a header as well
+    (`described`), and so is one whose XML breaks the profile. Packages are decoded once: what is read here is a written table, and
     so are their blocks. Notes are texts of their own, read like bodies, and stand wherever they are referred to. Every
     paragraph, item, image, list, table and note is written or has an error row, but for what stands before the first text
     of a collective volume, which has a warning.
@@ -393,14 +426,18 @@ def _converted(packages: DataFrame, metadata: DataFrame, most_media: int) -> tup
     inner = written(body_blocks(view, inner=True), "note-blocks")
     lacking = packages.select("pkg_id").join(metadata, "pkg_id", "left_anti")
     problems = written(found_problems(packages, body, view, inner, most_media).unionByName(_row(lacking, 4, "metadata", "error", code=F.lit("missing_metadata"))), "problems")
+    if "source_document" in metadata.columns:
+        metadata, headers, more = described(packages, metadata)
+        problems = written(problems.unionByName(more), "all-problems")
+    else:
+        headers = tei.header_xml(metadata.join(packages.select("pkg_id"), "pkg_id", "left_semi"))
     inside = note_texts(packages, view, inner, metadata)
     refs = exploded(packages, "items").where("part = 'word/document.xml' and reference_id is not null").select("pkg_id", "index", F.concat(F.regexp_replace("kind", "_reference", ":"), "reference_id").alias("note_id"))
     xml = written(notes.filled(tei.span_xml(body_spans(packages, metadata)), refs, inside, ["pkg_id", "index"], tei.note_token), "spans")
     pieces = body_pieces(packages, body, xml)
     ready = body.join(xml, ["pkg_id", "index"], "left").withColumn("index", F.col("block"))
     fronts = metadata.select("pkg_id", tei_blocks.front_xml(F.col("abstracts")).alias("front")) if "abstracts" in metadata.columns else None
-    known = metadata.join(packages.select("pkg_id"), "pkg_id", "left_semi")
-    books = written(tei.documents(tei.header_xml(known), tei.text_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
+    books = written(tei.documents(headers, tei.text_xml(ready, "xml", pieces), problems, fronts, bibliographies(body, xml)), "books")
     invalid = written(validation.validated(books), "invalid")
     checked = _row(invalid.select("pkg_id").distinct(), 5, "validation", "error", code=F.lit("invalid_output"))
     books = books.join(invalid, "pkg_id", "left_anti")

@@ -236,8 +236,8 @@ ORACLES: dict[str, str] = {
         SELECT c.pkg_id, c.cut, count(*) FILTER (coalesce(r.style_id = 'Bibliography', false)) AS n_entries, count(*) FILTER (NOT coalesce(r.style_id = 'Bibliography', false) AND NOT r.is_blank) AS n_intruders
         FROM cuts c JOIN roled r ON r.pkg_id = c.pkg_id AND r."index" >= c.opens GROUP BY ALL""",
     "w19_contributions": f"""WITH {PARAGRAPHS}, s AS (SELECT *, sum(CASE WHEN role = 'heading' AND level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY pkg_id ORDER BY "index")::BIGINT AS segment FROM roled), m AS (SELECT *, max(segment) OVER (PARTITION BY pkg_id) AS n FROM s) SELECT pkg_id, segment, min("index") AS start, count(*) AS n_paragraphs FROM m WHERE n >= 2 GROUP BY pkg_id, segment""",
-    "w20_preamble": f"""WITH {PARAGRAPHS}, l AS (SELECT *, max(CASE WHEN coalesce(style_id, '') NOT IN ('Title', 'Subtitle') AND NOT is_blank THEN 1 ELSE 0 END) OVER (PARTITION BY pkg_id ORDER BY "index") AS gone FROM roled)
-        SELECT pkg_id, "index", style_id, CASE WHEN gone = 1 THEN 'metadata_style_not_initial' WHEN is_blank THEN 'empty_metadata_suggestion' WHEN row_number() OVER (PARTITION BY pkg_id, style_id, gone ORDER BY "index") > 1 THEN 'multiple_docx_titles' END AS code FROM l WHERE style_id IN ('Title', 'Subtitle')""",
+    "w20_preamble": f"""WITH {PARAGRAPHS}, l AS (SELECT *, max(CASE WHEN coalesce(style_id, '') NOT IN ('Title', 'Subtitle') THEN 1 ELSE 0 END) OVER (PARTITION BY pkg_id ORDER BY "index") AS gone FROM roled)
+        SELECT pkg_id, "index", style_id, CASE WHEN gone = 1 THEN 'metadata_style_not_initial' WHEN is_blank THEN 'empty_metadata_suggestion' WHEN count(*) FILTER (NOT is_blank) OVER (PARTITION BY pkg_id, style_id, gone ORDER BY "index") > 1 THEN 'multiple_docx_' || lower(style_id) || 's' END AS code FROM l WHERE style_id IN ('Title', 'Subtitle')""",
     "t06_heading_paths": f"""WITH {PARAGRAPHS}, h AS (SELECT pkg_id, "index", level FROM roled WHERE role = 'heading') SELECT a.pkg_id, a."index", a.level, max(b."index") AS parent FROM h a LEFT JOIN h b ON b.pkg_id = a.pkg_id AND b."index" < a."index" AND b.level < a.level GROUP BY ALL""",
     "a02_editorial_summary": f"""WITH {PARAGRAPHS}, k AS (SELECT *, CASE WHEN {_GROUPED} THEN 'g' || island ELSE 'p' || "index" END AS block FROM numbered) SELECT pkg_id, """
     + ", ".join(f"count(DISTINCT block) FILTER (role = '{k}') AS n_{k}" for k in ("heading", "paragraph", "prose_quote", "verse_quote", "epigraph", "floating_text", "signature", "unsupported"))

@@ -198,6 +198,24 @@ def _observed(root: ET.Element, part: str, out: dict) -> None:
     out["issues"] += [{"code": code, "severity": "info" if code == "textboxes_not_inspected" else "warning", "part": part, "message": part} for code, there in found.items() if there]
 
 
+def _outside_fields(top: ET.Element) -> Iterator[ET.Element]:
+    for child in top:
+        if child.tag != W + "fldSimple":
+            yield child
+            yield from _outside_fields(child)
+
+
+def _says_something(paragraph: ET.Element) -> bool:
+    """Whether a paragraph has text of its own, and not only what fields (page numbers and the like) last showed."""
+    in_field = False
+    for x in _outside_fields(paragraph):
+        if x.tag == W + "fldChar":
+            in_field = {"begin": True, "separate": True, "end": False}.get(x.get(W + "fldCharType"), in_field)
+        elif x.tag == W + "t" and not in_field and (x.text or "").strip():
+            return True
+    return False
+
+
 def _note_paragraphs(top: ET.Element) -> Iterator[ET.Element]:
     for child in top:
         if child.tag == W + "p":
@@ -273,9 +291,13 @@ def decode(pkg_id: str, content: bytes) -> dict:
             out["issues"].append({"code": "unreadable_image_media", "severity": "warning", "part": name, "message": name})
             continue
         out["media"].append({"path": name, "size": size, "declared_type": types.get("/" + name) or types.get(name.rpartition(".")[2].lower()), "sha256": hashlib.sha256(data).hexdigest(), "head": data[:8]})
-    for prefix, code in (("word/comments", "comments_not_inspected"), ("word/header", "headers_footers_not_inspected"), ("word/footer", "headers_footers_not_inspected")):
-        if any(n.startswith(prefix) and n.endswith(".xml") for n in names) and not any(i["code"] == code for i in out["issues"]):
-            out["issues"].append({"code": code, "severity": "info", "part": prefix, "message": prefix})
+    if "word/comments.xml" in names:
+        out["issues"].append({"code": "comments_not_inspected", "severity": "info", "part": "word/comments.xml", "message": "word/comments.xml"})
+    for name in sorted(n for n in names if n.startswith(("word/header", "word/footer")) and n.endswith(".xml")):
+        if (root := optional(name)) is not None:
+            said = any(_says_something(p) for p in root.iter(W + "p"))
+            code, severity = ("header_footer_text_not_serializable", "warning") if said else ("headers_footers_not_inspected", "info")
+            out["issues"].append({"code": code, "severity": severity, "part": name, "message": name})
     return out
 
 

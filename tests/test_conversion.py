@@ -1,10 +1,14 @@
 """Whole packages converted: all that a document holds is written or refused, never lost."""
 
+import hashlib
+import json
+
 import pytest
 
 from quire.operators import validation
 from quire.plans.conversion import converted
 from quire.sources.packages import decoded
+from quire.sources.records import decoded_records
 
 from test_operators import W, package, renamed
 
@@ -222,3 +226,70 @@ def test_images_of_a_document_have_a_limit(spark):
     assets, over = graphics.used_media(found, media, most=99)
     assert sorted((r.path, r.size) for r in assets.collect()) == [("m/1", 60), ("m/3", 40)] and [tuple(r) for r in over.collect()] == [("a", 100, "used_media_too_large")]
     assert graphics.used_media(found, media, most=100)[1].count() == 0
+
+
+def record(content, name="whole.docx", **changed):
+    own = {
+        "schema_version": "2.0", "source_document": {"path": f"in/{name}", "sha256": hashlib.sha256(content).hexdigest()}, "document": {"language": "fr", "title": "T", "subtitle": "S"},
+        "contributors": [{"id": "c1", "role": "author", "given_name": "Ada", "family_name": "L.", "affiliations": ["a1"]}], "affiliations": [{"id": "a1", "name": "Institute", "city": "Lyon"}],
+        "publication": {"publisher": {"name": "House"}}, "identifiers": [{"type": "doi", "value": "10.1234/x", "format": None}], "collection": {"title": "Series"}, "abstracts": [{"type": "summary", "language": "fr", "text": "In short"}],
+    }
+    return json.dumps(own | changed)
+
+
+def margin(content):
+    return f"<w:hdr {W}><w:p>{content}</w:p></w:hdr>"
+
+
+@pytest.fixture(scope="module")
+def described(spark):
+    field = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
+    page = field("begin") + "<w:r><w:instrText>PAGE</w:instrText></w:r>" + field("separate") + "<w:r><w:t>7</w:t></w:r>" + field("end")
+    titled = p("T", "Title") + p("S", "Subtitle") + p("Text") + p("ada  l.", "Signature")
+    files = {
+        "whole.docx": made(titled), "other.docx": made(p(" ", "Title") + p("Other", "Title") + p("Third", "Title") + p("Text") + p("Bob", "Signature")), "differs.docx": made(p("Other", "Title") + p("Text") + p("Bob", "Signature")),
+        "broken.docx": made(p("a")), "unread.docx": made(p("b")), "none.docx": made(p("c")), "late.docx": made(p("a") + p("T", "Title")), "house.docx": made(p("d")),
+        "said.docx": made(p("e"), word__header1=margin("<w:r><w:t>Draft</w:t></w:r>" + page)), "page.docx": made(p("f"), word__header1=margin(page + '<w:fldSimple w:instr="PAGE"><w:r><w:t>7</w:t></w:r></w:fldSimple>')),
+    }
+    texts = {k: record(c, k) for k, c in files.items() if k != "none.docx"}
+    texts |= {"broken.docx": record(files["broken.docx"], "broken.docx", document={"language": "fr", "title": " "}), "unread.docx": "{", "house.docx": record(files["house.docx"], "house.docx", publication={}), "differs.docx": record(b"other", "moved.docx"), "nobody.docx": "{"}
+    packages = decoded(spark.createDataFrame([(f"in/{k}", c) for k, c in files.items()], "path string, content binary"))
+    records = decoded_records(spark.createDataFrame([(f"in/{k}", t) for k, t in texts.items()], "pkg_id string, json string"))
+    books, problems = converted(packages, records)
+    found = {}
+    for r in problems.collect():
+        found.setdefault(r.pkg_id.removeprefix("in/"), set()).add((r.code, r.severity, r.path))
+    return {r.pkg_id.removeprefix("in/"): r.xml for r in books.collect()}, found
+
+
+def test_books_have_their_records_headers(described):
+    xml, found = described
+    whole = xml["whole.docx"]
+    assert "whole.docx" not in found and set(xml) == {"whole.docx", "differs.docx", "page.docx"}
+    assert '<author role="aut"><persName><forename>Ada</forename><surname>L.</surname></persName><affiliation>Institute, Lyon</affiliation></author>' in whole
+    assert '<publisher>House</publisher><idno type="DOI">10.1234/x</idno></publicationStmt>' in whole and "<series><title>Series</title></series>" in whole
+    assert "<p>Conversion du fichier DOCX whole.docx.</p>" in whole and '<front><div type="abstract" xml:lang="fr"><p>In short</p></div></front><body><p>Text</p><p>ada  l.</p></body>' in whole
+    assert validation.problems(whole) == []
+
+
+def test_packages_and_records_that_differ(described):
+    _, found = described
+    assert found["differs.docx"] == {
+        ("metadata_source_filename_changed", "warning", "source_document.path"), ("metadata_source_changed", "warning", "source_document.sha256"),
+        ("metadata_title_differs_from_docx", "warning", "document.title"), ("signature_contributor_not_in_metadata", "warning", "signatures[0]"),
+    }
+    assert {("empty_metadata_suggestion", "error", "paragraphs[0]"), ("multiple_docx_titles", "warning", "paragraphs[2]"), ("metadata_title_differs_from_docx", "warning", "document.title")} <= found["other.docx"]
+
+
+@pytest.mark.parametrize(
+    ("package", "code", "path"),
+    [("broken.docx", "missing_title", "document.title"), ("unread.docx", "invalid_json", None), ("none.docx", "missing_metadata", None), ("late.docx", "metadata_style_not_initial", "paragraphs[1]"),
+     ("house.docx", "missing_publisher_for_publication_details", None), ("said.docx", "header_footer_text_not_serializable", None)],
+)
+def test_records_that_refuse(described, package, code, path):
+    xml, found = described
+    assert (code, "error", path) in found[package] and package not in xml and "nobody.docx" not in found
+
+
+def test_a_page_number_is_no_text(described):
+    assert {(c, s) for c, s, _ in described[1]["page.docx"]} == {("headers_footers_not_inspected", "warning")}

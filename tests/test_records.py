@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators.header import losses, record_header
 from quire.operators.record_rules import checked_records, inconsistencies
 from quire.sources.records import decoded_profiles, decoded_records, encoded_records, record_path, relative_source, resolved_source, with_institution
 from quire.staging import written
@@ -62,3 +63,14 @@ def test_profiles_and_sources(spark, records):
     assert {(r.code, r.path) for r in inconsistencies(records.where("pkg_id = 'good'"), source).collect()} == {("metadata_source_filename_changed", "source_document.path"), ("metadata_subtitle_differs_from_docx", "document.subtitle"), ("signature_contributor_not_in_metadata", "signatures[1]")}
     paths = spark.createDataFrame([("/x/y/b.docx", "/x/z/m.json")], "p string, m string").select(relative_source(F.col("p"), F.col("m")).alias("a"), resolved_source(F.lit("../q/./a.docx"), F.col("m")).alias("b"), record_path(F.col("p")).alias("c")).first()
     assert tuple(paths) == ("../y/b.docx", "/x/q/a.docx", "/x/y/b.metadata.json")
+
+
+def test_headers_of_odd_records(spark, records):
+    headers = {r.pkg_id: r.header for r in record_header(records).collect()}
+    assert set(headers) == {"good", "rules"} and "<publicationStmt><p></p></publicationStmt>" in headers["good"]
+    assert '<sourceDesc><bibl><biblScope unit="page">1-3</biblScope></bibl></sourceDesc>' in headers["good"]
+    found = {(r.pkg_id, r.code, r.path) for r in losses(records).collect()}
+    assert ("good", "missing_publisher_for_publication_details", None) in found and ("rules", "contributor_email_not_serialized", "contributors[0].email") in found
+    twice = records.where("pkg_id = 'good'")
+    assert record_header(twice.unionByName(twice)).count() == 2
+    assert record_header(records.limit(0)).count() == losses(records.limit(0)).count() == 0
