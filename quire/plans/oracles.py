@@ -304,6 +304,25 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT s_suppkey, 'invalid_language', 'error', 'document.language' FROM supplier WHERE s_suppkey % 4 = 0
         UNION ALL SELECT s_suppkey, 'invalid_source_sha256', 'error', 'source_document.sha256' FROM supplier WHERE s_suppkey % 3 = 0
         UNION ALL SELECT s_suppkey, 'invalid_pagination', 'error', 'pagination' FROM supplier WHERE s_suppkey % 7 IN (0, 6)""",
+    "m09_identifier_rules": f"""WITH {IDENTIFIERS}, n AS (SELECT *, position // 32 AS pkg, row_number() OVER (PARTITION BY position // 32 ORDER BY position) - 1 AS k FROM checked),
+        e AS (SELECT pkg, k, type, row_number() OVER (PARTITION BY pkg, type, lower(trim(value)) ORDER BY k) AS v, row_number() OVER (PARTITION BY pkg, type, format ORDER BY k) AS f, trim(value) AS value, format FROM n),
+        found AS (SELECT pkg, k, 'invalid_identifier_type' AS code, '.type' AS field FROM n WHERE type = 'ark' UNION ALL SELECT pkg, k, 'invalid_identifier_format', '.format' FROM n WHERE type <> 'ark' AND format = 'scroll'
+            UNION ALL SELECT pkg, k, 'invalid_identifier_value', '.value' FROM n WHERE type <> 'ark' AND trim(value) = '' UNION ALL SELECT pkg, k, 'invalid_doi', '.value' FROM n WHERE type = 'doi' AND doi IS NULL
+            UNION ALL SELECT pkg, k, 'invalid_isbn', '.value' FROM n WHERE type LIKE 'isbn%' AND coalesce(length(isbn), 0) <> CASE type WHEN 'isbn-13' THEN 13 ELSE 10 END
+            UNION ALL SELECT pkg, k, 'missing_identifier_format', '.format' FROM n WHERE length(isbn) = CASE type WHEN 'isbn-13' THEN 13 WHEN 'isbn-10' THEN 10 END AND format IS NULL
+            UNION ALL SELECT pkg, k, 'invalid_issn', '.value' FROM n WHERE type LIKE '%issn' AND issn IS NULL
+            UNION ALL SELECT pkg, k, 'duplicate_identifier_value', '.value' FROM e WHERE v > 1 AND value <> '' UNION ALL SELECT pkg, k, 'duplicate_identifier_type_format', '' FROM e WHERE f > 1 AND format IS NOT NULL)
+        SELECT pkg AS pkg_id, code, 'error' AS severity, 'identifiers[' || k || ']' || field AS path FROM found""",
+    "m24_inconsistencies": """WITH lines AS (SELECT doc_id AS pkg_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        s AS (SELECT pkg_id, i, (pkg_id * 7 + i * i * 3) % 11 AS spot, CASE WHEN i % 3 = 0 THEN 'name  ' || pkg_id ELSE line END AS text FROM lines),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY pkg_id, spot < 5 ORDER BY i) AS run, lead(spot) OVER (PARTITION BY pkg_id ORDER BY i) AS ahead FROM s),
+        r AS (SELECT pkg_id, min(i) AS start, list(nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') ORDER BY i) AS said, arg_max(coalesce(ahead, -1), i) AS ahead FROM g WHERE spot < 5 GROUP BY pkg_id, run),
+        t AS (SELECT pkg_id, said[1] AS name, row_number() OVER (PARTITION BY pkg_id ORDER BY start) - 1 AS n FROM r WHERE len(said) <= 2 AND ahead IN (-1, 5, 6, 7)),
+        k AS (SELECT c_custkey AS k FROM customer JOIN documents ON doc_id = c_custkey),
+        found AS (SELECT k, 'metadata_source_filename_changed' AS code, 'source_document.path' AS path FROM k WHERE k % 2 = 1 UNION ALL SELECT k, 'metadata_source_changed', 'source_document.sha256' FROM k WHERE k % 3 > 0
+            UNION ALL SELECT k, 'metadata_title_differs_from_docx', 'document.title' FROM k WHERE k % 5 = 0 UNION ALL SELECT k, 'metadata_subtitle_differs_from_docx', 'document.subtitle' FROM k WHERE k % 5 < 2 AND k % 3 > 0
+            UNION ALL SELECT k, 'signature_contributor_not_in_metadata', 'signatures[' || n || ']' FROM k JOIN t ON pkg_id = k WHERE name IS NOT NULL AND NOT (k % 4 = 2 AND regexp_replace(name, '\\s+', ' ', 'g') = 'name ' || k))
+        SELECT k AS pkg_id, code, 'warning' AS severity, path FROM found""",
     "t02_record_headers": """WITH r AS (SELECT c_custkey AS k, c_name || ' &amp; &lt;' || c_mktsegment || '&gt;' AS title FROM customer),
         p AS (SELECT *, coalesce(array_to_string([CASE WHEN (k + i) % 5 = 0 THEN '<author role="aut">' ELSE '<editor role="' || ['edt', 'trl', 'edt', 'ctb'][(k + i) % 5] || '">' END || '<persName>'
                 || CASE WHEN (k + i) % 2 = 0 THEN 'Name ' || (k + i) ELSE CASE WHEN (k + i) % 3 > 0 THEN '<forename>Ada</forename>' ELSE '' END || '<surname>F&amp;' || (k + i) || '</surname>' END || '</persName>'

@@ -362,6 +362,30 @@ def w21_signature_suggestions(spark, sf_dir):
     return blocks.signature_suggestions(a.signed_lines(spark, sf_dir))
 
 
+@query
+def m09_identifier_rules(spark, sf_dir):
+    """All rules over the identifiers of each record: each by itself, then those that repeat an earlier one."""
+    rows = a.identifier_rows(spark, sf_dir)
+    each = rows.withColumn("pkg_id", F.floor(F.col("position") / 32)).groupBy("pkg_id").agg(F.array_sort(F.collect_list(F.struct("position", "type", "format", "value"))).alias("identifiers"))
+    found = each.select("pkg_id", F.explode(record_rules.identifier_rules()).alias("_f"))
+    return found.select("pkg_id", "_f.code", "_f.severity", "_f.path")
+
+
+@query
+def m24_inconsistencies(spark, sf_dir):
+    """Where customers' records differ from what their packages say: documents of the same numbers, signed lines among them."""
+    own = a.record_texts(spark, sf_dir)
+    lines = blocks.opened(a.signed_lines(spark, sf_dir))
+    signed = blocks.signature_suggestions(lines.withColumn("text", F.when(F.col("index") % 3 == 0, F.concat(F.lit("name  "), "pkg_id")).otherwise(F.col("text"))))
+    names = signed.groupBy("pkg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]).alias("signatures"))
+    k = F.col("doc_id")
+    said = a.table(spark, sf_dir, "documents").select(
+        k.alias("pkg_id"), F.when(k % 2 == 0, "a.docx").otherwise("b.docx").alias("file_name"), F.repeat(F.when(k % 3 == 0, "0").otherwise("1"), F.lit(64)).alias("sha256"),
+        F.when(k % 5 == 0, "Title").alias("title"), F.when(k % 5 < 2, 'On "terms"').alias("subtitle"),
+    )
+    return record_rules.inconsistencies(records.decoded_records(own), said.join(names, "pkg_id", "left"))
+
+
 @query
 def t02_record_headers(spark, sf_dir):
     """Records read from JSON, each written as the header of its book."""
