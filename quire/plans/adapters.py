@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a small file dealt over all tasks, where the work on each is heavy."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as styled paragraphs, two neighbours to a style."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pkg_id"), F.posexplode(F.split("text", "\n")).alias("index", "text"))
@@ -142,7 +147,7 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         pagination=F.when(k % 6 == 1, obj(**{"from": 1, "to": k.cast("int"), "extent": F.lit(None).cast("int")})).when(k % 6 == 2, obj(**{"from": F.lit(None).cast("int"), "to": F.lit(None).cast("int"), "extent": 9})),
         funding=F.when(k % 5 == 0, F.array(obj(funder="Fund <A>", grant_number=F.concat(F.lit("G"), k)))).when(k % 5 == 1, F.array(obj(funder="B", grant_number=F.lit(None).cast("string")))),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("pkg_id"), F.to_json(record).alias("json"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(k.alias("pkg_id"), F.to_json(record).alias("json"))
 
 
 def list_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
+from quire.staging import written
 
 ISSUES = "array<struct<code:string,path:string>>"
 
@@ -81,44 +82,81 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
 
 
-def _read(value: Column, shape: object, path: Column) -> tuple[Column, Column]:
-    """The typed value (null where it is not of its type), and what is wrong with it."""
-    kind = _kind(value)
-    absent, void = kind == "ABSENT", kind.isin("ABSENT", "VOID")
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _result(value: Column, issues: Column) -> Column:
+    return F.struct(value.alias("value"), issues.alias("issues"))
+
+
+def _unless(fine: Column, *pairs: tuple[Column, str, Column]) -> Column:
+    """No issue where the value is fine; else those that hold."""
+    return F.when(fine, _issues()).otherwise(_issues(*pairs))
+
+
+def _items(value: Column) -> Column:
+    """The elements of an array, null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _fields(value: Column) -> Column:
+    """The fields of an object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _read(value: Column, shape: object, path: Column) -> Column:
+    """A struct of the typed value (null where it is not of its type), and what is wrong with it.
+
+    The kind of an array or object is its whole schema, so it is asked for only of values that are not what they should be.
+    """
     if isinstance(shape, Text):
-        right = kind == "STRING"
-        missing = (absent & F.lit(shape.required), "missing_metadata_field", path)
-        return F.when(right, F.try_variant_get(value, "$", "string")), _issues(missing, (~right if shape.required else ~right & ~void, "invalid_field_type", path))
+        return _with(value, lambda v: _with(_kind(v), lambda kind: _text(v, kind, shape, path)))
     if isinstance(shape, Whole):
-        right = kind == "BIGINT"
-        return F.when(right, F.try_variant_get(value, "$", "bigint")), _issues((~right & ~void, "invalid_field_type", path))
+        right, void = lambda kind: kind == "BIGINT", lambda kind: kind.isin("ABSENT", "VOID")
+        return _with(value, lambda v: _with(_kind(v), lambda kind: _result(F.when(right(kind), F.try_variant_get(v, "$", "bigint")), _issues((~right(kind) & ~void(kind), "invalid_field_type", path)))))
     if isinstance(shape, Strings):
-        listed = kind.startswith("ARRAY")
-        items = F.try_variant_get(value, "$", "array<variant>")
-        texts = F.filter(F.transform(items, lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda x: x.isNotNull())
-        # a falsy value counts as no list where that is allowed
-        empty = absent | (F.coalesce(void | F.to_json(value).isin('""', "0", "false", "{}", "0.0"), F.lit(False)) & F.lit(shape.lenient))
-        wrong = F.filter(F.transform(items, lambda x, k: F.when(_kind(x) != "STRING", _issue("invalid_field_type", F.concat(path, F.lit("["), k, F.lit("]"))))), lambda x: x.isNotNull())
-        own = _issues((absent & F.lit(shape.required), "missing_metadata_field", path), (~listed & ~empty, "invalid_field_type", path))
-        return F.when(listed, texts).otherwise(F.array().cast("array<string>")), F.concat(own, F.when(listed, wrong).otherwise(F.array()).cast(ISSUES))
+        return _with(value, lambda v: _with(_items(v), lambda items: F.when(items.isNotNull(), _texts(items, path)).otherwise(_result(F.array().cast("array<string>"), _no_texts(v, shape, path)))))
     if isinstance(shape, Object):
-        right = kind.startswith("OBJECT")
-        read = [(name, *_read(F.try_variant_get(value, f"$.{name}", "variant"), inner, F.concat(path, F.lit(f".{name}")))) for name, inner in shape.fields]
-        missing = (absent & F.lit(shape.required), "missing_metadata_field", path)
-        own = _issues(missing, (~right if shape.required else ~right & ~void, "invalid_metadata_structure", path))
-        inner = reduce(F.concat, (found for _, _, found in read))
-        return F.when(right, F.struct(*(got.alias(name) for name, got, _ in read))), F.concat(own, F.when(right, inner).otherwise(F.array()).cast(ISSUES))
-    listed = kind.startswith("ARRAY")
-    items = F.try_variant_get(value, "$", "array<variant>")
+        return _with(value, lambda v: _with(_fields(v), lambda fields: F.when(fields.isNotNull(), _parts(fields, shape, path)).otherwise(_result(F.lit(None), _not_of(_kind(v), shape, "invalid_metadata_structure", path)))))
     one = Object(shape.of.fields, True)
+    each = lambda x, k: _read(F.coalesce(x, F.parse_json(F.lit("null"))), one, F.concat(path, F.lit("["), k, F.lit("]")))
+    whole = lambda read: _result(F.transform(read, lambda r: r["value"]), F.flatten(F.transform(read, lambda r: r["issues"])))
+    return _with(value, lambda v: _with(_items(v), lambda items: F.when(items.isNotNull(), _with(F.transform(items, each), whole)).otherwise(_result(F.lit(None), _not_of(_kind(v), shape, "invalid_field_type", path)))))
+
+
+def _not_of(kind: Column, shape: Object | Array, code: str, path: Column) -> Column:
+    """What is wrong with a value that is no object, or no array, where `shape` wants one."""
+    wrong = F.lit(True) if shape.required else ~kind.isin("ABSENT", "VOID")
+    return _issues(((kind == "ABSENT") & F.lit(shape.required), "missing_metadata_field", path), (wrong, code, path))
 
-    def each(take: int):
-        return lambda x, k: _read(F.coalesce(x, F.parse_json(F.lit("null"))), one, F.concat(path, F.lit("["), k, F.lit("]")))[take]
 
-    missing = (absent & F.lit(shape.required), "missing_metadata_field", path)
-    own = _issues(missing, (~listed if shape.required else ~listed & ~void, "invalid_field_type", path))
-    got = F.when(listed, F.transform(items, each(0)))
-    return got, F.concat(own, F.when(listed, F.flatten(F.transform(items, each(1)))).otherwise(F.array()).cast(ISSUES))
+def _text(value: Column, kind: Column, shape: Text, path: Column) -> Column:
+    right = kind == "STRING"
+    missing = ((kind == "ABSENT") & F.lit(shape.required), "missing_metadata_field", path)
+    fine = right if shape.required else kind.isin("STRING", "ABSENT", "VOID")
+    return _result(F.when(right, F.try_variant_get(value, "$", "string")), _unless(fine, missing, (~fine, "invalid_field_type", path)))
+
+
+def _texts(items: Column, path: Column) -> Column:
+    text = lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    wrong = lambda x, k: F.when(_kind(x) != "STRING", _issue("invalid_field_type", F.concat(path, F.lit("["), k, F.lit("]"))))
+    return _result(F.filter(F.transform(items, text), lambda x: x.isNotNull()), F.filter(F.transform(items, wrong), lambda x: x.isNotNull()).cast(ISSUES))
+
+
+def _no_texts(value: Column, shape: Strings, path: Column) -> Column:
+    kind = _kind(value)
+    absent = kind == "ABSENT"
+    # a falsy value counts as no list where that is allowed
+    empty = absent | (F.coalesce(kind.isin("ABSENT", "VOID") | F.to_json(value).isin('""', "0", "false", "{}", "0.0"), F.lit(False)) & F.lit(shape.lenient))
+    return _issues((absent & F.lit(shape.required), "missing_metadata_field", path), (~empty, "invalid_field_type", path))
+
+
+def _parts(fields: Column, shape: Object, path: Column) -> Column:
+    read = F.struct(*(_read(fields[name], inner, F.concat(path, F.lit(f".{name}"))).alias(name) for name, inner in shape.fields))
+    names = [name for name, _ in shape.fields]
+    return _with(read, lambda r: _result(F.struct(*(r[n]["value"].alias(n) for n in names)), F.concat(*(r[n]["issues"] for n in names))))
 
 
 def decoded_records(rows: DataFrame, json_col: str = "json") -> DataFrame:
@@ -126,19 +164,23 @@ def decoded_records(rows: DataFrame, json_col: str = "json") -> DataFrame:
 
     Types are strict, unknown names are ignored. A record with an issue has null parts; broken JSON gives
     invalid_json, a null text metadata_file_unreadable, and a root that is no object invalid_metadata_structure.
+
+    Records are read when this is called and written to the shared folder: otherwise every filter of what uses them
+    moves below the reading, and each part that it names is read, and the JSON parsed, anew.
     """
     kept = [c for c in rows.columns if c != json_col]
     parsed = rows.select(*kept, F.col(json_col).alias("_text"), F.try_parse_json(json_col).alias("_root"))
     root = F.col("_root")
     get = lambda name: F.try_variant_get(root, f"$.{name}", "variant")
-    read = {name: _read(get(name), shape, F.lit(name)) for name, shape in (*HEADS, *PARTS)}
-    version, version_issues = _read(get("schema_version"), MUST, F.lit("schema_version"))
+    shapes = {"schema_version": MUST} | dict(HEADS) | dict(PARTS)
+    read = {name: F.col(f"_read_{name}") for name in shapes}
+    frame = parsed.withColumns({f"_read_{name}": _read(get(name), shape, F.lit(name)) for name, shape in shapes.items()})
     # first whether the required parts are there at all, then what is in the others, then the heads' own fields
-    heads = [_read(get(name), Object((("_", MAY),), True), F.lit(name))[1] for name, _ in HEADS]
-    lists = [_issues((_kind(get(name)) == "ABSENT", "missing_metadata_field", F.lit(name)), (~_kind(get(name)).startswith("ARRAY"), "invalid_field_type", F.lit(name))) for name in ("contributors", "affiliations")]
-    frame = parsed.withColumn("_first", F.concat(*heads, *lists)).withColumn("_second", F.concat(*(read[name][1] for name, _ in PARTS)))
-    frame = frame.withColumn("_third", F.concat(version_issues, *(read[name][1] for name, _ in HEADS)))
-    whole = _kind(root).startswith("OBJECT")
+    heads = [_read(get(name), Object((("_", MAY),), True), F.lit(name))["issues"] for name, _ in HEADS]
+    lists = [_unless(_items(get(name)).isNotNull(), (_kind(get(name)) == "ABSENT", "missing_metadata_field", F.lit(name)), (F.lit(True), "invalid_field_type", F.lit(name))) for name in ("contributors", "affiliations")]
+    frame = frame.withColumn("_first", F.concat(*heads, *lists)).withColumn("_second", F.concat(*(read[name]["issues"] for name, _ in PARTS)))
+    frame = frame.withColumn("_third", F.concat(read["schema_version"]["issues"], *(read[name]["issues"] for name, _ in HEADS)))
+    whole = _fields(root).isNotNull()
     one = lambda code: F.array(_issue(code, F.lit(None).cast("string"))).cast(ISSUES)
     issues = (
         F.when(F.col("_text").isNull(), one("metadata_file_unreadable")).when(root.isNull(), one("invalid_json")).when(~whole, one("invalid_metadata_structure"))
@@ -146,11 +188,11 @@ def decoded_records(rows: DataFrame, json_col: str = "json") -> DataFrame:
     )
     frame = frame.withColumn("issues", issues)
     good = F.size("issues") == 0
-    columns = {"schema_version": version} | {name: read[name][0] for name, _ in (*HEADS, *PARTS)}
-    columns["keywords"] = F.transform(read["keywords"][0], lambda g: g.withField("scheme", F.coalesce(g["scheme"], F.lit("keywords"))))
+    columns = {name: got["value"] for name, got in read.items()}
+    columns["keywords"] = F.transform(columns["keywords"], lambda g: g.withField("scheme", F.coalesce(g["scheme"], F.lit("keywords"))))
     out = frame.select(*kept, *(F.when(good, c).alias(n) for n, c in columns.items()), "issues")
     lists_of = [name for name, shape in PARTS if isinstance(shape, Array)]
-    return out.withColumns({n: F.when(F.size("issues") == 0, F.coalesce(n, F.filter(F.array(F.get(n, F.lit(0))), lambda x: F.lit(False)))) for n in lists_of})
+    return written(out.withColumns({n: F.when(F.size("issues") == 0, F.coalesce(n, F.filter(F.array(F.get(n, F.lit(0))), lambda x: F.lit(False)))) for n in lists_of}), "records")
 
 
 def read_records(spark: SparkSession, path: str, pattern: str = "*.metadata.json") -> DataFrame:

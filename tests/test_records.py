@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.header import losses, record_header
 from quire.operators.record_rules import checked_records, inconsistencies
+from quire.plans.adapters import dealt
 from quire.sources.records import decoded_profiles, decoded_records, encoded_records, record_path, relative_source, resolved_source, with_institution
 from quire.staging import written
 
@@ -74,3 +75,12 @@ def test_headers_of_odd_records(spark, records):
     twice = records.where("pkg_id = 'good'")
     assert record_header(twice.unionByName(twice)).count() == 2
     assert record_header(records.limit(0)).count() == losses(records.limit(0)).count() == 0
+
+
+def test_records_are_read_once(spark):
+    """Whatever uses records reads what was written; the JSON is parsed in no later plan, and a small file is dealt over all tasks."""
+    rows = spark.createDataFrame([("good", json.dumps(GOOD))], "pkg_id string, json string")
+    records = decoded_records(rows)
+    for used in (record_header(records), losses(records), checked_records(records)[1]):
+        assert "parse_json" not in used._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt(rows).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
