@@ -265,7 +265,7 @@ def m05_record_rules(spark, sf_dir):
     about = F.struct(F.when(k % 4 == 0, "f").otherwise("fr").alias("language"), F.when(k % 5 == 0, " ").otherwise(F.col("s_name")).alias("title"))
     nobody = F.array().cast("array<string>")
     record = F.struct(F.lit("2.0").alias("schema_version"), source.alias("source_document"), about.alias("document"), nobody.alias("contributors"), nobody.alias("affiliations"), F.struct((k % 7).alias("from"), F.lit(5).alias("to")).alias("pagination"))
-    rows = a.table(spark, sf_dir, "supplier").select(k.alias("pkg_id"), F.to_json(record).alias("json"))
+    rows = a.dealt(a.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")).select(k.alias("pkg_id"), F.to_json(record).alias("json"))
     return record_rules.violations(records.decoded_records(rows)).select("pkg_id", "code", "severity", "path")
 
 
