@@ -24,7 +24,8 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and a lost executor costs no lineage. A filter on the columns `by` reads only their rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return found.select(*df.columns) if by else found
 
 
 def discard(*tables: DataFrame) -> None:
