@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +53,19 @@ class WordIds:
         """`new`: words, with a leading space or without; none holds a blank elsewhere."""
         found: list[list[int]] = []
         rest: list[int] = []
-        parts, tokenize, letters = self.parts, self.tokenizer.model.tokenize, self.letters
+        parts, tokenize, letters, plain = self.parts, self.tokenizer.model.tokenize, self.letters, PLAIN.fullmatch
+
+        def learnt(part: str) -> list[int]:
+            shown = part.replace(" ", letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(letters)
+            ids = parts[part] = [t.id for t in tokenize(shown)]
+            return ids
+
         for k, word in enumerate(new):
-            if plain := PLAIN.fullmatch(word):
-                ids: list[int] = []
-                for part in plain.groups():
-                    if part:
-                        if (known := parts.get(part)) is None:
-                            shown = part.replace(" ", letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(letters)
-                            known = parts[part] = [t.id for t in tokenize(shown)]
-                        ids = ids + known
-                found.append(ids)
+            if match := plain(word):
+                word, marks = match.groups()
+                if (ids := parts.get(word)) is None:
+                    ids = learnt(word)
+                found.append(ids + (parts.get(marks) or learnt(marks)) if marks else ids)
             else:
                 found.append([])
                 rest.append(k)
@@ -72,17 +75,20 @@ class WordIds:
             for k, own in zip(few, np.split(ids, np.flatnonzero(ids == self.feed[0])), strict=True):
                 found[k] = [i for i in own.tolist() if i != self.feed[0]]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        more = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        more = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         first = len(self.starts) - 1
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
         self.flat, self.starts = np.concatenate([self.flat, more]), np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes)])
 
     def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of each of `words`, which are distinct, begin in `starts`."""
         if len(self.known) > MOST_WORDS:
             self._forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(places < 0)):
+            places[new] = len(self.starts) - 1 + np.arange(len(new))
+            self._learn([words[k] for k in new.tolist()])
+        return places
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids (uint32) of each text; a null text has none."""
@@ -112,9 +118,10 @@ class WordIds:
         units = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
         counts = pc.list_value_length(units).to_numpy() - 1
         coded = pc.list_flatten(pc.list_slice(units, 1)).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        fed = np.fromiter((w[0] == "\n" for w in words), bool, len(words))
-        place = self._places([w[1:] if w[0] == "\n" else " " + w for w in words])
+        first = pc.starts_with(coded.dictionary, "\n")
+        words = pc.if_else(first, pc.utf8_slice_codeunits(coded.dictionary, 1), pc.binary_join_element_wise(" ", coded.dictionary, ""))
+        fed = first.to_numpy(zero_copy_only=False)
+        place = self._places(words.to_numpy(zero_copy_only=False).tolist())
         # each distinct unit's ids in one array: a line's first word has the line feed before it
         size = self.starts[place + 1] - self.starts[place] + fed
         begin = np.cumsum(size) - size

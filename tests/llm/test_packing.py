@@ -93,3 +93,27 @@ def test_sequences_are_padded_and_empty_table(spark):
     ids = np.frombuffer(bytes(row.ids), "<u4")
     assert len(ids) == 16 and row.n_tokens == 5 and (ids[5:] == 7).all() and ids[:5].tolist().count(1) == 2
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_new_words_are_looked_up_once(encoder):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *x):
+            Counted.asked += 1
+            return super().get(*x)
+
+        def __contains__(self, x):
+            Counted.asked += 1
+            return super().__contains__(x)
+
+        def __getitem__(self, x):
+            Counted.asked += 1
+            return super().__getitem__(x)
+
+    encoder._forget()
+    encoder.known = Counted()
+    texts = ["one two three", "three one\ntwo"]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counted.asked == len(encoder.known) == 6
+    encoder._forget()
