@@ -102,10 +102,12 @@ def _printed(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iter
 
 
 def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int, least: float, rounds: int = 0) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, node, print, component, start, size, all `rounds` fingerprints) sorted by key: pairs (a, b), and (key, next) of groups that have more.
+    """Over rows (key, node, print, component, start, size, all `rounds` fingerprints) sorted by key: pairs (a, b), and of groups that have more the members (a, key, print, size, next) that go on.
 
     A group's pairs have a fixed order. From `start` on those between components are proposed, `per_member`
-    for each member at most; in the first pass also those that connect all the group's candidates. Pairs are
+    for each member at most; where `start` is 0 also those that connect all the group's candidates. From the first
+    pass (without `rounds`) only members of pairs that wait go on, and their pairs begin anew: a group grows with
+    the corpus, and most of its members share no more than its block of bits. Pairs are
     looked at as they are found, so memory follows the members and not their pairs. Sets whose sizes differ so
     much that their similarity cannot reach `least` make no pair, nor do those too far apart in all fingerprints
     where rows have them.
@@ -119,6 +121,7 @@ def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int,
         sizes = np.diff(np.r_[lead, len(key)])
         # pairs so far of each group, those of them that were open, and the first that has to wait
         seen, taken, later = np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64), np.full(len(lead), -1)
+        waits = np.zeros(len(key), bool)
         forest = Forest(len(key))
         for a, b in near_chunks(bits.view(U), key, distance):
             group = np.searchsorted(lead, a, "right") - 1  # ascending, as a is
@@ -135,19 +138,29 @@ def _proposed(batches: Iterator[pa.RecordBatch], distance: int, per_member: int,
                 a, b, group, place = a[near], b[near], group[near], place[near]
             now = taken[group] + np.arange(len(a)) - np.searchsorted(group, group, "left") < per_member * sizes[group]
             taken += np.bincount(group, minlength=len(lead))
+            fresh = np.flatnonzero(start[a] == 0)
+            joins = np.zeros(len(a), bool)
+            joins[fresh[forest.joining(a[fresh], b[fresh])]] = True
             late = np.flatnonzero(~now & (later[group] < 0))
             waiting, first = np.unique(group[late], return_index=True)
             later[waiting] = place[late[first]]
-            fresh = np.flatnonzero(start[a] == 0)
-            now[fresh[forest.joining(a[fresh], b[fresh])]] = True
-            yield _pairs(node[a[now]], node[b[now]])
-        more = np.flatnonzero(later >= 0)
-        yield _pairs(key[lead[more]], later[more], ("key", "next"))
+            waits[a[~now & ~joins]] = waits[b[~now & ~joins]] = True
+            now |= joins
+            yield _found(a=node[a[now]], b=node[b[now]])
+        if rounds:
+            more = np.flatnonzero(np.repeat(later >= 0, sizes))
+            start = np.repeat(later, sizes)
+        else:
+            more = np.flatnonzero(waits)
+            start = np.zeros(len(key), np.int64)
+        yield _found(a=node[more], key=key[more], print=bits[more], size=size[more], next=start[more])
+
+
+FOUND = ("a", "b", "key", "print", "size", "next")
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
-    given = dict(zip(names, (a, b), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(given[n], pa.int64()) if n in given else pa.nulls(len(a), pa.int64()) for n in ("a", "b", "key", "next")], names=["a", "b", "key", "next"])
+def _found(**given: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(given[n], pa.int64()) if n in given else pa.nulls(len(given["a"]), pa.int64()) for n in FOUND], names=list(FOUND))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -159,7 +172,7 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 def _fresh(found: DataFrame, past: DataFrame | None) -> DataFrame:
     """The distinct pairs proposed, without those that an earlier pass has looked at."""
-    pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = found.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if past is None:
         return written(pairs.distinct(), "near-fresh")
     both = pairs.withColumn("old", F.lit(False)).unionByName(past.withColumn("old", F.lit(True)))
@@ -218,7 +231,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
         known = dealt if placed is None else dealt.join(placed, "node", "left")
         columns = known.select("key", "node", "print", F.coalesce("component", "node").alias("component") if placed is not None else F.col("node").alias("component"), "start", "size", *brought)
         ordered = columns.repartition("key").sortWithinPartitions("key")
-        found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most, least=least, rounds=len(brought)), "a long, b long, key long, next long"), "near-pairs")
+        found = written(ordered.mapInArrow(partial(_proposed, distance=distance, per_member=most, least=least, rounds=len(brought)), ", ".join(f"{n} long" for n in FOUND)), "near-pairs")
         fresh = _fresh(found, past)
         past = fresh if past is None else past.unionByName(fresh)
         sure = _close(fresh, nodes, printed, apart, limit, least)
@@ -226,20 +239,20 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rounds: int
         stars = sure if placed is None else sure.unionByName(placed.select(F.col("node").alias("a"), F.col("component").alias("b")))
         before, placed = placed, written(components(stars), "near-components")
         discard(sure, *([before] if before else []))
-        more = found.where("key is not null").select("key", F.col("next").alias("start"))
+        more = found.where("key is not null").select("key", F.col("a").alias("node"), "print", F.col("next").alias("start"), F.col("size").cast("int").alias("size"))
         if more.isEmpty():
             break
         # only the groups that have more go on
-        left = dealt.drop("start").join(more, "key")
-        if not brought:
-            brought = [f"all_{n}" for n in names]
-            left = left.join(nodes.select("node", *(F.col(n).alias(b) for n, b in zip(names, brought, strict=True))), "node")
-        left = written(left, "near-crowded")
+        brought = [f"all_{n}" for n in names]
+        left = written(more.join(nodes.select("node", *(F.col(n).alias(b) for n, b in zip(names, brought, strict=True))), "node"), "near-crowded")
         discard(found, *([dealt] if most > per_member else []))
         dealt, most = left, GROWTH * max(most, 1)
-    placed = written(nodes.select("node", "least_mark").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    grouped = placed
+    placed = written(nodes.select("node", "least_mark").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    ids = written(printed.select(*MARKS, "node"), "near-ids")
+    # the shingles are most of what has been written, and none is looked at any more
+    discard(printed, nodes, found, grouped, *([dealt] if most > per_member else []))
     best = placed.groupBy("component").agg(F.min("least_mark").alias("best"), F.count(F.lit(1)).alias("n"))
     named = spread(placed, best, "component", placed.count()).groupBy("node").agg(F.min("best").alias("best"))
-    ids = printed.select(*MARKS, "node")
     heavy = written(heavy_hitters(ids, "node").select(F.col("node").cast("long").alias("node")), "near-heavy")
     return lookup(ids, named, heavy, "node").select(*MARKS, F.col("best.doc_id").alias("component_id"), (mark == F.col("best")).alias("kept"))

@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quire.llm.near_dedup import differing, most_apart, near_dedup, set_prints
+from quire.llm.near_dedup import _proposed, differing, most_apart, near_dedup, set_prints
+from quire.staging import shared_dir
 
 
 def shingles(text, words=5):
@@ -115,3 +118,23 @@ def test_bits_that_may_differ():
             apart.append(int(np.bitwise_count(one ^ two).sum()))
         assert max(apart) <= limits[min(a, b, len(limits) - 1)]
         assert abs(sum(apart) / 60 / 640 - differing(a, b, common)) < 0.02
+
+
+def test_only_members_of_waiting_pairs_go_on():
+    # 25 members share a block of bits, three of them are near copies: the first pass connects them and one pair waits
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 25, dtype=np.uint64)
+    prints[7:10] = prints[7] ^ np.array([0, 1, 2], np.uint64)
+    nodes = np.arange(100, 125)
+    columns = [np.full(25, 5), nodes, prints.view(np.int64), nodes, np.zeros(25, np.int64), np.full(25, 50, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "print", "component", "start", "size"])
+    found = [r for b in _proposed(iter([batch]), distance=3, per_member=0, least=0.8) for r in b.to_pylist()]
+    pairs, more = [r for r in found if r["key"] is None], [r for r in found if r["key"] is not None]
+    assert len(pairs) == 2 and {r[x] for r in pairs for x in "ab"} == {107, 108, 109}
+    assert len(more) == 2 and {r["a"] for r in more} < {107, 108, 109} and {(r["key"], r["next"], r["size"]) for r in more} == {(5, 0, 50)}
+
+
+def test_shingles_go_when_all_pairs_are_settled(spark):
+    before = set(Path(shared_dir(spark)).glob("near-prints-*"))
+    near_dedup(spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "g h")], "doc_id long, text string"))
+    assert set(Path(shared_dir(spark)).glob("near-prints-*")) == before
