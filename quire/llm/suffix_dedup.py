@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import numbered, spread, text_or_empty, written
 from quire.llm.lyndon import suffix_array
+from quire.staging import discard
 
 #: Bytes hashed at once; positions in a piece fit the low bits of an anchor's rank.
 PIECE_BITS = 20
@@ -295,6 +296,9 @@ def repeated_spans(texts: DataFrame, length: int = 100, core: int = 48, most_sym
     columns = ["key", "context", "doc", "first", "shape"]
     dealt = runs.where("kind = 0").select(*columns).repartition("key").sortWithinPartitions("key", "context", "doc", "first")
     grouped = written(dealt.mapInArrow(lambda it: _grouped(it, length), RUN), "suffix-groups")
+    # the anchors are most of what has been written, and of them only those in `grouped` are looked at any more
+    anchors, runs = runs, written(runs.where("kind = 1"), "suffix-spans")
+    discard(anchors)
     spans = [frame.where("kind = 1").select("doc", "first", F.col("context").alias("end")) for frame in (runs, grouped)]
     wanted = grouped.where("kind = 0").groupBy("doc", F.shiftright("first", 32).cast("int").alias("rep")).agg(F.collect_list(F.struct("key", "first", "shape")).alias("wanted"))
     source = texts.select(F.col("id").alias("doc"), "rep", "text").join(wanted, ["doc", "rep"]).select("doc", "text", "wanted")

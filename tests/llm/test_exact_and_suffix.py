@@ -1,6 +1,7 @@
 import hashlib
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from quire.llm.common import heavy_hitters
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.lyndon import suffix_array
 from quire.llm.suffix_dedup import suffix_dedup
+from quire.staging import shared_dir
 
 
 def test_exact_matches_plain_grouping(spark, odd_rows):
@@ -71,3 +73,9 @@ def test_suffix_repeated_ids_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got)[0] == (0, 300, 300)
     assert sum(r.n_removed for r in got) >= 600
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_anchors_go_when_they_are_grouped(spark, odd_rows):
+    before = set(Path(shared_dir(spark)).glob("suffix-runs-*"))
+    suffix_dedup(spark.createDataFrame(odd_rows, "doc_id long, text string"), length=60, core=24)
+    assert set(Path(shared_dir(spark)).glob("suffix-runs-*")) == before
