@@ -12,6 +12,7 @@ from quire.operators import blocks, diagnostics, figures, header, inline, lists,
 from quire.plans import adapters as a
 from quire.plans.oracles import ORACLES
 from quire.sources import records
+from quire.staging import written
 
 FLAGSHIP = "a02_editorial_summary"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,8 +156,8 @@ def j13_unmatched_signatures(spark, sf_dir):
 
 @query
 def j04_relation_lookup(spark, sf_dir):
-    lines = a.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("l_partkey").alias("p"))
-    relations = lines.select((F.col("l_orderkey") % 50).alias("pkg_id"), F.lit("document").alias("part"), (F.col("l_suppkey") % 20).alias("relation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.col("p").alias("target")).groupBy("pkg_id", "part", "relation_id", "sequence").agg(F.min("target").alias("target"))
+    lines = a.table(spark, sf_dir, "lineitem")
+    relations = lines.select((F.col("l_orderkey") % 50).alias("pkg_id"), F.lit("document").alias("part"), (F.col("l_suppkey") % 20).alias("relation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.col("l_partkey").alias("target")).groupBy("pkg_id", "part", "relation_id", "sequence").agg(F.min("target").alias("target"))
     uses = a.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("pkg_id"), F.lit("document").alias("part"), (F.col("o_custkey") % 25).alias("relation_id"), F.col("o_orderkey").alias("used_by"))
     return notes.resolved_relations(uses, relations).select("pkg_id", "relation_id", "used_by", "target", "duplicate")
 
@@ -336,7 +337,9 @@ def s01_package_paragraphs(spark, sf_dir):
     """Documents written as packages and read again."""
     from quire.sources.packages import body_paragraphs, decoded
 
-    rows = roles.with_roles(body_paragraphs(decoded(a.packages(spark, sf_dir))))
+    # three tables of each package are read, so it is taken apart once and written
+    packages = written(decoded(a.packages(spark, sf_dir)).select("pkg_id", "paragraphs", "items", "styles"), "packages")
+    rows = roles.with_roles(body_paragraphs(packages))
     return rows.select(F.col("pkg_id").cast("long").alias("pkg_id"), "index", "text", "style_id", "role", "level")
 
 

@@ -59,3 +59,11 @@ def test_queries_without_the_llm_folders(monkeypatch):
     found = entry.queries()
     assert found and "pipeline" not in found and not any(k.startswith("op") for k in found)
     assert set(entry.oracle_sql()) <= set(found)
+
+
+def test_relations_are_an_aggregate_and_packages_are_taken_apart_once(spark):
+    from quire.plans.queries import QUERIES
+
+    plans = {n: QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for n in ("j04_relation_lookup", "s01_package_paragraphs")}
+    assert "Window" not in plans["j04_relation_lookup"]
+    assert "MapInArrow" not in plans["s01_package_paragraphs"]
