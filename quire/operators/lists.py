@@ -83,41 +83,63 @@ class _Document:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by document and block; what is carried along is one document's open sequence and its numbers."""
-    document, name, begun = _Document(), None, False
+    """Rows by document and block; what is carried along is one document's open sequence, its numbers, and an empty item until it is known whether a list of its own follows."""
+    document, name, begun, waiting = _Document(), None, False, None
+    names = ("pkg_id", "index", "act", "gap", "num_id", "level", "signature", "empty", "reason")
+    kinds = None
+
+    def told(path: str | None) -> tuple:
+        child = path is not None and path.startswith(waiting[3] + ".")
+        return (*waiting[:5], [*waiting[5], WARNINGS[2] if child else EMPTY_ITEM], None)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["pkg_id", "index", "list_id", "path", "part", "codes", "reason"])
+
     for batch in batches:
         out: list[tuple] = []
-        for pkg, index, act, gap, number, level, signature in zip(*(batch[c].to_pylist() for c in ("pkg_id", "index", "act", "gap", "num_id", "level", "signature")), strict=True):
+        kinds = [batch["pkg_id"].type, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+        for pkg, index, act, gap, number, level, signature, empty, reason in zip(*(batch[c].to_pylist() for c in names), strict=True):
             if not begun or pkg != name:
-                document, name, begun = _Document(), pkg, True
+                if waiting:
+                    out.append(told(None))
+                document, name, begun, waiting = _Document(), pkg, True, None
             elif gap:
                 document.end(True)
-            if act == "item":
-                codes = document.item(number, level, signature)
-                out.append((pkg, index, document.sequence.open[level][2], document.sequence.path(), 0, codes))
-            elif act == "continuation":
-                document.part += 1
-                out.append((pkg, index, document.sequence.open[document.sequence.last][2], document.sequence.path(), document.part, []))
+            if act in ("item", "continuation"):
+                if act == "item":
+                    codes, at = document.item(number, level, signature), level
+                else:
+                    document.part += 1
+                    codes, at = [EMPTY_CONTINUATION] if empty else [], document.sequence.last
+                path = document.sequence.path()
+                if waiting:
+                    out.append(told(path))
+                row = (pkg, index, document.sequence.open[at][2], path, document.part, codes, None)
+                waiting = row if empty and act == "item" else None
+                if not waiting:
+                    out.append(row)
             else:
                 document.end(act != "quiet")
-        kinds = [batch["pkg_id"].type, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())]
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["pkg_id", "index", "list_id", "path", "part", "codes"])
+                if reason is not None:
+                    out.append((pkg, index, None, None, None, [AMBIGUOUS], reason))
+        yield made(out)
+    if waiting:
+        yield made([told(None)])
 
 
 def continued(rows: DataFrame) -> DataFrame:
-    """Adds act (what a block does to lists), gap (blocks without a row before it) and reason (why a candidate continues nothing).
+    """Adds act (what a block does to lists), gap (blocks without a row before it) and reason (why a candidate continues nothing); keeps empty.
 
     A run of candidates right behind an item continues it if another item of the same number, level and signature comes
     right behind the run. Both neighbours are looked up from every candidate: the last block before it that is none, and
-    the first behind it.
+    the first behind it. All windows read one order, so a task sorts its rows once.
     """
     order = Window.partitionBy("pkg_id").orderBy("block")
     rows = rows.withColumn("_region", F.col("block") - F.row_number().over(order))
-    mark = F.when(F.col("class") != "candidate", F.struct("_region", "class", "num_id", "level", "signature"))
-    back = Window.partitionBy("pkg_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_a": F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_lag": F.lag("class").over(order), "gap": F.coalesce(F.lag("_region").over(order) != F.col("_region"), F.lit(False))})
-    rows = rows.withColumn("_z", F.last(mark, ignorenulls=True).over(back))
+    rows = rows.withColumn("_mark", F.when(F.col("class") != "candidate", F.struct("_region", "class", "num_id", "level", "signature")))
+    around = {k: F.expr(f"{k}(_mark) ignore nulls over (partition by pkg_id order by block)") for k in ("lag", "lead")}
+    rows = rows.withColumns({"_a": around["lag"], "_z": around["lead"], "_lag": F.lag("class").over(order), "gap": F.coalesce(F.lag("_region").over(order) != F.col("_region"), F.lit(False))})
     a, z = F.col("_a"), F.col("_z")
     behind = F.coalesce((a["class"] == "item") & (a["_region"] == F.col("_region")), F.lit(False))
     next_item = F.coalesce((z["class"] == "item") & (z["_region"] == F.col("_region")), F.lit(False))
@@ -129,7 +151,7 @@ def continued(rows: DataFrame) -> DataFrame:
     candidate = F.col("class") == "candidate"
     why = F.when(candidate & behind & first, reason).when((F.col("class") == "rejected") & (F.col("_lag") == "item") & ~F.col("gap"), "custom style")
     act = F.when(candidate & behind & reason.isNull(), "continuation").when(F.col("class").isin("item", "quiet"), F.col("class")).otherwise("other")
-    return rows.select("pkg_id", "index", "block", act.alias("act"), "gap", why.alias("reason"), "num_id", "level", "signature")
+    return rows.select("pkg_id", "index", "block", act.alias("act"), "gap", why.alias("reason"), "num_id", "level", "signature", "empty")
 
 
 def list_items(rows: DataFrame) -> DataFrame:
@@ -146,18 +168,11 @@ def list_items(rows: DataFrame) -> DataFrame:
     without items gives no rows. Of rows of one block the order is not defined.
     """
     signature = F.concat_ws("|", "num_id", "level", "kind", "number_format", "start")
-    found = continued(rows.withColumn("signature", signature))
-    ordered = found.repartition("pkg_id").sortWithinPartitions("pkg_id", "block")
+    empty = F.coalesce("empty", F.lit(False)) if "empty" in rows.columns else F.lit(False)
+    found = continued(rows.withColumns({"signature": signature, "empty": empty}))
+    ordered = found.sortWithinPartitions("pkg_id", "block")  # the windows have dealt the rows by document
     kind = dict(rows.dtypes)["pkg_id"]
-    placed = ordered.select("pkg_id", "index", "act", "gap", "num_id", "level", "signature").mapInArrow(_placed, f"pkg_id {kind}, index int, list_id int, path string, part int, codes array<string>")
-    if "empty" in rows.columns:
-        order = Window.partitionBy("pkg_id").orderBy("index")
-        lead, empty = F.lead("path").over(order), F.coalesce("empty", F.lit(False))
-        child = F.coalesce(lead.startswith(F.concat("path", F.lit("."))), F.lit(False))
-        code = F.when(empty & (F.col("part") > 0), EMPTY_CONTINUATION).when(empty & child, WARNINGS[2]).when(empty, EMPTY_ITEM)
-        placed = placed.join(rows.select("pkg_id", "index", "empty"), ["pkg_id", "index"], "left").withColumn("codes", F.array_compact(F.array_append("codes", code))).drop("empty")
-    reasons = found.where("reason is not null").select("pkg_id", "index", "reason", F.lit(None).cast("int").alias("list_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("part"), F.array(F.lit(AMBIGUOUS)).alias("codes"))
-    return placed.withColumn("reason", F.lit(None).cast("string")).unionByName(reasons)
+    return ordered.select("pkg_id", "index", "act", "gap", "num_id", "level", "signature", "empty", "reason").mapInArrow(_placed, f"pkg_id {kind}, index int, list_id int, path string, part int, codes array<string>, reason string")
 
 
 def list_problems(items: DataFrame) -> DataFrame:

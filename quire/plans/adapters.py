@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -15,6 +15,8 @@ from quire.operators.roles import with_roles
 
 # Style of a paragraph by a number from its place; None is a paragraph without a style.
 STYLES = ("Heading1", "Heading2", "Normal", "Quote", "Quote", "IntenseQuote", "BlockText", "Salutation", "Signature", None, "BodyText", "Heading3", "TEIbiblreference", "Custom1", "Title", "Bibliography")
+# Line items of a task, where tasks go by the size of the table.
+LINES_OF_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,19 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str, package: Column) -> DataFrame:
+    """One row for each order and line number (pkg_id, l_orderkey, l_linenumber, s, p), dealt by package once for all that follows.
+
+    A larger table is dealt over more tasks, so that the rows of a task stay the same unless a package has more.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = lines.count() // LINES_OF_TASK
+    rows = lines.select(package.alias("pkg_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    most = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_package = rows.repartition(most, "pkg_id") if tasks > 1 else rows.repartition("pkg_id")
+    return by_package.groupBy("pkg_id", "l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as styled paragraphs, two neighbours to a style."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pkg_id"), F.posexplode(F.split("text", "\n")).alias("index", "text"))
@@ -160,9 +175,9 @@ def list_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as blocks of some hundred documents, with the class that decides over lists; one block in forty has no row."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    lines = numbered_lines(spark, sf_dir, F.col("l_orderkey") % 499)
     order = Window.partitionBy("pkg_id").orderBy("l_orderkey", "l_linenumber")
-    rows = lines.withColumn("pkg_id", F.col("l_orderkey") % 499).withColumn("index", F.row_number().over(order).cast("int"))
+    rows = lines.withColumn("index", F.row_number().over(order).cast("int"))
     p, s = F.col("p"), F.col("s")
     kind = F.when(p % 10 < 6, "item").when(p % 10 == 6, "candidate").when(p % 10 == 7, F.when(s % 2 == 0, "candidate").otherwise("rejected")).when(p % 10 == 8, "quiet").otherwise("other")
     number, level = F.floor(F.col("l_orderkey") / 499) % 5 + F.when(s % 7 == 0, 1).otherwise(0), (F.floor(p / 10) % 3 + F.when(s % 23 == 0, 2).otherwise(0)).cast("int")

@@ -117,6 +117,17 @@ def test_empty_items(spark):
     assert lists.list_problems(lists.list_items(spark.createDataFrame([], "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int"))).count() == 0
 
 
+def test_lists_are_found_in_one_sorted_pass(spark):
+    kind = "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int, empty boolean"
+    rows = [(pkg, i, i, "item", 1, level, "ordered", "decimal", 1, empty) for pkg in (None, "a") for i, (level, empty) in enumerate([(0, True), (1, False), (0, True)])]
+    found = lists.list_items(spark.createDataFrame(rows, kind))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+    got = {(r.pkg_id, r["index"]): r.codes for r in found.collect()}
+    for pkg in (None, "a"):  # what comes last in one document says nothing of the next
+        assert [got[pkg, i] for i in range(3)] == [["empty_parent_list_item"], [], ["empty_list_item_not_serializable"]]
+
+
 def test_spans_merge_and_marks(spark):
     items = spark.createDataFrame([(1, 0, 0, "text", "a", "b", None, "fr"), (1, 0, 1, "text", "", "", None, None), (1, 0, 2, "text", "c", "b", None, "fr"), (1, 0, 3, "text", "d", "b", None, "de"), (1, 0, 4, "tab", None, None, None, None)], "pkg_id long, index int, item int, kind string, text string, marks string, link string, language string")
     assert [(r.kind, r.text) for r in inline.spans(items).orderBy("span").collect()] == [("text", "ac"), ("text", "d"), ("tab", "")]
