@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,19 @@ def list_kind(number_format: Column, picture: Column) -> Column:
     return F.when(picture.isNotNull(), "unsupported").when(number_format == "bullet", "bulleted").when(number_format == "none", "none").when(number_format.isin(*ORDERED), "ordered").otherwise("unsupported")
 
 
-def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
+def numbering_parts(*tables: DataFrame) -> DataFrame:
+    """pkg_id, high, low: 128 bits of all rows a package has in the tables, in any order; equal where these are equal."""
+    found = []
+    for i, table in enumerate(tables):
+        columns = [c for c in table.columns if c != "pkg_id"]
+        values = [*columns, *(F.col(c).isNull() for c in columns)]
+        found.append(table.select("pkg_id", F.xxhash64(F.lit(i), *values).alias("a"), F.xxhash64(F.lit(-1 - i), *values).alias("b")))
+    rows = functools.reduce(DataFrame.unionByName, found)
+    sums = [F.sum(x) for c in ("a", "b") for x in (F.col(c).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(c, 32))]
+    return rows.groupBy("pkg_id").agg(F.xxhash64(*sums).alias("high"), F.xxhash64(F.lit(1), *sums).alias("low"))
+
+
+def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: DataFrame, overrides: DataFrame, once: bool = False) -> DataFrame:
     """Adds status, code (of the first hop that fails), level, number_format, start, kind.
 
     paragraphs: pkg_id, index, raw_id, raw_level; instances: pkg_id, num_id, abstract_id; levels: pkg_id,
@@ -26,35 +40,47 @@ def resolved_numbering(paragraphs: DataFrame, instances: DataFrame, levels: Data
     size for each package, so the joins are left to the optimizer. Where levels have restart and legal, both are added,
     and overrides have these and number_format, start and picture: what an override's own level says goes before the
     definition's, field by field, and its start_override before both.
+
+    `once`: packages with equal rows in all three tables, as copies of a template have them, share them (`numbering_parts`).
+    Each paragraph then meets its package once, and its numbering among the different ones, which are written to the
+    shared folder when this is called. The tables are read twice; where no two packages agree that is all it does.
     """
+    key = ["pkg_id"]
     number, wanted = strict_number(F.col("raw_id")), strict_number(F.col("raw_level"))
     parsed = paragraphs.withColumns({"_id": number, "_level": wanted}).withColumns({"num_id": F.col("_id.canonical"), "_ok": F.col("_level.valid") & F.col("_level.canonical").between(0, 8)})
-    hop1 = parsed.join(instances, ["pkg_id", "num_id"], "left")
-    defined = levels.groupBy("pkg_id", "abstract_id").agg(F.max((F.col("level") == 0).cast("int")).alias("_has_zero"))
-    hop2 = hop1.join(defined, ["pkg_id", "abstract_id"], "left").withColumn("level", F.when(F.col("_ok"), F.col("_level.canonical")).when(F.col("_has_zero") == 1, 0).cast("int"))
+    if once:
+        key = ["high", "low"]
+        parts = written(numbering_parts(instances, levels, overrides), "numbering-parts")
+        first = written(parts.groupBy(*key).agg(F.min("pkg_id").alias("pkg_id")), "numbering-first")
+        instances, levels, overrides = (written(t.join(first, "pkg_id").drop("pkg_id"), "numbering-once") for t in (instances, levels, overrides))
+        parsed = parsed.join(parts.hint("merge"), "pkg_id", "left")  # a small file can hold many packages
+    hop1 = parsed.join(instances, [*key, "num_id"], "left")
+    defined = levels.groupBy(*key, "abstract_id").agg(F.max((F.col("level") == 0).cast("int")).alias("_has_zero"))
+    hop2 = hop1.join(defined, [*key, "abstract_id"], "left").withColumn("level", F.when(F.col("_ok"), F.col("_level.canonical")).when(F.col("_has_zero") == 1, 0).cast("int"))
     more = ["restart", "legal"] if "restart" in levels.columns else []
     over = {c: F.col(f"_{c}") for c in ("number_format", "start", "picture", *more)} if more else {}
     own = overrides.withColumnsRenamed({c: f"_{c}" for c in over})
-    hop3 = hop2.join(levels, ["pkg_id", "abstract_id", "level"], "left").join(own, ["pkg_id", "num_id", "level"], "left").withColumns({c: F.coalesce(x, c) for c, x in over.items()})
-    has_base = F.col("number_format").isNotNull()
-    shape = F.coalesce(F.nullif("number_format", F.lit("")), F.lit(DEFAULT_FORMAT))
-    kind = list_kind(shape, F.col("picture"))
+    hop3 = hop2.join(levels, [*key, "abstract_id", "level"], "left").join(own, [*key, "num_id", "level"], "left").withColumns({c: F.coalesce(x, c) for c, x in over.items()})
+    shaped = hop3.withColumn("_shape", F.coalesce(F.nullif("number_format", F.lit("")), F.lit(DEFAULT_FORMAT))).withColumn("_kind", list_kind(F.col("_shape"), F.col("picture")))
     code = (
         F.when(~F.col("_id.valid"), "invalid_numbering_identifier")
         .when(F.col("num_id") == 0, F.lit(None))
         .when(F.col("_level.present") & ~F.col("_ok"), "invalid_numbering_level")
         .when(F.col("abstract_id").isNull(), "missing_numbering_instance")
         .when(F.col("_has_zero").isNull(), "missing_abstract_numbering_definition")
-        .when(~has_base, "missing_numbering_level_definition")
+        .when(F.col("number_format").isNull(), "missing_numbering_level_definition")
         .when(F.col("picture").isNotNull(), "picture_bullet_not_supported")
-        .when(kind == "unsupported", "unsupported_numbering_format")
+        .when(F.col("_kind") == "unsupported", "unsupported_numbering_format")
     )
-    status = F.when(F.col("_id.valid") & (F.col("num_id") == 0), "removed").when(code.isin("picture_bullet_not_supported", "unsupported_numbering_format"), "unsupported").when(code.isNotNull(), "unresolved").otherwise("resolved")
-    done = status.isin("resolved", "unsupported")
-    return hop3.select(
-        "pkg_id", "index", status.alias("status"), code.alias("code"),
-        F.when(status == "removed", F.lit(None)).otherwise(F.col("level")).cast("int").alias("level"),
-        F.when(done, shape).alias("number_format"), F.when(done, F.coalesce("start_override", "start", F.lit(DEFAULT_START))).cast("int").alias("start"), F.when(done, kind).alias("kind"), *more,
+    # A generated column: filters of what uses it stay behind it, and the code is found once a row. Put into every place that
+    # names the status, it made one method of generated code beyond the 8,000 bytes up to which the JVM compiles.
+    coded = shaped.select("*", F.explode_outer(F.array(code)).alias("code"))
+    status = F.when(F.col("code").isin("picture_bullet_not_supported", "unsupported_numbering_format"), "unsupported").when(F.col("code").isNotNull(), "unresolved").when(F.col("num_id") == 0, "removed").otherwise("resolved")
+    done = F.col("status").isin("resolved", "unsupported")
+    return coded.withColumn("status", status).select(
+        "pkg_id", "index", "status", "code",
+        F.when(F.col("status") == "removed", F.lit(None)).otherwise(F.col("level")).cast("int").alias("level"),
+        F.when(done, F.col("_shape")).alias("number_format"), F.when(done, F.coalesce("start_override", "start", F.lit(DEFAULT_START))).cast("int").alias("start"), F.when(done, F.col("_kind")).alias("kind"), *more,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from quire.operators.roles import with_roles
+from quire.staging import written
 
 # Style of a paragraph by a number from its place; None is a paragraph without a style.
 STYLES = ("Heading1", "Heading2", "Normal", "Quote", "Quote", "IntenseQuote", "BlockText", "Salutation", "Signature", None, "BodyText", "Heading3", "TEIbiblreference", "Custom1", "Title", "Bibliography")
@@ -167,10 +168,10 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as paragraphs with raw numbering: one row for each order and line number."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    lines = numbered_lines(spark, sf_dir, F.col("l_orderkey"))
     raw = F.when(F.col("s") % 9 == 8, "x1").when(F.col("s") % 9 == 7, F.lit(None)).otherwise(F.concat(F.when(F.col("p") % 2 == 0, "0").otherwise(""), (F.col("s") % 9).cast("string")))
     level = F.when(F.col("p") % 7 == 0, F.lit(None)).when(F.col("p") % 7 == 1, "12").otherwise((F.col("p") % 4).cast("string"))
-    return lines.select(F.col("l_orderkey").alias("pkg_id"), F.col("l_linenumber").cast("int").alias("index"), raw.alias("raw_id"), level.alias("raw_level"))
+    return lines.select("pkg_id", F.col("l_linenumber").cast("int").alias("index"), raw.alias("raw_id"), level.alias("raw_level"))
 
 
 def listed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +193,7 @@ def listed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbering_tables(spark: SparkSession, packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same instances, levels and overrides for every package."""
-    each = packages.select("pkg_id").distinct()
+    each = written(packages.select("pkg_id").distinct(), "packages")
     instances = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 99), (5, 50)], "num_id long, abstract_id long")
     levels = spark.createDataFrame([(10, 0, "decimal", 1, None), (10, 1, "lowerLetter", None, None), (10, 2, "chicago", 1, None), (20, 0, "bullet", None, None), (20, 1, "bullet", None, "7"), (30, 1, "", 4, None), (30, 2, "none", 1, None), (50, 0, "upperRoman", 3, None), (50, 3, "ordinal", 1, None)], "abstract_id long, level int, number_format string, start int, picture string")
     overrides = spark.createDataFrame([(1, 0, 5), (5, 3, 9)], "num_id long, level int, start_override int")

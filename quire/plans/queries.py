@@ -165,7 +165,7 @@ def j04_relation_lookup(spark, sf_dir):
 @query
 def j02_numbering(spark, sf_dir):
     rows = a.list_paragraphs(spark, sf_dir).where("raw_id is not null")
-    return numbering.resolved_numbering(rows, *a.numbering_tables(spark, rows))
+    return numbering.resolved_numbering(rows, *a.numbering_tables(spark, rows), once=True)
 
 
 @query

@@ -117,6 +117,23 @@ def test_empty_items(spark):
     assert lists.list_problems(lists.list_items(spark.createDataFrame([], "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int"))).count() == 0
 
 
+def test_packages_share_equal_numbering_and_a_code_is_found_once(spark):
+    rows = spark.createDataFrame([(pkg, i, raw, level) for pkg in (1, 2, 3, 4, 5, None) for i, (raw, level) in enumerate([("1", "0"), ("01", None), ("2", "1"), ("x", "0"), ("0", "0"), ("1", "12"), ("7", "0")])], "pkg_id long, index int, raw_id string, raw_level string")
+    instances = spark.createDataFrame([(pkg, num, 10 * num) for pkg in (1, 2, 3, 4, None) for num in (1, 2)], "pkg_id long, num_id long, abstract_id long")
+    first, second = ("decimal", None, "7"), ("decimal", 7, None)  # package 2 says the same in another order, 3 and 4 something else
+    made = [(1, 10, 0, *first), (1, 20, 1, "", 2, None), (2, 20, 1, "", 2, None), (2, 10, 0, *first), (3, 10, 0, *second), (4, 10, 0, *first), (4, 10, 0, *first)]
+    levels = spark.createDataFrame(made, "pkg_id long, abstract_id long, level int, number_format string, start int, picture string")
+    overrides = spark.createDataFrame([(1, 1, 0, 5), (2, 1, 0, 5), (3, 1, 0, 5)], "pkg_id long, num_id long, level int, start_override int")
+    tables = (instances, levels, overrides)
+    plain, shared = (numbering.resolved_numbering(rows, *tables, once=once) for once in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, shared.collect()))
+    assert plain.where("pkg_id = 4").count() == 10 and shared.where("pkg_id = 3 and index = 0").first().start == 5
+    parts = {r.pkg_id: (r.high, r.low) for r in numbering.numbering_parts(*tables).collect()}
+    assert parts[1] == parts[2] and len(set(parts.values())) == 4
+    plan = numbering.refused_numbering(plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("picture_bullet_not_supported AS") + plan.count("THEN picture_bullet_not_supported") == 1
+
+
 def test_lists_are_found_in_one_sorted_pass(spark):
     kind = "pkg_id string, index int, block int, class string, num_id long, level int, kind string, number_format string, start int, empty boolean"
     rows = [(pkg, i, i, "item", 1, level, "ordered", "decimal", 1, empty) for pkg in (None, "a") for i, (level, empty) in enumerate([(0, True), (1, False), (0, True)])]
